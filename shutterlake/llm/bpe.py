@@ -22,7 +22,7 @@ import base64
 import heapq
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -70,14 +70,22 @@ def _piece_json(path: str) -> str:
     return json.dumps(pieces)
 
 
-def rank_of(piece: Column, path: str) -> Column:
+def with_literal(table: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(table)`` with the large literal bound to a name, so that the plan holds it once."""
+    return F.get(F.transform(F.array(table), use), F.lit(0))
+
+
+def rank_table(path: str) -> Column:
+    """The literal rank map, in buckets by CRC-32 of the piece."""
+    return F.from_json(F.lit(_rank_json(path)), T.ArrayType(T.MapType(T.StringType(), T.IntegerType())))
+
+
+def rank_of(piece: Column, table: Column) -> Column:
     """The rank of a piece, or null."""
-    table = F.from_json(F.lit(_rank_json(path)), T.ArrayType(T.MapType(T.StringType(), T.IntegerType())))
-    bucket = F.get(table, F.pmod(F.crc32(piece), F.lit(BUCKETS)).cast("int"))
-    return F.try_element_at(bucket, piece)
+    return F.try_element_at(F.get(table, F.pmod(F.crc32(piece), F.lit(BUCKETS)).cast("int")), piece)
 
 
-def fold_word(word: Column, path: str) -> Column:
+def fold_word(word: Column, table: Column) -> Column:
     """The ids of one word: merge the pair of least rank, the leftmost of equals, until none has one.
 
     The state holds the pieces and the ranks of adjacent pairs; a merge computes
@@ -85,7 +93,7 @@ def fold_word(word: Column, path: str) -> Column:
     """
 
     def pair(a: Column, b: Column) -> Column:
-        return F.coalesce(rank_of(F.concat(a, b), path), F.lit(NO_RANK))
+        return F.coalesce(rank_of(F.concat(a, b), table), F.lit(NO_RANK))
 
     def state(pieces: Column, ranks: Column) -> Column:
         return F.struct(pieces.alias("p"), ranks.alias("r"))
@@ -110,10 +118,10 @@ def fold_word(word: Column, path: str) -> Column:
 
     size = F.length(word)
     start = F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(word, i, F.lit(1)))
-    pairs = F.when(size > 1, F.transform(F.sequence(F.lit(1), size - 1), lambda i: F.coalesce(rank_of(F.substring(word, i, F.lit(2)), path), F.lit(NO_RANK)))).otherwise(F.array().cast("array<int>"))
+    pairs = F.when(size > 1, F.transform(F.sequence(F.lit(1), size - 1), lambda i: F.coalesce(rank_of(F.substring(word, i, F.lit(2)), table), F.lit(NO_RANK)))).otherwise(F.array().cast("array<int>"))
     steps = F.when(size > 1, F.sequence(F.lit(1), size - 1)).otherwise(F.array().cast("array<int>"))
-    folded = F.aggregate(steps, state(start, pairs), step, lambda s: F.transform(s["p"], lambda p: rank_of(p, path)))
-    whole = rank_of(word, path)
+    folded = F.aggregate(steps, state(start, pairs), step, lambda s: F.transform(s["p"], lambda p: rank_of(p, table)))
+    whole = rank_of(word, table)
     return F.when(whole.isNotNull(), F.array(whole)).when(size > FOLD_BYTES, F.lit(None)).otherwise(folded)
 
 
@@ -179,7 +187,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     cut = docs.select(*[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(keep)], words.alias("words"))
     rows = T.ArrayType(T.StructType([*inner, T.StructField("at", T.ArrayType(T.IntegerType()))]))
     blocks = cut.mapInArrow(_form_blocks, T.StructType([T.StructField("words", T.ArrayType(T.StringType())), T.StructField("rows", rows)]))
-    folded = blocks.select("rows", F.transform("words", lambda w: fold_word(w, path)).alias("ids"), F.filter("words", lambda w: F.length(w) > FOLD_BYTES).alias("long"))
+    folded = blocks.select("rows", with_literal(rank_table(path), lambda table: F.transform("words", lambda w: fold_word(w, table))).alias("ids"), F.filter("words", lambda w: F.length(w) > FOLD_BYTES).alias("long"))
     out = T.StructType([*inner, T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField("ids_bytes", T.BinaryType())] if ids_bytes else [])])
 
     def take_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +224,11 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
 
 def decode(ids: Column, path: str) -> Column:
     """The bytes of an array of ids: its pieces, concatenated. An unknown id gives null; null gives null."""
-    pieces = F.from_json(F.lit(_piece_json(path)), T.ArrayType(T.StringType()))
-    found = F.transform(ids, lambda i: F.get(pieces, i))
-    joined = F.when(F.exists(ids, lambda i: (i < 0) | (i >= F.size(pieces))), F.lit(None)).otherwise(F.array_join(found, ""))
-    return F.encode(joined, "ISO-8859-1")
+    table = F.from_json(F.lit(_piece_json(path)), T.ArrayType(T.StringType()))
+
+    def look_up(pieces: Column) -> Column:
+        found = F.transform(ids, lambda i: F.get(pieces, i))
+        # an unknown id would be skipped by array_join
+        return F.when(F.exists(found, lambda p: p.isNull()), F.lit(None)).otherwise(F.array_join(found, ""))
+
+    return F.encode(with_literal(table, look_up), "ISO-8859-1")
