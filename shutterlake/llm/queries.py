@@ -6,11 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shutterlake.llm import bpe
+from shutterlake.llm import bpe, langid, toxicity
 from shutterlake.llm.common import read_table
 
 #: The vocabulary of op1 and of the pipeline's last stage.
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+#: The vocabulary whose pieces op6 counts.
+LANGUAGE_PIECES = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,5 +27,19 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe}
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of every document, from a model of the labelled ones."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, toxicity.grades(read_table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, model).drop("text")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out."""
+    docs = read_table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out(F.col("doc_id")))
+    model = langid.learn(docs.where(~F.col("held_out")), LANGUAGE_PIECES)
+    return langid.predict(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_toxicity": op2_toxicity, "op6_language_id": op6_language_id}
 ORACLE_SQL: dict[str, str] = {}
