@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shutterlake.llm import bpe, langid, toxicity
+from shutterlake.llm import bpe, html, langid, toxicity, warc
 from shutterlake.llm.common import read_table
 
 #: The vocabulary of op1 and of the pipeline's last stage.
@@ -41,5 +41,37 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_toxicity": op2_toxicity, "op6_language_id": op6_language_id}
-ORACLE_SQL: dict[str, str] = {}
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html.extract(pages, html.learn(pages))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record of the archives written from all pages, as read back from them."""
+    folder = warc.archive(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    found = warc.read(spark, folder)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
+#: The records of op9 from the pages alone.
+OP9_SQL = """
+WITH base AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+  FROM pages),
+firsts AS (SELECT payload_digest, min(page_id) AS first_id FROM base WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, base.payload_digest AS payload_digest,
+       CASE WHEN first_id IS NULL OR first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first_id <> page_id THEN first_id END AS refers_to,
+       TRUE AS intact
+FROM base LEFT JOIN firsts ON base.payload_digest = firsts.payload_digest
+"""
+
+QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
+    "op2_toxicity": op2_toxicity,
+    "op6_language_id": op6_language_id,
+    "op8_html_extraction": op8_html_extraction,
+    "op9_warc": op9_warc,
+}
+ORACLE_SQL: dict[str, str] = {"op9_warc": OP9_SQL}
