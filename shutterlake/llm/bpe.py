@@ -1,19 +1,21 @@
 """Byte-level BPE encoding and decoding.
 
 A text is cut into words by the vocabulary's pattern. The distinct words of a
-block of documents are encoded by Spark higher-order functions: ``aggregate``
-folds ranked merges over the word's bytes, looking ranks up in a literal map.
-The blocks are formed and taken apart again by Arrow functions in the same
-stage, so nothing is shuffled and no vocabulary of the corpus is held anywhere;
-memory is bounded by ``BLOCK_WORDS`` and the longest document.
-
-Bytes are carried as strings of the characters U+0000 to U+00FF, one for each
+block of documents are encoded by folding ranked merges over their bytes, with
+ranks from a fixed map. The fold exists in two forms with equal results: Spark
+higher-order functions with a literal rank map (:func:`fold_word`), and a loop
+inside the Arrow function that forms the blocks (:func:`merge_word`), which is
+the default because it takes a fraction of the time. Nothing is shuffled and no
+vocabulary of the corpus is held anywhere; memory is bounded by ``BLOCK_WORDS``
+and the longest document.
+
+In Spark columns bytes are carried as strings of the characters U+0000 to U+00FF, one for each
 byte, because Spark's string functions then work on bytes.
 
 Rows: a null or empty text gives no ids and an empty decoded text. Repeated
 rows, null ids and further columns are passed through unchanged. An unbroken
-word of over ``FOLD_BYTES`` bytes takes the same merges from a heap in
-:func:`merge_long`, since a fold's steps grow with the square of its length.
+word of over ``FOLD_BYTES`` bytes takes the same merges from a heap,
+since a fold's mask of boundaries is one long integer.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,9 +38,9 @@ BUCKETS = 16384
 #: Words in a block.
 BLOCK_WORDS = 2_000_000
 #: The longest word that is folded by Spark.
-FOLD_BYTES = 128
-#: Stands for "no such pair".
-NO_RANK = 2147483647
+FOLD_BYTES = 60
+#: Encoded words that a Python worker keeps, and "no such pair".
+SEEN_WORDS, NO_RANK = 500_000, 1 << 31
 
 
 @lru_cache(maxsize=4)
@@ -88,45 +91,70 @@ def rank_of(piece: Column, table: Column) -> Column:
 def fold_word(word: Column, table: Column) -> Column:
     """The ids of one word: merge the pair of least rank, the leftmost of equals, until none has one.
 
-    The state holds the pieces and the ranks of adjacent pairs; a merge computes
-    the two ranks beside it anew.
+    The pieces are kept as a bit mask of the boundaries between bytes. Every
+    part of the word that has a rank is a possible merge: it can be made while
+    both its ends are boundaries and exactly one boundary is inside. They are
+    listed once, by rank and place; each step of the fold makes the first that
+    can be made, which removes the boundary inside.
     """
+    size = F.length(word)
+    one = F.lit(1).cast("long")
 
-    def pair(a: Column, b: Column) -> Column:
-        return F.coalesce(rank_of(F.concat(a, b), table), F.lit(NO_RANK))
-
-    def state(pieces: Column, ranks: Column) -> Column:
-        return F.struct(pieces.alias("p"), ranks.alias("r"))
-
-    def merge(s: Column, at: Column) -> Column:
-        pieces, ranks = s["p"], s["r"]
-        size = F.size(pieces)
-        merged = F.concat(F.get(pieces, at - 1), F.get(pieces, at))
-        nothing = F.array().cast("array<int>")
-        left = F.when(at > 1, F.array(pair(F.get(pieces, at - 2), merged))).otherwise(nothing)
-        right = F.when(at + 1 < size, F.array(pair(merged, F.get(pieces, at + 1)))).otherwise(nothing)
-        return state(
-            F.concat(F.slice(pieces, F.lit(1), at - 1), F.array(merged), F.slice(pieces, at + 2, size)),
-            F.concat(F.slice(ranks, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(ranks, at + 2, size)),
-        )
-
-    def step(s: Column, _: Column) -> Column:
-        # transform over one element binds the position to a name
-        return F.when(F.array_min(s["r"]) == NO_RANK, s).otherwise(
-            F.get(F.transform(F.array(F.array_position(s["r"], F.array_min(s["r"])).cast("int")), lambda at: merge(s, at)), F.lit(0))
-        )
+    def bit(i: Column) -> Column:
+        return F.call_function("shiftleft", one, i)
 
-    size = F.length(word)
-    start = F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(word, i, F.lit(1)))
-    pairs = F.when(size > 1, F.transform(F.sequence(F.lit(1), size - 1), lambda i: F.coalesce(rank_of(F.substring(word, i, F.lit(2)), table), F.lit(NO_RANK)))).otherwise(F.array().cast("array<int>"))
-    steps = F.when(size > 1, F.sequence(F.lit(1), size - 1)).otherwise(F.array().cast("array<int>"))
-    folded = F.aggregate(steps, state(start, pairs), step, lambda s: F.transform(s["p"], lambda p: rank_of(p, table)))
+    def code(start: Column, length: Column) -> Column:
+        return rank_of(F.substring(word, start + 1, length), table).cast("long") * 4096 + start * 64 + length
+
+    def masks(c: Column) -> Column:
+        start = F.shiftright(c, 6).bitwiseAND(F.lit(63)).cast("int")
+        end = start + c.bitwiseAND(F.lit(63)).cast("int")
+        return F.struct((bit(start) + bit(end)).alias("ends"), (bit(end) - bit(start + 1)).alias("inside"))
+
+    def fold(merges: Column) -> Column:
+        def step(mask: Column, _: Column) -> Column:
+            def possible(c: Column) -> Column:
+                return (mask.bitwiseAND(c["ends"]) == c["ends"]) & (F.bit_count(mask.bitwiseAND(c["inside"])) == 1)
+
+            # the sign bit says that nothing is left to merge
+            merged = mask.bitwiseAND(F.bitwise_not(F.get(F.filter(merges, possible), F.lit(0))["inside"]))
+            return F.when(mask < 0, mask).otherwise(F.coalesce(merged, mask.bitwiseOR(F.lit(-(2**63)))))
+
+        def pieces(mask: Column) -> Column:
+            cuts = F.filter(F.sequence(F.lit(0), size - 1), lambda i: mask.bitwiseAND(bit(i)) != 0)
+            return F.transform(cuts, lambda at, i: rank_of(F.substring(word, at + 1, F.coalesce(F.get(cuts, i + 1), size) - at), table))
+
+        return F.aggregate(F.sequence(F.lit(1), size - 1), bit(size + 1) - 1, step, pieces)
+
+    starts = F.sequence(F.lit(0), size - 2)
+    codes = F.flatten(F.transform(starts, lambda s: F.transform(F.sequence(F.lit(2), size - s), lambda n: code(s, n))))
+    merges = F.transform(F.sort_array(F.array_compact(codes)), masks)
+    # transform over one element gives the list of merges a name
+    folded = F.get(F.transform(F.array(merges), fold), F.lit(0))
     whole = rank_of(word, table)
     return F.when(whole.isNotNull(), F.array(whole)).when(size > FOLD_BYTES, F.lit(None)).otherwise(folded)
 
 
-def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same merges for one long word, from a heap of (rank, position)."""
+def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same fold in Python; a word of over ``FOLD_BYTES`` bytes takes its merges from a heap of (rank, position)."""
+    if word in ranks:
+        return [ranks[word]]
+    if len(word) > FOLD_BYTES:
+        return _merge_long(word, ranks)
+    pieces = [word[i : i + 1] for i in range(len(word))]
+    pairs = [ranks.get(word[i : i + 2], NO_RANK) for i in range(len(word) - 1)]
+    while pairs and (least := min(pairs)) != NO_RANK:
+        at = pairs.index(least)
+        pieces[at : at + 2] = [pieces[at] + pieces[at + 1]]
+        del pairs[at]
+        if at < len(pairs):
+            pairs[at] = ranks.get(pieces[at] + pieces[at + 1], NO_RANK)
+        if at:
+            pairs[at - 1] = ranks.get(pieces[at - 1] + pieces[at], NO_RANK)
+    return [ranks[p] for p in pieces]
+
+
+def _merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     size = len(word)
     after, before = list(range(1, size + 1)), list(range(-1, size - 1))
     pieces: list[bytes | None] = [word[i : i + 1] for i in range(size)]
@@ -153,71 +181,101 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in pieces if p is not None]
 
 
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, pa.DictionaryArray]]:
+    """Runs of documents of about ``BLOCK_WORDS`` words: the documents, the bounds of their words, and the words, coded."""
+    offsets = batch.column("words").offsets.to_numpy()
+    start = 0
+    while start < batch.num_rows:
+        stop = start + 1
+        while stop < batch.num_rows and offsets[stop + 1] - offsets[start] <= BLOCK_WORDS:
+            stop += 1
+        part = batch.slice(start, stop - start)
+        words = part.column("words")
+        yield part, words.offsets.to_numpy().astype(np.int64) - offsets[start], words.flatten().dictionary_encode()
+        start = stop
+
+
+def _gather(coded: pa.ListArray, index: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the words at ``index``, and where each document's begin and end."""
+    first = coded.offsets.to_numpy().astype(np.int64)
+    counts = np.diff(first)[index]
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    where = np.repeat(first[index] - ends[:-1], counts) + np.arange(int(ends[-1]))
+    return coded.values.to_numpy()[where].astype(np.int32), ends[bounds]
+
+
+def _rows(columns: list[pa.Array], ids: np.ndarray, cuts: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Output rows, some documents at a time."""
+    for s in range(0, len(cuts) - 1, 256):
+        e = min(s + 256, len(cuts) - 1)
+        lists = pa.ListArray.from_arrays(pa.array(cuts[s : e + 1] - cuts[s], pa.int32()), pa.array(ids[cuts[s] : cuts[e]]))
+        raw = [pa.array([ids[cuts[i] : cuts[i + 1]].astype("<u4").tobytes() for i in range(s, e)], pa.binary())] if "ids_bytes" in names else []
+        yield pa.RecordBatch.from_arrays([c.slice(s, e - s) for c in columns] + [lists, *raw], names=names)
+
+
 def _form_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each block: its distinct words as byte strings, and its documents as indexes into them."""
     for batch in batches:
-        offsets = batch.column("words").offsets.to_numpy()
-        start = 0
-        while start < batch.num_rows:
-            stop = start + 1
-            while stop < batch.num_rows and offsets[stop + 1] - offsets[start] <= BLOCK_WORDS:
-                stop += 1
-            part = batch.slice(start, stop - start)
-            words = part.column("words")
-            coded = words.flatten().dictionary_encode()
-            lists = pa.ListArray.from_arrays(pa.array(words.offsets.to_numpy() - words.offsets[0].as_py(), pa.int32()), coded.indices)
+        for part, bounds, coded in _blocks(batch):
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), coded.indices)
             distinct = pa.array([w.encode().decode("latin-1") for w in coded.dictionary.to_pylist()], pa.string())
             rest = pa.StructArray.from_arrays([part.column(i) for i in range(part.num_columns - 1)] + [lists], names=part.schema.names[:-1] + ["at"])
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct), pa.ListArray.from_arrays(pa.array([0, len(rest)], pa.int32()), rest)], names=["words", "rows"])
-            start = stop
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", ids_bytes: str | None = None) -> DataFrame:
+#: Words that this Python worker has encoded, kept between blocks.
+_SEEN: dict[str, dict[str, list[int]]] = {}
+
+
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", ids_bytes: str | None = None, higher_order: bool = False) -> DataFrame:
     """``docs`` with the ids of ``text`` in the array column ``ids``, and the text's column dropped.
 
     ``ids_bytes`` names a further binary column with the ids as little-endian
     unsigned 32-bit integers. A column of ``docs`` with either name is replaced.
+    ``higher_order`` folds the words by :func:`fold_word` in Spark rather than by
+    :func:`merge_word` in the Arrow function.
     """
-    import numpy as np
-
     keep = [f for f in docs.schema.fields if f.name not in (text, ids, ids_bytes)]
     # the columns that are kept travel under names of their own, so none can clash
     inner = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(keep)]
     words = F.regexp_extract_all(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit(spark_pattern(pattern)), F.lit(0))
     cut = docs.select(*[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(keep)], words.alias("words"))
-    rows = T.ArrayType(T.StructType([*inner, T.StructField("at", T.ArrayType(T.IntegerType()))]))
-    blocks = cut.mapInArrow(_form_blocks, T.StructType([T.StructField("words", T.ArrayType(T.StringType())), T.StructField("rows", rows)]))
-    folded = blocks.select("rows", with_literal(rank_table(path), lambda table: F.transform("words", lambda w: fold_word(w, table))).alias("ids"), F.filter("words", lambda w: F.length(w) > FOLD_BYTES).alias("long"))
     out = T.StructType([*inner, T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField("ids_bytes", T.BinaryType())] if ids_bytes else [])])
 
+    def fold_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks, seen = load_ranks(path), _SEEN.setdefault(path, {})
+        for batch in batches:
+            for part, bounds, coded in _blocks(batch):
+                if len(seen) > SEEN_WORDS:
+                    seen.clear()
+                folded = []
+                for word in coded.dictionary.to_pylist():
+                    got = seen.get(word)
+                    if got is None:
+                        got = seen[word] = merge_word(word.encode(), ranks)
+                    folded.append(got)
+                every, cuts = _gather(pa.array(folded, pa.list_(pa.int32())), coded.indices.to_numpy(zero_copy_only=False), bounds)
+                yield from _rows(part.columns[:-1], every, cuts, out.names)
+
     def take_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in range(batch.num_rows):
-                coded, docs_of, long = (batch.column(n)[b].values for n in ("ids", "rows", "long"))
+                coded, rows, long = (batch.column(n)[b].values for n in ("ids", "rows", "long"))
                 if coded.null_count:
                     spare = iter(long.to_pylist())
-                    ranks = load_ranks(path)
-                    coded = pa.array([merge_long(next(spare).encode("latin-1"), ranks) if x is None else x for x in coded.to_pylist()], pa.list_(pa.int32()))
-                first = coded.offsets.to_numpy().astype(np.int64)
-                flat, lengths = coded.values.to_numpy(), np.diff(first)
-                at = docs_of.field("at")
-                index, bounds = at.values.to_numpy(), at.offsets.to_numpy().astype(np.int64)
-                index = index[bounds[0] : bounds[-1]]
-                counts = lengths[index]
-                ends = np.concatenate([[0], np.cumsum(counts)])
-                total = int(ends[-1])
-                where = np.repeat(first[index] - ends[:-1], counts) + np.arange(total)
-                every = flat[where].astype(np.int32)
-                cuts = ends[bounds - bounds[0]]
-                cols = [docs_of.field(f"c{i}") for i in range(len(inner))]
-                step = 256
-                for s in range(0, len(cuts) - 1, step):
-                    e = min(s + step, len(cuts) - 1)
-                    lists = pa.ListArray.from_arrays(pa.array(cuts[s : e + 1] - cuts[s], pa.int32()), pa.array(every[cuts[s] : cuts[e]]))
-                    raw = [pa.array([every[cuts[i] : cuts[i + 1]].tobytes() for i in range(s, e)], pa.binary())] if ids_bytes else []
-                    yield pa.RecordBatch.from_arrays([c.slice(s, e - s) for c in cols] + [lists, *raw], names=out.names)
-
-    done = folded.mapInArrow(take_apart, out)
+                    coded = pa.array([merge_word(next(spare).encode("latin-1"), load_ranks(path)) if x is None else x for x in coded.to_pylist()], pa.list_(pa.int32()))
+                at = rows.field("at")
+                bounds = at.offsets.to_numpy().astype(np.int64)
+                every, cuts = _gather(coded, at.values.to_numpy()[bounds[0] : bounds[-1]], bounds - bounds[0])
+                yield from _rows([rows.field(f"c{i}") for i in range(len(inner))], every, cuts, out.names)
+
+    if higher_order:
+        rows = T.ArrayType(T.StructType([*inner, T.StructField("at", T.ArrayType(T.IntegerType()))]))
+        blocks = cut.mapInArrow(_form_blocks, T.StructType([T.StructField("words", T.ArrayType(T.StringType())), T.StructField("rows", rows)]))
+        long = F.filter("words", lambda w: (F.length(w) > FOLD_BYTES)).alias("long")
+        done = blocks.select("rows", with_literal(rank_table(path), lambda table: F.transform("words", lambda w: fold_word(w, table))).alias("ids"), long).mapInArrow(take_apart, out)
+    else:
+        done = cut.mapInArrow(fold_here, out)
     names = [F.col(f"c{i}").alias(f.name) for i, f in enumerate(keep)]
     return done.select(*names, F.col("ids").alias(ids), *([F.col("ids_bytes").alias(ids_bytes)] if ids_bytes else []))
 
