@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shutterlake.llm import bpe, html, langid, toxicity, warc
+from shutterlake.llm import bpe, decontaminate, html, langid, minhash, toxicity, warc
 from shutterlake.llm.common import read_table
 
 #: The vocabulary of op1 and of the pipeline's last stage.
@@ -54,6 +54,36 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose three-word shingle sets are alike to 85 percent."""
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, percent=85)
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (document, benchmark item) pair where the document contains the item."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contained(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+#: The pairs of op10 by joining all shingles.
+OP10_SQL = r"""
+WITH doc_words AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+item_words AS (
+  SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark WHERE text IS NOT NULL),
+items AS (
+  SELECT DISTINCT item_id, least(len(w), 5) AS span, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS shingle
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i FROM item_words WHERE len(w) > 0)),
+spans AS (SELECT DISTINCT span FROM items),
+doc_shingles AS (
+  SELECT DISTINCT doc_id, span, array_to_string(w[i:i + span - 1], ' ') AS shingle
+  FROM (SELECT doc_id, span, w, unnest(range(1, len(w) - span + 2)) AS i FROM doc_words, spans WHERE len(w) >= span)),
+sizes AS (SELECT item_id, count(*) AS n FROM items GROUP BY item_id)
+SELECT doc_id, item_id, count(*) AS n_common, any_value(n) AS n_item, count(*) / any_value(n) AS containment
+FROM items JOIN doc_shingles USING (span, shingle) JOIN sizes USING (item_id)
+GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(n) - 1e-9
+"""
+
 #: The records of op9 from the pages alone.
 OP9_SQL = """
 WITH base AS (
@@ -71,7 +101,9 @@ QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_toxicity": op2_toxicity,
     "op6_language_id": op6_language_id,
+    "op7_minhash": op7_minhash,
     "op8_html_extraction": op8_html_extraction,
     "op9_warc": op9_warc,
+    "op10_decontamination": op10_decontamination,
 }
-ORACLE_SQL: dict[str, str] = {"op9_warc": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op9_warc": OP9_SQL, "op10_decontamination": OP10_SQL}
