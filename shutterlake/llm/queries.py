@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shutterlake.llm import bpe, decontaminate, html, langid, minhash, toxicity, warc
+from shutterlake.llm import bpe, caps, decontaminate, html, langid, lines, minhash, toxicity, warc
 from shutterlake.llm.common import read_table
 
 #: The vocabulary of op1 and of the pipeline's last stage.
@@ -34,6 +34,17 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).drop("text")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, lines deleted as later copies, and the digest of what is left."""
+    docs = lines.dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
+
+
+def op5_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of vectors with cosine 0.95 or more."""
+    return caps.near_duplicates(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those that are not held out."""
     docs = read_table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out(F.col("doc_id")))
@@ -97,9 +108,19 @@ SELECT page_id, payload_bytes, base.payload_digest AS payload_digest,
 FROM base LEFT JOIN firsts ON base.payload_digest = firsts.payload_digest
 """
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the corpus pipeline."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op1_byte_bpe": op1_byte_bpe,
     "op2_toxicity": op2_toxicity,
+    "op3_line_dedup": op3_line_dedup,
+    "op5_spherical_caps": op5_spherical_caps,
     "op6_language_id": op6_language_id,
     "op7_minhash": op7_minhash,
     "op8_html_extraction": op8_html_extraction,
