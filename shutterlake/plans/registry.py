@@ -1,4 +1,488 @@
-"""All registered queries of the library."""
+"""All registered queries of the library, each with the SQL that DuckDB runs on the same tables."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shutterlake.functions import scalars as X
+from shutterlake.operators import catalog as C
+from shutterlake.operators import identity as I
+from shutterlake.operators import jobs as J
+from shutterlake.operators import scores as S
+from shutterlake.operators import stacks as K
+from shutterlake.operators import sync as Y
+from shutterlake.operators import vectors as V
+from shutterlake.sources import driver as D
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+# The tables' roles, in SQL.
+_SCORES = """scores AS (
+  SELECT image_key, slug, score, not_attempted, partkey FROM (
+    SELECT l_orderkey AS image_key, l_linenumber AS slug, 1 + (CAST(l_quantity AS INT) % 10) AS score,
+           CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 1 ELSE 0 END AS not_attempted, l_partkey AS partkey,
+           row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) AS rn
+    FROM lineitem) q WHERE rn = 1)"""
+_LENSES = "lenses AS (SELECT DISTINCT l_linenumber AS slug, CASE WHEN l_linenumber <= 4 THEN 1 ELSE 0 END AS active FROM lineitem)"
+_IMAGES = """images AS (
+  SELECT o_orderkey AS key, o_orderdate AS date_taken, 5 - CAST(substr(o_orderpriority, 1, 1) AS INT) AS rating,
+         CASE o_orderstatus WHEN 'F' THEN 'Red' WHEN 'O' THEN 'green' ELSE '' END AS color_label,
+         CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END AS posted, o_custkey AS stack_id, o_orderpriority AS title FROM orders)"""
+_PCT = """pop AS (SELECT s.* FROM scores s JOIN lenses p USING (slug) WHERE p.active = 1 AND s.not_attempted = 0),
+pct AS (
+  SELECT image_key, slug, score, CASE WHEN n = 1 THEN 1.0 ELSE ((rk - 1) + (tied + 1) / 2.0 - 1) / (n - 1) END AS pct FROM (
+    SELECT *, rank() OVER (PARTITION BY slug ORDER BY score) AS rk, count(*) OVER (PARTITION BY slug, score) AS tied, count(*) OVER (PARTITION BY slug) AS n FROM pop) q)"""
+_STACKS = """means AS (SELECT image_key, round(avg(score), 6) AS mean_score FROM scores JOIN lenses USING (slug) WHERE active = 1 GROUP BY image_key),
+reps AS (
+  SELECT stack_id, key AS representative_key, n AS stack_size FROM (
+    SELECT i.stack_id, i.key, count(*) OVER (PARTITION BY i.stack_id) AS n,
+           row_number() OVER (PARTITION BY i.stack_id ORDER BY (i.rating > 0) DESC, i.rating DESC, coalesce(m.mean_score, 0) DESC, i.date_taken DESC, i.key DESC) AS rn
+    FROM images i LEFT JOIN means m ON m.image_key = i.key) q WHERE rn = 1),
+hidden AS (SELECT i.key FROM images i JOIN reps r USING (stack_id) WHERE i.key <> r.representative_key)"""
+_ALL = f"WITH {_SCORES},\n{_LENSES},\n{_IMAGES},\n{_PCT},\n{_STACKS}\n"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a function under its name."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- scores ------------------------------------------------------------------
+
+
+@query(_ALL + "SELECT image_key, score, slug AS perspective_slug FROM (SELECT *, row_number() OVER (PARTITION BY image_key ORDER BY score DESC, slug) AS rn FROM scores) q WHERE rn = 1")
+def best_score(spark, d):
+    """Best score of every image."""
+    return S.best_score(D.scores(spark, d))
+
+
+@query(_ALL + "SELECT image_key, max(round(pct, 6)) AS peak, count(*) AS coverage, count(*) >= 1 AS eligible FROM pct GROUP BY image_key")
+def peak_percentile(spark, d):
+    """Peak percentile of every image."""
+    return S.peaks(D.population(spark, d))
+
+
+@query(_ALL + "SELECT image_key, slug AS perspective_slug, score, round(pct, 9) AS pct FROM pct")
+def percentiles(spark, d):
+    """Midrank percentile of every score."""
+    return D.population(spark, d).select("image_key", "perspective_slug", "score", F.round("pct", 9).alias("pct"))
+
+
+@query(
+    _ALL
+    + """SELECT image_key, peak, coverage, date_taken, posted AS instagram_posted FROM (
+  SELECT image_key, max(round(pct, 6)) AS peak, count(*) AS coverage FROM pct GROUP BY image_key) p JOIN images i ON i.key = p.image_key
+WHERE image_key NOT IN (SELECT key FROM hidden) ORDER BY peak DESC, date_taken DESC, image_key LIMIT 50"""
+)
+def rank_best_photos(spark, d):
+    """First page of the best photos."""
+    return S.rank_best_photos(D.population(spark, d), D.images(spark, d), K.hidden_members(D.stack_fields(spark, d)))
+
+
+@query(_ALL + "SELECT image_key, round(avg(score), 4) AS mean_score, count(*) AS coverage, count(*) >= 2 AS eligible FROM pop GROUP BY image_key")
+def image_aggregate(spark, d):
+    """Equal-weight mean of every image."""
+    return S.aggregate(S.attempted(D.scores(spark, d), D.perspectives(spark, d)), 2).drop("scores")
+
+
+@query(_ALL + "SELECT p.slug, p.active, count(DISTINCT s.image_key) AS images FROM lenses p LEFT JOIN scores s USING (slug) GROUP BY p.slug, p.active")
+def coverage(spark, d):
+    """Images scored under each lens."""
+    return S.coverage(D.scores(spark, d), D.perspectives(spark, d))
+
+
+@query(_ALL + "SELECT slug, count(*) AS images FROM images i CROSS JOIN (SELECT slug FROM lenses WHERE active = 1) p WHERE NOT EXISTS (SELECT 1 FROM scores s WHERE s.image_key = i.key AND s.slug = p.slug) GROUP BY slug")
+def unscored_active(spark, d):
+    """Images without a score under each active lens."""
+    return S.unscored_on_active(D.images(spark, d), D.scores(spark, d), D.perspectives(spark, d)).where("images > 0")
+
+
+@query(_ALL + "SELECT DISTINCT i.key FROM images i CROSS JOIN (SELECT slug FROM lenses WHERE active = 1) p WHERE NOT EXISTS (SELECT 1 FROM scores s WHERE s.image_key = i.key AND s.slug = p.slug)")
+def missing_some_active(spark, d):
+    """Images that lack some active lens."""
+    return S.images_missing_active(D.images(spark, d), D.scores(spark, d), D.perspectives(spark, d))
+
+
+@query(_ALL + "SELECT key FROM images WHERE key NOT IN (SELECT image_key FROM scores)")
+def no_current_score(spark, d):
+    """Images with no score."""
+    return S.without_score(D.images(spark, d), D.scores(spark, d))
+
+
+@query(_ALL + "SELECT count(DISTINCT image_key) AS images FROM scores JOIN lenses USING (slug) WHERE active = 1 AND score >= 9")
+def scoring_9_plus(spark, d):
+    """Images with a nine or more."""
+    return S.scoring_at_least(D.scores(spark, d), D.perspectives(spark, d))
+
+
+@query(_ALL + "SELECT i.key AS image_key, p.slug AS perspective_slug FROM images i CROSS JOIN (SELECT slug FROM lenses WHERE active = 1) p WHERE NOT EXISTS (SELECT 1 FROM scores s WHERE s.image_key = i.key AND s.slug = p.slug)")
+def work_triples(spark, d):
+    """Scores still to give."""
+    return S.work_triples(D.images(spark, d), D.perspectives(spark, d), [D.scores(spark, d)])
+
+
+_VERSIONS = """versions AS (
+  SELECT l_orderkey AS image_key, l_linenumber AS slug, CAST(l_shipdate AS VARCHAR) AS scored_at, l_partkey * 1000 + l_suppkey AS id, l_returnflag AS prompt_version, l_extendedprice FROM lineitem)"""
+
+
+@query(
+    f"""WITH {_VERSIONS}, kept AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_key, slug, prompt_version ORDER BY scored_at DESC, id DESC, l_extendedprice DESC) AS v FROM versions) q WHERE v = 1)
+SELECT image_key, slug AS perspective_slug, prompt_version, id,
+       CASE WHEN row_number() OVER (PARTITION BY image_key, slug ORDER BY scored_at DESC, id DESC, l_extendedprice DESC) = 1 THEN 1 ELSE 0 END AS is_current FROM kept"""
+)
+def supersede(spark, d):
+    """Score versions after all came in at once: one current row for each image and lens."""
+    rows = D.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("image_key"), F.lit("catalog").alias("image_type"), F.col("l_linenumber").alias("perspective_slug"), F.col("l_shipdate").cast("string").alias("scored_at"), F.struct((F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("n"), "l_extendedprice").alias("id"), F.col("l_returnflag").alias("prompt_version"), F.lit(0).cast("long").alias("is_current"))
+    return S.supersede(rows.limit(0), rows).select("image_key", "perspective_slug", "prompt_version", F.col("id.n").alias("id"), "is_current")
+
+
+# --- identity ----------------------------------------------------------------
+
+_VOTES = """seen AS (SELECT *, count(*) OVER (PARTITION BY image_key) AS k, max(pct) OVER (PARTITION BY image_key) AS top FROM pct),
+voters AS (SELECT *, sum(CASE WHEN pct = top THEN 1 ELSE 0 END) OVER (PARTITION BY image_key) AS tops FROM seen WHERE k >= 2),
+votes AS (SELECT slug AS perspective_slug, CAST(sum(CASE WHEN pct = top AND tops = 1 THEN 1 ELSE 0 END) AS BIGINT) AS votes, count(*) AS photos_on, sum(1.0 / k) AS expected FROM voters GROUP BY slug)"""
+
+
+@query(_ALL.rstrip() + ",\n" + _VOTES + "\nSELECT perspective_slug, votes, photos_on, round(expected, 6) AS expected FROM votes")
+def signature_votes(spark, d):
+    """Votes of images for their best lens."""
+    return I.votes(D.population(spark, d)).withColumn("expected", F.round("expected", 6))
+
+
+@query(
+    _ALL.rstrip()
+    + ",\n"
+    + _VOTES
+    + """, n AS (SELECT count(*) AS population FROM (SELECT image_key FROM pct GROUP BY image_key HAVING count(*) >= 2) q)
+SELECT perspective_slug, votes, photos_on, population, round((votes - expected) / sqrt(population * (expected / population) * (1 - expected / population)), 4) AS z FROM votes CROSS JOIN n"""
+)
+def signature_z(spark, d):
+    """Votes with their z-scores."""
+    rows = I.votes(D.population(spark, d)).crossJoin(F.broadcast(I.voting_population(D.population(spark, d))))
+    return rows.select("perspective_slug", "votes", "photos_on", "population", F.round(X.z_score(F.col("votes"), F.col("expected"), F.col("population")), 4).alias("z"))
+
+
+@query()
+def signature_stats(spark, d):
+    """The full signature: z, tail probability, crowns and strength (DuckDB has no error function)."""
+    return I.sections(I.signature(D.population(spark, d)))
+
+
+@query(
+    _ALL
+    + """SELECT perspective_slug, place, image_key, round(pct, 6) AS pct, purity FROM (
+  SELECT slug AS perspective_slug, image_key, pct, purity, row_number() OVER (PARTITION BY slug ORDER BY pct DESC, purity DESC, image_key) AS place FROM (
+    SELECT a.slug, a.image_key, a.pct, coalesce(round((a.pct - (SELECT max(b.pct) FROM pct b WHERE b.image_key = a.image_key AND b.slug <> a.slug)) * 100, 1), 0.0) AS purity FROM pct a) q
+  WHERE image_key NOT IN (SELECT key FROM hidden)) r WHERE place <= 12"""
+)
+def purity_exemplars(spark, d):
+    """The first images of each lens."""
+    return I.exemplars(D.population(spark, d), K.hidden_members(D.stack_fields(spark, d)))
+
+
+@query(
+    _ALL.rstrip()
+    + """, tokens AS (SELECT slug, unnest(string_split(lower(p_name), ' ')) AS token FROM pop JOIN part ON p_partkey = partkey),
+own AS (SELECT slug, token, count(*) AS n FROM tokens WHERE length(token) >= 3 GROUP BY slug, token),
+rows AS (
+  SELECT slug AS perspective_slug, token, n, round(ln((n / sum(n) OVER (PARTITION BY slug)) / (sum(n) OVER (PARTITION BY token) / sum(n) OVER ())), 4) AS log_odds FROM own)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY perspective_slug ORDER BY log_odds DESC, n DESC, token) AS place FROM rows WHERE n >= 5) q WHERE place <= 15"""
+)
+def descriptors(spark, d):
+    """Words that mark each lens."""
+    pop = S.attempted(D.scores(spark, d), D.perspectives(spark, d))
+    texts = pop.join(D.table(spark, d, "part").select(F.col("p_partkey").alias("partkey"), "p_name"), "partkey")
+    return I.descriptors(texts.select("perspective_slug", F.explode(X.rationale_tokens(F.col("p_name"))).alias("token")))
+
+
+@query(
+    _ALL.rstrip()
+    + """, peak AS (SELECT image_key, max(round(pct, 6)) AS peak, count(*) AS coverage FROM pct GROUP BY image_key),
+rows AS (SELECT p.*, i.date_taken FROM peak p JOIN images i ON i.key = p.image_key WHERE i.posted = 0),
+cut AS (SELECT list_sort(list(peak))[CAST(round_even(0.9 * (count(*) - 1), 0) AS INT) + 1] AS p90 FROM rows),
+lens AS (SELECT image_key, slug AS lens FROM (SELECT *, row_number() OVER (PARTITION BY image_key ORDER BY pct DESC, slug) AS rn FROM pct) q WHERE rn = 1)
+SELECT image_key, peak, coverage, lens, peak >= p90 AS top_tenth, date_taken FROM rows JOIN lens USING (image_key) CROSS JOIN cut ORDER BY peak DESC, date_taken DESC, image_key LIMIT 50"""
+)
+def suggest_next(spark, d):
+    """What to post next."""
+    return I.suggest_next(D.population(spark, d), D.images(spark, d))
+
+
+# --- catalog -----------------------------------------------------------------
+
+
+def _base(spark, d, f):
+    return C.catalog_base(D.images(spark, d).drop("stack_id"), D.stack_fields(spark, d), None, D.scores(spark, d), f.perspective)
+
+
+_FILTER = C.CatalogFilter(posted=False, min_rating=2, color_label=" RED ", date_from="1995-01-01", date_to="1999-12-31", perspective=2, min_score=4, min_score_on_active=8)
+_FOUND = """, found AS (
+  SELECT i.*, s.score AS lens_score FROM images i LEFT JOIN scores s ON s.image_key = i.key AND s.slug = 2
+  WHERE posted = 0 AND rating >= 2 AND lower(color_label) = 'red' AND date_taken >= TIMESTAMP '1995-01-01' AND date_taken <= TIMESTAMP '1999-12-31' AND s.score >= 4
+    AND EXISTS (SELECT 1 FROM scores t JOIN lenses USING (slug) WHERE active = 1 AND t.image_key = i.key AND t.score >= 8) AND i.key NOT IN (SELECT key FROM hidden))"""
+
+
+@query(_ALL.rstrip() + _FOUND + " SELECT key, date_taken, rating, color_label, lens_score FROM found ORDER BY lens_score DESC, date_taken DESC, key LIMIT 50")
+def catalog_search(spark, d):
+    """A page of a search with many filters, by score."""
+    rows = C.search(_base(spark, d, _FILTER), _FILTER, D.scores(spark, d), D.perspectives(spark, d))
+    return C.page(rows, by_score="desc").select("key", "date_taken", "rating", "color_label", "lens_score")
+
+
+@query(_ALL.rstrip() + _FOUND + " SELECT count(*) AS total FROM found")
+def catalog_count(spark, d):
+    """The total of the same search."""
+    return C.search(_base(spark, d, _FILTER), _FILTER, D.scores(spark, d), D.perspectives(spark, d)).agg(F.count(F.lit(1)).alias("total"))
+
+
+@query(_ALL + "SELECT key, stack_size FROM images JOIN reps USING (stack_id) WHERE key = representative_key AND stack_size > 1")
+def burst_stack_filter(spark, d):
+    """Representatives of stacks."""
+    f = C.CatalogFilter(burst_stack=True)
+    return C.search(_base(spark, d, f), f).select("key", "stack_size")
+
+
+@query(_ALL + "SELECT key, title FROM images WHERE lower(title) LIKE '%urg_nt%'")
+def keyword_search(spark, d):
+    """Images whose title has a substring with a wildcard."""
+    return D.images(spark, d).where(X.like_substring(F.col("title"), "URG_nt")).select("key", "title")
+
+
+@query(_ALL + "SELECT key, rating FROM images WHERE key IN (7, 3, 1, 12)")
+def by_keys_in_order(spark, d):
+    """Images of given keys."""
+    return C.in_given_order(D.images(spark, d), [7, 3, 1, 12, 3]).select("key", "rating")
+
+
+@query(_ALL + "SELECT lower(color_label) AS color_label, count(*) AS n FROM images WHERE trim(color_label) <> '' GROUP BY 1")
+def color_labels(spark, d):
+    """Images of each colour label."""
+    return C.color_labels(D.images(spark, d))
+
+
+@query(_ALL + "SELECT DISTINCT strftime(date_taken, '%Y%m') AS month FROM images ORDER BY month DESC")
+def months(spark, d):
+    """Months with images."""
+    return C.months(D.images(spark, d))
+
+
+@query(_ALL + "SELECT strftime(min(date_taken), '%Y-%m-%d') AS first, strftime(max(date_taken), '%Y-%m-%d') AS last FROM images")
+def date_range(spark, d):
+    """First and last day."""
+    return C.date_range(D.images(spark, d))
+
+
+@query(_ALL + "SELECT rating, count(*) AS n FROM images GROUP BY rating")
+def rating_histogram(spark, d):
+    """Images of each rating."""
+    return C.rating_histogram(D.images(spark, d))
+
+
+@query(_ALL + "SELECT count(*) AS total, sum(posted)::BIGINT AS posted, count_if(rating >= 1)::BIGINT AS rated, (SELECT count(*) FROM documents) AS described, (SELECT count(*) FROM documents JOIN labels USING (doc_id) WHERE toxic = 1) AS with_repetition FROM images")
+def facet_counts(spark, d):
+    """Global counts."""
+    texts = D.descriptions(spark, d).withColumns({"mood_tags": F.lit(None).cast("string"), "dominant_colors": F.lit(None).cast("string")})
+    return C.facet_counts(D.images(spark, d), texts).select("total", "posted", "rated", "described", "with_repetition")
+
+
+@query("SELECT tag, count(*) AS n FROM (SELECT unnest(list_distinct(string_split(text, ' '))) AS tag FROM documents) q GROUP BY tag ORDER BY n DESC, tag LIMIT 40")
+def top_tags(spark, d):
+    """The most frequent members of JSON arrays, here of the distinct words of texts."""
+    rows = D.table(spark, d, "documents").select(F.to_json(F.array_distinct(F.split("text", " "))).alias("tags"))
+    return C.top_tags(rows, "tags")
+
+
+@query("SELECT d.doc_id AS key, has.toxic AS has_repetition FROM documents d LEFT JOIN labels has USING (doc_id) WHERE coalesce(has.toxic, 0) = 0")
+def repetition_filter(spark, d):
+    """Descriptions without repetition, the unknown included."""
+    return D.descriptions(spark, d).where(F.coalesce("has_repetition", F.lit(0)) == 0).select("key", "has_repetition")
+
+
+@query(_ALL + "SELECT key, date_taken FROM images WHERE key NOT IN (SELECT doc_id FROM documents) AND date_taken >= TIMESTAMP '1998-03-03' ORDER BY date_taken DESC, key DESC")
+def undescribed(spark, d):
+    """Images without a description in the month before 31 March 1998, where a February day runs over."""
+    return C.undescribed(D.images(spark, d), D.descriptions(spark, d).select("key"), months_back=1, as_of="1998-03-31").select("key", "date_taken")
+
+
+@query("SELECT event_id AS id, CAST(json_extract(props, '$.k') AS VARCHAR) AS k FROM events WHERE CAST(json_extract(props, '$.k') AS VARCHAR) IN ('7', '9')")
+def json_any_of(spark, d):
+    """Events whose JSON array, made of one property, holds a wanted value."""
+    rows = D.logs(spark, d).withColumn("k", F.get_json_object("props", "$.k"))
+    return rows.where(X.json_any_of(F.to_json(F.array("k")), ["7", " 9 ", ""])).select("id", "k")
+
+
+@query("SELECT CAST(json_extract(props, '$.k') AS VARCHAR) AS k, count(*) AS n FROM events GROUP BY 1")
+def json_field_group(spark, d):
+    """Events by a JSON property."""
+    return D.logs(spark, d).groupBy(F.get_json_object("props", "$.k").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def fts_search(spark, d):
+    """Documents with all stems of a query (SQL has no stemmer here)."""
+    texts = D.descriptions(spark, d).select("key", "text")
+    return C.full_text(texts, X.search_terms("of the thing") or []).select("key")
+
+
+# --- bursts, stacks ----------------------------------------------------------
+
+
+@query(
+    """WITH g AS (SELECT event_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 60000000 THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (ORDER BY ts, event_id)),
+s AS (SELECT *, sum(new) OVER (ORDER BY ts, event_id) AS seg FROM g)
+SELECT min(ts) AS start_ts, arg_min(event_id, ts) AS start_key, max(ts) AS end_ts, count(*) AS members FROM s GROUP BY seg HAVING count(*) >= 2"""
+)
+def bursts(spark, d):
+    """Segments of events a minute apart at most, of two or more."""
+    return K.segments(D.logs(spark, d).select("ts", "id"), "ts", "id", 60_000).where("members >= 2")
+
+
+@query(_ALL + "SELECT stack_id, representative_key, stack_size FROM reps")
+def burst_representative(spark, d):
+    """The representative of each stack."""
+    return D.stack_fields(spark, d).select("stack_id", "representative_key", "stack_size").distinct()
+
+
+def _pairs(spark, d):
+    """Consecutive images of a customer as suggested pairs."""
+    rows = D.images(spark, d)
+    return rows.select((F.col("key") % 97).alias("group_id"), F.col("key").alias("seed_key"), (F.col("key") + 1).alias("candidate_key"), (1 - (F.col("key") % 100) / 1000).alias("similarity"))
+
+
+@query(
+    _ALL.rstrip()
+    + """, best AS (SELECT image_key, max(score) AS score FROM scores GROUP BY image_key), blank AS (SELECT image_key AS key FROM best WHERE score < 4.5),
+pairs AS (SELECT key % 97 AS group_id, key AS seed_key, key + 1 AS candidate_key, 1 - (key % 100) / 1000 AS similarity FROM images),
+st AS (SELECT key, stack_id FROM images JOIN reps USING (stack_id) WHERE stack_size > 1)
+SELECT p.group_id, p.seed_key, p.candidate_key, p.similarity, (a.stack_id IS NOT NULL)::INT + (b.stack_id IS NOT NULL)::INT AS stack_status, abs(CAST(epoch(x.date_taken) AS BIGINT) - CAST(epoch(y.date_taken) AS BIGINT)) AS gap
+FROM pairs p JOIN images x ON x.key = p.seed_key JOIN images y ON y.key = p.candidate_key LEFT JOIN st a ON a.key = p.seed_key LEFT JOIN st b ON b.key = p.candidate_key
+WHERE p.seed_key % 5 <> 0 AND p.seed_key NOT IN (SELECT key FROM blank) AND p.candidate_key NOT IN (SELECT key FROM blank) AND (a.stack_id IS NULL OR b.stack_id IS NULL OR a.stack_id <> b.stack_id)"""
+)
+def pending_suggestions(spark, d):
+    """Pairs still to decide, of consecutive images, where every fifth was rejected."""
+    pairs = _pairs(spark, d)
+    rejected = pairs.where("seed_key % 5 = 0").select(F.col("seed_key").alias("key_a"), F.col("candidate_key").alias("key_b"))
+    fields = D.stack_fields(spark, d).where("stack_size > 1")
+    images = D.images(spark, d).withColumn("date_taken", F.col("date_taken").cast("timestamp"))
+    return K.pending_suggestions(pairs, images, fields, rejected, K.blank_keys(S.best_score(D.scores(spark, d))))
+
+
+# --- vectors -----------------------------------------------------------------
+
+_SIMS = """v AS (SELECT vec_id AS key, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+near AS (SELECT a.key AS seed, b.key, b.label, list_cosine_similarity(a.e, b.e) AS sim FROM v a CROSS JOIN v b{where}),
+top AS (SELECT seed, key, label, round(sim, 6) AS similarity, row_number() OVER (PARTITION BY seed ORDER BY round(sim, 9) DESC, key) AS rank FROM near)"""
+
+
+@query("WITH " + _SIMS.format(where=" WHERE a.key % 20 = 0") + " SELECT seed, key, similarity, rank FROM top WHERE rank <= 10")
+def knn_topk(spark, d):
+    """Ten nearest vectors of every twentieth."""
+    v = D.vectors(spark, d).select("key", "embedding")
+    return V.nearest(v.where("key % 20 = 0"), v, 10).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("WITH " + _SIMS.format(where=" WHERE a.key = 20") + " SELECT seed, key, similarity FROM top WHERE rank <= 400 AND key <> 20 AND label % 2 = 0 ORDER BY rank LIMIT 20")
+def similar_filtered(spark, d):
+    """A page of images like one, filtered after the nearest were taken."""
+    v = D.vectors(spark, d)
+    none = v.select("key").limit(0)
+    found = V.similar(v.where("key = 20").select("key", "embedding"), v.select("key", "embedding"), none, v.where("label % 2 = 0"), limit=20)
+    return found.select("seed", "key", F.round("similarity", 6).alias("similarity"))
+
+
+@query(
+    "WITH "
+    + _SIMS.format(where="")
+    + """, own AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY rank) AS n FROM top WHERE rank <= 160 AND seed <> key),
+once AS (SELECT *, row_number() OVER (PARTITION BY least(seed, key), greatest(seed, key) ORDER BY seed DESC) AS o FROM own WHERE n <= 8 AND similarity >= 0.3)
+SELECT seed AS seed_key, key AS candidate_key, similarity, row_number() OVER (PARTITION BY seed ORDER BY n) AS rank FROM once WHERE o = 1"""
+)
+def similarity_groups(spark, d):
+    """Similar pairs of all seeds, the newest (largest key) first, each pair once."""
+    v = D.vectors(spark, d)
+    nobody = v.select("key").limit(0)
+    rejected = v.select(F.col("key").alias("key_a"), F.col("key").alias("key_b")).limit(0)
+    vectors = v.select("key", "embedding")
+    return V.similarity_candidates(vectors, v.select("key", (-F.col("key")).alias("seed_rank")), nobody, nobody, rejected, threshold=0.3).withColumn("similarity", F.round("similarity", 6))
+
+
+# --- sync, upserts -----------------------------------------------------------
+
+
+def _sides(spark, d):
+    keys = D.images(spark, d).select(F.col("key").alias("id"))
+    return keys.where("id % 11 <> 0").select(F.concat(F.lit(" "), F.col("id").cast("string")).alias("id")), keys.where("id % 13 <> 0").select(F.col("id").cast("string").alias("id"))
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 13 = 0")
+def sync_missing(spark, d):
+    """Ids to fetch."""
+    return Y.missing(*_sides(spark, d))
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 11 = 0 AND o_orderkey % 13 <> 0")
+def sync_stale(spark, d):
+    """Ids to drop."""
+    return Y.stale(*_sides(spark, d))
+
+
+@query("SELECT count_if(o_orderkey % 11 <> 0 AND o_orderkey % 13 = 0)::BIGINT AS missing, count_if(o_orderkey % 11 = 0 AND o_orderkey % 13 <> 0)::BIGINT AS stale, count_if(o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0)::BIGINT AS in_both FROM orders")
+def sync_counts(spark, d):
+    """Counts of a sync."""
+    return Y.sync_counts(*_sides(spark, d))
+
+
+@query(_ALL + "SELECT key, CASE WHEN key % 3 = 0 THEN 9 ELSE rating END AS rating, posted AS instagram_posted, date_taken FROM images")
+def upsert_latest(spark, d):
+    """Images after every third came in again with another rating; whether it was posted survives."""
+    old = D.images(spark, d).select("key", "rating", "instagram_posted", "date_taken")
+    new = old.where("key % 3 = 0").withColumns({"rating": F.lit(9), "instagram_posted": F.lit(5)})
+    return Y.upsert(old, new, "key", "date_taken", keep_old=("instagram_posted",))
+
+
+# --- jobs --------------------------------------------------------------------
+
+
+@query("SELECT user_id AS job_id, count(*) AS total, count_if(event_type = 'warning')::BIGINT AS warnings, count_if(event_type = 'error')::BIGINT AS errors, max(ts) AS last_ts FROM events GROUP BY user_id")
+def log_stats(spark, d):
+    """Log counts of each job."""
+    return J.log_stats(D.logs(spark, d))
+
+
+@query("SELECT job_id, id, level FROM (SELECT user_id AS job_id, event_id AS id, event_type AS level, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) q WHERE n <= 5")
+def log_tail(spark, d):
+    """The last rows of each job's log."""
+    return J.log_tail(D.logs(spark, d), 5).select("job_id", "id", "level")
+
+
+@query("SELECT event_type AS bucket, user_id AS job_id, event_id AS id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) q WHERE n = 1")
+def latest_job(spark, d):
+    """The newest job of each bucket."""
+    return J.latest_per(D.logs(spark, d).withColumnRenamed("ts", "created_at"), F.col("level")).select("bucket", "job_id", "id")
+
+
+@query("SELECT event_type AS status, count(*) AS n FROM events GROUP BY event_type")
+def status_counts(spark, d):
+    """Jobs by status."""
+    return J.status_counts(D.logs(spark, d).withColumnRenamed("level", "status"))
+
+
+@query("SELECT round(sum(greatest(0, least(epoch(ts) + value, 1704153600) - greatest(epoch(ts), 1704153600 - 3600))), 3) AS seconds FROM events")
+def rolling_usage(spark, d):
+    """Time that jobs took within an hour."""
+    start = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    rows = D.logs(spark, d).select(start.alias("start_s"), (start + F.col("value")).alias("end_s"))
+    return J.rolling_usage(rows, F.lit(1704153600.0), 3600.0).select(F.round("seconds", 3).alias("seconds"))
