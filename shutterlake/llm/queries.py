@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shutterlake.llm import bpe, caps, decontaminate, html, langid, lines, minhash, toxicity, warc
+from shutterlake.llm import bpe, caps, decontaminate, html, langid, lines, minhash, repeats, toxicity, warc
 from shutterlake.llm.common import read_table
 
 #: The vocabulary of op1 and of the pipeline's last stage.
@@ -40,6 +40,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that lie in a 200-byte string that starts elsewhere too, and the digest of the others."""
+    cut = repeats.remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of vectors with cosine 0.95 or more."""
     return caps.near_duplicates(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
@@ -120,6 +126,7 @@ QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_toxicity": op2_toxicity,
     "op3_line_dedup": op3_line_dedup,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_spherical_caps": op5_spherical_caps,
     "op6_language_id": op6_language_id,
     "op7_minhash": op7_minhash,
