@@ -7,11 +7,13 @@ for 1 in 10^9 cases (0.8: 1 in 10^7). Every link is confirmed on the full
 shingle sets.
 
 Documents with equal shingle sets form a class and one of them stands for it.
-Candidates are verified in rounds: first each class against the least id of its
-bands, which joins up groups of copies with one comparison for each member;
-then, inside bands whose members are still in several components, all pairs that
-lie in different components. No pair inside a component is compared again, and
-no candidate pair across components is left out.
+Candidates are verified in rounds. First each class is compared with the least
+id of its bands, which joins up groups of copies with one comparison for each
+member. Only bands whose members are then still in several components go on, and
+of these only members that have enough shingles in common with other candidates
+to link at all. They are compared with a pivot of their band, twice, and what
+is still apart is compared in full across components. No pair inside a component
+is compared again, and no candidate pair across components is left out.
 
 Rows: a null or empty text has no shingles and links with nothing. Rows that
 share an id are one node. A row with a null id links with nothing, has a null
@@ -31,6 +33,8 @@ from pyspark.sql import functions as F
 from shutterlake.llm.common import connected_components, written
 
 PERMUTATIONS, ROWS = 60, 4
+#: Rounds in which members of mixed bands are compared with one member each.
+PIVOT_ROUNDS = 2
 #: Word hashes that a Python worker keeps, and shingles hashed at a time.
 SEEN_WORDS, CHUNK = 1_000_000, 1 << 16
 
@@ -135,6 +139,27 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
+def _in_mixed_bands(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(band, rep, n, part, top) of the members of bands whose members are in several components; top is the band's largest."""
+    parts = written(connected_components(links), "parts")
+    placed = written(members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("part")), "placed")
+    sizes = placed.groupBy("band", "part").agg(F.count(F.lit(1)).alias("size"))
+    mixed = sizes.groupBy("band").agg(F.max(F.struct("size", "part")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("band", F.col("top.part").alias("top"))
+    return written(placed.join(written(mixed, "mixed"), "band"), "inside")
+
+
+def _linkable(inside: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The members that can link at all: shingles that no other candidate has are in no intersection.
+
+    With u such shingles of n, no similarity exceeds (n - u) / n, so this drops no link.
+    """
+    reps = inside.select(F.col("rep").alias("doc_id")).distinct()
+    own = sets.join(reps, "doc_id", "left_semi").select("doc_id", F.explode("shingles").alias("shingle"))
+    alone = own.groupBy("shingle").agg(F.count(F.lit(1)).alias("times"), F.min("doc_id").alias("rep")).where("times = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("u"))
+    sizes = inside.select("rep", "n").distinct().join(alone, "rep", "left")
+    return written(sizes.where(100 * (F.col("n") - F.coalesce("u", F.lit(0))) >= percent * F.col("n")).select("rep"), "linkable")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept, and set_size, the documents with an equal set.
 
@@ -156,19 +181,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     first = members.where("rep <> low").groupBy("rep").agg(F.min("low").alias("low")).select(F.col("low").alias("a"), F.col("rep").alias("b"))
     links = written(_confirm(first, sets, percent), "links")
-    parts = written(connected_components(links), "parts")
-
-    placed = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep")).select("band", "rep", "n", "part")
-    placed = written(placed, "placed")
-    mixed = placed.groupBy("band", "part").agg(F.count(F.lit(1)).alias("size")).groupBy("band").agg(F.max(F.struct("size", "part")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("band", F.col("top.part").alias("top"))
-    inside = written(placed.join(written(mixed, "mixed"), "band"), "inside")
-    # of two members in different parts, one at least is outside the band's largest part
-    x, y = inside.where("part <> top").alias("x"), inside.alias("y")
-    apart = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.part") != F.col("y.part")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")))
-    second = apart.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    more = written(_confirm(second, sets, percent), "links")
-
-    joined = written(connected_components(links.union(more)), "parts")
+    inside = _in_mixed_bands(members, links)
+    if not inside.isEmpty():
+        open_ends = _linkable(inside, sets, percent)
+        members = written(inside.select("band", "rep", "n").join(open_ends, "rep"), "members")
+        inside = _in_mixed_bands(members, links)
+    for salt in range(PIVOT_ROUNDS):
+        if inside.isEmpty():
+            break
+        pivot = F.max(F.struct(F.xxhash64("rep", F.lit(salt)).alias("h"), "rep", "part", "n")).alias("p")
+        pivots = written(inside.groupBy("band").agg(pivot).select("band", F.col("p.rep").alias("other"), F.col("p.part").alias("its"), F.col("p.n").alias("size")), "pivots")
+        to_pivot = inside.join(pivots, "band").where((F.col("part") != F.col("its")) & (100 * F.least("n", "size") >= percent * F.greatest("n", "size")))
+        pairs = to_pivot.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+        links = written(links.union(_confirm(pairs, sets, percent)), "links")
+        inside = _in_mixed_bands(members, links)
+    if not inside.isEmpty():
+        # of two members in different parts, one at least is outside the band's largest part
+        x, y = inside.where("part <> top").alias("x"), inside.alias("y")
+        apart = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.part") != F.col("y.part")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")))
+        pairs = apart.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+        links = written(links.union(_confirm(pairs, sets, percent)), "links")
+
+    joined = written(connected_components(links), "parts")
     same = full.select("doc_id", "set_a", "set_b").join(classes.select("set_a", "set_b", "rep", "set_size"), ["set_a", "set_b"])
     same = same.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("part"), "set_size")
     return _by_document(signed, same)

@@ -1,0 +1,361 @@
+"""The corpus operators on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
+
+import collections
+import hashlib
+import random
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+from shutterlake.llm import bpe, caps, decontaminate, html, langid, lines, minhash, repeats, toxicity, warc
+from shutterlake.llm.common import connected_components, new_path
+
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECES = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def docs(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def prose(seed, words, vocabulary=400):
+    draw = random.Random(seed)
+    known = ["".join(random.Random(i).choices("abcdefghij", k=2 + i % 7)) for i in range(vocabulary)]
+    return " ".join(draw.choice(known) for _ in range(words))
+
+
+# --- op1 -----------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("higher_order", [False, True])
+def test_bpe_like_tiktoken(spark, higher_order):
+    rows = [(1, None), (2, ""), (3, "don't  stop\n\n  　x"), (4, "日本語 🎉🎉 àé"), (5, "a" * 700 + " " + "qzx" * 300), (6, prose(1, 300)), (6, prose(1, 300)), (None, "x")]
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(RANKS), special_tokens={})
+    df = docs(spark, rows).withColumns({"c0": F.lit(1), "ids": F.lit("clash"), "words": F.lit(2)})
+    coded = bpe.encode(df, RANKS, public_tokenizers.PATTERN, ids_bytes="raw", higher_order=higher_order)
+    assert coded.columns == ["doc_id", "c0", "words", "ids", "raw"]
+    got = coded.withColumn("back", bpe.decode(F.col("ids"), RANKS)).collect()
+    wanted = collections.Counter((i, tuple(known.encode_ordinary(t or ""))) for i, t in rows)
+    assert collections.Counter((r.doc_id, tuple(r.ids)) for r in got) == wanted
+    assert all(bytes(r.raw) == np.array(r.ids, dtype="<u4").tobytes() for r in got)
+    assert collections.Counter((r.doc_id, bytes(r.back)) for r in got) == collections.Counter((i, (t or "").encode()) for i, t in rows)
+
+
+def test_bpe_empty_table_and_unknown_ids(spark):
+    assert bpe.encode(docs(spark, []), RANKS, public_tokenizers.PATTERN).count() == 0
+    bad = spark.createDataFrame([([1, 60000],), ([-1],), (None,), ([],)], "ids array<int>").select(bpe.decode(F.col("ids"), RANKS).alias("b")).collect()
+    assert [r.b for r in bad] == [None, None, None, b""]
+
+
+# --- op2 -----------------------------------------------------------------------
+
+
+def test_toxicity(spark):
+    rows = [(i, prose(i, 60) + (" vile rotten" * (1 + i % 3) if i % 4 == 0 else "")) for i in range(200)] + [(900, None), (901, ""), (None, "vile rotten vile")]
+    labels = spark.createDataFrame([(i, int(i % 8 != 0), int(i % 4 == 0)) for i in range(160)] + [(5, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    df = docs(spark, rows).withColumn("grade", F.lit("clash"))
+    model = toxicity.learn(df, toxicity.grades(labels))
+    assert list(model.thresholds) == sorted(model.thresholds) and len(model.thresholds) == 2
+    got = toxicity.score(df, model).collect()
+    assert all(r.toxic == ("vile" in (r.text or "")) for r in got)
+    assert all(0 <= r.expected_severity <= 2 for r in got) and len(got) == len(rows)
+
+
+def test_toxicity_without_labels(spark):
+    model = toxicity.learn(docs(spark, [(1, "x")]), spark.createDataFrame([], "doc_id long, grade int"))
+    assert toxicity.score(docs(spark, [(1, "x"), (2, None)]), model).agg(F.sum("expected_severity")).first()[0] == 0
+
+
+def test_cumulative_link_gradient():
+    draw = np.random.default_rng(1)
+    x, y = draw.normal(size=400), None
+    y = (x + draw.logistic(size=400) > 0).astype(int) + (x + draw.logistic(size=400) > 1.5).astype(int)
+    w, t = toxicity.fit_cumulative_link(np.arange(400), np.zeros(400, dtype=int), x, y, 1)
+    assert 0.3 < w[0] < 2 and t[0] < t[1]
+
+
+# --- op3 -----------------------------------------------------------------------
+
+
+def plain_lines(rows, min_chars):
+    order = sorted({(2**63 - 1 if i is None else i, t) for i, t in rows if t is not None})
+    text = [(i, t.split("\n")) for i, t in order]
+    gone, k = {(i, "\n".join(x)): np.zeros(len(x), bool) for i, x in text}, 1
+    while True:
+        seen, twice = set(), False
+        for i, x in text:
+            for p in range(len(x) - k + 1):
+                run = tuple(x[p : p + k])
+                if run in seen:
+                    twice = True
+                    if sum(map(len, run)) + k - 1 >= min_chars:
+                        gone[i, "\n".join(x)][p : p + k] = True
+                seen.add(run)
+        if not twice:
+            return {key: "\n".join(x for x, g in zip(key[1].split("\n"), v) if not g) for key, v in gone.items()}
+        k *= 2
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_line_dedup_against_plain(spark, seed):
+    draw = random.Random(seed)
+    known = [f"line {c * 5}" for c in "abcdefgh"] + ["x", "y", ""]
+    rows = [(i, "\n".join(draw.choices(known, k=draw.randint(1, 25)))) for i in range(20)]
+    rows += [(30, None), (31, ""), (None, "only here and long enough"), rows[3], (40, "same\n" * 40)]
+    wanted = plain_lines(rows, 9)
+    got = lines.dedup(docs(spark, rows).withColumns({"id": F.lit(1), "key": F.lit(2), "at": F.lit(3), "n_lines": F.lit("clash")}), 9).collect()
+    assert len(got) == len(rows)
+    assert collections.Counter((r.doc_id, r.text) for r in got) == collections.Counter((i, None if t is None else wanted[2**63 - 1 if i is None else i, t]) for i, t in rows)
+
+
+def test_line_suffix_array(spark):
+    rows = lines.suffix_array(docs(spark, [(1, "a\nb\nc"), (2, "z\na\nb\nc"), (3, "b")])).collect()
+    assert {(r.doc_id, r["at"], r.lcp) for r in rows} == {(1, 0, 2), (2, 1, 2), (1, 1, 2), (2, 2, 2), (3, 0, 1), (1, 2, 1), (2, 3, 1)}
+    assert lines.suffix_array(docs(spark, [])).count() == 0 and lines.dedup(docs(spark, [])).count() == 0
+
+
+# --- op4 -----------------------------------------------------------------------
+
+
+def plain_repeats(rows):
+    raw = [(t or "").encode() for _, t in rows]
+    times = collections.Counter(b[p : p + 200] for b in raw for p in range(len(b) - 199))
+    out = []
+    for (i, _), b in zip(rows, raw):
+        mark = np.zeros(len(b) + 1, bool)
+        for p in range(len(b) - 199):
+            if times[b[p : p + 200]] > 1:
+                mark[p : p + 200] = True
+        edges = int((np.diff(np.concatenate([[0], mark.astype(int)])) == 1).sum())
+        out.append((i, len(b), int(mark.sum()), edges, hashlib.sha256(bytes(c for c, m in zip(b, mark) if not m)).hexdigest()))
+    return collections.Counter(out)
+
+
+@pytest.mark.parametrize("crowd", [1, 2048])
+def test_repeats_against_plain(spark, crowd, monkeypatch):
+    passage = prose(7, 60)
+    rows = [(1, "ab" * 400), (2, "x" * 205), (3, "ab" * 100), (4, None), (5, ""), (6, "q" * 199), (7, "abc" * 90 + "z" + "abc" * 90)]
+    rows += [(10 + i, prose(i, 40) + passage[i:] + prose(50 + i, 40)) for i in range(12)] + [(None, "hello" * 50), (None, "hello" * 50), (10, "é" * 150)]
+    rows += [(40, passage[:200]), (41, passage[:199]), (42, prose(3, 200)), (43, prose(3, 200)[5:-5])]
+    monkeypatch.setattr(repeats, "CROWD", crowd)
+    df = docs(spark, rows).withColumns({"row": F.lit(1), "bytes": F.lit("clash")})
+    got = repeats.remove_repeats(df).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+    assert collections.Counter(map(tuple, got)) == plain_repeats(rows)
+
+
+def test_repeats_of_nothing(spark):
+    assert repeats.remove_repeats(docs(spark, [])).count() == 0
+
+
+# --- op5 -----------------------------------------------------------------------
+
+
+def test_caps_against_plain(spark):
+    draw = np.random.default_rng(2)
+    base = draw.normal(size=(60, 16))
+    near = base[np.arange(40) % 20] + 0.05 * draw.normal(size=(40, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([base, near]))]
+    rows += [(200, rows[0][1]), (201, [2 * x for x in rows[0][1]]), (202, None), (203, [0.0] * 16), (204, [None] + [1.0] * 15), (205, [float("nan")] + [1.0] * 15), (206, [float("inf")] + [1.0] * 15), (207, []), (208, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"label": F.lit(1), "rep": F.lit(2)})
+    good = [(i, np.array(v) / np.linalg.norm(v)) for i, v in rows if i < 202]
+    links = {i: {j for j, w in good if j != i and v @ w >= 0.95} for i, v in good}
+    got = {r.vec_id: r for r in caps.near_duplicates(df).collect()}
+    assert len(got) == len(rows)
+    assert {i: got[i].n_links for i in got} == {i: len(links.get(i, ())) for i, _ in rows}
+    for i in got:
+        seen, todo = {i}, [i]
+        while todo:
+            new = links.get(todo.pop(), set()) - seen
+            seen |= new
+            todo += new
+        assert (got[i].component_id, got[i].kept) == (min(seen), min(seen) == i)
+
+
+def test_caps_recall_at_the_threshold():
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = draw.normal(size=x.shape)
+    y -= x * (x * y).sum(axis=1, keepdims=True)
+    y = 0.95 * x + np.sqrt(1 - 0.95**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    a, b = caps.decode_filters(x), caps.decode_filters(y)
+    assert np.mean([bool(set(p) & set(q)) for p, q in zip(a, b)]) > 0.98
+
+
+def test_components(spark):
+    edges = [(1, 2), (2, 3), (5, 4), (6, 6)] + [(i, i + 1) for i in range(100, 140)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {2: 1, 3: 1, 5: 4} | {i: 100 for i in range(101, 141)}
+
+
+# --- op6 -----------------------------------------------------------------------
+
+
+def test_forward_sums_all_segmentations():
+    pieces = langid.pieces_of(PIECES)
+    logp = np.log(pieces.start / pieces.start.sum())[:, None]
+    ranks = {p: r for p, r in bpe.load_ranks(PIECES).items() if len(p) <= langid.MAX_PIECE}
+    number = {p: i for i, p in enumerate(sorted(ranks, key=ranks.__getitem__))}
+
+    def total(raw):
+        ways = [1.0] + [0.0] * len(raw)
+        for end in range(1, len(raw) + 1):
+            for start in range(end):
+                if raw[start:end] in number:
+                    ways[end] += ways[start] * np.exp(logp[number[raw[start:end]], 0])
+        return np.log(ways[-1])
+
+    words = ["the", "a", "été", "straße", "nothing", "the"]
+    assert np.allclose(langid.forward(PIECES, words, logp)[:, 0], [total(b" " + w.encode()) for w in words])
+    # the expected uses cover every byte of every word
+    counts = langid.expected_counts(PIECES, words[:5], np.ones(5), logp[:, 0])
+    sizes = np.array([len(p) for p in sorted(ranks, key=ranks.__getitem__)])
+    assert np.isclose((counts * sizes).sum(), sum(len(w.encode()) + 1 for w in words[:5]))
+
+
+def test_language_id(spark):
+    said = {"en": "the quick house and the garden with water", "de": "das schnelle haus und der garten mit wasser"}
+    rows = [(i, said[k], k) for i in range(20) for k in said] + [(50, None, "en"), (51, "12 !", "de"), (52, "der garten", None), (53, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("clash"))
+    got = {r.doc_id: r for r in langid.predict(df, langid.learn(df, PIECES)).where("doc_id >= 50 or lang = 'en'").collect()}
+    assert [got[i].lang_pred for i in (0, 50, 51, 52, 53)] == ["en", "und", "und", "de", "und"]
+    assert got[50].score == 0 and 0.9 < got[52].score <= 1
+    none = langid.learn(df.limit(0), PIECES)
+    assert {r.lang_pred for r in langid.predict(df, none).collect()} == {"und"}
+
+
+# --- op7 -----------------------------------------------------------------------
+
+
+def plain_near(rows, width, percent):
+    sets = []
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        n = min(width, len(w))
+        sets.append((i, {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if w else set()))
+    near = collections.defaultdict(set)
+    for i, a in sets:
+        for j, b in sets:
+            if i is not None and j is not None and i != j and a and b and 100 * len(a & b) >= percent * len(a | b):
+                near[i].add(j)
+    out = []
+    for i, a in sets:
+        seen, todo = {i}, [i]
+        while todo:
+            new = near[todo.pop()] - seen
+            seen |= new
+            todo += new
+        low = None if i is None else min(seen)
+        out.append((i, len(a), low, i is None or low == i))
+    return collections.Counter(out)
+
+
+def test_minhash_against_plain(spark):
+    draw = random.Random(4)
+    rows = [(1, None), (2, ""), (3, " \t"), (4, "One"), (5, "one"), (6, "a b"), (7, "a b c"), (8, "a b c"), (None, "a b c"), (8, "a b c")]
+    for g in range(6):
+        words = prose(g, 120).split()
+        for c in range(8):
+            other = list(words)
+            for _ in range(draw.randint(0, 6)):
+                other[draw.randrange(len(other))] = f"w{draw.random()}"
+            rows.append((100 + 10 * g + c, " ".join(other)))
+    rows += [(900, prose(0, 5000)), (901, prose(0, 5000).upper()), (8, prose(2, 120))]
+    df = docs(spark, rows).withColumns({"rep": F.lit(1), "bands": F.lit("clash")})
+    got = minhash.near_duplicates(df, 3, 85).collect()
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == plain_near(rows, 3, 85)
+
+
+def test_minhash_of_nothing(spark):
+    assert minhash.near_duplicates(docs(spark, [])).count() == 0
+
+
+# --- op8 -----------------------------------------------------------------------
+
+PAGE = """<html><head><title>T</title><script>var a="</p>";</script></head><body class="no-sidebar"><header>Site</header><nav><a href=/>Home</a></nav>
+<!-- <p>not</p> --><div class="cookie notice">We use cookies</div><article><h1>A &amp; B</h1><p>One <b>bo</b>ld&nbsp;word<br>more<p>Second &lt;p&gt; paragraph, long enough to read.
+<form><input value=x>Sign up</form><aside>Related</aside></article><div id="comments"><p>Nice article, really well written, thanks.</p></div><footer>&copy; Me</footer></body>"""
+
+
+def test_main_text():
+    assert html.main_text(PAGE, html.DEFAULT_WEIGHTS) == "A & B One bold word more Second <p> paragraph, long enough to read."
+    assert html.main_text(None, html.DEFAULT_WEIGHTS) == html.main_text("", html.DEFAULT_WEIGHTS) == ""
+    plain = "<body><div><a href=1>x</a> <a href=2>y</a></div><p>" + "A sentence of words, and one more. " * 8 + "</p><div class=footer>c</div>"
+    assert html.main_text(plain, html.DEFAULT_WEIGHTS).startswith("A sentence")
+
+
+def test_extract_keeps_rows(spark):
+    rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "v", "<article><p>cut off <b")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"c0": F.lit(1), "text": F.lit("clash")})
+    got = html.extract(df, html.learn(df)).collect()
+    assert len(got) == 4 and {r.n_chars for r in got if r.page_id == 1} == {len("A & B One bold word more Second <p> paragraph, long enough to read.")}
+    assert html.extract(df.limit(0), html.learn(df.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_cut_is_minimal(seed):
+    draw = random.Random(seed)
+    n = draw.randint(1, 8)
+    source, sink = [draw.randint(0, 6) for _ in range(n)], [draw.randint(0, 6) for _ in range(n)]
+    edges = [(i, j, draw.randint(0, 4)) for i in range(n) for j in range(i) if draw.random() < 0.6]
+
+    def cost(kept):
+        return sum(0 if k else s for k, s in zip(kept, source)) + sum(t if k else 0 for k, t in zip(kept, sink)) + sum(c for a, b, c in edges if kept[a] != kept[b])
+
+    best = min(cost([bool(m >> i & 1) for i in range(n)]) for m in range(2**n))
+    assert abs(cost(html.minimum_cut(source, sink, edges)) - best) < 1e-6
+
+
+# --- op9 -----------------------------------------------------------------------
+
+
+def test_warc_round_trip(spark):
+    long = "<p>" + prose(1, 60) + "</p>"
+    rows = [(3, "http://a b", long), (1, None, long), (2, "u", "tiny"), (4, "u", "tiny"), (5, "u", None), (6, "ü", "<p>é" + long), (None, "n", long), (None, "n", "only" * 50)] + [(10 + i, "u", prose(i, 80)) for i in range(30)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"file": F.lit("clash"), "refers_to": F.lit(1)})
+    folder = warc.archive(df)
+    got = warc.read(spark, folder).collect()
+    assert len(got) == len(rows) and all(r.intact for r in got)
+    kinds = {r.page_id: (r.record_type, r.refers_to) for r in got if r.page_id is not None}
+    assert kinds[1] == ("response", None) and kinds[3] == ("revisit", 1) and kinds[2] == kinds[4] == ("response", None)
+    assert sorted((r.record_type, r.refers_to) for r in got if r.page_id is None) == [("response", None), ("revisit", 1)]
+    whole = {r.page_id: r.payload for r in got if r.record_type == "response"}
+    assert all(whole[i] == (h or "") for i, _, h in rows if i in whole and i is not None)
+    digest = {i: hashlib.sha256((h or "").encode()).hexdigest() for i, _, h in rows if i is not None}
+    assert all(r.payload_digest == digest[r.page_id] for r in got if r.page_id is not None)
+    none = new_path(spark, "warc")
+    warc.write(warc.with_revisits(df.limit(0)), none, b"")
+    assert warc.read(spark, none).count() == 0
+
+
+# --- op10 ----------------------------------------------------------------------
+
+
+def test_decontamination_against_plain(spark):
+    items = [(i, prose(100 + i, 10 + 3 * i)) for i in range(10)] + [(20, "two words"), (21, None), (22, ""), (None, prose(1, 20)), (3, prose(103, 19))]
+    rows = [(i, prose(i, 200) + " " + items[i][1].upper() + ", " + prose(50 + i, 2000)) for i in range(10)]
+    rows += [(30, " ".join(items[5][1].split()[2:])), (31, " ".join(items[5][1].split()[8:])), (32, "here are Two, words!"), (33, None), (34, ""), (None, items[4][1]), (2, rows[2][1])]
+    got = decontaminate.contained(docs(spark, rows).withColumn("words", F.lit("clash")), spark.createDataFrame(items, "item_id long, text string").withColumn("n", F.lit(1))).collect()
+
+    def cut(t, n):
+        w = "".join(c if c.isalnum() else " " for c in (t or "").lower()).split()
+        return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}, len(w)
+
+    wanted = set()
+    for j, t in items:
+        n = min(5, cut(t, 1)[1])
+        for i, d in rows:
+            if j is not None and i is not None and n:
+                own, common = cut(t, n)[0], cut(t, n)[0] & cut(d, n)[0]
+                if len(common) >= 0.8 * len(own):
+                    wanted.add((i, j, len(common), len(own)))
+    assert {(r.doc_id, r.item_id, r.n_common, r.n_item) for r in got} == wanted and len(got) == len(wanted)
+
+
+def test_decontamination_of_nothing(spark):
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.contained(docs(spark, [(1, "x")]), none).count() == 0
+    assert decontaminate.contained(docs(spark, []), spark.createDataFrame([(1, "a b")], "item_id long, text string")).count() == 0
