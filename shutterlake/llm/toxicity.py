@@ -1,9 +1,11 @@
 """Toxicity by cumulative-link ordinal regression.
 
 P(grade > k) is the logistic function of w.x - t_k: the weights w are shared by
-all of the ordered thresholds t_0 < t_1 < ... . Features are sparse: log(1 + n)
-for each word of a vocabulary chosen on the labelled sample. The output is the
-expected grade, the sum of P(grade > k) over k.
+all of the ordered thresholds t_0 < t_1 < ... . Features are sparse: the shares of the
+words of a vocabulary chosen on the labelled sample, each with the weight
+log(1 + n) of its count, and one for how many of them there are; shares keep a
+text with few of the words from looking clean beside one with many. The output
+is the expected grade, the sum of P(grade > k) over k.
 
 The model is fitted on a bounded sample of labelled rows (``SAMPLE`` rows, those
 with the least hash of their id; equal texts count once). Every document is
@@ -29,16 +31,16 @@ from shutterlake.llm.langid import words_of
 #: Labelled rows that the model is fitted on.
 SAMPLE = 16_384
 #: Words in the vocabulary, and the documents a word must be in.
-WORDS, LEAST_DOCS = 2_048, 8
+WORDS, LEAST_DOCS, LEAST_CHI = 2_048, 5, 28.0
 #: Steps and rate of the full-batch Adam fit, and its L2 penalty for each row.
-STEPS, RATE, PENALTY = 400, 0.05, 1e-3
+STEPS, RATE, PENALTY = 800, 0.1, 1e-4
 
 
 class Model:
-    """Word weights and ordered thresholds."""
+    """Word weights, the weight of their amount, and ordered thresholds."""
 
-    def __init__(self, weights: dict[str, float], thresholds: np.ndarray) -> None:
-        self.weights, self.thresholds = weights, thresholds
+    def __init__(self, weights: dict[str, float], amount: float, thresholds: np.ndarray) -> None:
+        self.weights, self.amount, self.thresholds = weights, amount, thresholds
 
 
 def grades(labels: DataFrame, doc_id: str = "doc_id") -> DataFrame:
@@ -56,8 +58,17 @@ def _choose_words(lists: list[np.ndarray], size: int, toxic: np.ndarray) -> np.n
     expected = docs * share
     chi = np.where(docs >= LEAST_DOCS, (bad - expected) ** 2 / np.maximum(expected * (1 - share) * (1 - docs / (n + 1)), 1e-9), 0)
     order = np.argsort(-chi, kind="stable")[:WORDS]
-    # 6.6: the chi-square value that chance exceeds once in a hundred words
-    return order[chi[order] > 6.6]
+    # only words that speak for it; at this value chance passes one word in ten million
+    return order[(chi[order] > LEAST_CHI) & (bad[order] > expected[order])]
+
+
+def _shares(rows: np.ndarray, cols: np.ndarray, counts: np.ndarray, n: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sparse features: shares of words, and in column ``width`` the amount of them."""
+    weight = np.log1p(counts)
+    total = np.bincount(rows, weights=weight, minlength=n)
+    some = np.flatnonzero(total > 0)
+    amount = np.log1p(np.bincount(rows, weights=counts, minlength=n)[some]) / 4
+    return np.concatenate([rows, some]), np.concatenate([cols, np.full(len(some), width)]), np.concatenate([weight / total[rows], amount])
 
 
 def fit_cumulative_link(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +114,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     counted = counted.take(pa.array(first)).combine_chunks()
     y = counted["grade"].to_numpy().astype(np.int64) if len(first) else np.zeros(0, dtype=np.int64)
     if not len(y) or y.max() == 0 or y.min() == y.max():
-        return Model({}, np.zeros(0))
+        return Model({}, 0.0, np.zeros(0))
     lists = pa.concat_arrays(counted["words"].chunks)
     coded = lists.flatten().dictionary_encode()
     size = max(1, len(coded.dictionary))
@@ -115,9 +126,9 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     r = np.repeat(np.arange(len(y)), [len(x[0]) for x in distinct])
     c, n = place[np.concatenate([x[0] for x in distinct])], np.concatenate([x[1] for x in distinct])
     used = c >= 0
-    weights, thresholds = fit_cumulative_link(r[used], c[used], np.log1p(n[used]), y, len(words))
+    weights, thresholds = fit_cumulative_link(*_shares(r[used], c[used], n[used], len(y), len(words)), y, len(words) + 1)
     names = coded.dictionary.take(pa.array(words)).to_pylist()
-    return Model(dict(zip(names, weights.tolist(), strict=True)), thresholds)
+    return Model(dict(zip(names, weights[:-1].tolist(), strict=True)), float(weights[-1]), thresholds)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -135,12 +146,13 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             bounds = words.offsets.to_numpy().astype(np.int64)
             coded = words.flatten().dictionary_encode()
             size = max(1, len(coded.dictionary))
-            weight = np.array([m.weights.get(w, 0.0) for w in coded.dictionary.to_pylist()] or [0.0])
+            weight = np.array([m.weights.get(w, np.nan) for w in coded.dictionary.to_pylist()] or [np.nan])
             index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
             row = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
-            told = np.flatnonzero(weight[index] != 0.0) if len(index) else index
+            told = np.flatnonzero(~np.isnan(weight[index])) if len(index) else index
             pair, n = np.unique(row[told] * size + index[told], return_counts=True)
-            s = np.bincount(pair // size, weights=np.log1p(n) * weight[pair % size], minlength=batch.num_rows)
+            r, c, x = _shares(pair // size, pair % size, n, batch.num_rows, size)
+            s = np.bincount(r, weights=x * np.append(weight, m.amount)[c], minlength=batch.num_rows)
             above = 1 / (1 + np.exp(-(s[:, None] - m.thresholds[None, :]))) if len(m.thresholds) else np.zeros((batch.num_rows, 1))
             ends = np.concatenate([np.ones((len(s), 1)), above, np.zeros((len(s), 1))], axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(inner)], pa.array(above.sum(axis=1)), pa.array(above[:, 0]), pa.array((ends[:, :-1] - ends[:, 1:]).argmax(axis=1), pa.int32()), pa.array(above[:, 0] >= 0.5)], names=out.names)
