@@ -80,5 +80,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         discard(current, least, large, lowest)
         current = after
         if now == before:
-            return current.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            out = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            out._work_path = current._work_path
+            return out
         before = now

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.llm.common import connected_components, written
+from shutterlake.llm.common import connected_components, discard, written
 
 PERMUTATIONS, ROWS = 60, 4
 #: Rounds in which members of mixed bands are compared with one member each.
@@ -141,11 +141,14 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _in_mixed_bands(members: DataFrame, links: DataFrame) -> DataFrame:
     """(band, rep, n, part, top) of the members of bands whose members are in several components; top is the band's largest."""
-    parts = written(connected_components(links), "parts")
+    parts = connected_components(links)
     placed = written(members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("part")), "placed")
     sizes = placed.groupBy("band", "part").agg(F.count(F.lit(1)).alias("size"))
     mixed = sizes.groupBy("band").agg(F.max(F.struct("size", "part")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("band", F.col("top.part").alias("top"))
-    return written(placed.join(written(mixed, "mixed"), "band"), "inside")
+    mixed = written(mixed, "mixed")
+    inside = written(placed.join(mixed, "band"), "inside")
+    discard(parts, placed, mixed)
+    return inside
 
 
 def _linkable(inside: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -171,7 +174,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     classes = written(full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"), F.countDistinct("doc_id").alias("set_size")), "classes")
     bands = classes.select("rep", "n", F.explode("bands").alias("band"))
     crowded = bands.groupBy("band").agg(F.min("rep").alias("low"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = written(bands.join(written(crowded, "crowded"), "band").select("band", "rep", "n", "low"), "members")
+    crowded = written(crowded, "crowded")
+    members = written(bands.join(crowded, "band").select("band", "rep", "n", "low"), "members")
 
     # the texts of the candidates, and no others, are read again
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
@@ -183,9 +187,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     links = written(_confirm(first, sets, percent), "links")
     inside = _in_mixed_bands(members, links)
     if not inside.isEmpty():
-        open_ends = _linkable(inside, sets, percent)
-        members = written(inside.select("band", "rep", "n").join(open_ends, "rep"), "members")
+        open_ends, before, wide = _linkable(inside, sets, percent), members, inside
+        members = written(wide.select("band", "rep", "n").join(open_ends, "rep"), "members")
         inside = _in_mixed_bands(members, links)
+        discard(before, wide, open_ends)
     for salt in range(PIVOT_ROUNDS):
         if inside.isEmpty():
             break
@@ -193,19 +198,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         pivots = written(inside.groupBy("band").agg(pivot).select("band", F.col("p.rep").alias("other"), F.col("p.part").alias("its"), F.col("p.n").alias("size")), "pivots")
         to_pivot = inside.join(pivots, "band").where((F.col("part") != F.col("its")) & (100 * F.least("n", "size") >= percent * F.greatest("n", "size")))
         pairs = to_pivot.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+        before, wide = links, inside
         links = written(links.union(_confirm(pairs, sets, percent)), "links")
         inside = _in_mixed_bands(members, links)
+        discard(before, wide, pivots)
     if not inside.isEmpty():
         # of two members in different parts, one at least is outside the band's largest part
         x, y = inside.where("part <> top").alias("x"), inside.alias("y")
         apart = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.part") != F.col("y.part")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")))
         pairs = apart.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+        before = links
         links = written(links.union(_confirm(pairs, sets, percent)), "links")
+        discard(before)
 
-    joined = written(connected_components(links), "parts")
+    joined = connected_components(links)
     same = full.select("doc_id", "set_a", "set_b").join(classes.select("set_a", "set_b", "rep", "set_size"), ["set_a", "set_b"])
     same = same.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("part"), "set_size")
-    return _by_document(signed, same)
+    out = _by_document(signed, same)
+    # the result reads the signatures and the components by document only
+    discard(classes, crowded, members, sets, links, inside, joined)
+    return out
 
 
 def _by_document(signed: DataFrame, same: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.llm.common import written
+from shutterlake.llm.common import discard, written
 
 LENGTH, GRAM = 200, 64
 #: Bytes of text hashed together, distinct phrases compared together, and phrases of one trigger from which they are compared by a shuffle.
@@ -213,12 +213,15 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     few = found.where(F.col("distinct") <= CROWD).select("trigger", "row", "lo", "bytes")
     parts = few.repartition("trigger").sortWithinPartitions("trigger").mapInArrow(_compare, "row long, start int, end int")
     spans = whole.union(parts)
+    same = None
     crowd = found.where(F.col("distinct") > CROWD).select("row", "lo", "bytes")
     if not crowd.isEmpty():
         prints = crowd.mapInArrow(_fingerprints, "row long, start int, a long, b long")
         same = written(prints.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "same")
         spans = spans.union(prints.join(same, ["a", "b"]).select("row", "start", (F.col("start") + LENGTH).alias("end")))
-    return spans
+    out = written(spans, "spans")
+    discard(often, candidates, dictionary, several, found, *([same] if same is not None else []))
+    return out
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +253,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows = raw.withColumn("row", F.monotonically_increasing_id())
     rows.write.bucketBy(max(8, -(-int(total) // BUCKET_BYTES)), "row").format("parquet").saveAsTable(name)
     texts = spark.table(name)
-    spans = written(repeated_spans(texts), "spans")
+    spans = repeated_spans(texts)
     # neighbouring spans of a row become one list
     listed = spans.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("s")).select("row", F.col("s.start").alias("starts"), F.col("s.end").alias("ends"))
     joined = texts.join(listed, "row", "left").select("doc_id", "bytes", "starts", "ends")
