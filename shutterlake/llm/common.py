@@ -58,6 +58,18 @@ def discard(*tables: DataFrame) -> None:
             jvm_path.getFileSystem(hadoop).delete(jvm_path, True)
 
 
+def hash_sample(df: DataFrame, key: str, size: int) -> DataFrame:
+    """About ``size`` rows of ``df`` by the hash of ``key``, twice as many at most.
+
+    The share comes from a count, so no task and no driver gathers candidates;
+    the same rows are chosen however the table is split.
+    """
+    total = df.count()
+    if total <= size:
+        return df
+    return df.where(F.pmod(F.xxhash64(key), F.lit(1 << 31)) < F.lit(int((1 << 31) * size / total))).limit(2 * size)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b); component is the least node.
 

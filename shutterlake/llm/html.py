@@ -30,7 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Pages that the model is fitted on: those with the least hash of their id.
+from shutterlake.llm.common import hash_sample
+
+#: Pages that the model is fitted on, chosen by the hash of their id.
 SAMPLE = 512
 #: Smoothness between neighbours at distance 0, and how it falls with each step in the tree.
 SMOOTH, FADE = 0.6, 0.6
@@ -179,8 +181,8 @@ DEFAULT_WEIGHTS = np.array([-2.0, 0.8, -3.0, 1.0, 0.5, 1.0, -0.5])
 
 
 def learn(pages: DataFrame, html: str = "html", page_id: str = "page_id", sample: int = SAMPLE) -> np.ndarray:
-    """Weights of :func:`features`, by ridge logistic regression on blocks of at most ``sample`` pages."""
-    chosen = pages.select(page_id, html).where(F.col(html).isNotNull()).orderBy(F.xxhash64(page_id), page_id).limit(sample)
+    """Weights of :func:`features`, by ridge logistic regression on blocks of about ``sample`` pages."""
+    chosen = hash_sample(pages.select(page_id, html).where(F.col(html).isNotNull()), page_id, sample)
 
     def examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

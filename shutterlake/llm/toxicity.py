@@ -7,8 +7,8 @@ log(1 + n) of its count, and one for how many of them there are; shares keep a
 text with few of the words from looking clean beside one with many. The output
 is the expected grade, the sum of P(grade > k) over k.
 
-The model is fitted on a bounded sample of labelled rows (``SAMPLE`` rows, those
-with the least hash of their id; equal texts count once). Every document is
+The model is fitted on a bounded sample of labelled rows (about ``SAMPLE`` rows
+by the hash of their id, twice as many at most; equal texts count once). Every document is
 scored over its whole text. Words are maximal runs of letters in lower case.
 
 Rows: a null or empty text has no features and gets the intercepts' grade. Null
@@ -26,10 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shutterlake.llm.common import hash_sample
 from shutterlake.llm.langid import words_of
 
 #: Labelled rows that the model is fitted on.
-SAMPLE = 16_384
+SAMPLE = 12_288
 #: Words in the vocabulary, and the documents a word must be in.
 WORDS, LEAST_DOCS, LEAST_CHI = 2_048, 5, 28.0
 #: Steps and rate of the full-batch Adam fit, and its L2 penalty for each row.
@@ -103,9 +104,9 @@ def fit_cumulative_link(rows: np.ndarray, cols: np.ndarray, values: np.ndarray,
 
 
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` rows of ``labels`` (doc_id, grade)."""
+    """Fit on about ``sample`` rows of ``labels`` (doc_id, grade)."""
     chosen = labels.where(F.col("grade").isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max("grade").cast("int").alias("grade"))
-    chosen = chosen.orderBy(F.xxhash64(doc_id), doc_id).limit(sample)
+    chosen = hash_sample(chosen, doc_id, sample)
     # the sample's size bounds what is broadcast
     rows = docs.select(F.col(doc_id), F.col(text)).join(F.broadcast(chosen), doc_id)
     counted = rows.select("grade", F.xxhash64(text).alias("same"), words_of(F.col(text)).alias("words")).toArrow()

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shutterlake.llm.common import new_path
+from shutterlake.llm.common import hash_sample, new_path
 
 #: Shortest payload that is stored once.
 LEAST_REVISIT = 100
@@ -51,9 +51,10 @@ def with_revisits(pages: DataFrame) -> DataFrame:
 
 
 def build_dictionary(pages: DataFrame, sample: int = SAMPLE) -> bytes:
-    """A Zstandard dictionary from at most ``sample`` records; empty where they are too few to build one."""
-    chosen = pages.select("page_id", F.substring(F.encode("html", "UTF-8"), 1, SAMPLE_BYTES).alias("head")).where("head is not null").orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
-    samples = [bytes(r["head"]) for r in chosen.collect()]
+    """A Zstandard dictionary from about ``sample`` records; empty where they are too few to build one."""
+    known = hash_sample(pages.where("html is not null").select("page_id", "html"), "page_id", sample)
+    chosen = known.select(F.substring(F.encode("html", "UTF-8"), 1, SAMPLE_BYTES).alias("head"))
+    samples = sorted(bytes(r["head"]) for r in chosen.collect())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes() if len(samples) >= 8 else b""
     except zstandard.ZstdError:
