@@ -192,3 +192,10 @@ def page_bounds(limit: int | None, offset: int | None, most: int = 500, usual: i
 def page_envelope(total: int, limit: int, offset: int) -> dict:
     """has_more, current_page, total_pages."""
     return {"total": total, "has_more": offset + limit < total, "current_page": offset // limit + 1, "total_pages": -(-total // limit)}
+
+
+def visual_attributes(colors: Column, moods: Column, technical: Column) -> tuple[Column, Column]:
+    """Colour and mood lists of a description as JSON text; an empty or missing colour list falls back to the technical part, a mood list only where it is missing."""
+    inner_colors, inner_moods = F.get_json_object(technical, "$.dominant_colors"), F.get_json_object(technical, "$.mood_tags")
+    color = F.when(F.size(F.coalesce(json_strings(colors), F.array().cast("array<string>"))) > 0, colors).otherwise(inner_colors)
+    return color, F.coalesce(moods, inner_moods)

@@ -228,3 +228,41 @@ def latest_of(rows: DataFrame, group: str, order: str, tie: str) -> DataFrame:
     """The newest row of each group."""
     w = Window.partitionBy(group).orderBy(F.desc(order), F.desc(tie))
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
+def image_detail(images: DataFrame, stacks: DataFrame, best: DataFrame, descriptions: DataFrame, key) -> DataFrame:
+    """One image with its stack, best score and description."""
+    one = images.where(F.col("key") == key).drop("stack_id")
+    scored = best.select(F.col("image_key").alias("key"), F.col("score").alias("best_score"), F.col("perspective_slug").alias("best_lens"))
+    out = one.join(stacks.select("key", "stack_id", "representative_key", "stack_size"), "key", "left").join(scored, "key", "left")
+    return out.join(descriptions, "key", "left")
+
+
+def groups_page(groups: DataFrame, candidates: DataFrame, images: DataFrame, hidden: DataFrame, limit: int | None = None, offset: int | None = None) -> DataFrame:
+    """Similarity groups, newest first, with their candidates' images; groups whose seed is hidden drop out.
+
+    ``groups`` is (group_id, seed_key, created_at), ``candidates`` (group_id, candidate_key, similarity, rank).
+    """
+    limit, offset = X.page_bounds(limit, offset)
+    shown = groups.join(hidden.select(F.col("key").alias("seed_key")), "seed_key", "left_anti")
+    chosen = shown.orderBy(F.desc("created_at"), F.desc("group_id")).offset(offset).limit(limit)
+    members = candidates.join(images.select(F.col("key").alias("candidate_key"), "rating"), "candidate_key")
+    return chosen.join(members, "group_id").orderBy(F.desc("created_at"), F.desc("group_id"), "rank")
+
+
+def cache_stats(images: DataFrame, cache: DataFrame, files: DataFrame) -> DataFrame:
+    """(total, cached, missing, bytes): images, those with a cache row, the rest, and the size of the cached files that exist."""
+    total = images.agg(F.countDistinct("key").alias("total"))
+    rows = cache.select("key", F.col("compressed_path").alias("path")).join(files, "path", "left")
+    have = rows.agg(F.countDistinct("key").alias("cached"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+    return total.crossJoin(have).select("total", "cached", (F.col("total") - F.col("cached")).alias("missing"), "bytes")
+
+
+def classify_paths(wanted: DataFrame, images: DataFrame, cache: DataFrame, files: DataFrame) -> DataFrame:
+    """(key, state): cached, no_row, empty_path, unresolved where no file is at the path, else readable."""
+    rows = wanted.select("key").join(images.select("key", "filepath").withColumn("__row", F.lit(True)), "key", "left")
+    rows = rows.join(cache.select("key").distinct().withColumn("__cached", F.lit(True)), "key", "left")
+    rows = rows.join(files.select(F.col("path").alias("filepath")).distinct().withColumn("__file", F.lit(True)), "filepath", "left")
+    empty = F.col("filepath").isNull() | (F.trim("filepath") == "")
+    state = F.when(F.col("__cached"), "cached").when(F.col("__row").isNull(), "no_row").when(empty, "empty_path").when(F.col("__file").isNull(), "unresolved").otherwise("readable")
+    return rows.select("key", state.alias("state"))

@@ -14,7 +14,7 @@ def current(scores: DataFrame) -> DataFrame:
 def attempted(scores: DataFrame, perspectives: DataFrame) -> DataFrame:
     """Scores of active lenses that were given: the population of all identity queries."""
     lenses = perspectives.where("active = 1").select(F.col("slug").alias("perspective_slug"))
-    return scores.where(F.coalesce("not_attempted", F.lit(0)) == 0).join(lenses, "perspective_slug", "left_semi")
+    return scores.where(F.coalesce("not_attempted", F.lit(0)) == 0).join(F.broadcast(lenses), "perspective_slug", "left_semi")
 
 
 def best_score(scores: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def percentiles(population: DataFrame) -> DataFrame:
     below = F.sum("tied").over(lens.orderBy("score")) - F.col("tied")
     rank = below + (F.col("tied") + 1) / F.lit(2.0)
     table = counts.select("perspective_slug", "score", F.when(n == 1, F.lit(1.0)).otherwise((rank - 1) / (n - 1)).alias("pct"))
-    return population.join(table, ["perspective_slug", "score"])
+    return population.join(F.broadcast(table), ["perspective_slug", "score"])
 
 
 def peaks(pct: DataFrame, min_perspectives: int = 1) -> DataFrame:

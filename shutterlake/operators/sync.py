@@ -116,3 +116,40 @@ def merge_models(registry: DataFrame, user: DataFrame) -> DataFrame:
     """Registry models, then the user's that it lacks."""
     keys = ["provider_id", "model_id"]
     return registry.unionByName(user.join(registry.select(*keys), keys, "left_anti").dropDuplicates(keys))
+
+
+def wrong_keyword_links(links: DataFrame, names: DataFrame, images: DataFrame) -> DataFrame:
+    """Links that name a file where they should name its image: (image, tag, right_image)."""
+    files = images.select(F.col("rootFile").alias("image"), F.col("id_local").alias("right_image"))
+    known = names.select(F.col("id_local").alias("tag"))
+    right = images.select(F.col("id_local").alias("image"))
+    return links.join(known, "tag", "left_semi").join(right, "image", "left_anti").join(files, "image").select("image", "tag", "right_image")
+
+
+def upsert_perspective(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Perspectives by slug; whether one is optional follows from its markdown."""
+    from shutterlake.functions.scalars import optional_marker
+
+    marked = new.withColumn("optional", optional_marker(F.col("prompt_markdown")).cast("long"))
+    return upsert(old, marked, "slug", "updated_at", keep_old=("id", "created_at"))
+
+
+def composite(stages: list[tuple[str, object]], tables: dict[str, DataFrame], folder: str) -> dict[str, DataFrame]:
+    """Run named stages in order; each takes the tables and returns new ones, which are written under ``folder`` and read again.
+
+    A stage whose output is already there is not run again, so a stopped run goes on where it was.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    hadoop = spark._jsc.hadoopConfiguration()
+    for name, stage in stages:
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}/done")
+        files = done.getFileSystem(hadoop)
+        if not files.exists(done):
+            made = stage(tables)
+            for table, df in made.items():
+                df.write.mode("overwrite").parquet(f"{folder}/{name}/{table}")
+            spark.createDataFrame([(t,) for t in sorted(made)], "table string").coalesce(1).write.mode("overwrite").text(f"{folder}/{name}/made")
+            files.create(done).close()
+        names = [r["value"] for r in spark.read.text(f"{folder}/{name}/made").collect()]
+        tables = tables | {t: spark.read.parquet(f"{folder}/{name}/{t}") for t in names}
+    return tables

@@ -486,3 +486,60 @@ def rolling_usage(spark, d):
     start = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     rows = D.logs(spark, d).select(start.alias("start_s"), (start + F.col("value")).alias("end_s"))
     return J.rolling_usage(rows, F.lit(1704153600.0), 3600.0).select(F.round("seconds", 3).alias("seconds"))
+
+
+# --- lookups, states, write-back ----------------------------------------------
+
+
+@query(_ALL.rstrip() + ", best AS (SELECT image_key, score, slug FROM (SELECT *, row_number() OVER (PARTITION BY image_key ORDER BY score DESC, slug) AS rn FROM scores) q WHERE rn = 1) SELECT i.key, i.rating, i.stack_id, r.representative_key, r.stack_size, b.score AS best_score, b.slug AS best_lens, d.n_chars FROM images i LEFT JOIN reps r USING (stack_id) LEFT JOIN best b ON b.image_key = i.key LEFT JOIN documents d ON d.doc_id = i.key WHERE i.key = 42")
+def image_detail(spark, d):
+    """One image with all that is known of it."""
+    texts = D.descriptions(spark, d).select("key", "n_chars")
+    rows = C.image_detail(D.images(spark, d), D.stack_fields(spark, d), S.best_score(D.scores(spark, d)), texts, 42)
+    return rows.select("key", "rating", "stack_id", "representative_key", "stack_size", "best_score", "best_lens", "n_chars")
+
+
+@query(_ALL.rstrip() + """, pairs AS (SELECT key % 97 AS group_id, key + 1 AS candidate_key, 1 - (key % 100) / 1000 AS similarity, row_number() OVER (PARTITION BY key % 97 ORDER BY key) AS rank FROM images),
+groups AS (SELECT group_id, min(key) AS seed_key FROM (SELECT key % 97 AS group_id, key FROM images) q GROUP BY group_id),
+shown AS (SELECT * FROM groups WHERE seed_key NOT IN (SELECT key FROM hidden) ORDER BY seed_key DESC, group_id DESC LIMIT 5)
+SELECT g.group_id, g.seed_key, p.candidate_key, i.rating, p.rank FROM shown g JOIN pairs p USING (group_id) JOIN images i ON i.key = p.candidate_key""")
+def similarity_groups_page(spark, d):
+    """A page of groups with their members."""
+    from pyspark.sql import Window
+
+    pairs = _pairs(spark, d).withColumn("rank", F.row_number().over(Window.partitionBy("group_id").orderBy("seed_key")))
+    groups = pairs.groupBy("group_id").agg(F.min("seed_key").alias("seed_key")).withColumn("created_at", F.col("seed_key"))
+    found = C.groups_page(groups, pairs.select("group_id", "candidate_key", "similarity", "rank"), D.images(spark, d), K.hidden_members(D.stack_fields(spark, d)), limit=5)
+    return found.select("group_id", "seed_key", "candidate_key", "rating", "rank")
+
+
+@query("SELECT (SELECT count(*) FROM orders) AS total, count(*) AS cached, (SELECT count(*) FROM orders) - count(*) AS missing, CAST(sum(CASE WHEN doc_id % 3 = 0 THEN 0 ELSE n_chars END) AS BIGINT) AS bytes FROM documents")
+def cache_stats(spark, d):
+    """Documents as cached files of orders; every third file is gone."""
+    texts = D.descriptions(spark, d).withColumn("compressed_path", F.concat(F.lit("/c/"), F.col("key").cast("string")))
+    files = texts.where("key % 3 <> 0").select(F.col("compressed_path").alias("path"), F.col("n_chars").alias("size"))
+    return C.cache_stats(D.images(spark, d), texts, files)
+
+
+@query("SELECT CASE WHEN doc_id IS NOT NULL THEN 'cached' WHEN o_orderkey % 5 = 0 THEN 'empty_path' WHEN o_orderkey % 7 = 0 THEN 'unresolved' ELSE 'readable' END AS state, count(*) AS n FROM orders LEFT JOIN documents ON doc_id = o_orderkey GROUP BY 1")
+def path_states(spark, d):
+    """Images by what can be read of them."""
+    rows = D.images(spark, d).withColumn("filepath", F.when(F.col("key") % 5 == 0, "  ").otherwise(F.concat(F.lit("/p/"), F.col("key").cast("string"))))
+    files = rows.where("key % 7 <> 0").select(F.col("filepath").alias("path"))
+    return C.classify_paths(rows, rows, D.descriptions(spark, d), files).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT CASE WHEN o_orderkey % 4 = 0 THEN 'error' WHEN o_orderkey % 3 = 0 THEN 'skipped' ELSE 'added' END AS outcome, count(*) AS n FROM orders GROUP BY 1")
+def keyword_write_back(spark, d):
+    """What writing a keyword to the source would do."""
+    rows = D.images(spark, d).select("key")
+    source = rows.where("key % 4 <> 0").select(F.col("key").alias("image"), F.concat(F.lit("img"), F.col("key").cast("string")).alias("base"))
+    links = rows.where("key % 3 = 0").select(F.col("key").alias("image"), F.lit(7).alias("tag"))
+    wanted = rows.select(F.concat(F.lit("2024-01-01_img"), F.col("key").cast("string"), F.lit(".jpg")).alias("key"))
+    return Y.keyword_write_back(wanted, source, links, 7).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT reason, coalesce(n, 0) AS n FROM (VALUES ('click'), ('error'), ('never')) v(reason) LEFT JOIN (SELECT event_type AS reason, count(*) AS n FROM events GROUP BY 1) q USING (reason)")
+def skip_histogram(spark, d):
+    """Rows over fixed buckets, the empty one included."""
+    return C.skip_histogram(D.logs(spark, d).withColumnRenamed("level", "reason"), ("click", "error", "never"))

@@ -254,3 +254,40 @@ def test_stream_of_bursts(spark, tmp_path):
     finally:
         q.stop()
     assert sorted(r.members for r in spark.sql("SELECT members FROM burst_test").collect()) == [1, 2]
+
+
+def test_wrong_links_and_perspectives(spark):
+    links = spark.createDataFrame([(1, 7), (11, 7), (5, 9)], "image long, tag long")
+    names = spark.createDataFrame([(7, "k")], "id_local long, name string")
+    images = spark.createDataFrame([(11, 1), (12, 2)], "id_local long, rootFile long")
+    assert [tuple(r) for r in Y.wrong_keyword_links(links, names, images).collect()] == [(1, 7, 11)]
+    schema = "id long, slug string, prompt_markdown string, optional long, updated_at string, created_at string"
+    old = spark.createDataFrame([(1, "a", "x", 0, "1", "1")], schema)
+    new = spark.createDataFrame([(9, "a", "<!-- optional: TRUE -->", 0, "2", "2"), (2, "b", "y", 1, "2", "2")], schema)
+    assert sorted(tuple(r)[:4] for r in Y.upsert_perspective(old, new).collect()) == [(1, "a", "<!-- optional: TRUE -->", 1), (2, "b", "y", 0)]
+
+
+def test_composite_resumes(spark, tmp_path):
+    start, ran = {"a": spark.range(3)}, []
+
+    def stage(name):
+        def run(tables):
+            ran.append(name)
+            return {"a": tables["a"].withColumn(name, F.lit(1))}
+
+        return name, run
+
+    Y.composite([stage("x")], start, str(tmp_path))
+    out = Y.composite([stage("x"), stage("y")], start, str(tmp_path))
+    assert ran == ["x", "y"] and out["a"].columns == ["id", "x", "y"] and out["a"].count() == 3
+
+
+def test_path_states_and_attributes(spark):
+    images = spark.createDataFrame([("a", "/a"), ("b", " "), ("c", "/c"), ("d", "/d")], "key string, filepath string")
+    wanted = spark.createDataFrame([(k,) for k in "abcde"], "key string")
+    cache, files = spark.createDataFrame([("d",)], "key string"), spark.createDataFrame([("/a",)], "path string")
+    got = {r.key: r.state for r in C.classify_paths(wanted, images, cache, files).collect()}
+    assert got == {"a": "readable", "b": "empty_path", "c": "unresolved", "d": "cached", "e": "no_row"}
+    rows = spark.createDataFrame([("[]", "[]"), (None, None), ('["red"]', '["calm"]')], "c string, m string")
+    color, mood = X.visual_attributes(F.col("c"), F.col("m"), F.lit('{"dominant_colors":["blue"],"mood_tags":["dark"]}'))
+    assert [tuple(r) for r in rows.select(color, mood).collect()] == [('["blue"]', "[]"), ('["blue"]', '["dark"]'), ('["red"]', '["calm"]')]
