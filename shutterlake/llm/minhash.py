@@ -11,9 +11,11 @@ Candidates are verified in rounds. First each class is compared with the least
 id of its bands, which joins up groups of copies with one comparison for each
 member. Only bands whose members are then still in several components go on, and
 of these only members that have enough shingles in common with other candidates
-to link at all. They are compared with a pivot of their band, twice, and what
-is still apart is compared in full across components. No pair inside a component
-is compared again, and no candidate pair across components is left out.
+to link at all. Small bands are compared pair by pair across components. Large
+ones are cut into blocks, and a pair of blocks is compared by one product of its
+shingle matrices, which sends each set once to each block and no pairs at all;
+only a spanning forest of the links comes out. No candidate pair across
+components is left out.
 
 Rows: a null or empty text has no shingles and links with nothing. Rows that
 share an id are one node. A row with a null id links with nothing, has a null
@@ -25,6 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -33,8 +36,8 @@ from pyspark.sql import functions as F
 from shutterlake.llm.common import connected_components, discard, written
 
 PERMUTATIONS, ROWS = 60, 4
-#: Rounds in which members of mixed bands are compared with one member each.
-PIVOT_ROUNDS = 2
+#: Members up to which a band is compared pair by pair, members in a block beyond that, and columns multiplied at a time.
+FEW, BLOCK, COLUMNS = 24, 1_024, 4_096
 #: Word hashes that a Python worker keeps, and shingles hashed at a time.
 SEEN_WORDS, CHUNK = 1_000_000, 1 << 16
 
@@ -163,6 +166,51 @@ def _linkable(inside: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return written(sizes.where(100 * (F.col("n") - F.coalesce("u", F.lit(0))) >= percent * F.col("n")).select("rep"), "linkable")
 
 
+def _connections(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """For each set, the least index that it is connected with by links; exact, by products of the sets' matrices."""
+    sizes = np.array([len(x) for x in sets], dtype=np.float64)
+    codes, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rows = np.repeat(np.arange(len(sets)), sizes.astype(np.int64))
+    # a shingle of one set is in no intersection
+    place = np.cumsum(times > 1) - 1
+    told = np.flatnonzero(times[at] > 1)
+    rows, cols = rows[told], place[at[told]]
+    order = np.argsort(cols, kind="stable")
+    rows, cols = rows[order], cols[order]
+    common = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for c in range(0, int(cols[-1]) + 1 if len(cols) else 0, COLUMNS):
+        lo, hi = np.searchsorted(cols, (c, c + COLUMNS))
+        part = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        part[rows[lo:hi], cols[lo:hi] - c] = 1
+        common += part @ part.T
+    linked = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
+    labels = np.arange(len(sets))
+    while True:
+        least = np.where(linked, labels[None, :], len(sets)).min(axis=1)
+        least = np.minimum(labels, least)
+        if (least == labels).all():
+            return labels
+        labels = least
+
+
+def _compare_crowds(inside: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) that connect the members (band, rep, members) of large bands wherever links do."""
+    blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
+    own = inside.select("band", "rep", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("i"))
+    pairs = own.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = pairs.select("band", "rep", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"))
+    rows = placed.join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        reps = rows["rep"].to_numpy()
+        root = _connections([np.asarray(x) for x in rows["shingles"]], percent)
+        some = np.flatnonzero(root != np.arange(len(root)))
+        return pd.DataFrame({"a": reps[some], "b": reps[root[some]]})
+
+    found = rows.groupBy("band", "lo", "hi").applyInPandas(compare, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept, and set_size, the documents with an equal set.
 
@@ -191,17 +239,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         members = written(wide.select("band", "rep", "n").join(open_ends, "rep"), "members")
         inside = _in_mixed_bands(members, links)
         discard(before, wide, open_ends)
-    for salt in range(PIVOT_ROUNDS):
-        if inside.isEmpty():
-            break
-        pivot = F.max(F.struct(F.xxhash64("rep", F.lit(salt)).alias("h"), "rep", "part", "n")).alias("p")
-        pivots = written(inside.groupBy("band").agg(pivot).select("band", F.col("p.rep").alias("other"), F.col("p.part").alias("its"), F.col("p.n").alias("size")), "pivots")
-        to_pivot = inside.join(pivots, "band").where((F.col("part") != F.col("its")) & (100 * F.least("n", "size") >= percent * F.greatest("n", "size")))
-        pairs = to_pivot.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+    crowds = inside.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > FEW)
+    crowds = written(crowds, "crowds")
+    if not crowds.isEmpty():
         before, wide = links, inside
-        links = written(links.union(_confirm(pairs, sets, percent)), "links")
-        inside = _in_mixed_bands(members, links)
-        discard(before, wide, pivots)
+        links = written(links.union(_compare_crowds(inside.join(crowds, "band"), sets, percent)), "links")
+        # what crowded bands hold is settled now
+        inside = written(wide.join(crowds, "band", "left_anti"), "inside")
+        discard(before, wide)
+    discard(crowds)
     if not inside.isEmpty():
         # of two members in different parts, one at least is outside the band's largest part
         x, y = inside.where("part <> top").alias("x"), inside.alias("y")

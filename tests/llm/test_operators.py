@@ -253,7 +253,10 @@ def plain_near(rows, width, percent):
     return collections.Counter(out)
 
 
-def test_minhash_against_plain(spark):
+@pytest.mark.parametrize("few", [2, 24])
+def test_minhash_against_plain(spark, few, monkeypatch):
+    monkeypatch.setattr(minhash, "FEW", few)
+    monkeypatch.setattr(minhash, "BLOCK", 5)
     draw = random.Random(4)
     rows = [(1, None), (2, ""), (3, " \t"), (4, "One"), (5, "one"), (6, "a b"), (7, "a b c"), (8, "a b c"), (None, "a b c"), (8, "a b c")]
     for g in range(6):
