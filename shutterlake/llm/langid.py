@@ -37,7 +37,7 @@ ROUNDS = 2
 #: Added to every expected piece count.
 SMOOTHING = 0.05
 #: Bytes of distinct words scored at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 UNKNOWN = "und"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
