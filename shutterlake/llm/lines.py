@@ -10,9 +10,15 @@ array with a common prefix of at least that many lines; the interval's least
 place (document, then line) is the original, and every other place in it begins
 a later copy.
 
-A run of 2^k lines that is a later copy is deleted when it holds at least
-``min_chars`` characters (line ends included). Longer copies are unions of such
-runs. Documents are ordered by id, then by content; null ids come last.
+A run of any number of lines that is a later copy is deleted when it holds at
+least ``min_chars`` characters (line ends included). Such a run is the union of
+its tightest runs: those with ``min_chars`` characters that lose them with their
+last line, or with their first. For a line in the run, either the tightest run
+that ends with it lies inside, or it comes so early that the tightest run from
+the run's first line reaches over it. What lies inside is a later copy as well,
+so the tightest runs, two a line at most, decide for all lengths. One of 2^k to
+2^(k+1) lines is named by the level's names at its first and its last 2^k lines.
+Documents are ordered by id, then by content; null ids come last.
 
 Rows: null text stays null; empty text is one empty line. Rows with equal id and
 text count as one document and are treated alike. Further columns stay.
@@ -53,19 +59,61 @@ def _repeated(named: DataFrame, name: str) -> DataFrame:
 
 
 def suffix_intervals(docs: DataFrame) -> list[DataFrame]:
-    """For each k, the suffixes that share their first 2^k lines with another: (id, key, at, a, b, n, later, halves)."""
-    levels = [written(_repeated(_lines(docs), "lines").withColumn("halves", F.lit(0).cast("long")).dropDuplicates(["id", "key", "at"]), "level")]
+    """For each k, the suffixes that share their first 2^k lines with another: (id, key, at, a, b, n, later)."""
+    levels = [written(_repeated(_lines(docs), "lines").dropDuplicates(["id", "key", "at"]), "level")]
     while not levels[-1].isEmpty():
         size = 2 ** (len(levels) - 1)
         near = levels[-1].select("id", "key", "at", "a", "b", "n")
         far = near.select("id", "key", (F.col("at") - size).alias("at"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("n").alias("n2"))
         pairs = near.join(far, ["id", "key", "at"])
-        # halves: the characters of the poorer half, which tells whether the halves are deleted on their own
-        named = pairs.select("id", "key", "at", F.xxhash64("a", "a2", "b").alias("a"), F.xxhash64("b", "b2", "a2").alias("b"), (F.col("n") + F.col("n2") + 1).alias("n"), F.least("n", "n2").alias("halves"))
+        named = pairs.select("id", "key", "at", F.xxhash64("a", "a2", "b").alias("a"), F.xxhash64("b", "b2", "a2").alias("b"), (F.col("n") + F.col("n2") + 1).alias("n"))
         levels.append(_repeated(named, "level"))
     return levels[:-1]
 
 
+def _tightest(docs: DataFrame, min_chars: int) -> DataFrame:
+    """(id, key, at, size, k) of the tightest runs of more than one line; 2^k <= size < 2^(k+1)."""
+
+    @F.pandas_udf("struct<at: array<int>, size: array<int>>")
+    def runs(lengths: pd.Series) -> pd.DataFrame:
+        ats, sizes = [], []
+        for n in lengths:
+            edge = np.concatenate([[0], np.cumsum(np.asarray(n, dtype=np.int64) + 1)])
+            # from each line to the first end with enough, and back from each end to the last start with enough
+            start, end = np.arange(len(n)), np.arange(1, len(n) + 1)
+            ahead = np.maximum(np.searchsorted(edge, edge[:-1] + min_chars + 1), end)
+            back = np.minimum(np.searchsorted(edge, edge[1:] - min_chars - 1, side="right") - 1, start)
+            whole, told = ahead <= len(n), back >= 0
+            both = np.unique(np.stack([np.concatenate([start[whole], back[told]]), np.concatenate([ahead[whole], end[told]])], axis=1), axis=0)
+            both = both[both[:, 1] - both[:, 0] > 1]
+            ats.append(both[:, 0].astype(np.int32))
+            sizes.append((both[:, 1] - both[:, 0]).astype(np.int32))
+        return pd.DataFrame({"at": ats, "size": sizes})
+
+    key = F.xxhash64("doc_id", "text")
+    found = docs.where("text is not null").select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), key.alias("key"), runs(F.transform(F.split("text", "\n"), F.length)).alias("runs"))
+    every = found.select("id", "key", F.explode(F.arrays_zip("runs.at", "runs.size")).alias("run")).select("id", "key", "run.at", "run.size")
+    # exact: the base-2 length of a number is its bits
+    return every.withColumn("k", F.length(F.bin("size")) - 1)
+
+
+def later_runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame | None:
+    """(id, key, at, size) of the tightest runs that are later copies; None where no line repeats."""
+    levels = suffix_intervals(docs)
+    if not levels:
+        return None
+    names = None
+    for k, level in enumerate(levels):
+        one = level.select("id", "key", "at", F.lit(k).alias("k"), "a", "b")
+        names = one if names is None else names.union(one)
+    far = F.expr("at + size - shiftleft(1, k)")
+    begun = _tightest(docs, min_chars).join(names, ["id", "key", "k", "at"]).select("id", "key", "k", "at", "size", far.alias("far"), F.col("a").alias("a1"), F.col("b").alias("b1"))
+    both = begun.join(names.withColumnRenamed("at", "far"), ["id", "key", "k", "far"])
+    named = both.select("id", "key", "at", "size", F.xxhash64("size", "a1", "a", "b1").alias("a"), F.xxhash64("size", "b1", "b", "a").alias("b"))
+    longer = _repeated(named, "runs").where("later").select("id", "key", "at", "size")
+    return levels[0].where(F.col("later") & (F.col("n") >= min_chars)).select("id", "key", "at", F.lit(1).alias("size")).union(longer)
+
+
 def suffix_array(docs: DataFrame) -> DataFrame:
     """(rank, doc_id, at, lcp) of the repeated suffixes, ordered by the names of their first 1, 2, 4, ... lines.
 
@@ -84,16 +132,12 @@ def suffix_array(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with the later copies of line runs deleted from ``text``, and n_lines, n_removed."""
-    runs = None
-    for k, level in enumerate(suffix_intervals(docs)):
-        chosen = level.where(F.col("later") & (F.col("n") >= min_chars))
-        if k:
-            chosen = chosen.where(F.col("halves") < min_chars)
-        one = chosen.select("id", "key", F.struct("at", F.lit(2**k).alias("size")).alias("run"))
-        runs = one if runs is None else runs.union(one)
+    runs = later_runs(docs, min_chars)
     keyed = docs.withColumns({"__id": F.coalesce("doc_id", F.lit(LAST)), "__key": F.xxhash64("doc_id", "text")})
     if runs is None:
         runs = docs.sparkSession.createDataFrame([], "id long, key long, run struct<at int, size int>")
+    else:
+        runs = runs.select("id", "key", F.struct("at", "size").alias("run"))
     listed = runs.groupBy(F.col("id").alias("__id"), F.col("key").alias("__key")).agg(F.collect_list("run").alias("__runs"))
     joined = keyed.join(written(listed, "runs"), ["__id", "__key"], "left")
 

@@ -111,6 +111,37 @@ def test_line_dedup_against_plain(spark, seed):
     assert collections.Counter((r.doc_id, r.text) for r in got) == collections.Counter((i, None if t is None else wanted[2**63 - 1 if i is None else i, t]) for i, t in rows)
 
 
+def plain_later_runs(rows, min_chars):
+    """As plain_lines, with runs of every length."""
+    order = sorted({(2**63 - 1 if i is None else i, t) for i, t in rows if t is not None})
+    text = [(i, t.split("\n")) for i, t in order]
+    gone = {(i, "\n".join(x)): np.zeros(len(x), bool) for i, x in text}
+    for k in range(1, max(len(x) for _, x in text) + 1):
+        seen = set()
+        for i, x in text:
+            for p in range(len(x) - k + 1):
+                run = tuple(x[p : p + k])
+                if run in seen and sum(map(len, run)) + k - 1 >= min_chars:
+                    gone[i, "\n".join(x)][p : p + k] = True
+                seen.add(run)
+    return {key: "\n".join(x for x, g in zip(key[1].split("\n"), v) if not g) for key, v in gone.items()}
+
+
+@pytest.mark.parametrize("min_chars", [0, 9, 20])
+def test_line_dedup_of_every_length(spark, min_chars):
+    draw = random.Random(5)
+    menu, uneven, poem = "Home\nAbout us\nContact", "five5\n5five\n" + "thirty" * 5, "a\nb\nc\nd\ne\nf\ng\nh\ni\nj\nk"
+    rows = [(i, f"only in {i}\n{menu}\nlast of {i}") for i in range(3)] + [(10 + i, f"{i}\n{uneven}\n{i}{i}") for i in range(3)]
+    rows += [(20, poem), (21, f"z\n{poem}"), (22, poem[2:]), (23, poem[::-1]), (24, "\n" * 30), (25, "x\n" * 9), (None, menu), (26, None), (27, "")]
+    rows += [(30 + i, "\n".join(draw.choices(["x", "yy", "", "line z", "long " * 5], k=draw.randint(1, 40)))) for i in range(25)] + [(20, poem)]
+    wanted = plain_later_runs(rows, min_chars)
+    got = lines.dedup(docs(spark, rows), min_chars).collect()
+    assert collections.Counter((r.doc_id, r.text) for r in got) == collections.Counter((i, None if t is None else wanted[2**63 - 1 if i is None else i, t]) for i, t in rows)
+    if min_chars == 20:
+        found = {r.doc_id: r.text for r in got}
+        assert found[1] == "only in 1\nlast of 1" and found[11] == "1\n11" and found[21] == "z"
+
+
 def test_line_suffix_array(spark):
     rows = lines.suffix_array(docs(spark, [(1, "a\nb\nc"), (2, "z\na\nb\nc"), (3, "b")])).collect()
     assert {(r.doc_id, r["at"], r.lcp) for r in rows} == {(1, 0, 2), (2, 1, 2), (1, 1, 2), (2, 2, 2), (3, 0, 1), (1, 2, 1), (2, 3, 1)}
