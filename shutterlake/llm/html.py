@@ -10,7 +10,8 @@ side are the text.
 The model's weights for what a block looks like (words, links, punctuation) are
 fitted on the blocks of a bounded sample of pages whose markup says what they
 are; the markup itself (``article``, ``nav``, class names) enters as a fixed
-cost. Pages are handled one by one; memory is bounded by the longest page.
+cost that a block's looks can outweigh. A nested article or main is content
+whatever lies around it; only what is hidden is left out for good. Pages are handled one by one; memory is bounded by the longest page.
 
 Rows: null or empty html, or a page without content, gives an empty text.
 Markup may be cut off or unclosed anywhere. Repeated rows and null ids are
@@ -36,8 +37,9 @@ from shutterlake.llm.common import hash_sample
 SAMPLE = 512
 #: Smoothness between neighbours at distance 0, and how it falls with each step in the tree.
 SMOOTH, FADE = 0.6, 0.6
-#: Fixed costs (log-odds of content) of markup.
-SAYS_CONTENT, SAYS_OTHER, OUTSIDE = 4.0, -6.0, -3.0
+#: Fixed costs (log-odds of content) of markup, within the range of what a block looks like.
+SAYS_CONTENT, SAYS_OTHER, OUTSIDE = 2.5, -2.5, -1.5
+HIDDEN = -2
 
 # Element names and class words with a meaning.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
@@ -47,6 +49,8 @@ OTHER_TAGS = frozenset("nav footer aside form header menu dialog".split())
 CONTENT_TAGS = frozenset("article main".split())
 OTHER_WORDS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs footer header masthead sidebar cookie cookies consent gdpr notice notices alert comment comments reply replies respond share sharing social related recommended subscribe newsletter signup popup modal overlay login search widget pagination pager copyright disclaimer toolbar".split())
 CONTENT_WORDS = frozenset("article content entry story post main".split())
+#: Words that make a name a state or a layout: no-sidebar, comments-open.
+STATE_WORDS = frozenset("no not non has have with without is open opened close closed on off enabled disabled".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
@@ -66,19 +70,38 @@ class Block:
         self.heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
 
 
+def _named(attributes: str) -> tuple[bool, bool]:
+    """Whether class, id or role names content, and whether they name something else.
+
+    A compound name of a state, or with words of both kinds, names neither.
+    """
+    content = other = False
+    for value in _CLASS.findall(attributes):
+        for name in value.lower().split():
+            words = set(_WORD.findall(name))
+            if not words & STATE_WORDS:
+                good, bad = not words.isdisjoint(CONTENT_WORDS), not words.isdisjoint(OTHER_WORDS)
+                content, other = content or good > bad, other or bad > good
+    return content, other
+
+
 def _cue(tag: str, attributes: str, outer: int) -> int:
-    """1 content, -1 other, 0 not told; what is other stays so inside."""
-    if outer < 0 or tag in ("html", "body"):
+    """1 content, -1 other, 0 not told, HIDDEN for good; content inside other is told anew."""
+    if outer == HIDDEN or (attributes and _HIDDEN.search(attributes)):
+        return HIDDEN
+    if tag in ("html", "body"):
         return outer
-    words: set[str] = set()
-    if attributes:
-        for value in _CLASS.findall(attributes):
-            words.update(_WORD.findall(value.lower()))
-        if _HIDDEN.search(attributes):
-            return -1
-    if words & OTHER_WORDS or (tag in OTHER_TAGS and not (tag == "header" and outer > 0)):
+    content, other = _named(attributes) if attributes else (False, False)
+    # a form around a whole page tells nothing, nor does a header within content
+    told = tag in OTHER_TAGS and not (tag == "header" and outer > 0) and not (tag == "form" and outer <= 0)
+    if told or (other and not content):
         return -1
-    return 1 if tag in CONTENT_TAGS or words & CONTENT_WORDS else outer
+    if tag in CONTENT_TAGS:
+        return 1
+    if content and not other:
+        # a content word alone does not make a footer's inside content
+        return 1 if outer >= 0 else 0
+    return outer
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -93,7 +116,7 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal linked
         if text:
             joined = " ".join("".join(text).split())
-            if joined:
+            if joined and not (stack and stack[-1][2] == HIDDEN):
                 outer = next((x for x in reversed(stack) if x[0] not in INLINE), ("", 0, 0))
                 blocks.append(Block(joined, linked, tuple(x[1] for x in stack if x[0] not in INLINE), outer[0], stack[-1][2] if stack else 0))
             text.clear()
@@ -291,7 +314,7 @@ def main_text(page: str | None, weights: np.ndarray) -> str:
         return ""
     told = any(b.cue > 0 for b in blocks)
     score = np.array([features(b) for b in blocks]) @ weights
-    score = np.clip(score, -2.5, 2.5) + np.array([SAYS_CONTENT if b.cue > 0 else SAYS_OTHER if b.cue < 0 else OUTSIDE if told else 0.0 for b in blocks])
+    score = score + np.array([SAYS_CONTENT if b.cue > 0 else SAYS_OTHER if b.cue < 0 else OUTSIDE if told else 0.0 for b in blocks])
     # costs -log P: log(1 + e^s) for calling a block other, log(1 + e^-s) for calling it content
     kept = minimum_cut(np.logaddexp(0, score).tolist(), np.logaddexp(0, -score).tolist(), _edges(blocks))
     return " ".join(b.text for b, k in zip(blocks, kept, strict=True) if k)

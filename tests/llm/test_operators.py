@@ -321,6 +321,28 @@ def test_main_text():
     assert html.main_text(plain, html.DEFAULT_WEIGHTS).startswith("A sentence")
 
 
+def test_markup_does_not_drop_content_for_good():
+    said = "A long sentence of many plain words, which goes on and on, as prose does. " * 6
+    text = said.strip()
+    for page in (
+        f'<div class="content no-sidebar"><article><p>{said}</article></div>',
+        f'<article class="post comments-open"><p>{said}</article>',
+        f'<article class="post widget"><p>{said}</article>',
+        f'<div class="sidebar layout"><main><p>{said}</main></div>',
+        f'<div class="search"><div class="content"><p>{said}</div></div>',
+        f"<form><p>{said}</form>",
+        # the looks outweigh the markup
+        f'<div class="widget"><p>{said}</div>',
+        f"<main><form><p>{said}</form></main>",
+    ):
+        assert html.main_text(f"<body>{page}</body>", html.DEFAULT_WEIGHTS) == text, page
+    assert html.main_text(f"<body><article><p>Short one.</article><div><p>{said}</div></body>", html.DEFAULT_WEIGHTS) == f"Short one. {text}"
+    links = "<a href=1>One</a> <a href=2>Two</a>"
+    assert html.main_text(f"<body><article><p>{said}</p><ul><li>{links}</ul></article></body>", html.DEFAULT_WEIGHTS) == text
+    for page in (f'<div style="display:none"><article><p>{said}</article></div>', "<footer><div class=content>Made by me</div></footer>", "<div id=comments><article class=comment><p>Nice one.</article></div>"):
+        assert html.main_text(f"<body>{page}<article><p>{said}</article></body>", html.DEFAULT_WEIGHTS) == text, page
+
+
 def test_extract_keeps_rows(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "v", "<article><p>cut off <b")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"c0": F.lit(1), "text": F.lit("clash")})
