@@ -8,8 +8,14 @@ filters whose cap holds the vector, that is, whose score reaches the vector's
 own threshold, its ``LIST``-th best. Vectors that share a filter are candidates,
 and a link is a candidate pair with cosine >= threshold in double precision.
 
-A pair at cosine 0.95 shares 13 of 32 filters on average and misses all of them
-in under one case of a hundred; the measured recall is in the tests.
+At 64 dimensions a pair at cosine 0.95 shares 13 of 32 filters on average and
+misses all of them in under one case of a hundred. So there are several
+independent codes: as many as bring the misses of pairs at the threshold, as
+measured on random pairs of the dimension, down to ``MISSES``. Where one code
+misses more than ``POOR``, which is in few dimensions, the filters are instead
+the cells of a grid that the ball around a vector reaches whose radius is half
+the greatest distance of a link. The middle of a link lies in both balls, so its
+cell is in both lists and no link is missed.
 
 Equal vectors form a class that is compared once. Rows: vectors that are null,
 zero, or hold null or non-finite components link with nothing, nor do rows with
@@ -29,27 +35,32 @@ from pyspark.sql import functions as F
 from shutterlake.llm.common import connected_components, written
 
 BLOCKS, CODES, LIST, THRESHOLD = 4, 32, 32, 0.95
+#: The share of pairs at the threshold that all codes together may miss, and that one may at most.
+MISSES, POOR = 1e-6, 0.05
+#: Random pairs that the misses of one code are measured on; coordinates that the grid cuts.
+TRIALS, AXES = 4000, 5
 
-_CODES: dict[int, tuple[np.ndarray, list[np.ndarray]]] = {}
+_CODES: dict[tuple[int, int], tuple[np.ndarray, list[np.ndarray]]] = {}
+_COUNTS: dict[tuple[int, int, float], int] = {}
 
 
-def _code(size: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The rotation and the parts' directions for vectors of ``size`` components; the same everywhere."""
-    if size not in _CODES:
-        draw = np.random.default_rng(size)
+def _code(size: int, number: int = 0) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Rotation and parts' directions of code ``number`` for vectors of ``size`` components; the same everywhere."""
+    if (size, number) not in _CODES:
+        draw = np.random.default_rng([size, number] if number else size)
         rotation, _ = np.linalg.qr(draw.normal(size=(size, size)))
         parts = []
         for part in np.array_split(np.arange(size), min(BLOCKS, size)):
             directions = draw.normal(size=(CODES, len(part)))
             parts.append(directions / np.linalg.norm(directions, axis=1, keepdims=True))
-        _CODES[size] = rotation, parts
-    return _CODES[size]
+        _CODES[size, number] = rotation, parts
+    return _CODES[size, number]
 
 
-def decode_filters(vectors: np.ndarray, keep: int = LIST) -> np.ndarray:
-    """The numbers of the ``keep`` filters with the best scores, for each unit vector."""
+def decode_filters(vectors: np.ndarray, keep: int = LIST, number: int = 0) -> np.ndarray:
+    """The numbers of the ``keep`` filters of one code with the best scores, for each unit vector."""
     size = vectors.shape[1]
-    rotation, parts = _code(size)
+    rotation, parts = _code(size, number)
     rotated = vectors @ rotation.T
     scores, ids, at = np.zeros((len(vectors), 1)), np.zeros((len(vectors), 1), dtype=np.int64), 0
     for directions in parts:
@@ -65,11 +76,47 @@ def decode_filters(vectors: np.ndarray, keep: int = LIST) -> np.ndarray:
     return ids
 
 
+def codes_needed(size: int, keep: int = LIST, threshold: float = THRESHOLD) -> int:
+    """How many codes miss ``MISSES`` of the pairs at the threshold; 0 where one code is too poor."""
+    if (size, keep, threshold) not in _COUNTS:
+        draw = np.random.default_rng(size)
+        x, y = draw.normal(size=(2, TRIALS, size))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y -= x * (x * y).sum(axis=1, keepdims=True)
+        y = threshold * x + np.sqrt(max(0.0, 1 - threshold**2)) * y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
+        a, b = decode_filters(x, keep), decode_filters(y, keep)
+        shared = np.array([np.isin(p, q).any() for p, q in zip(a, b, strict=True)])
+        missed = max(1, int((~shared).sum())) / TRIALS
+        _COUNTS[size, keep, threshold] = 0 if missed > POOR else int(np.ceil(np.log(MISSES) / np.log(missed)))
+    return _COUNTS[size, keep, threshold]
+
+
+def grid_filters(vectors: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """The numbers of the grid's cells that each unit vector's ball reaches; a cell may be named twice."""
+    # a little more than the distance of a link, for rounding
+    side = np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
+    cells, per_axis = np.zeros((len(vectors), 1), dtype=np.int64), int(2 / side) + 4
+    # a cell's number fits 64 bits
+    for axis in range(min(AXES, vectors.shape[1], int(62 / np.log2(per_axis)))):
+        at = vectors[:, axis, None] + np.array([-0.5, 0.5]) * side
+        own = np.floor((at + 1) / side).astype(np.int64) + 1
+        cells = (cells[:, :, None] * per_axis + own[:, None, :]).reshape(len(vectors), -1)
+    return cells
+
+
+def list_filters(vectors: np.ndarray, keep: int = LIST, threshold: float = THRESHOLD) -> np.ndarray:
+    """All filters that each unit vector is listed under."""
+    count = codes_needed(vectors.shape[1], keep, threshold)
+    if not count:
+        return grid_filters(vectors, threshold)
+    return np.concatenate([decode_filters(vectors, keep, i) + i * CODES**BLOCKS for i in range(count)], axis=1)
+
+
 def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
 
 
-def filters(vectors: DataFrame, keep: int = LIST) -> DataFrame:
+def filters(vectors: DataFrame, keep: int = LIST, threshold: float = THRESHOLD) -> DataFrame:
     """(vec_id, size, embedding, filters) of the rows that can link."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +132,7 @@ def filters(vectors: DataFrame, keep: int = LIST) -> DataFrame:
                 good = np.flatnonzero(np.isfinite(norms) & (norms > 0))
                 if not len(good):
                     continue
-                ids = decode_filters(values[good] / norms[good, None], keep)
+                ids = list_filters(values[good] / norms[good, None], keep, threshold)
                 taken = part.take(pa.array(good))
                 offsets = pa.array(np.arange(len(good) + 1) * ids.shape[1], pa.int32())
                 yield pa.RecordBatch.from_arrays([taken.column(0), pa.array(np.full(len(good), size), pa.int32()), taken.column(1), pa.ListArray.from_arrays(offsets, pa.array(ids.ravel(), pa.int64()))], names=["vec_id", "size", "embedding", "filters"])
@@ -114,10 +161,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, keep: int
     """vec_id, n_links, component_id, kept for each row of ``vectors`` (vec_id, embedding)."""
     ids = vectors.select("vec_id")
     # two hashes name a vector
-    decoded = filters(vectors, keep).withColumns({"ka": F.xxhash64("embedding"), "kb": F.xxhash64(F.lit(1), "embedding")})
+    decoded = filters(vectors, keep, threshold).withColumns({"ka": F.xxhash64("embedding"), "kb": F.xxhash64(F.lit(1), "embedding")})
     named = written(decoded.select("vec_id", "ka", "kb"), "named")
     equal = written(decoded.groupBy("ka", "kb").agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("copies"), F.first("embedding").alias("embedding"), F.first("size").alias("size"), F.first("filters").alias("filters")), "classes")
-    caps = equal.select("rep", "size", F.explode("filters").alias("filter"))
+    caps = equal.select("rep", "size", F.explode(F.array_distinct("filters")).alias("filter"))
     left, right = caps.alias("l"), caps.alias("r")
     shared = left.join(right, (F.col("l.filter") == F.col("r.filter")) & (F.col("l.size") == F.col("r.size")) & (F.col("l.rep") < F.col("r.rep")))
     pairs = shared.select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct()

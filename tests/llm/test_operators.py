@@ -216,6 +216,29 @@ def test_caps_recall_at_the_threshold():
     assert np.mean([bool(set(p) & set(q)) for p, q in zip(a, b)]) > 0.98
 
 
+def at_the_threshold(size, pairs):
+    draw = np.random.default_rng(100 + size)
+    x, y = draw.normal(size=(2, pairs, size))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= x * (x * y).sum(axis=1, keepdims=True)
+    return x, 0.95 * x + np.sqrt(1 - 0.95**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("size", [2, 4, 5, 8, 16, 64])
+def test_caps_miss_no_pair(size):
+    a, b = (caps.list_filters(v) for v in at_the_threshold(size, 10000))
+    assert all(set(p) & set(q) for p, q in zip(a.tolist(), b.tolist()))
+
+
+def test_caps_in_few_dimensions(spark):
+    sizes = [1, 2, 4, 5, 8]
+    rows = [(1000 * d + i, v.tolist()) for d in sizes[1:] for i, v in enumerate(np.concatenate(at_the_threshold(d, 60)) * 3)] + [(1, [2.0]), (2, [5.0]), (3, [-1.0])]
+    got = {r.vec_id: r.n_links for r in caps.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.9499).collect()}
+    for d in sizes:
+        own = [(i, np.array(v) / np.linalg.norm(v)) for i, v in rows if len(v) == d]
+        assert {i: got[i] for i, _ in own} == {i: sum(j != i and v @ w >= 0.9499 for j, w in own) for i, v in own}
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (5, 4), (6, 6)] + [(i, i + 1) for i in range(100, 140)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
