@@ -36,11 +36,11 @@ from pyspark.sql import types as T
 #: Buckets of the literal rank map; a lookup compares the few keys of one bucket.
 BUCKETS = 16384
 #: Words in a block.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 500_000
 #: The longest word that is folded by Spark.
 FOLD_BYTES = 60
-#: Encoded words that a Python worker keeps, and "no such pair".
-SEEN_WORDS, NO_RANK = 500_000, 1 << 31
+#: Encoded words that a task keeps between blocks (some 10 MB), and "no such pair".
+SEEN_WORDS, NO_RANK = 32_768, 1 << 31
 
 
 @lru_cache(maxsize=4)
@@ -223,10 +223,6 @@ def _form_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct), pa.ListArray.from_arrays(pa.array([0, len(rest)], pa.int32()), rest)], names=["words", "rows"])
 
 
-#: Words that this Python worker has encoded, kept between blocks.
-_SEEN: dict[str, dict[str, list[int]]] = {}
-
-
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", ids_bytes: str | None = None, higher_order: bool = False) -> DataFrame:
     """``docs`` with the ids of ``text`` in the array column ``ids``, and the text's column dropped.
 
@@ -243,16 +239,16 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     out = T.StructType([*inner, T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField("ids_bytes", T.BinaryType())] if ids_bytes else [])])
 
     def fold_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, seen = load_ranks(path), _SEEN.setdefault(path, {})
+        ranks, seen = load_ranks(path), {}
         for batch in batches:
             for part, bounds, coded in _blocks(batch):
-                if len(seen) > SEEN_WORDS:
-                    seen.clear()
                 folded = []
                 for word in coded.dictionary.to_pylist():
                     got = seen.get(word)
                     if got is None:
-                        got = seen[word] = merge_word(word.encode(), ranks)
+                        got = merge_word(word.encode(), ranks)
+                        if len(seen) < SEEN_WORDS:
+                            seen[word] = got
                     folded.append(got)
                 every, cuts = _gather(pa.array(folded, pa.list_(pa.int32())), coded.indices.to_numpy(zero_copy_only=False), bounds)
                 yield from _rows(part.columns[:-1], every, cuts, out.names)

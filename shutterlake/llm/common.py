@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,13 +20,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a temporary folder is set.
+    Only where the session names none and runs in one process (local tests) a
+    temporary folder is set; on a cluster that folder would be each machine's own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         option = spark.sparkContext._jsc.sc().getCheckpointDir()
         if option.isDefined():
             return option.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(found)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -58,6 +64,21 @@ def discard(*tables: DataFrame) -> None:
             jvm_path.getFileSystem(hadoop).delete(jvm_path, True)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int, column: int | None = None, items: int = 0) -> Iterator[pa.RecordBatch]:
+    """The batches cut to at most ``rows`` rows each, and to about ``items`` elements of the lists in ``column`` where one is named.
+
+    An Arrow batch may hold tens of megabytes; this bounds what is derived from it at a time.
+    """
+    for batch in batches:
+        start, ends = 0, None if column is None else batch.column(column).offsets.to_numpy()
+        while start < batch.num_rows:
+            stop = min(batch.num_rows, start + rows)
+            if ends is not None:
+                stop = min(stop, max(start + 1, int(np.searchsorted(ends, ends[start] + items, side="right")) - 1))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def hash_sample(df: DataFrame, key: str, size: int) -> DataFrame:
     """About ``size`` rows of ``df`` by the hash of ``key``, twice as many at most.
 

@@ -9,7 +9,7 @@ runs on the distinct (language, word) table in parallel, and only the expected
 piece counts, bounded by vocabulary size times languages, reach the driver.
 
 The vocabulary works on bytes and holds every single byte, so each word has a
-segmentation. Pieces of more than ``MAX_PIECE`` bytes are left out.
+segmentation; pieces of every length take part.
 
 Rows: a null text, or one without a letter, gives ``und`` and score 0. Texts
 whose language is null teach nothing. With nothing to learn from, every text is
@@ -28,16 +28,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shutterlake.llm.bpe import load_ranks
-from shutterlake.llm.common import discard, written
+from shutterlake.llm.common import discard, slices, written
 
-#: Longest piece in bytes.
-MAX_PIECE = 10
 #: Rounds of expectation maximisation.
 ROUNDS = 2
 #: Added to every expected piece count.
 SMOOTHING = 0.05
-#: Bytes of distinct words scored at a time.
-CHUNK = 1 << 18
+#: Bytes of distinct words scored at a time, and words that a slice of a batch holds.
+CHUNK, SLICE = 1 << 16, 500_000
 UNKNOWN = "und"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -46,13 +44,14 @@ class Pieces:
     """The vocabulary as sorted hashes, by piece length."""
 
     def __init__(self, path: str) -> None:
-        ranks = {p: r for p, r in load_ranks(path).items() if len(p) <= MAX_PIECE}
+        ranks = load_ranks(path)
         self.size = len(ranks)
         pieces = sorted(ranks, key=ranks.__getitem__)
         self.start = 1.0 / (np.arange(self.size) + 100.0)
         self.by_length: list[tuple[np.ndarray, np.ndarray]] = []
-        for n in range(1, MAX_PIECE + 1):
-            ids = np.array([i for i, p in enumerate(pieces) if len(p) == n], dtype=np.int64)
+        sizes = np.array([len(p) for p in pieces])
+        for n in range(1, int(sizes.max()) + 1):
+            ids = np.flatnonzero(sizes == n)
             hashes = np.zeros(len(ids), dtype=np.uint64)
             for k in range(n):
                 hashes = hashes * _BASE + np.array([pieces[i][k] + 1 for i in ids], dtype=np.uint64)
@@ -61,8 +60,8 @@ class Pieces:
 
     def matches(self, flat: np.ndarray, left: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(length, positions, piece ids) of the pieces in ``flat``; ``left`` holds the bytes to the word's end."""
-        hashes = np.zeros(len(flat), dtype=np.uint64)
-        for n, (known, ids) in enumerate(self.by_length, 1):
+        hashes, longest = np.zeros(len(flat), dtype=np.uint64), int(left.max())
+        for n, (known, ids) in enumerate(self.by_length[:longest], 1):
             hashes = hashes[: len(flat) - n + 1] * _BASE + (flat[n - 1 :].astype(np.uint64) + np.uint64(1))
             if not len(hashes) or not len(known):
                 continue
@@ -114,9 +113,8 @@ def _edges(pieces: Pieces, lengths: np.ndarray, flat: np.ndarray):
 
 def _runs(step: np.ndarray, gap: np.ndarray) -> Iterator[slice]:
     """Slices of edges with the same offset and length: their targets differ, so one vector step adds them."""
-    key = step * (MAX_PIECE + 1) + gap
-    cuts = np.flatnonzero(np.diff(key)) + 1
-    bounds = [0, *cuts.tolist(), len(key)]
+    cuts = np.flatnonzero((np.diff(step) != 0) | (np.diff(gap) != 0)) + 1
+    bounds = [0, *cuts.tolist(), len(step)]
     yield from (slice(a, b) for a, b in zip(bounds, bounds[1:], strict=False) if b > a)
 
 
@@ -161,10 +159,10 @@ def words_of(text: Column) -> Column:
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of each (language, word) within a batch."""
-    for batch in batches:
+    for batch in slices(batches, 4_096, 1, SLICE):
         langs, words = batch.column(0).dictionary_encode(), batch.column(1)
         coded = words.flatten().dictionary_encode()
-        sizes = np.diff(words.offsets.to_numpy())
+        sizes = np.diff(words.offsets.to_numpy()[: batch.num_rows + 1])
         lang = np.repeat(langs.indices.to_numpy(zero_copy_only=False), sizes).astype(np.int64)
         pair = lang * max(1, len(coded.dictionary)) + coded.indices.to_numpy(zero_copy_only=False)
         found, n = np.unique(pair, return_counts=True)
@@ -226,7 +224,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        for batch in batches:
+        for batch in slices(batches, 4_096, len(inner), SLICE):
             words = batch.column(len(inner))
             bounds = words.offsets.to_numpy().astype(np.int64)
             bounds = bounds - bounds[0]

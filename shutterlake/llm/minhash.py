@@ -33,28 +33,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.llm.common import connected_components, discard, written
+from shutterlake.llm.common import connected_components, discard, slices, written
 
 PERMUTATIONS, ROWS = 60, 4
 #: Members up to which a band is compared pair by pair, members in a block beyond that, and columns multiplied at a time.
 FEW, BLOCK, COLUMNS = 24, 1_024, 4_096
-#: Word hashes that a Python worker keeps, and shingles hashed at a time.
-SEEN_WORDS, CHUNK = 1_000_000, 1 << 16
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > SEEN_WORDS:
-            self.clear()
-        got = self[word] = xxhash.xxh3_64_intdigest(word)
-        return got
-
-
-_SEEN = _WordHashes()
-
-
 def _finish(h: np.ndarray) -> np.ndarray:
     """Scatter the bits of 64-bit values; one to one."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -67,7 +54,7 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     words = text.encode().lower().split() if text else []
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    h = np.fromiter(map(_SEEN.__getitem__, words), dtype=np.uint64, count=len(words))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
     size = min(width, len(h))
     # the length is hashed too, so short texts never meet full shingles
     out = np.full(len(h) - size + 1, size, dtype=np.uint64)
@@ -103,7 +90,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors, shifts = _permutations()
-        for batch in batches:
+        for batch in slices(batches, 1_024):
             sizes, first, second, bands = [], [], [], []
             for text in batch.column(1):
                 s = shingle_set(text.as_py(), width)
