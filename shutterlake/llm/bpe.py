@@ -33,6 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shutterlake.llm.common import small_batches
+
 #: Buckets of the literal rank map; a lookup compares the few keys of one bucket.
 BUCKETS = 16384
 #: Words in a block.
@@ -231,6 +233,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     ``higher_order`` folds the words by :func:`fold_word` in Spark rather than by
     :func:`merge_word` in the Arrow function.
     """
+    small_batches(docs.sparkSession)
     keep = [f for f in docs.schema.fields if f.name not in (text, ids, ids_bytes)]
     # the columns that are kept travel under names of their own, so none can clash
     inner = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(keep)]

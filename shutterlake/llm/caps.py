@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.llm.common import connected_components, written
+from shutterlake.llm.common import connected_components, small_batches, written
 
 BLOCKS, CODES, LIST, THRESHOLD = 4, 32, 32, 0.95
 #: The share of pairs at the threshold that all codes together may miss, and that one may at most.
@@ -159,6 +159,7 @@ def _cosines(pairs: DataFrame) -> DataFrame:
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, keep: int = LIST) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of ``vectors`` (vec_id, embedding)."""
+    small_batches(vectors.sparkSession)
     ids = vectors.select("vec_id")
     # two hashes name a vector
     decoded = filters(vectors, keep, threshold).withColumns({"ka": F.xxhash64("embedding"), "kb": F.xxhash64(F.lit(1), "embedding")})

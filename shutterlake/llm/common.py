@@ -64,6 +64,22 @@ def discard(*tables: DataFrame) -> None:
             jvm_path.getFileSystem(hadoop).delete(jvm_path, True)
 
 
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's limit for Arrow batches to ``BATCH_BYTES`` where it is higher.
+
+    Both sides of a Python worker hold whole batches, and by default a batch may
+    take 64 MB. Results do not depend on it.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    found = spark.conf.get(name)
+    if not found.rstrip("b").isdigit() or int(found.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int, column: int | None = None, items: int = 0) -> Iterator[pa.RecordBatch]:
     """The batches cut to at most ``rows`` rows each, and to about ``items`` elements of the lists in ``column`` where one is named.
 

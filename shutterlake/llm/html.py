@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shutterlake.llm.common import hash_sample
+from shutterlake.llm.common import hash_sample, small_batches
 
 #: Pages that the model is fitted on, chosen by the hash of their id.
 SAMPLE = 512
@@ -205,6 +205,7 @@ DEFAULT_WEIGHTS = np.array([-2.0, 0.8, -3.0, 1.0, 0.5, 1.0, -0.5])
 
 def learn(pages: DataFrame, html: str = "html", page_id: str = "page_id", sample: int = SAMPLE) -> np.ndarray:
     """Weights of :func:`features`, by ridge logistic regression on blocks of about ``sample`` pages."""
+    small_batches(pages.sparkSession)
     chosen = hash_sample(pages.select(page_id, html).where(F.col(html).isNotNull()), page_id, sample)
 
     def examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

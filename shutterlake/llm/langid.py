@@ -23,19 +23,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shutterlake.llm.bpe import load_ranks
-from shutterlake.llm.common import discard, slices, written
+from shutterlake.llm.common import discard, slices, small_batches, written
 
 #: Rounds of expectation maximisation.
 ROUNDS = 2
 #: Added to every expected piece count.
 SMOOTHING = 0.05
-#: Bytes of distinct words scored at a time, and words that a slice of a batch holds.
-CHUNK, SLICE = 1 << 16, 500_000
+#: Bytes of distinct words scored at a time, words that a slice of a batch holds, and words whose scores a task keeps.
+CHUNK, SLICE, KEPT = 1 << 16, 500_000, 100_000
 UNKNOWN = "und"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -180,6 +181,7 @@ class Model:
 def learn(docs: DataFrame, path: str, text: str = "text", lang: str = "lang", rounds: int = ROUNDS) -> Model:
     """Fit piece probabilities to all rows of ``docs`` with a language, over all of their words."""
     spark = docs.sparkSession
+    small_batches(spark)
     known = docs.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), words_of(F.col(text)).alias("words"))
     partial = known.mapInArrow(_word_counts, "lang string, word string, n long")
     table = written(partial.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
@@ -217,6 +219,7 @@ def learn(docs: DataFrame, path: str, text: str = "text", lang: str = "lang", ro
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``, the posterior of that language."""
+    small_batches(docs.sparkSession)
     keep = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
     inner = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(keep)]
     out = T.StructType([*inner, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -224,6 +227,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
+        # words that this task has scored, up to KEPT of them
+        known, kept = pa.array([], pa.string()), np.zeros((0, len(m.langs)))
         for batch in slices(batches, 4_096, len(inner), SLICE):
             words = batch.column(len(inner))
             bounds = words.offsets.to_numpy().astype(np.int64)
@@ -231,7 +236,12 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             coded = words.flatten().dictionary_encode()
             names, scores = np.full(batch.num_rows, UNKNOWN, dtype=object), np.zeros(batch.num_rows)
             if m.langs and bounds[-1]:
-                each = forward(m.path, coded.dictionary.to_pylist(), m.logp)
+                at = pc.index_in(coded.dictionary, value_set=known)
+                new, old = (np.flatnonzero(x.to_numpy(zero_copy_only=False)) for x in (at.is_null(), at.is_valid()))
+                fresh, each = coded.dictionary.take(pa.array(new)), np.zeros((len(at), len(m.langs)))
+                each[old], each[new] = kept[at.drop_null().to_numpy()], forward(m.path, fresh.to_pylist(), m.logp)
+                if len(known) < KEPT:
+                    known, kept = pa.concat_arrays([known, fresh]), np.concatenate([kept, each[new]])
                 index = coded.indices.to_numpy(zero_copy_only=False)
                 some = np.flatnonzero(np.diff(bounds) > 0)
                 total = np.stack([np.add.reduceat(each[:, k][index], bounds[:-1][some]) for k in range(len(m.langs))], axis=1) + m.prior

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shutterlake.llm.common import discard, written
+from shutterlake.llm.common import discard, small_batches, written
 
 MIN_CHARS = 20
 LAST = 2**63 - 1
@@ -132,6 +132,7 @@ def suffix_array(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with the later copies of line runs deleted from ``text``, and n_lines, n_removed."""
+    small_batches(docs.sparkSession)
     runs = later_runs(docs, min_chars)
     keyed = docs.withColumns({"__id": F.coalesce("doc_id", F.lit(LAST)), "__key": F.xxhash64("doc_id", "text")})
     if runs is None:

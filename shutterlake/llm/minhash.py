@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.llm.common import connected_components, discard, slices, written
+from shutterlake.llm.common import connected_components, discard, slices, small_batches, written
 
 PERMUTATIONS, ROWS = 60, 4
 #: Members up to which a band is compared pair by pair, members in a block beyond that, and columns multiplied at a time.
@@ -204,6 +204,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     Links are pairs with 100 * intersection >= percent * union of their sets of
     ``width``-word shingles; a component is named by its least id.
     """
+    small_batches(docs.sparkSession)
     signed = written(signatures(docs, width), "signatures")
     full = signed.where("n_shingles > 0 and doc_id is not null")
     classes = written(full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"), F.countDistinct("doc_id").alias("set_size")), "classes")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shutterlake.llm.common import hash_sample
+from shutterlake.llm.common import hash_sample, small_batches
 from shutterlake.llm.langid import words_of
 
 #: Labelled rows that the model is fitted on.
@@ -105,6 +105,7 @@ def fit_cumulative_link(rows: np.ndarray, cols: np.ndarray, values: np.ndarray,
 
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", sample: int = SAMPLE) -> Model:
     """Fit on about ``sample`` rows of ``labels`` (doc_id, grade)."""
+    small_batches(docs.sparkSession)
     chosen = labels.where(F.col("grade").isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max("grade").cast("int").alias("grade"))
     chosen = hash_sample(chosen, doc_id, sample)
     # the sample's size bounds what is broadcast

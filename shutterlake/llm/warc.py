@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shutterlake.llm.common import hash_sample, new_path
+from shutterlake.llm.common import hash_sample, new_path, small_batches
 
 #: Shortest payload that is stored once.
 LEAST_REVISIT = 100
@@ -165,6 +165,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
 def archive(pages: DataFrame) -> str:
     """Archive ``pages`` (page_id, url, html) in a new folder of the shared one, and return it."""
+    small_batches(pages.sparkSession)
     folder = new_path(pages.sparkSession, "warc")
     write(with_revisits(pages), folder, build_dictionary(pages))
     return folder
