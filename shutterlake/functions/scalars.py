@@ -8,8 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # File endings.
-VIDEO_ENDINGS = (".mov", ".mp4", ".avi", ".mkv", ".m4v", ".wmv", ".flv", ".webm", ".mpg", ".mpeg")
-RAW_ENDINGS = (".dng", ".raw", ".cr2", ".cr3", ".nef", ".arw", ".orf", ".rw2", ".raf", ".pef", ".srw", ".x3f")
+VIDEO_ENDINGS = (".mov", ".mp4", ".avi", ".mkv", ".wmv", ".m4v", ".3gp", ".webm", ".mts", ".m2ts")
+RAW_ENDINGS = (".dng", ".raw", ".cr2", ".cr3", ".nef", ".arw", ".rw2", ".orf", ".raf", ".sr2", ".srw", ".x3f")
+
+# Words that say nothing of a lens.
+STOP_WORDS = "a an the and or but in on at to for of with by from as is was are were be been being it this that these those i you he she we they my your our their".split()
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -19,6 +22,27 @@ def ascii_lower(x: Column) -> Column:
     return F.translate(x, _UPPER, _LOWER)
 
 
+def exact_round(x: Column, digits: int) -> Column:
+    """``x`` rounded as the binary value that it is, halves to even; exact while ``x * 10^digits`` stays under 2^52.
+
+    The product with the power of ten is taken without error, as a sum of two
+    doubles, so what is compared with one half is the value itself and not its
+    rounded product or its decimal text.
+    """
+    scale, split = float(10**digits), 134217729.0
+    s1 = scale * split - (scale * split - scale)
+    s2 = scale - s1
+    x = x.cast("double")
+    x1 = x * split - (x * split - x)
+    x2 = x - x1
+    high = x * scale
+    low = ((x1 * s1 - high) + x1 * s2 + x2 * s1) + x2 * s2
+    whole = F.floor(high).cast("double")
+    over = high - whole - 0.5
+    up = (over > 0) | ((over == 0) & ((low > 0) | ((low == 0) & (F.pmod(whole, F.lit(2.0)) == 1))))
+    return (whole + F.when(up, 1.0).otherwise(0.0)) / scale
+
+
 def image_key(date_taken: Column, filename: Column) -> Column:
     """The first ten characters of the date, ``_``, the file name; ``unknown`` for what is missing."""
     part = lambda x: F.coalesce(F.nullif(x, F.lit("")), F.lit("unknown"))
@@ -75,8 +99,11 @@ def collapse_space(x: Column) -> Column:
 
 
 def search_document(summary: Column, subjects: Column) -> Column:
-    """The text that is searched: summary and string subjects."""
-    joined = F.array_join(F.coalesce(json_strings(subjects), F.array().cast("array<string>")), " ")
+    """The text that is searched: summary and those subjects that are strings."""
+    # a variant keeps the kind of each member, which array<string> does not
+    members = F.try_variant_get(F.try_parse_json(subjects), "$", "array<variant>")
+    said = F.filter(members, lambda v: F.schema_of_variant(v) == "STRING")
+    joined = F.array_join(F.coalesce(F.transform(said, lambda v: F.try_variant_get(v, "$", "string")), F.array().cast("array<string>")), " ")
     return collapse_space(F.concat_ws(" ", F.coalesce(summary, F.lit("")), joined))
 
 
@@ -134,19 +161,22 @@ def not_video(path: Column) -> Column:
 
 
 def repetition_flag(x: Column) -> Column:
-    """1 or 0 of a loosely typed flag; null stays null."""
-    text = F.lower(F.trim(x.cast("string")))
-    return F.when(x.isNull(), F.lit(None)).when(text.isin("1", "true", "yes", "y"), 1).otherwise(0)
-
-
-def valid_score(x: Column) -> Column:
-    """An integral score from 1 to 10 given as a number or digits, else null."""
-    text = F.trim(x.cast("string"))
-    whole = F.when(text.rlike(r"^\d{1,2}(\.0+)?$"), F.regexp_replace(text, r"\.0+$", "").cast("long"))
+    """1 or 0 of a loosely typed flag: true, 1 and the texts 1, true, yes are 1, all else is 0; null stays null."""
+    yes = F.when(F.typeof(x) == "string", x.cast("string").isin("1", "true", "yes")).otherwise(x.try_cast("double") == 1)
+    return F.when(x.isNotNull(), F.coalesce(yes, F.lit(False)).cast("int"))
+
+
+def typed_score(x: Column) -> Column:
+    """A score from 1 to 10 of a variant: a whole number, or text of digits; a boolean is none."""
+    kind = F.schema_of_variant(x)
+    number = F.try_variant_get(x, "$", "double")
+    text = F.trim(F.try_variant_get(x, "$", "string"))
+    digits = F.when(text.rlike(r"^\d+$"), text.try_cast("bigint"))
+    whole = F.when(kind == "STRING", digits).when(kind != "BOOLEAN", F.when(number == F.floor(number), number.try_cast("bigint")))
     return F.when(whole.between(1, 10), whole)
 
 
-def rationale_tokens(x: Column, stop_words: list[str] | None = None) -> Column:
+def rationale_tokens(x: Column, stop_words: list[str] = STOP_WORDS) -> Column:
     """Words of three letters or more in lower case, without stop words."""
     words = F.transform(F.regexp_extract_all(F.lower(x), F.lit(r"[\p{L}\p{N}_']+"), F.lit(0)), lambda w: F.trim(w, F.lit("'")))
     kept = F.filter(words, lambda w: F.length(w) >= 3)
@@ -165,9 +195,14 @@ def z_score(votes: Column, expected: Column, population: Column) -> Column:
     return F.when(spread > 0, (votes - expected) / F.sqrt(spread)).otherwise(F.lit(0.0))
 
 
-def strength(crowned: Column, z: Column) -> Column:
-    """Label of a signature section."""
-    return F.when(~crowned, "leading-not-distinctive").when(z >= 6, "defining").when(z >= 3, "clear").otherwise("strength")
+# Labels of a signature section.
+LEADING, DEFINING, CLEAR, STRENGTH = "Leading, but not strongly distinctive", "A defining strength", "A clear strength", "A strength"
+
+
+def strength(crowned: Column, z: Column, fallback: Column | None = None) -> Column:
+    """Label of a lens; ``fallback`` says that it leads only because none is crowned."""
+    label = F.when(z >= 6, DEFINING).when(z >= 3, CLEAR).when(crowned, STRENGTH).otherwise(LEADING)
+    return label if fallback is None else F.when(fallback, LEADING).otherwise(label)
 
 
 def search_terms(query: str | None) -> list[str] | None:
@@ -195,7 +230,49 @@ def page_envelope(total: int, limit: int, offset: int) -> dict:
 
 
 def visual_attributes(colors: Column, moods: Column, technical: Column) -> tuple[Column, Column]:
-    """Colour and mood lists of a description as JSON text; an empty or missing colour list falls back to the technical part, a mood list only where it is missing."""
-    inner_colors, inner_moods = F.get_json_object(technical, "$.dominant_colors"), F.get_json_object(technical, "$.mood_tags")
-    color = F.when(F.size(F.coalesce(json_strings(colors), F.array().cast("array<string>"))) > 0, colors).otherwise(inner_colors)
-    return color, F.coalesce(moods, inner_moods)
+    """Colour and mood lists of a description as JSON text.
+
+    An empty or missing colour list falls back to the technical part's; a mood
+    list only where it is missing, to the technical part's one mood.
+    """
+    listed = lambda x: F.when(F.schema_of_variant(F.try_parse_json(x)).startswith("ARRAY"), F.to_json(F.try_parse_json(x)))
+    mood = F.trim(F.get_json_object(technical, "$.mood"))
+    own = listed(colors)
+    color = F.when(own != "[]", own).otherwise(listed(F.get_json_object(technical, "$.dominant_colors")))
+    return color, F.coalesce(listed(moods), F.when(mood != "", F.to_json(F.array(mood))))
+
+
+def json_list_or_map(x: Column) -> Column:
+    """JSON text that is an array or an object, in one form; anything else is null."""
+    value = F.try_parse_json(x)
+    kind = F.schema_of_variant(value)
+    return F.when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), F.to_json(value))
+
+
+def source_date(x: Column) -> Column:
+    """A source catalog's date: ISO text to the second in one form, other text as it is, empty as null."""
+    full = F.when(x.rlike(r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}$"), F.try_to_timestamp(x, F.lit("y-M-d'T'H:m:s")))
+    return F.nullif(F.coalesce(F.date_format(full, "yyyy-MM-dd'T'HH:mm:ss"), x), F.lit(""))
+
+
+def source_number(x: Column) -> Column:
+    """A coordinate given as text; null where it is none."""
+    return F.trim(x).try_cast("double")
+
+
+def digits_id(x: Column) -> Column:
+    """An id of digits only as a number, else null."""
+    text = F.trim(x.cast("string"))
+    return F.when(text.rlike(r"^\d+$"), text.try_cast("bigint"))
+
+
+def stage_progress(stage: Column, percent: Column, stages: int = 4) -> Column:
+    """Progress of a run of equal stages, from 5 to 100, where one stage's own progress runs from 5 to 100."""
+    span = (100 - 5) / stages
+    share = (F.greatest(F.lit(5), F.least(F.lit(100), percent)) - 5) / F.lit(95.0)
+    return F.least(F.lit(100.0), 5 + stage * span + share * span).cast("int")
+
+
+def range_progress(percent: Column, low: float, high: float) -> Column:
+    """Progress from 0 to 100 mapped to a range."""
+    return (low + (high - low) * percent / F.lit(100)).cast("int")

@@ -114,28 +114,60 @@ def binom_sf(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     return pd.Series([binomial_tail(int(a), int(b), float(c)) for a, b, c in zip(k, n, p, strict=True)])
 
 
-def py_round(digits: int):
-    """Rounding of the binary value, halves to even."""
-
-    @F.pandas_udf(T.DoubleType())
-    def rounded(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: None if v is None or v != v else round(v, digits))
-
-    return rounded
+#: Fixed value: characters of an answer that are read at most.
+ANSWER_CHARS = 512_000
 
 
 def repaired(text: str | None) -> str | None:
-    """JSON text without a code fence and without trailing commas."""
-    if text is None:
+    """JSON text without a code fence and without trailing commas; an answer that is too long is null."""
+    if text is None or len(text) > ANSWER_CHARS:
         return None
     body = text.strip()
-    fence = re.match(r"^```[A-Za-z]*\s*(.*?)\s*```$", body, re.S)
-    body = fence[1] if fence else body
+    fence = re.search(r"```(?:json)?\s*(.*?)\s*```", body, re.S | re.I)
+    body = fence[1].strip() if fence else body
     while (less := re.sub(r",(\s*[}\]])", r"\1", body)) != body:
         body = less
     return body
 
 
+_REPLY = {"perspective_slug": str, "score": int, "rationale": str, "not_attempted": bool}
+
+
+def strict_score(text: str | None) -> tuple:
+    """(perspective_slug, score, rationale, not_attempted, error) of a model's answer.
+
+    The answer must be an object with exactly these fields, of which only
+    not_attempted may be left out, and a score from 1 to 10; else error says why.
+    """
+    body = repaired(text)
+    if body is None:
+        return None, None, None, None, "no answer, or too large"
+    try:
+        got = json.loads(body)
+    except ValueError:
+        return None, None, None, None, "no JSON"
+    if not isinstance(got, dict):
+        return None, None, None, None, "no object"
+    got = {"not_attempted": False} | got
+    wrong = [f"{k}: missing" for k in _REPLY if k not in got] + [f"{k}: unknown" for k in got if k not in _REPLY]
+    score = got.get("score")
+    if isinstance(score, float) and score.is_integer():
+        got["score"] = int(score)
+    wrong += [f"{k}: not a {t.__name__}" for k, t in _REPLY.items() if k in got and (not isinstance(got[k], t) or (t is int and isinstance(got[k], bool)))]
+    if not wrong and not 1 <= got["score"] <= 10:
+        wrong = ["score: not from 1 to 10"]
+    if wrong:
+        return None, None, None, None, "; ".join(wrong)
+    return got["perspective_slug"], got["score"], got["rationale"], got["not_attempted"], None
+
+
+@F.pandas_udf(T.StructType([T.StructField("perspective_slug", T.StringType()), T.StructField("score", T.IntegerType()), T.StructField("rationale", T.StringType()), T.StructField("not_attempted", T.BooleanType()), T.StructField("error", T.StringType())]))
+def parse_score(text: pd.Series) -> pd.DataFrame:
+    """:func:`strict_score` of a column."""
+    rows = pd.DataFrame([strict_score(t) for t in text], columns=["perspective_slug", "score", "rationale", "not_attempted", "error"])
+    return rows.astype({"score": "Int32", "not_attempted": "boolean"})
+
+
 @F.pandas_udf(T.StringType())
 def repair_json(text: pd.Series) -> pd.Series:
     """:func:`repaired` of a column."""

@@ -103,8 +103,19 @@ def search(base: DataFrame, f: CatalogFilter, scores: DataFrame | None = None, p
 
 
 def full_text(texts: DataFrame, terms: list[str]) -> DataFrame:
-    """Rows of (key, text) that hold every term, after folding and stemming."""
-    return with_tokens(texts).where(F.forall(F.array(*[F.lit(porter_stem(t.lower())) for t in terms]), lambda t: F.array_contains("tokens", t)))
+    """Rows of (key, text) that hold every term, after folding and stemming.
+
+    Where the rows carry ``tokens`` (see :func:`with_tokens`), those are searched
+    and no text is read. Otherwise only texts that can match are stemmed: a word
+    begins with its stem less the last letter, so a text of ASCII alone that lacks
+    this beginning of some term drops out before.
+    """
+    stems = [porter_stem(t.lower()) for t in terms]
+    if "tokens" not in texts.columns:
+        plain = F.lower("text")
+        begun = reduce(lambda a, b: a & b, [F.contains(plain, F.lit(s[: max(1, len(s) - 1)])) for s in stems])
+        texts = with_tokens(texts.where(F.col("text").rlike(r"[^\x00-\x7F]") | begun))
+    return texts.where(reduce(lambda a, b: a & b, [F.array_contains("tokens", s) for s in stems]))
 
 
 def with_tokens(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -112,6 +123,59 @@ def with_tokens(texts: DataFrame, text: str = "text") -> DataFrame:
     return texts.withColumn("tokens", porter_tokens(text))
 
 
+def filter_in_order(base: DataFrame, keys: list, f: CatalogFilter, scores: DataFrame | None = None, perspectives: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
+    """The rows of ``keys`` that pass the filters, in the caller's order."""
+    return in_given_order(search(base, f, scores, perspectives, texts), keys)
+
+
+def search_dispatch(images: DataFrame, texts: DataFrame, keyword: str | None = None, rating: int | None = None, color: str | None = None, date_from: str | None = None, date_to: str | None = None) -> DataFrame:
+    """One search of several: the keyword, else the rating, else the colour, else the dates; nothing asked for gives nothing."""
+    if keyword:
+        return search_by_keyword(images, texts, keyword)
+    if rating is not None:
+        return images.where(F.col("rating") >= rating)
+    if color:
+        return images.where(X.ascii_lower(F.col("color_label")) == color.lower())
+    if date_from or date_to:
+        date = F.col("date_taken").cast("string")
+        out = images.where(date >= date_from) if date_from else images
+        return out.where(date <= date_to) if date_to else out
+    return images.limit(0)
+
+
+def missing_hashes(images: DataFrame, column: str = "phash") -> DataFrame:
+    """Keys of images without a hash, newest first."""
+    return newest_first(images.where(F.col(column).isNull())).select("key")
+
+
+def missing_visual_tags(images: DataFrame, descriptions: DataFrame) -> DataFrame:
+    """Keys of images whose description has no colour list, not even an empty one."""
+    return images.join(descriptions.where("dominant_colors is null").select("key"), "key", "left_semi").select("key")
+
+
+def newest_first(images: DataFrame) -> DataFrame:
+    """Images by date, those without one last, then by key."""
+    return images.orderBy(F.coalesce(F.col("date_taken").cast("string"), F.lit("")).desc(), F.desc("key"))
+
+
+def api_rows(rows: DataFrame) -> DataFrame:
+    """Rows of the main list in the form that is served.
+
+    An id of digits is a number and any other null; the description's columns are
+    given where there is one, empty rather than null; the lens goes with its score.
+    """
+    described = F.col("description_summary").isNotNull()
+    text = lambda c: F.when(described, F.coalesce(c, F.lit("")))
+    return rows.withColumns({
+        "id": X.digits_id(F.col("id")),
+        "ai_analyzed": described,
+        "description_best_perspective": text("description_best_perspective"),
+        "description_summary": text("description_summary"),
+        "catalog_score_perspective": F.when(F.col("catalog_perspective_score").isNotNull(), F.col("catalog_score_perspective")),
+        "is_stack_representative": F.coalesce("is_stack_representative", F.lit(False)),
+    })
+
+
 def page(rows: DataFrame, limit: int | None = None, offset: int | None = None, by_score: str | None = None, by_date: str = "desc") -> DataFrame:
     """One page: by score (nulls last either way), then date, then key; or newest first."""
     limit, offset = X.page_bounds(limit, offset)
@@ -130,7 +194,7 @@ def in_given_order(rows: DataFrame, keys: list) -> DataFrame:
     if not places:
         return rows.limit(0).withColumn("place", F.lit(0))
     wanted = spark.createDataFrame(list(places.items()), f"key {dict(rows.dtypes)['key']}, place int")
-    return rows.join(F.broadcast(wanted), "key").orderBy("place")
+    return rows.join(wanted, "key").orderBy("place")
 
 
 def facet_counts(images: DataFrame, descriptions: DataFrame) -> DataFrame:
@@ -141,6 +205,15 @@ def facet_counts(images: DataFrame, descriptions: DataFrame) -> DataFrame:
     return a.crossJoin(b)
 
 
+def facets(images: DataFrame, descriptions: DataFrame, scores: DataFrame, tags: int = 40) -> DataFrame:
+    """One row of all facets: the counts, and as arrays and structs the colour labels, moods, date range and lenses with a score."""
+    labels = color_labels(images).agg(F.array_sort(F.collect_list(F.struct("color_label", "n"))).alias("color_labels"))
+    moods = top_tags(descriptions, "mood_tags", tags).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "tag"))), lambda m: m["tag"]).alias("top_moods"))
+    dates = date_range(images).select(F.coalesce("first", F.lit("")).alias("earliest"), F.coalesce("last", F.lit("")).alias("latest"))
+    lenses = scores.agg(F.sort_array(F.collect_set("perspective_slug")).alias("perspectives"))
+    return facet_counts(images, descriptions).crossJoin(labels).crossJoin(moods).crossJoin(dates).crossJoin(lenses)
+
+
 def color_labels(images: DataFrame) -> DataFrame:
     """(color_label, n) of non-empty labels, folded."""
     label = X.ascii_lower(F.col("color_label"))
@@ -159,8 +232,10 @@ def date_range(images: DataFrame) -> DataFrame:
 
 
 def top_tags(rows: DataFrame, column: str, limit: int = 40) -> DataFrame:
-    """(tag, n): the most frequent members of a JSON array column, ties by tag."""
-    tags = rows.where(X.non_empty_json_list(F.col(column))).select(F.explode(X.json_strings(F.col(column))).alias("tag"))
+    """(tag, n): the most frequent members of a column of JSON arrays, or of arrays, ties by tag."""
+    if dict(rows.dtypes)[column] == "string":
+        rows = rows.where(X.non_empty_json_list(F.col(column))).select(X.json_strings(F.col(column)).alias(column))
+    tags = rows.select(F.explode(column).alias("tag"))
     return tags.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "tag").limit(limit)
 
 
@@ -173,8 +248,7 @@ def undescribed(images: DataFrame, descriptions: DataFrame, months_back: int | N
     """Images with no description, undated first, then newest; within a window of months, or else a year."""
     left = images.join(descriptions.select("key"), "key", "left_anti")
     if months_back:
-        since = X.months_before(F.to_date(F.lit(as_of)) if as_of else F.current_date(), months_back)
-        left = left.where(F.col("date_taken").cast("string") >= since.cast("string"))
+        left = left.where(since(months_back, as_of))
     elif year:
         left = left.where(X.year(F.col("date_taken").cast("string")) == year)
     return left.orderBy(F.col("date_taken").isNull().desc(), F.desc("date_taken"), F.desc("key"))
@@ -199,29 +273,68 @@ def search_by_keyword(images: DataFrame, texts: DataFrame, keyword: str) -> Data
 
 
 def sample_keys(images: DataFrame, n: int = 25, seed: int = 0) -> DataFrame:
-    """A seeded random sample of keys."""
-    return images.select("key").orderBy(F.rand(seed)).limit(n)
+    """A random sample of keys, the same for a seed however the table is split."""
+    return images.select("key").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("key").cast("string")))).limit(n)
+
+
+def usable_path(path: str = "filepath") -> Column:
+    """Whether there is a path that is not blank."""
+    return F.col(path).isNotNull() & (F.trim(path) != "")
+
+
+def needs_embedding(images: DataFrame, embeddings: DataFrame, force: bool = False, months_back: int | None = None, as_of: str | None = None) -> DataFrame:
+    """Keys with a usable path and no vector, newest first, within a window of months where one is given."""
+    left = images.where(usable_path())
+    if months_back:
+        left = left.where(since(months_back, as_of))
+    return newest_first(left if force else left.join(embeddings.select("key"), "key", "left_anti")).select("key")
+
+
+def since(months_back: int, as_of: str | None = None) -> Column:
+    """Dates of the last months before a day, compared as text."""
+    day = X.months_before(F.to_date(F.lit(as_of)) if as_of else F.current_date(), months_back)
+    return F.col("date_taken").cast("string") >= day.cast("string")
 
 
-def needs_embedding(images: DataFrame, embeddings: DataFrame, force: bool = False) -> DataFrame:
-    """Keys with a usable path and no vector, newest first."""
-    usable = images.where("filepath is not null and trim(filepath) <> ''")
-    left = usable if force else usable.join(embeddings.select("key"), "key", "left_anti")
-    return left.orderBy(F.coalesce(F.col("date_taken").cast("string"), F.lit("")).desc(), F.desc("key")).select("key")
+#: What the cache says of a file that is too large to compress.
+OVERSIZED = "__oversized__"
 
 
-def cache_state(images: DataFrame, cache: DataFrame, files: DataFrame) -> DataFrame:
-    """(key, state): valid, stale or missing, from the cache table and the files' times (path, mtime)."""
-    rows = images.select("key", "filepath").join(cache, "key", "left").join(files.withColumnRenamed("path", "filepath"), "filepath", "left")
-    state = F.when(X.has_ending(F.col("filepath"), X.VIDEO_ENDINGS), "video").when(F.col("compressed_path").isNull(), "missing").when(F.col("mtime") == F.col("original_mtime"), "valid").otherwise("stale")
+def cache_state(images: DataFrame, cache: DataFrame, files: DataFrame, oversized: str = OVERSIZED) -> DataFrame:
+    """(key, state): whether the cached copy of an image may be used, from the cache table and the files that exist (path, mtime).
+
+    valid, or why not: missing (no row), video, raw_uncompressed (a raw file that
+    stands for itself or was too large), no_copy (the copy's path is empty or its
+    file is gone), stale (the original changed or is gone). A file that is too
+    large and not raw is valid while it is unchanged.
+    """
+    originals = files.select(F.col("path").alias("filepath"), F.col("mtime").alias("now"))
+    copies = files.select(F.col("path").alias("compressed_path")).distinct().withColumn("__copy", F.lit(True))
+    rows = images.select("key", "filepath").join(cache.withColumn("__row", F.lit(True)), "key", "left").join(originals, "filepath", "left").join(copies, "compressed_path", "left")
+    path, copy = F.col("filepath"), F.coalesce("compressed_path", F.lit(""))
+    unchanged = F.coalesce(F.col("now") == F.col("original_mtime"), F.lit(False))
+    state = (
+        F.when(F.col("__row").isNull(), "missing")
+        .when(X.has_ending(path, X.VIDEO_ENDINGS), "video")
+        .when(X.has_ending(path, X.RAW_ENDINGS) & ((copy == path) | (copy == oversized)), "raw_uncompressed")
+        .when((copy != oversized) & ((copy == "") | F.col("__copy").isNull()), "no_copy")
+        .when(unchanged, "valid")
+        .otherwise("stale")
+    )
     return rows.select("key", state.alias("state"))
 
 
+def needs_cache(images: DataFrame, cache: DataFrame, files: DataFrame) -> DataFrame:
+    """Images to compress: those whose path is no video's and whose cached copy is not valid, newest first."""
+    todo = cache_state(images, cache, files).where(~F.col("state").isin("valid", "video")).select("key")
+    return newest_first(images.where(usable_path()).where(X.not_video(F.col("filepath"))).join(todo, "key", "left_semi"))
+
+
 def skip_histogram(reasons: DataFrame, buckets: tuple[str, ...] = ("no_row", "empty_path", "unresolved", "encode_failed")) -> DataFrame:
     """(reason, n) over fixed buckets, zero included."""
     counts = reasons.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
     fixed = reasons.sparkSession.createDataFrame([(b,) for b in buckets], "reason string")
-    return F.broadcast(fixed).join(counts, "reason", "left").select("reason", F.coalesce("n", F.lit(0)).alias("n"))
+    return fixed.join(counts, "reason", "left").select("reason", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def latest_of(rows: DataFrame, group: str, order: str, tie: str) -> DataFrame:
@@ -238,6 +351,27 @@ def image_detail(images: DataFrame, stacks: DataFrame, best: DataFrame, descript
     return out.join(descriptions, "key", "left")
 
 
+def enriched(images: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Images whose hash was missing with what was found (key, phash, exif, description), and one row of processed, skipped, errors.
+
+    A row of ``found`` without a hash is an error and changes nothing; images that
+    have a hash are skipped.
+    """
+    new = found.select("key", *[F.col(c).alias(f"__{c}") for c in ("phash", "exif", "description")]).dropDuplicates(["key"])
+    both = images.join(new, "key", "left")
+    todo = F.col("phash").isNull()
+    take = todo & F.col("__phash").isNotNull()
+    out = both.withColumns({c: F.when(take, F.coalesce(f"__{c}", c)).otherwise(F.col(c)) for c in ("phash", "exif", "description")})
+    counts = both.agg(F.count_if(take).alias("processed"), F.count_if(~todo).alias("skipped"), F.count_if(todo & F.col("__phash").isNull()).alias("errors"))
+    return out.select(*images.columns), counts
+
+
+def decoded(rows: DataFrame, arrays: tuple[str, ...] = (), objects: tuple[str, ...] = (), flags: tuple[str, ...] = ()) -> DataFrame:
+    """Rows with JSON columns as arrays and maps of text (null where they are malformed), and 0/1 columns as booleans."""
+    columns = {c: F.from_json(c, "array<string>") for c in arrays} | {c: F.from_json(c, "map<string,string>") for c in objects} | {c: F.col(c) == 1 for c in flags}
+    return rows.withColumns(columns)
+
+
 def groups_page(groups: DataFrame, candidates: DataFrame, images: DataFrame, hidden: DataFrame, limit: int | None = None, offset: int | None = None) -> DataFrame:
     """Similarity groups, newest first, with their candidates' images; groups whose seed is hidden drop out.
 

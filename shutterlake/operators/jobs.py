@@ -84,3 +84,35 @@ def recovered(jobs: DataFrame) -> DataFrame:
     resumable = F.get_json_object("metadata", "$.checkpoint_version") == "1"
     status = F.when(running & F.coalesce(resumable, F.lit(False)), "pending").when(running, "failed").otherwise(F.col("status"))
     return jobs.withColumn("status", status)
+
+
+#: The buckets of the pipeline's status, the job type of each, and whether jobs of other images count.
+PIPELINE_BUCKETS = (
+    ("catalog_sync", "catalog_sync", None),
+    ("embed_catalog", "batch_embed_image", ("$.image_type", "catalog")),
+    ("stack_detect", "batch_stack_detect", None),
+    ("catalog_similarity", "batch_catalog_similarity", None),
+    ("catalog_cache_build", "catalog_cache_build", None),
+)
+
+
+def pipeline_status(jobs: DataFrame, buckets: tuple = PIPELINE_BUCKETS) -> DataFrame:
+    """One row a bucket: its newest job, null where there is none.
+
+    A job belongs to a bucket by its type, and by a value in its metadata where
+    the bucket names one; jobs without that value count.
+    """
+    bucket = None
+    for name, kind, value in buckets:
+        mine = F.col("type") == kind
+        if value is not None:
+            mine = mine & metadata_is(*value)
+        bucket = F.when(mine, name) if bucket is None else bucket.when(mine, name)
+    newest = latest_per(jobs.where(bucket.isNotNull()), bucket)
+    every = jobs.sparkSession.createDataFrame([(b[0],) for b in buckets], "bucket string")
+    return every.join(newest.select("bucket", F.col("id").alias("job_id"), "type", "status", "created_at"), "bucket", "left")
+
+
+def active(jobs: DataFrame) -> DataFrame:
+    """Jobs that wait or run, oldest first."""
+    return jobs.where(can_cancel(F.col("status"))).orderBy("created_at", "id")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shutterlake.functions import scalars as X
+
 
 def current(scores: DataFrame) -> DataFrame:
     """The current rows of a versioned score table."""
@@ -14,7 +16,7 @@ def current(scores: DataFrame) -> DataFrame:
 def attempted(scores: DataFrame, perspectives: DataFrame) -> DataFrame:
     """Scores of active lenses that were given: the population of all identity queries."""
     lenses = perspectives.where("active = 1").select(F.col("slug").alias("perspective_slug"))
-    return scores.where(F.coalesce("not_attempted", F.lit(0)) == 0).join(F.broadcast(lenses), "perspective_slug", "left_semi")
+    return scores.where(F.coalesce("not_attempted", F.lit(0)) == 0).join(lenses, "perspective_slug", "left_semi")
 
 
 def best_score(scores: DataFrame) -> DataFrame:
@@ -36,19 +38,36 @@ def percentiles(population: DataFrame) -> DataFrame:
     below = F.sum("tied").over(lens.orderBy("score")) - F.col("tied")
     rank = below + (F.col("tied") + 1) / F.lit(2.0)
     table = counts.select("perspective_slug", "score", F.when(n == 1, F.lit(1.0)).otherwise((rank - 1) / (n - 1)).alias("pct"))
-    return population.join(F.broadcast(table), ["perspective_slug", "score"])
+    return population.join(table, ["perspective_slug", "score"])
 
 
 def peaks(pct: DataFrame, min_perspectives: int = 1) -> DataFrame:
     """(image_key, peak, coverage, eligible): the best rounded percentile of an image."""
-    rounded = F.round("pct", 6)
-    return pct.groupBy("image_key").agg(F.max(rounded).alias("peak"), F.count(F.lit(1)).alias("coverage")).withColumn("eligible", F.col("coverage") >= min_perspectives)
+    return pct.groupBy("image_key").agg(F.max(X.exact_round(F.col("pct"), 6)).alias("peak"), F.count(F.lit(1)).alias("coverage")).withColumn("eligible", F.col("coverage") >= min_perspectives)
+
+
+def peak_details(pct: DataFrame, perspectives: DataFrame, min_perspectives: int = 1) -> DataFrame:
+    """:func:`peaks` with ``per_perspective``, the image's lenses in order: slug, display_name, score, percentile."""
+    named = pct.join(perspectives.select(F.col("slug").alias("perspective_slug"), "display_name"), "perspective_slug", "left")
+    one = F.struct("perspective_slug", F.coalesce("display_name", F.col("perspective_slug").cast("string")).alias("display_name"), "score", X.exact_round(F.col("pct"), 6).alias("percentile"))
+    listed = named.groupBy("image_key").agg(F.array_sort(F.collect_list(one)).alias("per_perspective"))
+    peak = F.array_max(F.transform("per_perspective", lambda p: p["percentile"]))
+    return listed.select("image_key", peak.alias("peak"), F.size("per_perspective").cast("long").alias("coverage"), (F.size("per_perspective") >= min_perspectives).alias("eligible"), "per_perspective")
+
+
+def peak_meta(peak: DataFrame, images: DataFrame, perspectives: DataFrame) -> DataFrame:
+    """One row: active_perspectives, total_catalog_images, scored_any_count, eligible_count (before stacks collapse)."""
+    counts = peak.agg(F.count(F.lit(1)).alias("scored_any_count"), F.count_if("eligible").alias("eligible_count"))
+    active = perspectives.where("active = 1").agg(F.sort_array(F.collect_set("slug")).alias("active_perspectives"))
+    total = images.agg(F.count(F.lit(1)).alias("total_catalog_images"))
+    return active.crossJoin(total).crossJoin(counts)
 
 
 def aggregate(population: DataFrame, min_perspectives: int = 1) -> DataFrame:
     """(image_key, mean_score, coverage, eligible, scores): the equal-weight mean over lenses."""
     listed = F.sort_array(F.collect_list(F.struct("perspective_slug", "score"))).alias("scores")
-    return population.groupBy("image_key").agg(F.round(F.avg("score"), 4).alias("mean_score"), F.count(F.lit(1)).alias("coverage"), listed).withColumn("eligible", F.col("coverage") >= min_perspectives)
+    means = population.groupBy("image_key").agg(F.avg("score").alias("mean_score"), F.count(F.lit(1)).alias("coverage"), listed)
+    return means.withColumns({"mean_score": X.exact_round(F.col("mean_score"), 4), "eligible": F.col("coverage") >= min_perspectives}).select("image_key", "mean_score", "coverage", "eligible", "scores")
 
 
 def rank_best_photos(pct: DataFrame, images: DataFrame, hidden: DataFrame, limit: int = 50, offset: int = 0, min_perspectives: int = 1, newest_first: bool = True, posted: bool | None = None) -> DataFrame:
@@ -63,9 +82,14 @@ def rank_best_photos(pct: DataFrame, images: DataFrame, hidden: DataFrame, limit
 
 
 def coverage(scores: DataFrame, perspectives: DataFrame) -> DataFrame:
-    """(slug, active, images): images scored under each lens, zero included."""
+    """(slug, display_name, active, images): images scored under each lens, zero included."""
     counts = scores.groupBy(F.col("perspective_slug").alias("slug")).agg(F.countDistinct("image_key").alias("images"))
-    return perspectives.select("slug", "active").join(counts, "slug", "left").select("slug", "active", F.coalesce("images", F.lit(0)).alias("images"))
+    return perspectives.select("slug", "display_name", "active").join(counts, "slug", "left").select("slug", "display_name", "active", F.coalesce("images", F.lit(0)).alias("images"))
+
+
+def distinct_slugs(scores: DataFrame) -> DataFrame:
+    """(perspective_slug): the lenses with a current score, in order."""
+    return scores.select("perspective_slug").distinct().orderBy("perspective_slug")
 
 
 def unscored_on_active(images: DataFrame, scores: DataFrame, perspectives: DataFrame) -> DataFrame:
@@ -103,8 +127,9 @@ def scoring_at_least(scores: DataFrame, perspectives: DataFrame, least: int = 9)
 def work_triples(images: DataFrame, perspectives: DataFrame, done: list[DataFrame]) -> DataFrame:
     """(image_key, perspective_slug) still to score: all pairs, less those in each table of ``done``.
 
-    The lenses are a handful, so they are exploded from one array rather than
-    cross joined.
+    What is done is given by :func:`current_for_version`, :func:`done_by_model`
+    and a checkpoint's pairs. The lenses are a handful, so they are exploded from
+    one array rather than cross joined.
     """
     lenses = perspectives.where("active = 1").agg(F.sort_array(F.collect_set("slug")).alias("slugs"))
     pairs = images.select(F.col("key").alias("image_key")).crossJoin(F.broadcast(lenses)).select("image_key", F.explode("slugs").alias("perspective_slug"))
@@ -113,6 +138,21 @@ def work_triples(images: DataFrame, perspectives: DataFrame, done: list[DataFram
     return pairs
 
 
+def current_for_version(scores: DataFrame, versions: DataFrame) -> DataFrame:
+    """Pairs whose current score was given under the lens's present (perspective_slug, prompt_version)."""
+    return current(scores).join(versions.select("perspective_slug", "prompt_version"), ["perspective_slug", "prompt_version"], "left_semi").select("image_key", "perspective_slug").distinct()
+
+
+def done_by_model(rows: DataFrame, model: str) -> DataFrame:
+    """The rows of scores or descriptions that a model gave."""
+    return rows.where(F.col("model_used") == model)
+
+
+def delete_version(scores: DataFrame, versions: DataFrame) -> DataFrame:
+    """Scores without those of the given (image_key, image_type, perspective_slug, prompt_version)."""
+    return scores.join(versions, ["image_key", "image_type", "perspective_slug", "prompt_version"], "left_anti").select(*scores.columns)
+
+
 def supersede(old: DataFrame, new: DataFrame) -> DataFrame:
     """Versions after ``new`` rows came in: a new row replaces the same version, and is the only current one of its image and lens."""
     group = ["image_key", "image_type", "perspective_slug"]
@@ -132,9 +172,7 @@ def history(scores: DataFrame) -> DataFrame:
 
 def backfill_legacy(descriptions: DataFrame, scores: DataFrame) -> DataFrame:
     """Score rows out of the legacy JSON maps, where an image and lens has no current score."""
-    from shutterlake.functions.scalars import valid_score
-
-    cells = descriptions.select("image_key", "image_type", "model_used", "described_at", F.explode(F.from_json("perspectives", "map<string,struct<score:string,analysis:string>>")).alias("perspective_slug", "cell"))
-    rows = cells.withColumn("score", valid_score(F.col("cell.score"))).where("score is not null")
+    cells = descriptions.select("image_key", "image_type", "model_used", "described_at", F.explode(F.try_variant_get(F.try_parse_json("perspectives"), "$", "map<string,variant>")).alias("perspective_slug", "cell"))
+    rows = cells.withColumn("score", X.typed_score(F.try_variant_get("cell", "$.score", "variant"))).where("score is not null")
     fresh = rows.join(current(scores).select("image_key", "image_type", "perspective_slug"), ["image_key", "image_type", "perspective_slug"], "left_anti")
-    return fresh.select("image_key", "image_type", "perspective_slug", "score", F.col("cell.analysis").alias("rationale"), "model_used", F.lit("legacy").alias("prompt_version"), F.col("described_at").alias("scored_at"), F.lit(1).cast("long").alias("is_current"))
+    return fresh.select("image_key", "image_type", "perspective_slug", "score", F.try_variant_get("cell", "$.analysis", "string").alias("rationale"), "model_used", F.lit("legacy").alias("prompt_version"), F.col("described_at").alias("scored_at"), F.lit(1).cast("long").alias("is_current"))

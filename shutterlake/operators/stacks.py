@@ -13,28 +13,44 @@ from shutterlake.functions.scalars import gap_seconds
 BLANK = 4.5
 
 
+#: Rows that one slot of time holds, about.
+SLOT_ROWS = 1 << 20
+
+
+def _slots(timed: DataFrame, ts: str) -> Column:
+    """The number of the slot of time that a row falls in; slots hold about as many rows each, so that a busy hour is no hot key."""
+    count = -(-timed.count() // SLOT_ROWS)
+    if count <= 1:
+        return F.lit(0)
+    at = F.unix_micros(F.col(ts).cast("timestamp")).alias("at")
+    bounds = timed.select(at).agg(F.percentile_approx("at", [i / count for i in range(1, count)], 100 * count)).first()[0]
+    # which slots there are does not matter for the result
+    return F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda b: b < F.unix_micros(F.col(ts).cast("timestamp"))))
+
+
 def burst_ids(rows: DataFrame, ts: str, key: str, delta_ms: int) -> DataFrame:
     """``rows`` with ``burst``, the time and key at which the row's segment begins; a gap above ``delta_ms`` begins a new one.
 
-    No sort of the whole table: rows are windowed within hours, and what an hour
-    needs of those before it (their last time, the last segment begun) comes from
-    a table of one row an hour. Rows without a time drop out.
+    No sort of the whole table: rows are windowed within slots of time, and what a
+    slot needs of those before it (their last time, the last segment begun) comes
+    from a table of one row a slot. Rows without a time drop out.
     """
-    timed = rows.where(F.col(ts).isNotNull()).withColumn("__hour", F.date_trunc("hour", ts))
+    timed = rows.where(F.col(ts).isNotNull())
+    timed = timed.withColumn("__slot", _slots(timed, ts))
     micros = lambda x: F.unix_micros(x.cast("timestamp"))
-    inside = Window.partitionBy("__hour").orderBy(ts, key)
+    inside = Window.partitionBy("__slot").orderBy(ts, key)
     before = F.lag(ts).over(inside)
     step = timed.withColumns({"__gap": micros(F.col(ts)) - micros(before), "__first": before.isNull()})
-    ends = timed.groupBy("__hour").agg(F.max(ts).alias("__end"))
-    hours = Window.orderBy("__hour")
-    carried = ends.select("__hour", F.lag("__end").over(hours).alias("__before"))
+    ends = timed.groupBy("__slot").agg(F.max(ts).alias("__end"))
+    slots = Window.orderBy("__slot")
+    carried = ends.select("__slot", F.lag("__end").over(slots).alias("__before"))
     gap = F.when(F.col("__first"), micros(F.col(ts)) - micros(F.col("__before"))).otherwise(F.col("__gap"))
-    begun = step.join(carried, "__hour").withColumn("__new", gap.isNull() | (gap > delta_ms * 1000))
+    begun = step.join(carried, "__slot").withColumn("__new", gap.isNull() | (gap > delta_ms * 1000))
     start = F.when(F.col("__new"), F.struct(F.col(ts).alias("ts"), F.col(key).alias("key")))
     own = begun.withColumn("__own", F.last(start, ignorenulls=True).over(inside))
-    opened = begun.groupBy("__hour").agg(F.max(start).alias("__open"))
-    earlier = opened.select("__hour", F.last("__open", ignorenulls=True).over(hours.rowsBetween(Window.unboundedPreceding, -1)).alias("__earlier"))
-    out = own.join(earlier, "__hour").withColumn("burst", F.coalesce("__own", "__earlier"))
+    opened = begun.groupBy("__slot").agg(F.max(start).alias("__open"))
+    earlier = opened.select("__slot", F.last("__open", ignorenulls=True).over(slots.rowsBetween(Window.unboundedPreceding, -1)).alias("__earlier"))
+    out = own.join(earlier, "__slot").withColumn("burst", F.coalesce("__own", "__earlier"))
     return out.select(*rows.columns, "burst")
 
 
@@ -142,3 +158,28 @@ def pending_suggestions(pairs: DataFrame, images: DataFrame, fields: DataFrame,
     status = F.col("seed_stack").isNotNull().cast("int") + F.col("candidate_stack").isNotNull().cast("int")
     out = out.withColumns({"stack_status": status, "gap": gap_seconds(F.col("seed_date"), F.col("candidate_date"))})
     return out.select("group_id", "seed_key", "candidate_key", "similarity", "stack_status", "gap").orderBy("stack_status", "gap", F.desc("group_id"), "candidate_key")
+
+
+def count_pending(*tables: DataFrame) -> DataFrame:
+    """(pending): how many suggestions are still to decide; takes what :func:`pending_suggestions` takes."""
+    return pending_suggestions(*tables).agg(F.count(F.lit(1)).alias("pending"))
+
+
+def metadata(stacks: DataFrame, members: DataFrame) -> DataFrame:
+    """Stacks with the members they have now: stack_id, representative_key, stack_size, members."""
+    live = members.groupBy("stack_id").agg(F.count(F.lit(1)).alias("stack_size"), F.sort_array(F.collect_list("key")).alias("members"))
+    return stacks.select("stack_id", "representative_key").join(live, "stack_id", "left").withColumn("stack_size", F.coalesce("stack_size", F.lit(0)))
+
+
+def containing(members: DataFrame, key) -> DataFrame:
+    """The members of the stack that a key is in; a key in no stack stands alone."""
+    mine = members.where(F.col("key") == key).select("stack_id")
+    rows = members.join(F.broadcast(mine.limit(1)), "stack_id", "left_semi").select("key")
+    alone = members.sparkSession.createDataFrame([(key,)], f"key {dict(members.dtypes)['key']}")
+    return rows.union(alone).distinct().orderBy("key")
+
+
+def incremental_bursts(rows: DataFrame, members: DataFrame, ts: str, key: str, delta_ms: int) -> DataFrame:
+    """Segments of the rows that are in no stack yet; stacked neighbours neither join nor part them."""
+    fresh = rows.join(members.select(F.col("key").alias(key)), key, "left_anti")
+    return segments(fresh, ts, key, delta_ms).where("members >= 2")

@@ -70,8 +70,48 @@ def sync_counts(source: DataFrame, library: DataFrame) -> DataFrame:
     return a.join(b, "id", "full_outer").agg(F.count_if(F.col("l").isNull()).alias("missing"), F.count_if(F.col("s").isNull()).alias("stale"), F.count_if(F.col("s").isNotNull() & F.col("l").isNotNull()).alias("in_both"))
 
 
+def applied(source: DataFrame, library: DataFrame, records: DataFrame, order: str = "analyzed_at") -> tuple[DataFrame, DataFrame]:
+    """The library after a sync, and its counts: rows of missing ids are upserted, none is deleted.
+
+    ``source`` holds the catalog's ids, ``records`` the rows of the catalog in the
+    library's columns, of which only the missing ones are taken.
+    """
+    lacking = missing(source, library)
+    new = records.join(lacking.withColumnRenamed("id", "__id"), F.trim(F.col("id").cast("string")).try_cast("bigint") == F.col("__id"), "left_semi")
+    after = upsert(library, new.select(*library.columns), "key", order, keep_old=("instagram_posted",))
+    counts = sync_counts(source, library).withColumnRenamed("missing", "missing_ids_count").drop("in_both")
+    totals = numeric_ids(source, "id").agg(F.count(F.lit(1)).alias("catalog_total")).crossJoin(numeric_ids(library, "id").agg(F.count(F.lit(1)).alias("library_total")))
+    return after, totals.crossJoin(counts).crossJoin(new.agg(F.countDistinct("key").alias("added")))
+
+
+def upsert_descriptions(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Descriptions by image, with the text that is searched and its stems kept beside them.
+
+    Colour and mood lists that are neither arrays nor objects are null, the
+    repetition flag is 1, 0 or null, and the legacy columns ``perspectives`` and
+    ``best_perspective`` stay as they were.
+    """
+    from shutterlake.functions import scalars as X
+    from shutterlake.functions.udfs import porter_tokens
+
+    clean = new.withColumns({
+        "dominant_colors": X.json_list_or_map(F.col("dominant_colors")),
+        "mood_tags": X.json_list_or_map(F.col("mood_tags")),
+        "has_repetition": X.repetition_flag(F.col("has_repetition")).cast("long"),
+        "description_search_document": X.search_document(F.col("summary"), F.col("subjects")),
+    })
+    clean = clean.withColumn("tokens", porter_tokens("description_search_document"))
+    before = old if "tokens" in old.columns else old.withColumn("tokens", porter_tokens("description_search_document"))
+    return upsert(before, clean, "image_key", "described_at", keep_old=("perspectives", "best_perspective"))
+
+
+def replace_rows(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """The table where the rows of the new keys are deleted and the new ones inserted, as vectors and cache rows are."""
+    return delete_keys(old, new, key).unionByName(new)
+
+
 def catalog_metadata(files: DataFrame, folders: DataFrame, roots: DataFrame, images: DataFrame, exif: DataFrame, iptc: DataFrame) -> DataFrame:
-    """One row a file of the source catalog, with its path, image, EXIF and caption."""
+    """One row a file of the source catalog, with its path, image, EXIF and caption; order and limit it by file_id."""
     f = files.select(F.col("id_local").alias("file_id"), F.col("baseName").alias("base"), "extension", "folder")
     d = folders.select(F.col("id_local").alias("folder"), "pathFromRoot", "rootFolder")
     r = roots.select(F.col("id_local").alias("rootFolder"), "absolutePath")
@@ -118,6 +158,13 @@ def merge_models(registry: DataFrame, user: DataFrame) -> DataFrame:
     return registry.unionByName(user.join(registry.select(*keys), keys, "left_anti").dropDuplicates(keys))
 
 
+def provider_models(registry: DataFrame, found: DataFrame, order: list[str]) -> DataFrame:
+    """A provider's models: those of the registry, then those found, once each; models named in ``order`` come first, in that order."""
+    both = merge_models(registry.withColumn("place", F.lit(0)), found.withColumn("place", F.lit(1)))
+    wanted = F.array_position(F.array(*map(F.lit, order)).cast("array<string>"), F.col("model_id")) if order else F.lit(0)
+    return both.orderBy(wanted == 0, wanted, "place", "model_id").drop("place")
+
+
 def wrong_keyword_links(links: DataFrame, names: DataFrame, images: DataFrame) -> DataFrame:
     """Links that name a file where they should name its image: (image, tag, right_image)."""
     files = images.select(F.col("rootFile").alias("image"), F.col("id_local").alias("right_image"))

@@ -38,24 +38,28 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, with_self: bool = Tr
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"seed": [], "key": [], "similarity": []})
+            return pd.DataFrame({"seed": [], "key": [], "similarity": [], "near": []})
         a, b = (np.array(x.tolist(), dtype=np.float64) for x in (left["query"], right["vector"]))
         a, b = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) for x in (a, b))
         sims = a @ b.T
-        keys, seeds = right["found"].to_numpy(), left["seed"].to_numpy()
+        order = np.argsort(right["found"].to_numpy(), kind="stable")
+        keys, seeds = right["found"].to_numpy()[order], left["seed"].to_numpy()
+        sims = sims[:, order]
         own = keys[None, :] == seeds[:, None]
         if not with_self:
             sims[own] = -np.inf
-        most = min(k, sims.shape[1])
-        # ties at the last place stay, so that the key decides between blocks
-        floor = np.partition(sims, sims.shape[1] - most, axis=1)[:, sims.shape[1] - most]
-        row, col = np.nonzero((sims >= floor[:, None] - 1e-12) & np.isfinite(sims))
-        return pd.DataFrame({"seed": seeds[row], "key": keys[col], "similarity": sims[row, col]})
+        most, near = min(k, sims.shape[1]), np.round(sims, 9)
+        floor = np.partition(near, near.shape[1] - most, axis=1)[:, near.shape[1] - most, None]
+        # of ties at the last place, the least keys
+        above, tied = near > floor, near == floor
+        taken = above | (tied & (np.cumsum(tied, axis=1) <= most - above.sum(axis=1, keepdims=True)))
+        row, col = np.nonzero(taken & np.isfinite(near))
+        return pd.DataFrame({"seed": seeds[row], "key": keys[col], "similarity": sims[row, col], "near": near[row, col]})
 
     kind = dict(vectors.dtypes)["key"]
-    found = q.groupBy("qi", "qj").cogroup(v.groupBy("vi", "vj")).applyInPandas(best, f"seed {kind}, key {kind}, similarity double")
-    order = Window.partitionBy("seed").orderBy(F.desc(F.round("similarity", 9)), F.asc("key"))
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    found = q.groupBy("qi", "qj").cogroup(v.groupBy("vi", "vj")).applyInPandas(best, f"seed {kind}, key {kind}, similarity double, near double")
+    order = Window.partitionBy("seed").orderBy(F.desc("near"), F.asc("key"))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("near")
 
 
 def similar(seed: DataFrame, vectors: DataFrame, hidden: DataFrame, keep: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
@@ -91,6 +95,23 @@ def similarity_groups(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("seed_key").agg(F.count(F.lit(1)).alias("candidate_count"), F.max("similarity").alias("best_similarity"))
 
 
+def similarity_counters(vectors: DataFrame, images: DataFrame, hidden: DataFrame, blank: DataFrame, rejections: DataFrame, candidates: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One row that says what became of the seeds: embedded images, groups and candidates made, and seeds or pairs skipped.
+
+    ``pairs`` are the neighbours over the threshold (seed, key) before rejected
+    pairs and blank candidates drop out.
+    """
+    keys = vectors.select("key")
+    primary = keys.join(hidden, "key", "left_anti")
+    low, high = F.least("seed", "key").alias("key_a"), F.greatest("seed", "key").alias("key_b")
+    refused = pairs.select(low, high).join(rejections.select("key_a", "key_b"), ["key_a", "key_b"], "left_semi")
+    one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    out = one(keys, "embedded_catalog_images").crossJoin(one(keys.join(hidden, "key", "left_semi"), "skipped_non_primary"))
+    out = out.crossJoin(one(primary.join(blank, "key", "left_semi"), "skipped_blank_frame")).crossJoin(one(images.select("key").join(keys, "key", "left_anti"), "skipped_no_embedding"))
+    made = candidates.agg(F.countDistinct("seed_key").alias("groups_created"), F.count(F.lit(1)).alias("candidates_created"))
+    return out.crossJoin(one(refused, "skipped_rejected")).crossJoin(made)
+
+
 def pin_candidates(seed: DataFrame, vectors: DataFrame, hidden: DataFrame, most: int = 600) -> DataFrame:
     """The seed, then its nearest primary images."""
     found = nearest(seed, vectors, 500).where("seed <> key").join(hidden, "key", "left_anti").where(F.col("rank") <= most)

@@ -24,7 +24,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line numbers as lenses, the first four active."""
-    return table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("slug")).distinct().withColumn("active", F.when(F.col("slug") <= 4, 1).otherwise(0))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("slug")).distinct().withColumns({"display_name": F.concat(F.lit("Lens "), F.col("slug").cast("string")), "active": F.when(F.col("slug") <= 4, 1).otherwise(0)})
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +52,22 @@ def descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").join(labels, "doc_id", "left").select(F.col("doc_id").alias("key"), "text", F.col("lang").alias("described_at"), "has_repetition", "n_chars")
 
 
+def described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as descriptions with lists of colours and moods, some empty, missing or malformed."""
+    n = F.col("doc_id")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("has_repetition"))
+    rows = table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
+    colors = F.when(n % 5 == 0, '["red","blue"]').when(n % 5 == 1, "[]").when(n % 5 == 3, "not json").when(n % 5 == 4, '["blue","green"]')
+    moods = F.when(n % 4 == 0, '["calm"]').when(n % 4 == 1, '["calm","dark"]').when(n % 4 == 3, "null")
+    at = F.when(n % 9 != 0, F.date_add(F.lit("2020-01-01").cast("date"), (n % 700).cast("int")).cast("string"))
+    return rows.select(n.alias("key"), F.col("text").alias("summary"), colors.alias("dominant_colors"), moods.alias("mood_tags"), "has_repetition", F.concat(F.lit("m"), (n % 3).cast("string")).alias("model_used"), at.alias("described_at"))
+
+
+def catalog_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(total): the images of the catalog."""
+    return images(spark, sf_dir).agg(F.count(F.lit(1)).alias("total"))
+
+
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as job logs: the user is the job, the type the level."""
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("job_id"), "ts", F.col("event_type").alias("level"), "value", "props")
