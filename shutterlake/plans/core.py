@@ -318,10 +318,10 @@ def json_field_group(spark, d):
 
 @query(
     """WITH w AS (SELECT doc_id AS key, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+') AS words FROM documents WHERE text IS NOT NULL)
-SELECT key FROM w WHERE list_has_any(words, ['of', 'ofs']) AND list_has_any(words, ['the', 'thes']) AND list_has_any(words, ['thing', 'things'])"""
+SELECT key FROM w WHERE list_has_any(words, ['of', 'ofs']) AND list_has_any(words, ['the', 'thes']) AND list_has_any(words, ['thing', 'things', 'thinged', 'thinges', 'thinging'])"""
 )
 def fts_search(spark, d):
-    """Documents with all stems of a query; in SQL, with a word of each stem."""
+    """Documents with all stems of a query; in SQL, with the words of each stem that occur."""
     texts = D.descriptions(spark, d).select("key", "text")
     return C.full_text(texts, X.search_terms("of the things") or []).select("key")
 

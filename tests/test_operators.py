@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shutterlake.functions import scalars as X
-from shutterlake.functions.udfs import binomial_tail, parsed_description, porter_stem, py_round, repaired
+from shutterlake.functions.udfs import binomial_tail, parsed_description, porter_stem, repaired
 from shutterlake.operators import catalog as C
 from shutterlake.operators import identity as I
 from shutterlake.operators import jobs as J
@@ -66,7 +66,7 @@ def test_votes_against_plain(spark):
 def test_crown_and_labels(spark):
     rows = [(f"i{i}", "hot", 10) for i in range(10)] + [(f"i{i}", "cold", 2) for i in range(10)]
     rows += [(f"j{i}", "hot", 5) for i in range(2)] + [(f"j{i}", "cold", 9) for i in range(2)]
-    got = {r.perspective_slug: r for r in I.signature(S.percentiles(scores(spark, rows))).collect()}
+    got = {r.perspective_slug: r for r in I.signature(S.percentiles(scores(spark, rows)), spark.createDataFrame([(12,)], "total long")).collect()}
     assert got["hot"].photos_on == 12
     labels = spark.createDataFrame([(True, 6.0), (True, 3.0), (True, 2.0), (False, 9.0)], "c boolean, z double").select(X.strength(F.col("c"), F.col("z")).alias("s"))
     assert [r.s for r in labels.collect()] == ["defining", "clear", "strength", "leading-not-distinctive"]
@@ -191,7 +191,7 @@ def test_scalars(spark):
         X.normal_slug(F.lit(" Street (beta) ")).alias("slug"),
         X.not_video(F.lit("/a/B.MOV")).alias("video"),
         X.gap_seconds(F.lit(None).cast("timestamp"), F.lit("1970-01-01 00:00:09").cast("timestamp")).alias("gap"),
-        py_round(2)("x").alias("r"),
+        X.exact_round(F.col("x"), 2).alias("r"),
         F.length(X.preview(F.lit("x" * 300))).alias("p"),
     ).first()
     assert row.asDict() == {"month": "202404", "bare": None, "before": "2024-03-02", "key": "2024-03-31_x.jpg", "none": "unknown_unknown", "like": True, "label": "Visual match (98%)", "bad": False, "good": True, "v": "s:62c66a7a5dd70c31", "slug": "street", "video": False, "gap": 9, "r": 2.67, "p": 240}
@@ -289,5 +289,5 @@ def test_path_states_and_attributes(spark):
     got = {r.key: r.state for r in C.classify_paths(wanted, images, cache, files).collect()}
     assert got == {"a": "readable", "b": "empty_path", "c": "unresolved", "d": "cached", "e": "no_row"}
     rows = spark.createDataFrame([("[]", "[]"), (None, None), ('["red"]', '["calm"]')], "c string, m string")
-    color, mood = X.visual_attributes(F.col("c"), F.col("m"), F.lit('{"dominant_colors":["blue"],"mood_tags":["dark"]}'))
+    color, mood = X.visual_attributes(F.col("c"), F.col("m"), F.lit('{"dominant_colors":["blue"],"mood":" dark "}'))
     assert [tuple(r) for r in rows.select(color, mood).collect()] == [('["blue"]', "[]"), ('["blue"]', '["dark"]'), ('["red"]', '["calm"]')]
