@@ -68,8 +68,8 @@ def test_crown_and_labels(spark):
     rows += [(f"j{i}", "hot", 5) for i in range(2)] + [(f"j{i}", "cold", 9) for i in range(2)]
     got = {r.perspective_slug: r for r in I.signature(S.percentiles(scores(spark, rows)), spark.createDataFrame([(12,)], "total long")).collect()}
     assert got["hot"].photos_on == 12
-    labels = spark.createDataFrame([(True, 6.0), (True, 3.0), (True, 2.0), (False, 9.0)], "c boolean, z double").select(X.strength(F.col("c"), F.col("z")).alias("s"))
-    assert [r.s for r in labels.collect()] == ["defining", "clear", "strength", "leading-not-distinctive"]
+    labels = spark.createDataFrame([(True, 6.0, False), (True, 3.0, False), (True, 2.0, False), (False, 9.0, True), (False, 1.0, False)], "c boolean, z double, f boolean").select(X.strength(F.col("c"), F.col("z"), F.col("f")).alias("s"))
+    assert [r.s for r in labels.collect()] == [X.DEFINING, X.CLEAR, X.STRENGTH, X.LEADING, X.LEADING]
 
 
 def test_binomial_tail():
