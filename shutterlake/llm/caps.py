@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.llm.common import connected_components, small_batches, written
+from shutterlake.llm.common import connected_components, discard, small_batches, written
 
 BLOCKS, CODES, LIST, THRESHOLD = 4, 32, 32, 0.95
 #: The share of pairs at the threshold that all codes together may miss, and that one may at most.
@@ -128,11 +128,13 @@ def filters(vectors: DataFrame, keep: int = LIST, threshold: float = THRESHOLD)
                 part = batch.take(pa.array(rows))
                 # a null component becomes NaN
                 values = _matrix(part.column(1), size)
-                norms = np.linalg.norm(values, axis=1)
-                good = np.flatnonzero(np.isfinite(norms) & (norms > 0))
+                largest = np.abs(values).max(axis=1)
+                good = np.flatnonzero(np.isfinite(largest) & (largest > 0))
                 if not len(good):
                     continue
-                ids = list_filters(values[good] / norms[good, None], keep, threshold)
+                # scaled first, so that no norm over- or underflows
+                values = values[good] / largest[good, None]
+                ids = list_filters(values / np.linalg.norm(values, axis=1, keepdims=True), keep, threshold)
                 taken = part.take(pa.array(good))
                 offsets = pa.array(np.arange(len(good) + 1) * ids.shape[1], pa.int32())
                 yield pa.RecordBatch.from_arrays([taken.column(0), pa.array(np.full(len(good), size), pa.int32()), taken.column(1), pa.ListArray.from_arrays(offsets, pa.array(ids.ravel(), pa.int64()))], names=["vec_id", "size", "embedding", "filters"])
@@ -151,6 +153,7 @@ def _cosines(pairs: DataFrame) -> DataFrame:
                 rows = np.flatnonzero(sizes == size)
                 part = batch.take(pa.array(rows))
                 x, y = _matrix(part.column(2), size), _matrix(part.column(3), size)
+                x, y = x / np.abs(x).max(axis=1, keepdims=True), y / np.abs(y).max(axis=1, keepdims=True)
                 out[rows] = np.einsum("ij,ij->i", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], names=["a", "b", "cosine"])
 
@@ -180,4 +183,6 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, keep: int
     rows = named.join(classes, ["ka", "kb"]).select("vec_id", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     rows = rows.groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
     out = ids.join(rows, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(True)))
+    done = written(out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(True))), "near")
+    discard(named, equal, links, parts)
+    return done

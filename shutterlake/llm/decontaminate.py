@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.llm.common import written
+from shutterlake.llm.common import discard, written
 
 WIDTH, THRESHOLD = 5, 0.8
 #: Upper ends of the items' size partitions grow by this factor.
@@ -80,4 +80,7 @@ def contained(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, thresho
     common = F.size(F.array_intersect(shingles_of(F.col("words"), F.col("span")), "shingles"))
     counted = both.withColumn("words", words_of(F.col("text"))).select("doc_id", "item_id", common.cast("long").alias("n_common"), F.col("n").cast("long").alias("n_item"))
     share = F.col("n_common") / F.col("n_item")
-    return counted.groupBy("doc_id", "item_id").agg(F.max("n_common").alias("n_common"), F.max("n_item").alias("n_item")).withColumn("containment", share).where(F.col("n_common") >= threshold * F.col("n_item") - 1e-9)
+    pairs = counted.groupBy("doc_id", "item_id").agg(F.max("n_common").alias("n_common"), F.max("n_item").alias("n_item")).withColumn("containment", share).where(F.col("n_common") >= threshold * F.col("n_item") - 1e-9)
+    out = written(pairs, "contained")
+    discard(items)
+    return out

@@ -68,6 +68,7 @@ def suffix_intervals(docs: DataFrame) -> list[DataFrame]:
         pairs = near.join(far, ["id", "key", "at"])
         named = pairs.select("id", "key", "at", F.xxhash64("a", "a2", "b").alias("a"), F.xxhash64("b", "b2", "a2").alias("b"), (F.col("n") + F.col("n2") + 1).alias("n"))
         levels.append(_repeated(named, "level"))
+    discard(levels[-1])
     return levels[:-1]
 
 
@@ -97,11 +98,8 @@ def _tightest(docs: DataFrame, min_chars: int) -> DataFrame:
     return every.withColumn("k", F.length(F.bin("size")) - 1)
 
 
-def later_runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame | None:
-    """(id, key, at, size) of the tightest runs that are later copies; None where no line repeats."""
-    levels = suffix_intervals(docs)
-    if not levels:
-        return None
+def later_runs(docs: DataFrame, levels: list[DataFrame], min_chars: int = MIN_CHARS) -> DataFrame:
+    """(id, key, at, size) of the tightest runs that are later copies, by the suffix intervals ``levels``."""
     names = None
     for k, level in enumerate(levels):
         one = level.select("id", "key", "at", F.lit(k).alias("k"), "a", "b")
@@ -110,7 +108,9 @@ def later_runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame | None:
     begun = _tightest(docs, min_chars).join(names, ["id", "key", "k", "at"]).select("id", "key", "k", "at", "size", far.alias("far"), F.col("a").alias("a1"), F.col("b").alias("b1"))
     both = begun.join(names.withColumnRenamed("at", "far"), ["id", "key", "k", "far"])
     named = both.select("id", "key", "at", "size", F.xxhash64("size", "a1", "a", "b1").alias("a"), F.xxhash64("size", "b1", "b", "a").alias("b"))
-    longer = _repeated(named, "runs").where("later").select("id", "key", "at", "size")
+    longer = _repeated(named, "longer")
+    levels.append(longer)
+    longer = longer.where("later").select("id", "key", "at", "size")
     return levels[0].where(F.col("later") & (F.col("n") >= min_chars)).select("id", "key", "at", F.lit(1).alias("size")).union(longer)
 
 
@@ -133,14 +133,16 @@ def suffix_array(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with the later copies of line runs deleted from ``text``, and n_lines, n_removed."""
     small_batches(docs.sparkSession)
-    runs = later_runs(docs, min_chars)
+    work = suffix_intervals(docs)
     keyed = docs.withColumns({"__id": F.coalesce("doc_id", F.lit(LAST)), "__key": F.xxhash64("doc_id", "text")})
-    if runs is None:
+    if not work:
         runs = docs.sparkSession.createDataFrame([], "id long, key long, run struct<at int, size int>")
     else:
-        runs = runs.select("id", "key", F.struct("at", "size").alias("run"))
+        runs = later_runs(docs, work, min_chars).select("id", "key", F.struct("at", "size").alias("run"))
     listed = runs.groupBy(F.col("id").alias("__id"), F.col("key").alias("__key")).agg(F.collect_list("run").alias("__runs"))
-    joined = keyed.join(written(listed, "runs"), ["__id", "__key"], "left")
+    listed = written(listed, "runs")
+    discard(*work)
+    joined = keyed.join(listed, ["__id", "__key"], "left")
 
     @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())]))
     def cut(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:

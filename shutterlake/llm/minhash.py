@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from shutterlake.llm.common import connected_components, discard, slices, small_batches, written
 
 PERMUTATIONS, ROWS = 60, 4
-#: Members up to which a band is compared pair by pair, members in a block beyond that, and columns multiplied at a time.
-FEW, BLOCK, COLUMNS = 24, 1_024, 4_096
+#: Members up to which a band is compared pair by pair, members and shingles in a block beyond that, and columns multiplied at a time.
+FEW, BLOCK, BLOCK_SHINGLES, COLUMNS = 24, 1_024, 1_000_000, 4_096
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
@@ -181,8 +181,9 @@ def _connections(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
 
 def _compare_crowds(inside: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) that connect the members (band, rep, members) of large bands wherever links do."""
-    blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
+    """(a, b) that connect the members (band, rep, members, shingles) of large bands wherever links do."""
+    # a pair of blocks is bounded by its shingles as well, since sets may be long
+    blocks = F.ceil(F.greatest(F.col("members") / F.lit(BLOCK), F.col("shingles") / F.lit(BLOCK_SHINGLES))).cast("int")
     own = inside.select("band", "rep", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("i"))
     pairs = own.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = pairs.select("band", "rep", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"))
@@ -227,7 +228,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         members = written(wide.select("band", "rep", "n").join(open_ends, "rep"), "members")
         inside = _in_mixed_bands(members, links)
         discard(before, wide, open_ends)
-    crowds = inside.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > FEW)
+    crowds = inside.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles")).where(F.col("members") > FEW)
     crowds = written(crowds, "crowds")
     if not crowds.isEmpty():
         before, wide = links, inside
@@ -249,8 +250,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     same = full.select("doc_id", "set_a", "set_b").join(classes.select("set_a", "set_b", "rep", "set_size"), ["set_a", "set_b"])
     same = same.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("part"), "set_size")
     out = _by_document(signed, same)
-    # the result reads the signatures and the components by document only
-    discard(classes, crowded, members, sets, links, inside, joined)
+    discard(signed, classes, crowded, members, sets, links, inside, joined)
     return out
 
 
@@ -259,10 +259,12 @@ def _by_document(signed: DataFrame, same: DataFrame) -> DataFrame:
     shared = same.groupBy("doc_id").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.max("set_size").alias("set_size"))
     shared = written(shared, "shared")
     several = same.join(shared.where("low <> high").select("doc_id", "low"), "doc_id").where("part <> low").select(F.col("part").alias("a"), F.col("low").alias("b"))
-    several = written(several, "several")
+    several, merged, found = written(several, "several"), None, shared
     if not several.isEmpty():
         merged = connected_components(several)
         shared = shared.join(merged, shared["low"] == merged["node"], "left").select("doc_id", F.coalesce("component", "low").alias("low"), "set_size")
     out = signed.select("doc_id", "n_shingles").join(shared.select("doc_id", "low", "set_size"), "doc_id", "left")
     component = F.coalesce("low", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), F.coalesce("set_size", F.lit(1)).cast("long").alias("set_size"))
+    out = written(out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), F.coalesce("set_size", F.lit(1)).cast("long").alias("set_size")), "near")
+    discard(found, several, *([merged] if merged is not None else []))
+    return out

@@ -28,7 +28,6 @@ doc_id and text do not matter. Strings never reach over a document's end.
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -257,4 +256,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     # neighbouring spans of a row become one list
     listed = spans.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("s")).select("row", F.col("s.start").alias("starts"), F.col("s.end").alias("ends"))
     joined = texts.join(listed, "row", "left").select("doc_id", "bytes", "starts", "ends")
-    return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    out = written(joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"), "repeats")
+    discard(spans)
+    spark.sql(f"DROP TABLE {name}")
+    return out

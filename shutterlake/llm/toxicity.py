@@ -12,7 +12,7 @@ by the hash of their id, twice as many at most; equal texts count once). Every d
 scored over its whole text. Words are maximal runs of letters in lower case.
 
 Rows: a null or empty text has no features and gets the intercepts' grade. Null
-labels are ignored; with no labels, or a single grade, every score is 0.
+labels are ignored; of equal texts the largest grade counts; with no labels, or a single grade, every score is 0.
 Repeated rows and null ids are scored alike; further columns stay.
 """
 
@@ -112,7 +112,9 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     rows = docs.select(F.col(doc_id), F.col(text)).join(F.broadcast(chosen), doc_id)
     counted = rows.select("grade", F.xxhash64(text).alias("same"), words_of(F.col(text)).alias("words")).toArrow()
     same = counted["same"].to_numpy()
-    first = np.sort(np.unique(same, return_index=True)[1]) if len(same) else np.zeros(0, dtype=np.int64)
+    # of equal texts the one with the largest grade counts, in the order of the texts' hashes, however rows arrive
+    order = np.lexsort((-counted["grade"].to_numpy(), same)) if len(same) else np.zeros(0, dtype=np.int64)
+    first = order[np.concatenate([[True], np.diff(same[order]) != 0])] if len(same) else order
     counted = counted.take(pa.array(first)).combine_chunks()
     y = counted["grade"].to_numpy().astype(np.int64) if len(first) else np.zeros(0, dtype=np.int64)
     if not len(y) or y.max() == 0 or y.min() == y.max():

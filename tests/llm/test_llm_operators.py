@@ -69,7 +69,23 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(docs(spark, [(1, "x"), (2, None)]), model).agg(F.sum("expected_severity")).first()[0] == 0
 
 
-def test_cumulative_link_gradient():
+def test_toxicity_does_not_depend_on_the_order_of_rows(spark):
+    rows = [(i, prose(i % 90, 40) + (" vile rotten" if i % 90 % 4 == 0 else "")) for i in range(180)]
+    # equal texts with labels that disagree
+    labels = spark.createDataFrame([(i, 1, int(i % 90 % 4 == 0 and i < 150)) for i in range(180)], "doc_id long, quality int, toxic int")
+    rows += [(500, "vile " * 30000), (501, ""), (501, "")]
+    found = []
+    for order in (rows, rows[::-1]):
+        df = docs(spark, order)
+        got = toxicity.score(df, toxicity.learn(df, toxicity.grades(labels))).collect()
+        assert len(got) == len(rows)
+        found.append(sorted((r.doc_id, round(r.expected_severity, 9)) for r in got))
+    assert found[0] == found[1]
+    empty = docs(spark, [])
+    assert toxicity.score(empty, toxicity.learn(empty, toxicity.grades(labels))).count() == 0
+
+
+def test_cumulative_link_fit():
     draw = np.random.default_rng(1)
     x, y = draw.normal(size=400), None
     y = (x + draw.logistic(size=400) > 0).astype(int) + (x + draw.logistic(size=400) > 1.5).astype(int)
@@ -190,8 +206,10 @@ def test_caps_against_plain(spark):
     near = base[np.arange(40) % 20] + 0.05 * draw.normal(size=(40, 16))
     rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([base, near]))]
     rows += [(200, rows[0][1]), (201, [2 * x for x in rows[0][1]]), (202, None), (203, [0.0] * 16), (204, [None] + [1.0] * 15), (205, [float("nan")] + [1.0] * 15), (206, [float("inf")] + [1.0] * 15), (207, []), (208, [1.0, 2.0])]
+    # norms that over- and underflow
+    rows += [(190, [1e200] + [0.0] * 15), (191, [1e250] + [0.0] * 15), (192, [0.0, 1e-200] + [0.0] * 14), (193, [0.0, 5e-200] + [0.0] * 14)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"label": F.lit(1), "rep": F.lit(2)})
-    good = [(i, np.array(v) / np.linalg.norm(v)) for i, v in rows if i < 202]
+    good = [(i, np.array(v) / max(v, key=abs) / np.linalg.norm(np.array(v) / max(v, key=abs)) * np.sign(max(v, key=abs))) for i, v in rows if i < 202]
     links = {i: {j for j, w in good if j != i and v @ w >= 0.95} for i, v in good}
     got = {r.vec_id: r for r in caps.near_duplicates(df).collect()}
     assert len(got) == len(rows)
@@ -281,6 +299,26 @@ def test_language_id(spark):
     assert {r.lang_pred for r in langid.predict(df, none).collect()} == {"und"}
 
 
+def test_language_id_held_out(spark):
+    ends = {"en": "ing ed ly tion the".split(), "de": "ung heit lich ver sch".split(), "fr": "eau eux tion oir é".split()}
+
+    def said(seed, k):
+        draw = random.Random(seed)
+        return " ".join(draw.choice("abdeilmnorst") + draw.choice("aeiou") + draw.choice(ends[k]) for _ in range(1 + seed % 30))
+
+    rows = [(i, said(i, k), k) for i, k in enumerate(list(ends) * 80)]
+    long = " ".join(said(i, "de") for i in range(2000))
+    rows += [(1000, long, "de"), (1001, rows[1][1], "de"), (1001, rows[1][1], "de"), (None, rows[0][1], "en"), (1002, "日本語の文章", None), (1003, "xkqjz wvbnx qqzx", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("held_out", langid.held_out(F.col("doc_id")))
+    got = langid.predict(df, langid.learn(df.where(~F.col("held_out")), PIECES)).collect()
+    assert len(got) == len(rows)
+    tested = [r.lang_pred == r.lang for r in got if r.held_out and r.lang]
+    assert len(tested) > 40 and np.mean(tested) > 0.95
+    told = {r.doc_id: r for r in got}
+    assert told[1000].lang_pred == "de" and told[1000].fit > 0 and min(r.fit for r in got if r.lang) > 0
+    assert told[1002].fit < 0 and told[1003].fit < 0
+
+
 # --- op7 -----------------------------------------------------------------------
 
 
@@ -311,6 +349,7 @@ def plain_near(rows, width, percent):
 def test_minhash_against_plain(spark, few, monkeypatch):
     monkeypatch.setattr(minhash, "FEW", few)
     monkeypatch.setattr(minhash, "BLOCK", 5)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 300)
     draw = random.Random(4)
     rows = [(1, None), (2, ""), (3, " \t"), (4, "One"), (5, "one"), (6, "a b"), (7, "a b c"), (8, "a b c"), (None, "a b c"), (8, "a b c")]
     for g in range(6):

@@ -20,7 +20,7 @@ def text(seed, lines=6, lang="en"):
 
 def corpus():
     rows = [(i, text(i, lang="en" if i % 2 else "de"), "en" if i % 2 else "de") for i in range(40)]
-    rows += [(50, None, "en"), (51, "1234 ...", "en"), (52, rows[3][1], "en")]
+    rows += [(50, None, "en"), (51, "1234 ...", "en"), (54, "日本語の文章です", None), (56, rows[9][1].split(" ")[0], "en"), (52, rows[3][1], "en")]
     near = rows[5][1].replace("\n", " ").split(" ")
     near[7] = "changed"
     rows += [(53, " ".join(near), "en"), (60, text(60) + "\n" + rows[7][1].split("\n")[2], "en")]
@@ -36,7 +36,7 @@ def test_stages(spark, tmp_path):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_duplicates", "decontamination", "byte_bpe"]
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     left, seen = {i for i, _, _ in rows}, docs
-    for (name, stage), gone in zip(corpus_pipeline.STAGES[:4], [{50, 51}, {52}, {53}, {61}], strict=True):
+    for (name, stage), gone in zip(corpus_pipeline.STAGES[:4], [{50, 51, 54}, {52}, {53}, {61}], strict=True):
         seen = stage(spark, seen, str(tmp_path))
         left -= gone
         assert seen.columns == docs.columns and {r.doc_id for r in seen.select("doc_id").collect()} == left, name
@@ -52,6 +52,27 @@ def test_stages(spark, tmp_path):
         assert r.decoded_sha256 == hashlib.sha256(wanted[r.doc_id].encode()).hexdigest()
 
 
+def test_stages_on_hard_rows(spark, tmp_path):
+    rows, items = corpus()
+    item = items[0][1]
+    hard = [(None, "no item here, " + text(70)), (None, text(71) + " " + item), (None, None), (80, item), (80, text(72)), (81, ""), (82, text(73, 3000))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, `a.b` string, id string, fit string"
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "r", "x", "y", "z") for i, t in hard], schema)
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        got = stage(spark, df, str(tmp_path))
+        assert got.columns == df.columns, name
+        found = [(r.doc_id, r.text) for r in got.collect()]
+        if name == "decontamination":
+            assert sorted(found, key=repr) == sorted([hard[0], hard[2], hard[5], hard[6]], key=repr)
+        elif name == "language_id":
+            assert len(found) == 5 and (81, "") not in found
+        else:
+            assert len(found) == len(hard)
+        assert stage(spark, df.limit(0), str(tmp_path)).count() == 0, name
+    assert corpus_pipeline.byte_bpe(spark, df, str(tmp_path)).count() == len(hard)
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 
