@@ -248,6 +248,20 @@ def test_caps_miss_no_pair(size):
     assert all(set(p) & set(q) for p, q in zip(a.tolist(), b.tolist()))
 
 
+def test_caps_recall_in_clusters():
+    """Crowds around a few centres, and pairs in them at 0.95, 0.96 and 0.98."""
+    draw = np.random.default_rng(9)
+    centre = draw.normal(size=(5, 64))[draw.integers(0, 5, 3000)]
+    x = centre / np.linalg.norm(centre, axis=1, keepdims=True) + 0.05 * draw.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for cosine in (0.95, 0.96, 0.98):
+        y = draw.normal(size=x.shape)
+        y -= x * (x * y).sum(axis=1, keepdims=True)
+        y = cosine * x + np.sqrt(1 - cosine**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+        a, b = caps.list_filters(x).tolist(), caps.list_filters(y).tolist()
+        assert np.mean([not set(p).isdisjoint(q) for p, q in zip(a, b)]) >= 0.999, cosine
+
+
 def test_caps_in_few_dimensions(spark):
     sizes = [1, 2, 4, 5, 8]
     rows = [(1000 * d + i, v.tolist()) for d in sizes[1:] for i, v in enumerate(np.concatenate(at_the_threshold(d, 60)) * 3)] + [(1, [2.0]), (2, [5.0]), (3, [-1.0])]
