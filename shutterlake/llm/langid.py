@@ -38,37 +38,55 @@ SMOOTHING = 0.05
 #: Bytes of distinct words scored at a time, words that a slice of a batch holds, and words whose scores a task keeps.
 CHUNK, SLICE, KEPT = 1 << 16, 500_000, 100_000
 UNKNOWN = "und"
+#: Bytes between two divisions of a word's sums.
+RESCALE = 8
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Pieces:
-    """The vocabulary as sorted hashes, by piece length."""
+    """The vocabulary as sorted hashes by length, and which hashes begin a piece."""
 
     def __init__(self, path: str) -> None:
         ranks = load_ranks(path)
         self.size = len(ranks)
         pieces = sorted(ranks, key=ranks.__getitem__)
         self.start = 1.0 / (np.arange(self.size) + 100.0)
-        self.by_length: list[tuple[np.ndarray, np.ndarray]] = []
+        self.by_length: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         sizes = np.array([len(p) for p in pieces])
+        flat, starts = np.frombuffer(b"".join(pieces), dtype=np.uint8), np.cumsum(sizes) - sizes
+        hashes = np.zeros(self.size, dtype=np.uint64)
         for n in range(1, int(sizes.max()) + 1):
+            long = np.flatnonzero(sizes >= n)
+            hashes[long] = hashes[long] * _BASE + (flat[starts[long] + n - 1].astype(np.uint64) + np.uint64(1))
+            begins = np.zeros(1 << 18, dtype=bool)
+            begins[_slot(hashes[long])] = True
             ids = np.flatnonzero(sizes == n)
-            hashes = np.zeros(len(ids), dtype=np.uint64)
-            for k in range(n):
-                hashes = hashes * _BASE + np.array([pieces[i][k] + 1 for i in ids], dtype=np.uint64)
-            order = np.argsort(hashes)
-            self.by_length.append((hashes[order], ids[order]))
+            ids = ids[np.argsort(hashes[ids])]
+            self.by_length.append((hashes[ids], ids, begins))
 
     def matches(self, flat: np.ndarray, left: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(length, positions, piece ids) of the pieces in ``flat``; ``left`` holds the bytes to the word's end."""
-        hashes, longest = np.zeros(len(flat), dtype=np.uint64), int(left.max())
-        for n, (known, ids) in enumerate(self.by_length[:longest], 1):
-            hashes = hashes[: len(flat) - n + 1] * _BASE + (flat[n - 1 :].astype(np.uint64) + np.uint64(1))
-            if not len(hashes) or not len(known):
-                continue
-            at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-            where = np.flatnonzero((known[at] == hashes) & (left[: len(hashes)] >= n))
-            yield n, where, ids[at[where]]
+        """(length, positions, piece ids) of the pieces in ``flat``; ``left`` holds the bytes to the word's end.
+
+        A position is left once no piece begins with the bytes read from it.
+        """
+        at, hashes = np.arange(len(flat)), np.zeros(len(flat), dtype=np.uint64)
+        for n, (known, ids, begins) in enumerate(self.by_length, 1):
+            going = left[at] >= n
+            at, hashes = at[going], hashes[going]
+            hashes = hashes * _BASE + (flat[at + n - 1].astype(np.uint64) + np.uint64(1))
+            going = begins[_slot(hashes)]
+            at, hashes = at[going], hashes[going]
+            if not len(at):
+                return
+            if len(known):
+                place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                same = known[place] == hashes
+                yield n, at[same], ids[place[same]]
+
+
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    """18 well-mixed bits of each hash."""
+    return (hashes * _BASE) >> np.uint64(46)
 
 
 _PIECES: dict[str, Pieces] = {}
@@ -120,17 +138,34 @@ def _runs(step: np.ndarray, gap: np.ndarray) -> Iterator[slice]:
 
 
 def forward(path: str, words: list[str], logp: np.ndarray) -> np.ndarray:
-    """Log-likelihood of each word under each column of ``logp`` (pieces by languages)."""
+    """Log-likelihood of each word under each column of ``logp`` (pieces by languages).
+
+    Sums are of probabilities themselves. Every ``RESCALE`` bytes the nodes that a
+    piece may have reached are divided by their greatest value, whose logarithm is
+    kept, so that words of any length stay within a double's range.
+    """
     pieces, out = pieces_of(path), np.zeros((len(words), logp.shape[1]))
     if not words:
         return out
+    chances = np.exp(logp)
     for part, lengths, flat in _chunks(words):
         src, dst, ids, step, first = _edges(pieces, lengths, flat)
-        alpha = np.full((len(flat) + len(part), logp.shape[1]), -np.inf)
-        alpha[first] = 0.0
+        alpha, scale = np.zeros((len(flat) + len(part), logp.shape[1])), np.zeros((len(part), logp.shape[1]))
+        alpha[first] = 1.0
+        due = RESCALE
         for s in _runs(step, dst - src):
-            alpha[dst[s]] = np.logaddexp(alpha[dst[s]], alpha[src[s]] + logp[ids[s]])
-        out[part] = alpha[first + lengths]
+            if step[s.start] == due:
+                # words are in the order of their lengths: these have that many bytes
+                some = slice(int(np.searchsorted(lengths, due)), None)
+                span = np.arange(due, min(due + len(pieces.by_length), int(lengths[-1])) + 1)
+                nodes = first[some, None] + np.minimum(span, lengths[some, None])
+                values = alpha[nodes]
+                most = values.max(axis=1)
+                alpha[nodes] = values / most[:, None]
+                scale[some] += np.log(most)
+                due += RESCALE
+            alpha[dst[s]] += alpha[src[s]] * chances[ids[s]]
+        out[part] = np.log(alpha[first + lengths]) + scale
     return out
 
 

@@ -302,6 +302,27 @@ def test_forward_sums_all_segmentations():
     assert np.isclose((counts * sizes).sum(), sum(len(w.encode()) + 1 for w in words))
 
 
+def test_forward_sums_of_words_beyond_a_double():
+    """Words about the lengths where sums are rescaled, and of thousands of letters, against sums of logarithms."""
+    pieces = langid.pieces_of(PIECES)
+    names = sorted((r := bpe.load_ranks(PIECES)), key=r.__getitem__)
+    number = {p: i for i, p in enumerate(names)}
+    rare = np.where(np.array([len(p) for p in names]) == 1, -40.0, -5.0)
+    logp = np.column_stack([np.log(pieces.start / pieces.start.sum()), rare])
+
+    def total(raw, k):
+        sums = [0.0] + [-np.inf] * len(raw)
+        for end in range(1, len(raw) + 1):
+            for start in range(max(0, end - len(pieces.by_length)), end):
+                if raw[start:end] in number:
+                    sums[end] = np.logaddexp(sums[end], sums[start] + logp[number[raw[start:end]], k])
+        return sums[-1]
+
+    words = [("information" * 300)[:n] for n in (1, 6, 7, 8, 9, 14, 15, 16, 17, 40, 700, 3000)] + ["q" * 900, "\u4e00" * 300]
+    wanted = [[total(b" " + w.encode(), k) for k in (0, 1)] for w in words]
+    assert np.allclose(langid.forward(PIECES, words, logp), wanted, rtol=1e-12, atol=1e-9)
+
+
 def test_language_id(spark):
     said = {"en": "the quick house and the garden with water", "de": "das schnelle haus und der garten mit wasser"}
     rows = [(i, said[k], k) for i in range(20) for k in said] + [(50, None, "en"), (51, "12 !", "de"), (52, "der garten", None), (53, "", None)]
