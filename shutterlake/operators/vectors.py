@@ -1,9 +1,4 @@
-"""Cosine nearest neighbours and similarity groups.
-
-Neighbours are found block by block: every query block meets every vector block
-in one NumPy product that keeps its best k, and a window picks the best of
-these. What a task holds is two blocks, whatever the tables' size.
-"""
+"""Cosine nearest neighbours and similarity groups, through :mod:`shutterlake.operators.vector_index`."""
 
 from __future__ import annotations
 
@@ -15,51 +10,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shutterlake.functions.scalars import match_label
-
-#: Vectors in a block.
-BLOCK = 2048
-
-
-def _blocks(vectors: DataFrame, name: str, count: int) -> DataFrame:
-    number = F.pmod(F.xxhash64("key"), F.lit(count)).cast("int")
-    return vectors.where("embedding is not null").select(number.alias(name), "key", "embedding")
+from shutterlake.operators import vector_index as I
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, with_self: bool = True) -> DataFrame:
     """(seed, key, similarity, rank): the ``k`` vectors nearest to each query, both (key, embedding); ties by key."""
-    nq, nv = (max(1, -(-df.count() // BLOCK)) for df in (queries, vectors))
-    k = max(1, min(500, k))
-    # a query goes once to each block of vectors, and a vector once to each block of queries
-    q = _blocks(queries, "i", nq).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(nv - 1))))
-    v = _blocks(vectors, "j", nv).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-    # names of their own, since the queries are often taken from the vectors
-    q = q.select(F.col("i").alias("qi"), F.col("j").alias("qj"), F.col("key").alias("seed"), F.col("embedding").alias("query"))
-    v = v.select(F.col("i").alias("vi"), F.col("j").alias("vj"), F.col("key").alias("found"), F.col("embedding").alias("vector"))
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"seed": [], "key": [], "similarity": [], "near": []})
-        a, b = (np.array(x.tolist(), dtype=np.float64) for x in (left["query"], right["vector"]))
-        a, b = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) for x in (a, b))
-        sims = a @ b.T
-        order = np.argsort(right["found"].to_numpy(), kind="stable")
-        keys, seeds = right["found"].to_numpy()[order], left["seed"].to_numpy()
-        sims = sims[:, order]
-        own = keys[None, :] == seeds[:, None]
-        if not with_self:
-            sims[own] = -np.inf
-        most, near = min(k, sims.shape[1]), np.round(sims, 9)
-        floor = np.partition(near, near.shape[1] - most, axis=1)[:, near.shape[1] - most, None]
-        # of ties at the last place, the least keys
-        above, tied = near > floor, near == floor
-        taken = above | (tied & (np.cumsum(tied, axis=1) <= most - above.sum(axis=1, keepdims=True)))
-        row, col = np.nonzero(taken & np.isfinite(near))
-        return pd.DataFrame({"seed": seeds[row], "key": keys[col], "similarity": sims[row, col], "near": near[row, col]})
-
-    kind = dict(vectors.dtypes)["key"]
-    found = q.groupBy("qi", "qj").cogroup(v.groupBy("vi", "vj")).applyInPandas(best, f"seed {kind}, key {kind}, similarity double, near double")
-    order = Window.partitionBy("seed").orderBy(F.desc("near"), F.asc("key"))
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("near")
+    return I.search(I.index_of(vectors.select("key", "embedding")), queries, k, with_self)
 
 
 def similar(seed: DataFrame, vectors: DataFrame, hidden: DataFrame, keep: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
@@ -69,20 +25,33 @@ def similar(seed: DataFrame, vectors: DataFrame, hidden: DataFrame, keep: DataFr
     return found.orderBy("rank").offset(offset).limit(limit).select("seed", "key", "similarity", match_label(F.col("similarity")).alias("why_matched"))
 
 
-def similarity_candidates(vectors: DataFrame, seeds: DataFrame, hidden: DataFrame, blank: DataFrame, rejections: DataFrame, per_seed: int = 8, threshold: float = 0.9) -> DataFrame:
-    """(seed_key, candidate_key, similarity, rank) of all seeds, each unordered pair once.
+def similar_pairs(vectors: DataFrame, hidden: DataFrame, blank: DataFrame, per_seed: int = 8, threshold: float = 0.9) -> DataFrame:
+    """(seed, key, similarity, n): of each seed that is neither hidden nor blank its first ``per_seed`` shown neighbours, if they reach the threshold.
 
-    ``seeds`` is (key, seed_rank), the newest first. All filters treat a pair's
-    sides alike, so the row that survives is the one of the least seed rank.
+    The nearest 20 * ``per_seed`` are taken first (50 to 500), and only then the
+    seed and hidden ones drop out. What reaches the threshold is the beginning of
+    that ranking, so the join need not look below it.
     """
     per_seed = max(1, min(50, per_seed))
-    k = min(500, max(50, 20 * per_seed))
-    usable = vectors.join(hidden, "key", "left_anti").join(blank, "key", "left_anti")
-    raw = nearest(usable.select("key", "embedding"), vectors, k).where("seed <> key").join(hidden, "key", "left_anti")
+    k = min(I.KEEP, max(50, 20 * per_seed))
+    raw = I.within(I.index_of(vectors.select("key", "embedding")), threshold, k)
+    unusable = hidden.select(F.col("key").alias("seed")).union(blank.select("key")).distinct()
+    shown = raw.where("seed <> key").join(hidden.select("key"), "key", "left_anti").join(unusable, "seed", "left_anti")
     again = Window.partitionBy("seed").orderBy("rank")
-    first = raw.withColumn("n", F.row_number().over(again)).where(F.col("n") <= per_seed).where(F.col("similarity") >= threshold)
-    pairs = first.withColumns({"key_a": F.least("seed", "key"), "key_b": F.greatest("seed", "key")})
-    good = pairs.join(rejections.select("key_a", "key_b"), ["key_a", "key_b"], "left_anti").join(blank, "key", "left_anti")
+    return shown.withColumn("n", F.row_number().over(again)).where(F.col("n") <= per_seed).drop("rank")
+
+
+def _with_pair(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumns({"key_a": F.least("seed", "key"), "key_b": F.greatest("seed", "key")})
+
+
+def similarity_candidates(pairs: DataFrame, seeds: DataFrame, blank: DataFrame, rejections: DataFrame) -> DataFrame:
+    """(seed_key, candidate_key, similarity, rank) from :func:`similar_pairs`, each unordered pair once, without blank candidates and rejected pairs.
+
+    ``seeds`` is (key, seed_rank), the newest first. All filters treat a pair's
+    sides alike, so the row that survives is the one of the least seed rank.
+    """
+    good = _with_pair(pairs).join(rejections.select("key_a", "key_b"), ["key_a", "key_b"], "left_anti").join(blank.select("key"), "key", "left_anti")
     ranked = good.join(seeds.select(F.col("key").alias("seed"), "seed_rank"), "seed")
     once = Window.partitionBy("key_a", "key_b").orderBy("seed_rank")
     kept = ranked.withColumn("o", F.row_number().over(once)).where("o = 1")
@@ -95,21 +64,26 @@ def similarity_groups(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("seed_key").agg(F.count(F.lit(1)).alias("candidate_count"), F.max("similarity").alias("best_similarity"))
 
 
-def similarity_counters(vectors: DataFrame, images: DataFrame, hidden: DataFrame, blank: DataFrame, rejections: DataFrame, candidates: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One row that says what became of the seeds: embedded images, groups and candidates made, and seeds or pairs skipped.
+def similarity_counters(vectors: DataFrame, hidden: DataFrame, blank: DataFrame, rejections: DataFrame, pairs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """One row that says what became of the seeds: embedded images, groups and candidates made, and what was skipped.
 
-    ``pairs`` are the neighbours over the threshold (seed, key) before rejected
-    pairs and blank candidates drop out.
+    A hidden seed is non-primary; a blank one counts as blank, and so does each
+    blank candidate of a seed, unless the pair was rejected; each side of a
+    rejected pair that finds the other counts. A seed that is neither hidden nor
+    blank and whose vector is null has no embedding. ``pairs`` and ``candidates``
+    are of :func:`similar_pairs` and :func:`similarity_candidates`.
     """
-    keys = vectors.select("key")
-    primary = keys.join(hidden, "key", "left_anti")
-    low, high = F.least("seed", "key").alias("key_a"), F.greatest("seed", "key").alias("key_b")
-    refused = pairs.select(low, high).join(rejections.select("key_a", "key_b"), ["key_a", "key_b"], "left_semi")
-    one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    out = one(keys, "embedded_catalog_images").crossJoin(one(keys.join(hidden, "key", "left_semi"), "skipped_non_primary"))
-    out = out.crossJoin(one(primary.join(blank, "key", "left_semi"), "skipped_blank_frame")).crossJoin(one(images.select("key").join(keys, "key", "left_anti"), "skipped_no_embedding"))
+    yes = F.lit(True)
+    marks = {"is_hidden": hidden, "is_blank": blank}
+    seeds = vectors.select("key", F.col("embedding").isNull().alias("none"))
+    for name, keys in marks.items():
+        seeds = seeds.join(keys.select("key").distinct().withColumn(name, yes), "key", "left")
+    primary, shown = F.col("is_hidden").isNull(), F.col("is_hidden").isNull() & F.col("is_blank").isNull()
+    one = seeds.agg(F.count(F.lit(1)).alias("embedded_catalog_images"), F.count_if(~primary).alias("skipped_non_primary"), F.count_if(shown & F.col("none")).alias("skipped_no_embedding"), F.count_if(primary & F.col("is_blank").isNotNull()).alias("blank_seeds"))
+    refused = _with_pair(pairs).join(rejections.select("key_a", "key_b").distinct().withColumn("refused", yes), ["key_a", "key_b"], "left").join(blank.select("key").distinct().withColumn("is_blank", yes), "key", "left")
+    two = refused.agg(F.count("refused").alias("skipped_rejected"), F.count_if(F.col("refused").isNull() & F.col("is_blank").isNotNull()).alias("blank_candidates"))
     made = candidates.agg(F.countDistinct("seed_key").alias("groups_created"), F.count(F.lit(1)).alias("candidates_created"))
-    return out.crossJoin(one(refused, "skipped_rejected")).crossJoin(made)
+    return one.crossJoin(two).crossJoin(made).withColumn("skipped_blank_frame", F.col("blank_seeds") + F.col("blank_candidates")).drop("blank_seeds", "blank_candidates")
 
 
 def pin_candidates(seed: DataFrame, vectors: DataFrame, hidden: DataFrame, most: int = 600) -> DataFrame:

@@ -399,6 +399,10 @@ def similar_filtered(spark, d):
     return found.select("seed", "key", F.round("similarity", 6).alias("similarity"))
 
 
+def _similar_pairs(v, states):
+    return V.similar_pairs(v, states[0], states[1], threshold=0.3)
+
+
 _GROUPS = f"""{_STATES},
 own AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY rank) AS n FROM top WHERE rank <= 160 AND seed <> key AND key NOT IN (SELECT key FROM hid) AND seed NOT IN (SELECT key FROM hid) AND seed NOT IN (SELECT key FROM blk)),
 over_floor AS (SELECT * FROM own WHERE n <= 8 AND similarity >= 0.3),
@@ -410,7 +414,8 @@ once AS (SELECT *, row_number() OVER (PARTITION BY least(seed, key), greatest(se
 def similarity_groups(spark, d):
     """Similar pairs of all seeds, the newest (largest key) first, each pair once, without hidden, blank and rejected ones."""
     v = D.vectors(spark, d)
-    found = V.similarity_candidates(v.select("key", "embedding"), v.select("key", (-F.col("key")).alias("seed_rank")), *_vector_states(v), threshold=0.3)
+    states = _vector_states(v)
+    found = V.similarity_candidates(_similar_pairs(v, states), v.select("key", (-F.col("key")).alias("seed_rank")), *states[1:])
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
@@ -420,6 +425,20 @@ def similarity_group_rows(spark, d):
     return V.similarity_groups(similarity_groups(spark, d))
 
 
+@query("WITH " + _SIMS.format(where="") + ", " + _GROUPS + """
+SELECT (SELECT count(*) FROM v) AS embedded_catalog_images, (SELECT count(*) FROM hid) AS skipped_non_primary, (SELECT count(*) FROM v WHERE e IS NULL AND key NOT IN (SELECT key FROM hid) AND key NOT IN (SELECT key FROM blk)) AS skipped_no_embedding,
+       (SELECT count(*) FROM over_floor JOIN rej ON rej.key_a = least(seed, key) AND rej.key_b = greatest(seed, key)) AS skipped_rejected,
+       (SELECT count(*) FROM blk WHERE key NOT IN (SELECT key FROM hid)) + (SELECT count(*) FROM over_floor LEFT JOIN rej ON rej.key_a = least(seed, key) AND rej.key_b = greatest(seed, key) WHERE rej.key_a IS NULL AND key IN (SELECT key FROM blk)) AS skipped_blank_frame,
+       (SELECT count(DISTINCT seed) FROM once WHERE o = 1) AS groups_created, (SELECT count(*) FROM once WHERE o = 1) AS candidates_created""")
+def similarity_counters(spark, d):
+    """What became of the seeds of the same pairs."""
+    v = D.vectors(spark, d)
+    states = _vector_states(v)
+    pairs = _similar_pairs(v, states)
+    candidates = V.similarity_candidates(pairs, v.select("key", (-F.col("key")).alias("seed_rank")), *states[1:])
+    return V.similarity_counters(v, *states, pairs, candidates)
+
+
 @query("WITH " + _SIMS.format(where=" WHERE a.key = 20") + ", " + _STATES + " SELECT key, rank FROM top WHERE key <> 20 AND rank <= 500 AND key NOT IN (SELECT key FROM hid) UNION ALL SELECT 20, 0")
 def pin_candidates(spark, d):
     """A seed and its nearest primary images."""
