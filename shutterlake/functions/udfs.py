@@ -82,6 +82,11 @@ def fold(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
 
 
+def words_in(folded: str) -> list[str]:
+    """The words of a folded text."""
+    return _WORD.findall(folded)
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def porter_tokens(text: pd.Series) -> pd.Series:
     """Distinct stems of a text: folded, split at what is neither letter nor digit."""
@@ -92,7 +97,7 @@ def porter_tokens(text: pd.Series) -> pd.Series:
             known[w] = porter_stem(w)
         return known[w]
 
-    return text.map(lambda t: None if t is None else sorted({stem(w) for w in _WORD.findall(fold(t))}))
+    return text.map(lambda t: None if t is None else sorted({stem(w) for w in words_in(fold(t))}))
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:

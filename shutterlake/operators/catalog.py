@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from shutterlake.functions import scalars as X
 from shutterlake.functions.udfs import porter_stem, porter_tokens
+from shutterlake.operators.text_index import TextIndex
 
 
 @dataclass(frozen=True)
@@ -89,8 +90,8 @@ def predicates(f: CatalogFilter) -> list[Column]:
     return out
 
 
-def search(base: DataFrame, f: CatalogFilter, scores: DataFrame | None = None, perspectives: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
-    """The rows that pass. ``texts`` (key, text) is what ``description_search`` looks in."""
+def search(base: DataFrame, f: CatalogFilter, scores: DataFrame | None = None, perspectives: DataFrame | None = None, texts: DataFrame | TextIndex | None = None) -> DataFrame:
+    """The rows that pass. ``texts`` is what ``description_search`` looks in: (key, text), with ``tokens`` or without, or an index of it."""
     out = reduce(lambda df, p: df.where(p), predicates(f), base)
     if f.min_score_on_active is not None:
         lenses = perspectives.where("active = 1").select(F.col("slug").alias("perspective_slug"))
@@ -102,8 +103,8 @@ def search(base: DataFrame, f: CatalogFilter, scores: DataFrame | None = None, p
     return out
 
 
-def full_text(texts: DataFrame, terms: list[str]) -> DataFrame:
-    """Rows of (key, text) that hold every term, after folding and stemming.
+def full_text(texts: DataFrame | TextIndex, terms: list[str]) -> DataFrame:
+    """Rows of (key, text) that hold every term, after folding and stemming; from an index their keys.
 
     Where the rows carry ``tokens`` (see :func:`with_tokens`), those are searched
     and no text is read. Otherwise only texts that can match are stemmed: a word
@@ -111,6 +112,8 @@ def full_text(texts: DataFrame, terms: list[str]) -> DataFrame:
     this beginning of some term drops out before.
     """
     stems = [porter_stem(t.lower()) for t in terms]
+    if isinstance(texts, TextIndex):
+        return texts.search(stems)
     if "tokens" not in texts.columns:
         plain = F.lower("text")
         begun = reduce(lambda a, b: a & b, [F.contains(plain, F.lit(s[: max(1, len(s) - 1)])) for s in stems])
@@ -123,12 +126,12 @@ def with_tokens(texts: DataFrame, text: str = "text") -> DataFrame:
     return texts.withColumn("tokens", porter_tokens(text))
 
 
-def filter_in_order(base: DataFrame, keys: list, f: CatalogFilter, scores: DataFrame | None = None, perspectives: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
+def filter_in_order(base: DataFrame, keys: list, f: CatalogFilter, scores: DataFrame | None = None, perspectives: DataFrame | None = None, texts: DataFrame | TextIndex | None = None) -> DataFrame:
     """The rows of ``keys`` that pass the filters, in the caller's order."""
     return in_given_order(search(base, f, scores, perspectives, texts), keys)
 
 
-def search_dispatch(images: DataFrame, texts: DataFrame, keyword: str | None = None, rating: int | None = None, color: str | None = None, date_from: str | None = None, date_to: str | None = None) -> DataFrame:
+def search_dispatch(images: DataFrame, texts: DataFrame | TextIndex, keyword: str | None = None, rating: int | None = None, color: str | None = None, date_from: str | None = None, date_to: str | None = None) -> DataFrame:
     """One search of several: the keyword, else the rating, else the colour, else the dates; nothing asked for gives nothing."""
     if keyword:
         return search_by_keyword(images, texts, keyword)
@@ -176,15 +179,18 @@ def api_rows(rows: DataFrame) -> DataFrame:
     })
 
 
-def page(rows: DataFrame, limit: int | None = None, offset: int | None = None, by_score: str | None = None, by_date: str = "desc") -> DataFrame:
-    """One page: by score (nulls last either way), then date, then key; or newest first."""
-    limit, offset = X.page_bounds(limit, offset)
+def page_order(by_score: str | None = None, by_date: str = "desc") -> list[Column]:
+    """The order of the main list: by score (nulls last either way), then date, then key; or newest first."""
     date = F.col("date_taken").desc() if by_date == "desc" else F.col("date_taken").asc()
     if by_score:
-        order = [F.col("lens_score").isNull().asc(), F.desc("lens_score") if by_score == "desc" else F.asc("lens_score"), date, F.asc("key")]
-    else:
-        order = [date, F.desc("key")]
-    return rows.orderBy(*order).offset(offset).limit(limit)
+        return [F.col("lens_score").isNull().asc(), F.desc("lens_score") if by_score == "desc" else F.asc("lens_score"), date, F.asc("key")]
+    return [date, F.desc("key")]
+
+
+def page(rows: DataFrame, limit: int | None = None, offset: int | None = None, by_score: str | None = None, by_date: str = "desc") -> DataFrame:
+    """One page in :func:`page_order`; for pages far down see :mod:`shutterlake.operators.rank_index`."""
+    limit, offset = X.page_bounds(limit, offset)
+    return rows.orderBy(*page_order(by_score, by_date)).offset(offset).limit(limit)
 
 
 def in_given_order(rows: DataFrame, keys: list) -> DataFrame:
@@ -261,14 +267,16 @@ def descriptions_page(images: DataFrame, descriptions: DataFrame, limit: int | N
     return rows.orderBy(F.col("described_at").isNull().asc(), F.desc("described_at"), F.desc("date_taken"), F.asc("key")).offset(offset).limit(limit)
 
 
-def search_by_keyword(images: DataFrame, texts: DataFrame, keyword: str) -> DataFrame:
+def search_by_keyword(images: DataFrame, texts: DataFrame | TextIndex, keyword: str) -> DataFrame:
     """Images whose text columns hold the keyword, or whose description does as a word; one character skips the latter."""
     fields = [c for c in ("keywords", "filename", "title", "description") if c in images.columns]
     hit = reduce(lambda a, b: a | b, [F.coalesce(X.like_substring(F.col(c), keyword), F.lit(False)) for c in fields], F.lit(False))
     if len(keyword.strip()) < 2:
         return images.where(hit).dropDuplicates(["key"])
     terms = X.search_terms(keyword)
-    found = full_text(texts, terms).select("key").distinct().withColumn("__text", F.lit(True)) if terms else texts.select("key").limit(0).withColumn("__text", F.lit(True))
+    if not terms:
+        return images.where(hit).dropDuplicates(["key"])
+    found = full_text(texts, terms).select("key").distinct().withColumn("__text", F.lit(True))
     return images.join(found, "key", "left").where(hit | F.col("__text").isNotNull()).drop("__text").dropDuplicates(["key"])
 
 

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shutterlake.operators.text_index import TextIndex
+from shutterlake.sources.buckets import BucketTable
+from shutterlake.sources.work import discard, written
+
 
 def numeric_ids(rows: DataFrame, column: str) -> DataFrame:
     """Distinct numeric ids; other text is skipped."""
@@ -181,22 +185,12 @@ def upsert_perspective(old: DataFrame, new: DataFrame) -> DataFrame:
     return upsert(old, marked, "slug", "updated_at", keep_old=("id", "created_at"))
 
 
-def composite(stages: list[tuple[str, object]], tables: dict[str, DataFrame], folder: str) -> dict[str, DataFrame]:
-    """Run named stages in order; each takes the tables and returns new ones, which are written under ``folder`` and read again.
-
-    A stage whose output is already there is not run again, so a stopped run goes on where it was.
-    """
-    spark = next(iter(tables.values())).sparkSession
-    hadoop = spark._jsc.hadoopConfiguration()
-    for name, stage in stages:
-        done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}/done")
-        files = done.getFileSystem(hadoop)
-        if not files.exists(done):
-            made = stage(tables)
-            for table, df in made.items():
-                df.write.mode("overwrite").parquet(f"{folder}/{name}/{table}")
-            spark.createDataFrame([(t,) for t in sorted(made)], "table string").coalesce(1).write.mode("overwrite").text(f"{folder}/{name}/made")
-            files.create(done).close()
-        names = [r["value"] for r in spark.read.text(f"{folder}/{name}/made").collect()]
-        tables = tables | {t: spark.read.parquet(f"{folder}/{name}/{t}") for t in names}
-    return tables
+def upsert_descriptions_indexed(table: BucketTable, index: TextIndex, new: DataFrame) -> list[int]:
+    """:func:`upsert_descriptions` on a table in buckets of ``image_key``, with its text index; returns the table's buckets written."""
+    keys = table.keyed(new).select("image_key").distinct()
+    tokens = lambda: table.read(table.buckets_of(keys)).join(keys, "image_key", "left_semi").select(F.col("image_key").alias("key"), "tokens")
+    before = written(tokens(), "before")
+    touched = table.change(new, upsert_descriptions)
+    index.upsert(before, tokens())
+    discard(before)
+    return touched

@@ -322,8 +322,7 @@ SELECT key FROM w WHERE list_has_any(words, ['of', 'ofs']) AND list_has_any(word
 )
 def fts_search(spark, d):
     """Documents with all stems of a query; in SQL, with the words of each stem that occur."""
-    texts = D.descriptions(spark, d).select("key", "text")
-    return C.full_text(texts, X.search_terms("of the things") or []).select("key")
+    return C.full_text(D.text_index(spark, d), X.search_terms("of the things") or []).select("key")
 
 
 # --- bursts, stacks ----------------------------------------------------------

@@ -83,14 +83,13 @@ _KEYWORD_HITS = """(lower(title) LIKE '%urgent%' OR key IN (SELECT key FROM text
 @query(ALL + f"SELECT DISTINCT key, rating FROM images WHERE {_KEYWORD_HITS}")
 def search_by_keyword(spark, d):
     """Images whose title holds a keyword, or whose description has it as a word."""
-    texts = D.described(spark, d).select("key", F.col("summary").alias("text"))
-    return C.search_by_keyword(D.images(spark, d), texts, "urgent").select("key", "rating")
+    return C.search_by_keyword(D.images(spark, d), D.text_index(spark, d), "urgent").select("key", "rating")
 
 
 @query(ALL + "SELECT 'keyword' AS way, count(*) AS n FROM images WHERE " + _KEYWORD_HITS + " UNION ALL SELECT 'rating', count(*) FROM images WHERE rating >= 4 UNION ALL SELECT 'color', count(*) FROM images WHERE lower(color_label) = 'red' UNION ALL SELECT 'dates', count(*) FROM images WHERE date_taken >= TIMESTAMP '1996-01-01' AND date_taken < TIMESTAMP '1996-06-30 00:00:01' UNION ALL SELECT 'nothing', 0")
 def search_ways(spark, d):
     """The ways of the one-of-several search; what comes first in order counts."""
-    images, texts = D.images(spark, d), D.described(spark, d).select("key", F.col("summary").alias("text"))
+    images, texts = D.images(spark, d), D.text_index(spark, d)
     asked = {"keyword": {"keyword": "urgent", "rating": 4}, "rating": {"rating": 4, "color": "red"}, "color": {"color": "RED", "date_from": "1996"}, "dates": {"date_from": "1996-01-01", "date_to": "1996-06-30 00:00:00"}, "nothing": {}}
     rows = [C.search_dispatch(images, texts, **a).agg(F.count(F.lit(1)).alias("n")).select(F.lit(way).alias("way"), "n") for way, a in asked.items()]
     return reduce(lambda a, b: a.union(b), rows)

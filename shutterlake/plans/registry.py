@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shutterlake.plans import core, lookups, mutations, scalars  # noqa: F401
+from shutterlake.plans import core, kept, lookups, mutations, scalars  # noqa: F401
 from shutterlake.plans.base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shutterlake.operators import scores as S
 from shutterlake.operators import stacks as K
+from shutterlake.operators.text_index import TextIndex, index_of
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,3 +77,8 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as image vectors; the label is what searches are narrowed by."""
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), "embedding", "label")
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
+    """The index of the documents' texts, kept for the table as it is."""
+    return index_of(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text"))

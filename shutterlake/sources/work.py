@@ -70,6 +70,30 @@ def move(spark: SparkSession, old: str, new: str) -> bool:
     return not files.exists(target) and files.rename(found, target)
 
 
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the files and folders in a folder."""
+    found, files = _file(spark, folder)
+    return sorted(s.getPath().getName() for s in files.listStatus(found)) if files.exists(found) else []
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file; fails if it is there."""
+    found, files = _file(spark, path)
+    out = files.create(found, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file."""
+    found, files = _file(spark, path)
+    opened = files.open(found)
+    try:
+        return bytes(opened.readAllBytes()).decode()
+    finally:
+        opened.close()
+
+
 def fingerprint(df: DataFrame, *knobs: object) -> str | None:
     """A name for what ``df`` reads and computes: its plan, and path, size and time of each input file; None if it reads no files."""
     spark = df.sparkSession

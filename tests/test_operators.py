@@ -13,6 +13,7 @@ from shutterlake.functions.udfs import binomial_tail, parsed_description, porter
 from shutterlake.operators import catalog as C
 from shutterlake.operators import identity as I
 from shutterlake.operators import jobs as J
+from shutterlake.operators import resume as R
 from shutterlake.operators import scores as S
 from shutterlake.operators import stacks as K
 from shutterlake.operators import sync as Y
@@ -277,8 +278,8 @@ def test_composite_resumes(spark, tmp_path):
 
         return name, run
 
-    Y.composite([stage("x")], start, str(tmp_path))
-    out = Y.composite([stage("x"), stage("y")], start, str(tmp_path))
+    R.composite([stage("x")], start, str(tmp_path))
+    out = R.composite([stage("x"), stage("y")], start, str(tmp_path))
     assert ran == ["x", "y"] and out["a"].columns == ["id", "x", "y"] and out["a"].count() == 3
 
 
