@@ -17,6 +17,7 @@ from shutterlake.sources import catalog_files as L
 from shutterlake.sources import driver as D
 from shutterlake.sources import work
 from shutterlake.sources.buckets import BucketTable
+from shutterlake.streaming import bursts as B
 
 
 def _bucketed(df, name, *keys):
@@ -134,3 +135,17 @@ def catalog_files(spark, d):
     L.write(rows, folder, "images", "id_local")
     found = L.read(spark, folder, "images", rows=512, schema="id_local long, price double, status string")
     return found.where("id_local between 300 and 900 and price > 50000 and status <> 'P'")
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 14400000000 THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seg FROM g)
+SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS end_us, arg_min(event_id, (ts, event_id)) AS start_key, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY ts, event_id) AS members, arg_max(event_id, (value, ts, event_id)) AS representative
+FROM s GROUP BY user_id, seg HAVING count(*) >= 2""")
+def stream_bursts(spark, d):
+    """Bursts of each user's events four hours apart at most, from a stream in which events come in no order."""
+    folder = work.new_path(spark, "stream")
+    rows = D.logs(spark, d).select("id", "job_id", "ts", "value")
+    rows.repartition(6, "id").write.parquet(f"{folder}/in")
+    stream = B.burst_stream(B.follow(spark, f"{folder}/in", rows.schema, 2), "ts", "id", "job_id", "value", 14_400_000, "60 days")
+    found = B.standing(B.run_once(stream, folder)).where(F.size("members") >= 2)
+    return found.select(F.col("group").alias("user_id"), "start_us", "end_us", "start_key", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"), "representative")

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import bisect
+import json
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from shutterlake.sources import work
 
 
 def burst_sessions(rows: DataFrame, ts: str, group: str, gap: str = "2 seconds", late: str = "10 minutes") -> DataFrame:
@@ -30,3 +36,82 @@ def follow(spark: SparkSession, folder: str, schema, files_per_trigger: int = 16
 def each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, every: str = "1 second") -> StreamingQuery:
     """Call ``handle`` with each micro-batch; a restart resumes from the checkpoint."""
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
+def merged(segments: list[list], at: int, key: object, score: float, gap: int) -> list[list]:
+    """``segments`` with a row more: [start, start key, end, best, members], by start and apart by more than ``gap``.
+
+    ``best`` is [score, time, key] of the representative, ``members`` are (time,
+    key). The row joins the segments that it is within ``gap`` of, which makes one
+    of them; they are those just before and after its place.
+    """
+    i = bisect.bisect_right(segments, [at], key=lambda s: [s[0]])
+    low = i - 1 if i and at - segments[i - 1][2] <= gap else i
+    high = i + 1 if i < len(segments) and segments[i][0] - at <= gap else i
+    joined = segments[low:high]
+    members = [m for s in joined for m in s[4]]
+    bisect.insort(members, [at, key])
+    best = max([s[3] for s in joined] + [[score, at, key]])
+    return [*segments[:low], [*members[0], max([s[2] for s in joined] + [at]), best, members], *segments[high:]]
+
+
+def burst_stream(rows: DataFrame, ts: str, key: str, group: str, score: str, delta_ms: int, late: str = "10 minutes") -> DataFrame:
+    """Changes of each group's bursts, with members and representative, as rows come in, late ones included.
+
+    A row of (group, start_us, start_key, end_us, members, representative, alive,
+    version) says what a burst is now, or (alive false) that it became part of one
+    that begins earlier; :func:`standing` keeps the last word on each. A gap of
+    exactly ``delta_ms`` merges. Rows may come ``late`` behind the newest, in any
+    order; a burst that no row can reach any more leaves the state. State is one
+    group's open bursts with their members. The representative is the member of the
+    highest score, then time, then key; a null score is the lowest. Rows without a
+    time drop out; a repeated row counts again.
+    """
+    gap = delta_ms * 1000
+    kinds = dict(rows.dtypes)
+    taken = rows.where(F.col(ts).isNotNull()).select(F.col(group).alias("group"), F.col(ts).cast("timestamp").alias("ts"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), F.col(key).alias("key"), F.coalesce(F.col(score).cast("double"), F.lit(float("-inf"))).alias("score"))
+    columns = ["group", "start_us", "start_key", "end_us", "members", "representative", "alive", "version"]
+
+    def handle(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        segments, version = json.loads(state.get[0]) if state.exists else ([], 0)
+        before = {(s[0], s[1]): s for s in segments}
+        if not state.hasTimedOut:
+            for frame in frames:
+                for at, k, x in zip(frame["at"].tolist(), frame["key"].tolist(), frame["score"].tolist(), strict=True):
+                    segments = merged(segments, at, k, x, gap)
+            version += 1
+            now = {(s[0], s[1]): s for s in segments}
+            out = [(name[0], *s[:3], [k for _, k in s[4]], s[3][2], True, version) for i, s in now.items() if before.get(i) is not s]
+            out += [(name[0], *s[:3], [], s[3][2], False, version) for i, s in before.items() if i not in now]
+            if out:
+                yield pd.DataFrame(out, columns=columns)
+        mark = state.getCurrentWatermarkMs()
+        # a row to come is not older than the mark
+        segments = [s for s in segments if s[2] + gap >= mark * 1000]
+        if segments:
+            state.update((json.dumps([segments, version]),))
+            state.setTimeoutTimestamp(max(mark + 1, min(s[2] for s in segments) // 1000 + delta_ms + 1))
+        elif state.exists:
+            state.remove()
+
+    kind = kinds[key]
+    schema = f"group {kinds[group]}, start_us long, start_key {kind}, end_us long, members array<{kind}>, representative {kind}, alive boolean, version long"
+    return taken.withWatermark("ts", late).groupBy("group").applyInPandasWithState(handle, schema, "data string", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def standing(changes: DataFrame) -> DataFrame:
+    """(group, start_us, start_key, end_us, members, representative) of the bursts that stand after all changes."""
+    last = changes.groupBy("group", "start_us", "start_key").agg(F.max_by(F.struct("end_us", "members", "representative", "alive"), "version").alias("last"))
+    return last.where("last.alive").select("group", "start_us", "start_key", "last.end_us", "last.members", "last.representative")
+
+
+def run_once(stream: DataFrame, folder: str) -> DataFrame:
+    """Run a stream over what is there, into ``folder``, and return all it put out; a second run goes on from the checkpoint."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    each = stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint")
+    each.trigger(availableNow=True).start().awaitTermination()
+    spark, batches = stream.sparkSession, work.names(stream.sparkSession, f"{folder}/out")
+    return spark.read.schema(stream.schema).parquet(*[f"{folder}/out/{b}" for b in batches]) if batches else spark.createDataFrame([], stream.schema)

@@ -283,3 +283,54 @@ def test_catalog_is_opened_read_only(catalogs):
     _, folder = catalogs
     with L._open(L._files(folder)[0]) as db, pytest.raises(sqlite3.OperationalError, match="readonly"):
         db.execute("DELETE FROM AgImages")
+
+
+# ------------------------------------------------------------- streamed bursts
+
+
+def _plain_bursts(rows, gap):
+    """{(group, start, start key): (end, members, representative)}"""
+    out = {}
+    for group in {r[0] for r in rows}:
+        run = []
+        for _, at, key, score in [*sorted((r for r in rows if r[0] == group), key=lambda r: (r[1], r[2])), (None, 10**18, None, None)]:
+            if run and at - run[-1][0] > gap:
+                out[group, *run[0][:2]] = (run[-1][0], [k for _, k, _ in run], max((float("-inf") if s is None else s, t, k) for t, k, s in run)[2])
+                run = []
+            run.append((at, key, score))
+    return out
+
+
+def test_merged_rows_in_any_order():
+    from shutterlake.streaming import bursts as B
+
+    rng = random.Random(6)
+    for _ in range(50):
+        rows = [("g", rng.randint(0, 60), i, rng.randint(0, 3)) for i in range(25)]
+        segments = []
+        for _, at, key, score in rows:
+            segments = B.merged(segments, at, key, score, 2)
+        assert {("g", s[0], s[1]): (s[2], [k for _, k in s[4]], s[3][2]) for s in segments} == _plain_bursts(rows, 2)
+
+
+def test_streamed_bursts_take_in_late_rows(spark, tmp_path):
+    from shutterlake.streaming import bursts as B
+
+    rng, second = random.Random(9), 1_000_000
+    rows = [(rng.choice("ab"), rng.randint(1, 400) * second, i, rng.choice([None, 1.0, 2.0])) for i in range(120)]
+    schema = "camera string, ts timestamp, key long, score double"
+    put = lambda some, name: spark.createDataFrame(some, "camera string, us long, key long, score double").select("camera", F.timestamp_micros("us").alias("ts"), "key", "score").coalesce(1).write.parquet(str(tmp_path / "in" / name))
+    run = lambda late: B.run_once(B.burst_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*")), "ts", "key", "camera", "score", 3000, late), str(tmp_path / "s"))
+    for i in range(3):
+        put(rows[i * 30 : i * 30 + 30], f"f{i}")
+    run("1 hour")
+    put([*rows[90:], ("a", None, 999, 1.0)], "f3")  # a second run goes on, with rows older than most
+    got = {(r["group"], r["start_us"], r["start_key"]): (r["end_us"], r["members"], r["representative"]) for r in B.standing(run("1 hour")).collect()}
+    assert got == _plain_bursts(rows, 3 * second)
+    # what is behind the watermark is dropped, and closed bursts stay as they were
+    put([("a", 90_000 * second, 500, 1.0)], "f4")
+    put([("a", 89_999 * second, 501, 1.0)], "f5")
+    run("1 hour")
+    put([("a", 5 * second, 502, 1.0)], "f6")
+    late = {k: v for k, v in ((("a" if r["group"] == "a" else "b", r["start_us"], r["start_key"]), (r["end_us"], r["members"], r["representative"])) for r in B.standing(run("1 hour")).collect())}
+    assert late == got | {("a", 89_999 * second, 501): (90_000 * second, [501, 500], 500)}
