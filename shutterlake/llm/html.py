@@ -10,7 +10,8 @@ side are the text.
 The model's weights for what a block looks like (words, links, punctuation) are
 fitted on the blocks of a bounded sample of pages whose markup says what they
 are; the markup itself (``article``, ``nav``, class names) enters as a fixed
-cost that a block's looks can outweigh. A nested article or main is content
+cost, which a block's looks can outweigh where it speaks for content, but not
+where it names a menu, footer, comment and the like. A nested article or main is content
 whatever lies around it; only what is hidden is left out for good. Pages are handled one by one; memory is bounded by the longest page.
 
 Rows: null or empty html, or a page without content, gives an empty text.
@@ -37,8 +38,8 @@ from shutterlake.llm.common import hash_sample, small_batches
 SAMPLE = 512
 #: Smoothness between neighbours at distance 0, and how it falls with each step in the tree.
 SMOOTH, FADE = 0.6, 0.6
-#: Fixed costs (log-odds of content) of markup, within the range of what a block looks like.
-SAYS_CONTENT, SAYS_OTHER, OUTSIDE = 2.5, -2.5, -1.5
+#: Fixed costs (log-odds of content) of markup: what names a block content can be outweighed by its looks, what names it other cannot.
+SAYS_CONTENT, SAYS_OTHER, OUTSIDE = 2.5, -8.0, -1.5
 HIDDEN = -2
 
 # Element names and class words with a meaning.
@@ -53,7 +54,10 @@ CONTENT_WORDS = frozenset("article content entry story post main".split())
 STATE_WORDS = frozenset("no not non has have with without is open opened close closed on off enabled disabled".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))?)*)(?:>|\Z)", re.S)
+#: The end tag of an element, and the start of the body; with ASCII letters only, so that places are those of the page.
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I | re.A) for tag in DROPPED}
+_BODY = re.compile(r"<body(?=[\s/>]|\Z)", re.I | re.A)
 _CLASS = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
@@ -63,10 +67,11 @@ _PUNCTUATION = re.compile(r"[.,;:!?]")
 class Block:
     """Text of one block, where it stands in the tree, and what the markup says of it."""
 
-    __slots__ = ("text", "linked", "path", "tag", "cue", "heading")
+    __slots__ = ("text", "linked", "depth", "shared", "parent", "tag", "cue", "heading")
 
-    def __init__(self, text: str, linked: int, path: tuple[int, ...], tag: str, cue: int) -> None:
-        self.text, self.linked, self.path, self.tag, self.cue = text, linked, path, tag, cue
+    def __init__(self, text: str, linked: int, depth: int, shared: int, parent: int, tag: str, cue: int) -> None:
+        """``depth`` elements are around the block, ``shared`` of them around the one before too; ``parent`` is the last but one."""
+        self.text, self.linked, self.depth, self.shared, self.parent, self.tag, self.cue = text, linked, depth, shared, parent, tag, cue
         self.heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
 
 
@@ -110,15 +115,17 @@ def blocks_of(page: str) -> list[Block]:
     # an open element: name, its number, what the markup says
     stack: list[tuple[str, int, int]] = []
     text: list[str] = []
-    linked, links, number, at, lower = 0, 0, 0, 0, None
+    # open elements that are not inline, and the fewest of them since the last block
+    outer: list[tuple[str, int]] = []
+    linked, links, number, at, least = 0, 0, 0, 0, 0
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, least
         if text:
             joined = " ".join("".join(text).split())
             if joined and not (stack and stack[-1][2] == HIDDEN):
-                outer = next((x for x in reversed(stack) if x[0] not in INLINE), ("", 0, 0))
-                blocks.append(Block(joined, linked, tuple(x[1] for x in stack if x[0] not in INLINE), outer[0], stack[-1][2] if stack else 0))
+                blocks.append(Block(joined, linked, len(outer), least, outer[-2][1] if len(outer) > 1 else 0, outer[-1][0] if outer else "", stack[-1][2] if stack else 0))
+                least = len(outer)
             text.clear()
         linked = 0
 
@@ -131,9 +138,12 @@ def blocks_of(page: str) -> list[Block]:
                 linked += len(said.strip())
 
     def close(upto: int) -> None:
-        nonlocal links
+        nonlocal links, least
         for name, _, _ in stack[upto:]:
             links -= name == "a"
+            if name not in INLINE:
+                outer.pop()
+        least = min(least, len(outer))
         del stack[upto:]
 
     size = len(page)
@@ -162,14 +172,13 @@ def blocks_of(page: str) -> list[Block]:
             if tag not in INLINE:
                 flush()
             if not token[3].endswith("/"):
-                # a head that is never closed ends where the body starts
-                lower = lower or page.lower()
-                end = lower.find(f"</{tag}", at)
-                body = lower.find("<body", at) if tag == "head" else -1
-                if tag == "head" and body >= 0 and (end < 0 or body < end):
-                    at = body
-                elif end >= 0:
-                    stop = page.find(">", end)
+                # a head that is never closed ends where the body starts, or else at once
+                end = _END[tag].search(page, at)
+                body = _BODY.search(page, at) if tag == "head" else None
+                if body and (not end or body.start() < end.start()):
+                    at = body.start()
+                elif end:
+                    stop = page.find(">", end.end())
                     at = size if stop < 0 else stop + 1
                 elif tag != "head":
                     at = size if tag in ("script", "style", "textarea", "title") else at
@@ -188,6 +197,8 @@ def blocks_of(page: str) -> list[Block]:
             continue
         number += 1
         stack.append((tag, number, _cue(tag, token[3], stack[-1][2] if stack else 0)))
+        if tag not in INLINE:
+            outer.append((tag, number))
         links += tag == "a"
     flush()
     return blocks
@@ -237,7 +248,9 @@ def minimum_cut(source: list[float], sink: list[float], edges: list[tuple[int, i
     """Which nodes stay with the source in a minimum cut; ``edges`` have their capacity both ways.
 
     Each node's direct flow from source to sink is sent first, so only what is
-    left over has to find its way; augmenting paths by breadth-first search.
+    left over has to find its way, from all such nodes at once: a breadth-first
+    search gives distances, and flow goes along edges that lead away until none
+    of these paths is left; what the last search reaches stays with the source.
     """
     n = len(source)
     left = [source[i] - sink[i] for i in range(n)]
@@ -252,59 +265,59 @@ def minimum_cut(source: list[float], sink: list[float], edges: list[tuple[int, i
         to.append(a)
         room.append(capacity)
     tiny = 1e-9
-    for start in range(n):
-        while left[start] > tiny:
-            came: dict[int, int] = {start: -1}
-            queue, end = deque([start]), -1
-            while queue and end < 0:
-                i = queue.popleft()
-                for e in near[i]:
-                    j = to[e]
-                    if room[e] > tiny and j not in came:
-                        came[j] = e
-                        if left[j] < -tiny:
-                            end = j
-                            break
-                        queue.append(j)
-            if end < 0:
-                break
-            flow, j = min(left[start], -left[end]), end
-            while j != start:
-                flow = min(flow, room[came[j]])
-                j = to[came[j] ^ 1]
-            j = end
-            while j != start:
-                room[came[j]] -= flow
-                room[came[j] ^ 1] += flow
-                j = to[came[j] ^ 1]
-            left[start] -= flow
-            left[end] += flow
-    kept = [left[i] > tiny for i in range(n)]
-    queue = deque(i for i in range(n) if kept[i])
-    while queue:
-        for e in near[i := queue.popleft()]:
-            if room[e] > tiny and not kept[to[e]]:
-                kept[to[e]] = True
-                queue.append(to[e])
-    return kept
+    while True:
+        level, found = [-1] * n, False
+        queue = deque(i for i in range(n) if left[i] > tiny)
+        starts = list(queue)
+        for i in starts:
+            level[i] = 0
+        while queue:
+            for e in near[i := queue.popleft()]:
+                if room[e] > tiny and level[j := to[e]] < 0:
+                    level[j] = level[i] + 1
+                    found = found or left[j] < -tiny
+                    queue.append(j)
+        if not found:
+            return [x >= 0 for x in level]
+        tried = [0] * n
+        for start in starts:
+            path: list[int] = []
+            i = start
+            while left[start] > tiny:
+                if left[i] < -tiny:
+                    flow = min(left[start], -left[i], min(room[e] for e in path))
+                    for e in path:
+                        room[e] -= flow
+                        room[e ^ 1] += flow
+                    left[start] -= flow
+                    left[i] += flow
+                    # go on from before the first edge that is full
+                    full = next((k for k, e in enumerate(path) if room[e] <= tiny), len(path))
+                    del path[full:]
+                    i = to[path[-1]] if path else start
+                    continue
+                while tried[i] < len(near[i]) and not (room[e := near[i][tried[i]]] > tiny and level[to[e]] == level[i] + 1):
+                    tried[i] += 1
+                if tried[i] < len(near[i]):
+                    path.append(near[i][tried[i]])
+                    i = to[path[-1]]
+                elif path:
+                    i = to[path.pop() ^ 1]
+                    tried[i] += 1
+                else:
+                    break
 
 
 def _edges(blocks: list[Block]) -> list[tuple[int, int, float]]:
     """Neighbours in page order, and consecutive children of one element with others between them."""
-    edges, last = [], {}
+    edges: list[tuple[int, int, float]] = []
+    last: dict[int, int] = {}
     for i, block in enumerate(blocks):
         if i:
-            a, b = blocks[i - 1].path, block.path
-            shared = 0
-            for x, y in zip(a, b, strict=False):
-                if x != y:
-                    break
-                shared += 1
-            edges.append((i - 1, i, SMOOTH * FADE ** max(0, len(a) + len(b) - 2 * shared - 2)))
-        parent = block.path[:-1]
-        if parent in last and last[parent] < i - 1:
-            edges.append((last[parent], i, SMOOTH * FADE))
-        last[parent] = i
+            edges.append((i - 1, i, SMOOTH * FADE ** max(0, blocks[i - 1].depth + block.depth - 2 * block.shared - 2)))
+        if last.get(block.parent, i) < i - 1:
+            edges.append((last[block.parent], i, SMOOTH * FADE))
+        last[block.parent] = i
     return edges
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from shutterlake.llm import audit, phrases, quality, queries
+from shutterlake.llm import audit, html, phrases, quality, queries
 
 DATA = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string"
@@ -279,3 +279,44 @@ def test_phrase_scores_are_exact(spark):
 def test_phrases_of_nothing(spark):
     assert phrases.collocations(spark.createDataFrame([], DOC)).count() == 0
     assert phrases.collocations(spark.createDataFrame([(1, None, None)], DOC)).count() == 0
+
+
+# ------------------------------------------------------------ HTML extraction
+
+SAID = "This is a long paragraph of the article, with commas, and it goes on for a while."
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<head><title>t</title><header>H</header><article><p>{SAID}</p></article>", SAID),
+    (f"<head><meta x><p>First. {SAID}</p><header>Menu</header><p>{SAID}</p>", f"First. {SAID} {SAID}"),
+    ("İ" * 40 + f"<script>x</script><article><p>{SAID}</p><p>Second. {SAID}</p></article>", f"{SAID} Second. {SAID}"),
+    (f"<article><p title=don't>{SAID}</p><p>It's here. {SAID}</p></article>", f"{SAID} It's here. {SAID}"),
+    (f"<article><p title = 'a > b' data-x=\"c > d\">{SAID}</p></article>", SAID),
+    (f"<article><p>{SAID}</p><script>if (a</scripted>b) x</SCRIPT ><p>After. {SAID}</p></article>", f"{SAID} After. {SAID}"),
+    (f"<article><p>{SAID}</p></article><footer>F</footer>", SAID),
+    (f"<article><p>{SAID}</p></article><div class='comments'><p>{SAID} {SAID} {SAID}</p></div>", SAID),
+])
+@pytest.mark.parametrize("fitted", [False, True])
+def test_html_loses_no_article_text(page, text, fitted):
+    weights = np.array([-3.0, 1.6, -6.0, 1.5, 0.5, 2.0, -0.5]) if fitted else html.DEFAULT_WEIGHTS
+    assert html.main_text(page, weights) == text
+
+
+def test_html_of_very_long_and_deep_pages():
+    import time
+
+    for page in ("<article>" + "".join(f"<p>Number {i}, {'and more. ' * (i % 7)}</p>" for i in range(40_000)) + "</article>", "<body>" + "".join(f"<div>Number {i}, {'and more. ' * (i % 5)}" for i in range(40_000))):
+        began = time.perf_counter()
+        assert "Number 39996, and more." in html.main_text(page, html.DEFAULT_WEIGHTS)
+        assert time.perf_counter() - began < 10
+
+
+def test_minimum_cut_against_every_labelling():
+    rng = random.Random(4)
+    for _ in range(40):
+        n = rng.randint(1, 9)
+        source, sink = ([rng.choice([0.0, 0.5, 1.0, rng.random()]) for _ in range(n)] for _ in range(2))
+        edges = [(a, b, rng.random()) for a in range(n) for b in range(a) if rng.random() < 0.5]
+        cost = lambda kept: sum(sink[i] if kept[i] else source[i] for i in range(n)) + sum(c for a, b, c in edges if kept[a] != kept[b])  # noqa: E731, B023
+        best = min(cost([bool(m >> i & 1) for i in range(n)]) for m in range(1 << n))
+        assert cost(html.minimum_cut(source, sink, edges)) == pytest.approx(best)
