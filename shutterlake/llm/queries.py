@@ -67,7 +67,7 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record of the archives written from all pages, as read back from them."""
     folder = warc.archive(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    found = warc.read(spark, folder)
+    found = warc.read(spark, folder, payloads=False)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 

@@ -24,6 +24,7 @@ import struct
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow.fs as pafs
 import zstandard
@@ -34,8 +35,10 @@ from shutterlake.llm.common import hash_sample, new_path, small_batches
 
 #: Shortest payload that is stored once.
 LEAST_REVISIT = 100
-#: Records that the dictionary is built from, bytes taken of each, the dictionary's size.
-SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 512, 16_384, 65_536
+#: Records that the dictionary is built from, the size of the largest one that is taken, the dictionary's size.
+SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 512, 131_072, 65_536
+#: Bytes of an archive that a reader holds at a time (more only for a record that is longer).
+READ_BYTES = 4 << 20
 #: Of the leading frame, and of a Zstandard dictionary.
 SKIPPABLE, DICTIONARY_MAGIC = 0x184D2A5D, b"\x37\xa4\x30\xec"
 LEVEL = 3
@@ -51,10 +54,12 @@ def with_revisits(pages: DataFrame) -> DataFrame:
 
 
 def build_dictionary(pages: DataFrame, sample: int = SAMPLE) -> bytes:
-    """A Zstandard dictionary from about ``sample`` records; empty where they are too few to build one."""
-    known = hash_sample(pages.where("html is not null").select("page_id", "html"), "page_id", sample)
-    chosen = known.select(F.substring(F.encode("html", "UTF-8"), 1, SAMPLE_BYTES).alias("head"))
-    samples = sorted(bytes(r["head"]) for r in chosen.collect())
+    """A Zstandard dictionary from about ``sample`` whole records of ``SAMPLE_BYTES`` at most; empty where they are too few to build one.
+
+    The driver holds ``2 * sample * SAMPLE_BYTES`` bytes of them at most.
+    """
+    whole = pages.where("html is not null").select("page_id", F.encode("html", "UTF-8").alias("payload")).where(F.octet_length("payload").between(1, SAMPLE_BYTES))
+    samples = sorted(bytes(r["payload"]) for r in hash_sample(whole, "page_id", sample).select("payload").collect())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes() if len(samples) >= 8 else b""
     except zstandard.ZstdError:
@@ -132,14 +137,30 @@ def write(pages: DataFrame, folder: str, dictionary: bytes) -> DataFrame:
     return spark.read.parquet(f"{folder}/index")
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """Every record that the index of ``folder`` lists, decompressed and parsed: its headers, and its payload's own size and digest."""
+def _stretches(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """The records of a file in its order, some ``READ_BYTES`` of neighbours at a time."""
+    part = part.sort_values("offset")
+    low = part["offset"].to_numpy()
+    ends, at = low + part["length"].to_numpy(), 0
+    while at < len(part):
+        stop = max(at + 1, int(np.searchsorted(ends, low[at] + READ_BYTES, side="right")))
+        yield part.iloc[at:stop]
+        at = stop
+
+
+def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
+    """Every record that the index of ``folder`` lists, decompressed and parsed, with or without the payloads themselves.
+
+    Size and digest of a response's payload are those of the bytes read; a
+    revisit has none, so they are its header's. ``intact`` says that the bytes
+    have the size and digest in their header.
+    """
     spans = spark.read.parquet(f"{folder}/index")
+    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact", *(["payload"] if payloads else [])]
 
     def read_part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, path = pafs.FileSystem.from_uri(folder)
         for batch in batches:
-            rows = []
             for file, part in batch.groupby("file", sort=False):
                 with store.open_input_file(f"{path}/{file}") as source:
                     magic, size = struct.unpack("<II", source.read_at(8, 0))
@@ -147,20 +168,20 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                         raise ValueError(f"{file} has no leading dictionary frame")
                     held = source.read_at(size, 8)
                     unpress = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(held) if held else None)
-                    low, high = int(part["offset"].min()), int((part["offset"] + part["length"]).max())
-                    data = memoryview(source.read_at(high - low, low))
-                    for offset, length in zip(part["offset"], part["length"], strict=True):
-                        raw = unpress.stream_reader(io.BytesIO(data[offset - low : offset - low + length])).read()
-                        headers, body = parse_record(raw)
-                        refers, page = headers.get("X-Refers-To-Page-ID"), headers["X-Page-ID"]
-                        own = None if refers is not None else hashlib.sha256(body).hexdigest()
-                        rows.append((int(page) if page else None, headers["WARC-Target-URI"], int(headers["X-Payload-Length"]), headers["WARC-Payload-Digest"].partition(":")[2], headers["WARC-Type"], int(refers) if refers else None, own, None if own is None else body.decode()))
-            yield pd.DataFrame(rows, columns=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "own_digest", "payload"]).astype({"page_id": "Int64", "refers_to": "Int64"})
-
-    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, own_digest string, payload string"
-    found = spans.mapInPandas(read_part, schema)
-    # a response whose bytes do not have the digest in its header is damaged
-    return found.withColumn("intact", F.coalesce(F.col("own_digest") == F.col("payload_digest"), F.lit(True))).drop("own_digest")
+                    for some in _stretches(part):
+                        low, high = int(some["offset"].min()), int((some["offset"] + some["length"]).max())
+                        data, rows = memoryview(source.read_at(high - low, low)), []
+                        for offset, length in zip(some["offset"], some["length"], strict=True):
+                            headers, body = parse_record(unpress.stream_reader(io.BytesIO(data[offset - low : offset - low + length])).read())
+                            refers, page = headers.get("X-Refers-To-Page-ID"), headers["X-Page-ID"]
+                            said = int(headers["X-Payload-Length"]), headers["WARC-Payload-Digest"].partition(":")[2]
+                            own = said if refers is not None else (len(body), hashlib.sha256(body).hexdigest())
+                            row = (int(page) if page else None, headers["WARC-Target-URI"], *own, headers["WARC-Type"], int(refers) if refers else None, own == said)
+                            rows.append((*row, None if refers is not None else body.decode()) if payloads else row)
+                        yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+
+    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, intact boolean"
+    return spans.mapInPandas(read_part, schema + (", payload string" if payloads else ""))
 
 
 def archive(pages: DataFrame) -> str:

@@ -14,7 +14,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from shutterlake.llm import audit, html, phrases, quality, queries
+from shutterlake.llm import audit, html, phrases, quality, queries, warc
+from shutterlake.llm.common import new_path
 
 DATA = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string"
@@ -320,3 +321,33 @@ def test_minimum_cut_against_every_labelling():
         cost = lambda kept: sum(sink[i] if kept[i] else source[i] for i in range(n)) + sum(c for a, b, c in edges if kept[a] != kept[b])  # noqa: E731, B023
         best = min(cost([bool(m >> i & 1) for i in range(n)]) for m in range(1 << n))
         assert cost(html.minimum_cut(source, sink, edges)) == pytest.approx(best)
+
+
+# ------------------------------------------------------------------------ WARC
+
+
+def test_warc_read_in_stretches(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(i, f"u{i}", "".join(rng.choice("abcdef <>") for _ in range(rng.choice([0, 50, 300, 200_000])))) for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    sampled = warc.build_dictionary(df)
+    assert len(sampled) <= warc.DICTIONARY_BYTES
+    folder = new_path(spark, "warc")
+    warc.write(warc.with_revisits(df), folder, sampled)
+    whole = {r["page_id"]: r for r in warc.read(spark, folder).collect()}
+    bare = warc.read(spark, folder, payloads=False)
+    assert "payload" not in bare.columns and bare.where("not intact").count() == 0 and bare.count() == len(rows)
+    for i, _, text in rows:
+        r = whole[i]
+        assert r["payload_bytes"] == len(text) and (r["record_type"] == "revisit" or r["payload"] == text)
+
+
+def test_warc_stretches_are_bounded(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(warc, "READ_BYTES", 100)
+    lengths = [10, 90, 1, 250, 40, 60, 5]
+    offsets = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    part = pd.DataFrame({"offset": offsets, "length": lengths}).sample(frac=1, random_state=1)
+    got = list(warc._stretches(part))
+    assert [list(s["length"]) for s in got] == [[10, 90], [1], [250], [40, 60], [5]]
