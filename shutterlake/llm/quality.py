@@ -24,6 +24,7 @@ except those replaced.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -202,10 +203,10 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
             found = bags(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b.astype(np.int32) for b, _ in found], pa.list_(pa.int32())), pa.array([s.astype(np.float32) for _, s in found], pa.list_(pa.float32()))], names=["label", "buckets", "shares"])
 
-    table = rows.mapInArrow(counted, "label int, buckets array<int>, shares array<float>").toArrow().combine_chunks()
-    texts = [(b.values.to_numpy().astype(np.int64), s.values.to_numpy().astype(np.float64), y) for b, s, y in zip(table["buckets"], table["shares"], table["label"].to_pylist(), strict=True)]
-    # the same order however rows arrive
-    texts.sort(key=lambda t: (t[2], t[0].tobytes(), t[1].tobytes()))
+    table = rows.mapInArrow(counted, "label int, buckets array<int>, shares array<float>").toArrow()
+    # views of what came, not copies; the same order however rows arrive
+    texts = [(b.values.to_numpy(), s.values.to_numpy(), y.as_py()) for y, b, s in zip(table["label"], table["buckets"], table["shares"], strict=True)]
+    texts.sort(key=lambda t: (t[2], hashlib.sha256(t[0]).digest(), hashlib.sha256(t[1]).digest()))
     vectors, out = fit(texts)
     return vectors.astype(np.float64) @ (out[1] - out[0]).astype(np.float64)
 
