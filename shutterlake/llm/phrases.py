@@ -38,9 +38,9 @@ from pyspark.sql import functions as F
 from shutterlake.llm.common import discard, small_batches, written
 
 #: Bytes of text in a block, and of all a task holds before it makes blocks of less.
-BLOCK, HELD = 8 << 20, 32 << 20
+BLOCK, HELD = 4 << 20, 16 << 20
 #: Starts of phrases that are counted at a time, keys of a range, and keys sampled for the ranges' bounds from about so many blocks.
-STARTS, RANGE, SAMPLED, SAMPLED_BLOCKS = 1 << 20, 1 << 21, 1 << 17, 48
+STARTS, RANGE, SAMPLED, SAMPLED_BLOCKS = 1 << 19, 1 << 20, 1 << 17, 48
 #: Parts of a language whose first phrases are found apart.
 SALTS = 32
 WIDTH = 24
