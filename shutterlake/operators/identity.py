@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from shutterlake.functions.scalars import exact_round, log_odds, strength, z_score
 from shutterlake.functions.udfs import binom_sf
+from shutterlake.operators.scores import rounded
+from shutterlake.sources.work import written
 
 #: Lenses an image needs to vote; the share of the catalog under which a lens is of low coverage; the level of a crown.
 MIN_LENSES, LOW_COVERAGE, LEVEL = 2, 0.5, 0.05
@@ -18,11 +20,13 @@ def votes(pct: DataFrame) -> DataFrame:
     A tie is no vote, but counts for photos_on and, with 1/k of k lenses, for what
     chance would give. ``population`` is the number of voting images.
     """
-    image = Window.partitionBy("image_key")
-    seen = pct.select("image_key", "perspective_slug", "pct", F.count(F.lit(1)).over(image).alias("k"), F.max("pct").over(image).alias("top"), F.min("perspective_slug").over(image).alias("first"))
-    voters = seen.where(F.col("k") >= MIN_LENSES).withColumn("tops", F.sum((F.col("pct") == F.col("top")).cast("int")).over(image))
-    won = ((F.col("pct") == F.col("top")) & (F.col("tops") == 1)).cast("long")
-    rows = voters.groupBy("perspective_slug").agg(F.sum(won).alias("votes"), F.count(F.lit(1)).alias("photos_on"), F.sum(1 / F.col("k")).alias("expected"), F.count_if(F.col("perspective_slug") == F.col("first")).alias("firsts"))
+    # an image's lenses are few, so they are one sorted list
+    lenses = F.array_sort(F.collect_list(F.struct("perspective_slug", "pct"))).alias("lenses")
+    top = F.array_max(F.transform("lenses", lambda x: x["pct"]))
+    images = pct.groupBy("image_key").agg(lenses).where(F.size("lenses") >= MIN_LENSES).select("lenses", F.size("lenses").alias("k"), top.alias("top"))
+    tops = F.size(F.filter("lenses", lambda x: x["pct"] == F.col("top")))
+    voters = images.select("k", "top", tops.alias("tops"), F.posexplode("lenses").alias("at", "lens")).select("k", "at", F.col("lens.perspective_slug").alias("perspective_slug"), ((F.col("lens.pct") == F.col("top")) & (F.col("tops") == 1)).alias("won"))
+    rows = voters.groupBy("perspective_slug").agg(F.count_if("won").alias("votes"), F.count(F.lit(1)).alias("photos_on"), F.sum(1 / F.col("k")).alias("expected"), F.count_if(F.col("at") == 0).alias("firsts"))
     # one row a lens, so this window is as small as the list of lenses
     return rows.withColumn("population", F.sum("firsts").over(Window.partitionBy())).drop("firsts")
 
@@ -80,7 +84,7 @@ def exemplars(pct: DataFrame, hidden: DataFrame, limit: int = 12, offset: int =
     """A page of the images of each lens: percentile, purity, key; stacks are collapsed after both are known."""
     shown = purity(pct).join(hidden.select(F.col("key").alias("image_key")), "image_key", "left_anti")
     order = Window.partitionBy("perspective_slug").orderBy(F.desc("pct"), F.desc("purity"), F.asc("image_key"))
-    return shown.withColumn("place", F.row_number().over(order)).where((F.col("place") > offset) & (F.col("place") <= offset + limit)).select("perspective_slug", "place", "image_key", exact_round(F.col("pct"), 6).alias("pct"), "purity")
+    return shown.withColumn("place", F.row_number().over(order)).where((F.col("place") > offset) & (F.col("place") <= offset + limit)).select("perspective_slug", "place", "image_key", rounded(pct).alias("pct"), "purity")
 
 
 def descriptors(tokens: DataFrame, least: int = 5, top: int = 15) -> DataFrame:
@@ -109,13 +113,11 @@ def suggest_next(pct: DataFrame, images: DataFrame, limit: int = 50, offset: int
     found from their histogram: peaks are rounded, so it stays small. Stacks are
     not collapsed.
     """
-    rounded = exact_round(F.col("pct"), 6)
-    one = pct.withColumn("pct", rounded).groupBy("image_key").agg(F.max("pct").alias("peak"), F.count(F.lit(1)).alias("coverage"), F.min(F.struct((-F.col("pct")).alias("p"), "perspective_slug")).alias("f"))
+    one = pct.select("image_key", "perspective_slug", rounded(pct).alias("pct")).groupBy("image_key").agg(F.max("pct").alias("peak"), F.count(F.lit(1)).alias("coverage"), F.min(F.struct((-F.col("pct")).alias("p"), "perspective_slug")).alias("f"))
     peak = one.where(F.col("coverage") >= min_perspectives).select("image_key", "peak", "coverage", F.col("f.perspective_slug").alias("lens"))
-    unposted = images.where(F.coalesce("instagram_posted", F.lit(0)) == 0).select(F.col("key").alias("image_key"), "date_taken")
-    # scored images that the catalog lacks count as unposted
-    posted = images.where(F.coalesce("instagram_posted", F.lit(0)) != 0).select(F.col("key").alias("image_key"))
-    rows = peak.join(posted, "image_key", "left_anti").join(unposted, "image_key", "left")
+    known = images.select(F.col("key").alias("image_key"), "date_taken", (F.coalesce("instagram_posted", F.lit(0)) != 0).alias("posted"))
+    # scored images that the catalog lacks count as unposted; the rows are written, since the cut and the page both need them
+    rows = written(peak.join(known, "image_key", "left").where(~F.coalesce("posted", F.lit(False))).drop("posted"), "unposted")
     counts = rows.groupBy("peak").agg(F.count(F.lit(1)).alias("n"))
     upto = counts.select("peak", F.sum("n").over(Window.orderBy("peak")).alias("upto"), F.sum("n").over(Window.partitionBy()).alias("total"))
     cut = upto.where(F.col("upto") > F.rint(0.9 * (F.col("total") - 1))).agg(F.min("peak").alias("p90"))

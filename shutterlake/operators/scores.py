@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shutterlake.functions import scalars as X
@@ -26,11 +26,13 @@ def best_score(scores: DataFrame) -> DataFrame:
 
 
 def percentiles(population: DataFrame) -> DataFrame:
-    """``population`` with ``pct``, the midrank percentile of the score within its lens.
+    """``population`` with ``pct``, the midrank percentile of the score within its lens, and ``pct_6``, that rounded to six places.
 
     The midrank of a score depends on the counts of scores only, so the ranks
     come from the histogram of each lens, which is as small as the score range
-    and is joined back; no lens is sorted, however many images it has.
+    and is joined back; no lens is sorted, however many images it has. Rounding
+    is done there too, and not for each row. Both the histogram and the rows read
+    ``population``: write it first where it costs more than a scan.
     """
     counts = population.groupBy("perspective_slug", "score").agg(F.count(F.lit(1)).alias("tied"))
     lens = Window.partitionBy("perspective_slug")
@@ -38,18 +40,24 @@ def percentiles(population: DataFrame) -> DataFrame:
     below = F.sum("tied").over(lens.orderBy("score")) - F.col("tied")
     rank = below + (F.col("tied") + 1) / F.lit(2.0)
     table = counts.select("perspective_slug", "score", F.when(n == 1, F.lit(1.0)).otherwise((rank - 1) / (n - 1)).alias("pct"))
-    return population.join(table, ["perspective_slug", "score"])
+    # scores are whole numbers from 1 to 10, so this is ten rows a lens
+    return population.join(F.broadcast(table.withColumn("pct_6", X.exact_round(F.col("pct"), 6))), ["perspective_slug", "score"])
+
+
+def rounded(pct: DataFrame) -> Column:
+    """The percentile to six places: as it was worked out with the percentiles, else here."""
+    return F.col("pct_6") if "pct_6" in pct.columns else X.exact_round(F.col("pct"), 6)
 
 
 def peaks(pct: DataFrame, min_perspectives: int = 1) -> DataFrame:
     """(image_key, peak, coverage, eligible): the best rounded percentile of an image."""
-    return pct.groupBy("image_key").agg(F.max(X.exact_round(F.col("pct"), 6)).alias("peak"), F.count(F.lit(1)).alias("coverage")).withColumn("eligible", F.col("coverage") >= min_perspectives)
+    return pct.groupBy("image_key").agg(F.max(rounded(pct)).alias("peak"), F.count(F.lit(1)).alias("coverage")).withColumn("eligible", F.col("coverage") >= min_perspectives)
 
 
 def peak_details(pct: DataFrame, perspectives: DataFrame, min_perspectives: int = 1) -> DataFrame:
     """:func:`peaks` with ``per_perspective``, the image's lenses in order: slug, display_name, score, percentile."""
     named = pct.join(perspectives.select(F.col("slug").alias("perspective_slug"), "display_name"), "perspective_slug", "left")
-    one = F.struct("perspective_slug", F.coalesce("display_name", F.col("perspective_slug").cast("string")).alias("display_name"), "score", X.exact_round(F.col("pct"), 6).alias("percentile"))
+    one = F.struct("perspective_slug", F.coalesce("display_name", F.col("perspective_slug").cast("string")).alias("display_name"), "score", rounded(pct).alias("percentile"))
     listed = named.groupBy("image_key").agg(F.array_sort(F.collect_list(one)).alias("per_perspective"))
     peak = F.array_max(F.transform("per_perspective", lambda p: p["percentile"]))
     return listed.select("image_key", peak.alias("peak"), F.size("per_perspective").cast("long").alias("coverage"), (F.size("per_perspective") >= min_perspectives).alias("eligible"), "per_perspective")

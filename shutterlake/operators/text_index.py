@@ -29,7 +29,7 @@ from shutterlake.sources import work
 from shutterlake.sources.buckets import BucketTable
 
 #: Buckets of postings.
-BUCKETS = 64
+BUCKETS = 32
 #: What surely stands between words, before folding.
 BETWEEN = r"[^\p{L}\p{N}\p{M}]+"
 
@@ -39,15 +39,17 @@ def _stems(word: pd.Series) -> pd.Series:
     return word.map(lambda w: sorted({porter_stem(x) for x in words_in(fold(w))}))
 
 
-def postings(texts: DataFrame) -> DataFrame:
-    """Distinct (stem, key) of (key, text)."""
-    words = texts.where("text is not null").select("key", F.explode(F.array_distinct(F.split("text", BETWEEN))).alias("word")).where("word <> ''")
-    # the distinct words are few beside the texts; they are dealt out by number, since stemming is slow for their size
+def postings(texts: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Distinct (stem, key) of (key, text), and the work tables that they are read from."""
     tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = texts.where("text is not null").select("key", "text")
+    if rows.rdd.getNumPartitions() < tasks:  # a few files: no task of the next step would have anything to do
+        rows = rows.repartition(tasks)
+    words = work.written(rows.select("key", F.explode(F.array_distinct(F.split("text", BETWEEN))).alias("word")).where("word <> ''"), "words")
+    # the distinct words are few beside the texts; they are dealt out by number, since stemming is slow for their size
     stems = work.written(words.select("word").distinct().repartition(tasks, "word").select("word", _stems("word").alias("stems")), "stems")
     found = words.join(stems, "word").select(F.explode("stems").alias("stem"), "key").distinct()
-    found._work_path = stems._work_path
-    return found
+    return found, [words, stems]
 
 
 @dataclass(frozen=True)
@@ -94,9 +96,9 @@ class TextIndex:
 
 def build(texts: DataFrame, folder: str | None = None, buckets: int = BUCKETS) -> TextIndex:
     """The index of (key, text), written to ``folder``."""
-    found = postings(texts)
+    found, tables = postings(texts)
     index = _stored(found, folder, buckets)
-    work.discard(found)
+    work.discard(*tables)
     return index
 
 

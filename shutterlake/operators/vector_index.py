@@ -25,6 +25,7 @@ places) go by key.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -132,21 +133,21 @@ def build(vectors: DataFrame, folder: str | None = None, cell: int = CELL) -> Ve
     stats = known.withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).toPandas().set_index("cell").reindex(range(len(pivots)))
     stats = stats.fillna({"n": 0, "low": np.inf, "high": -np.inf, "parts": 0})
     ddl = f"part int, vid string, keys {kinds['keys']}, embedding {kinds['embedding']}, cell int"
-    meta = [(i, p.tolist(), int(n), float(low), float(high), int(parts), ddl) for i, (p, n, low, high, parts) in enumerate(zip(pivots, stats["n"], stats["low"], stats["high"], stats["parts"], strict=True))]
-    meta = spark.createDataFrame(meta, "cell int, pivot array<double>, n long, low double, high double, parts int, ddl string")
+    meta = {"ddl": ddl, "pivots": pivots.tolist(), "keys": stats["n"].tolist(), "low": stats["low"].tolist(), "high": stats["high"].tolist(), "parts": stats["parts"].tolist()}
+    parts = spark.createDataFrame([(i, int(n)) for i, n in enumerate(meta["parts"])], "cell int, parts int")
     # a row for each cell, of which there are at most MOST_CELLS
-    parted = flat.join(F.broadcast(meta.select("cell", "parts")), "cell").select("cell", F.pmod(F.xxhash64("vid"), F.col("parts")).cast("int").alias("part"), "vid", "keys", "embedding")
+    parted = flat.join(F.broadcast(parts), "cell").select("cell", F.pmod(F.xxhash64("vid"), F.col("parts")).cast("int").alias("part"), "vid", "keys", "embedding")
     parted.repartition("cell", "part").write.partitionBy("cell").parquet(f"{folder}/vectors")
-    meta.coalesce(1).write.parquet(f"{folder}/meta")
+    work.write_text(spark, f"{folder}/meta.json", json.dumps(meta))
     work.discard(flat)
     return opened(spark, folder)
 
 
 def opened(spark: SparkSession, folder: str) -> VectorIndex:
     """An index that was written before."""
-    meta = spark.read.parquet(f"{folder}/meta").toPandas().sort_values("cell")
-    pivots = np.array(meta["pivot"].tolist(), dtype=np.float64).reshape(len(meta), -1)
-    return VectorIndex(spark, folder, pivots, *(meta[c].to_numpy() for c in ("n", "low", "high", "parts")), meta["ddl"].iloc[0])
+    meta = json.loads(work.read_text(spark, f"{folder}/meta.json"))
+    pivots = np.array(meta["pivots"], dtype=np.float64).reshape(len(meta["pivots"]), -1)
+    return VectorIndex(spark, folder, pivots, *(np.array(meta[c], dtype=np.float64) for c in ("keys", "low", "high", "parts")), meta["ddl"])
 
 
 def index_of(vectors: DataFrame) -> VectorIndex:

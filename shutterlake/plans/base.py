@@ -26,7 +26,7 @@ PCT = """pop AS (SELECT s.* FROM scores s JOIN lenses p USING (slug) WHERE p.act
 pct AS (
   SELECT image_key, slug, score, CASE WHEN n = 1 THEN 1.0 ELSE ((rk - 1) + (tied + 1) / 2.0 - 1) / (n - 1) END AS pct FROM (
     SELECT *, rank() OVER (PARTITION BY slug ORDER BY score) AS rk, count(*) OVER (PARTITION BY slug, score) AS tied, count(*) OVER (PARTITION BY slug) AS n FROM pop) q)"""
-STACKS = """means AS (SELECT image_key, round(avg(score), 6) AS mean_score FROM scores JOIN lenses USING (slug) WHERE active = 1 GROUP BY image_key),
+STACKS = """means AS (SELECT image_key, CAST(format('{:.6f}', CAST(avg(score) AS DOUBLE)) AS DOUBLE) AS mean_score FROM scores JOIN lenses USING (slug) WHERE active = 1 GROUP BY image_key),
 reps AS (
   SELECT stack_id, key AS representative_key, n AS stack_size FROM (
     SELECT i.stack_id, i.key, count(*) OVER (PARTITION BY i.stack_id) AS n,

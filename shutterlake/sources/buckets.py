@@ -28,7 +28,7 @@ from shutterlake.sources import work
 #: The column that holds the bucket in the files.
 BUCKET = "__bucket"
 #: Tasks, and so files, that a bucket is dealt to.
-SHARES = 4
+SHARES = 2
 
 
 @dataclass(frozen=True)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shutterlake.functions.scalars import exact_round
 from shutterlake.operators import scores as S
 from shutterlake.operators import stacks as K
 from shutterlake.operators.text_index import TextIndex, index_of
+from shutterlake.sources.work import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,15 +37,15 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def population(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of active lenses that were given, with percentiles."""
-    return S.percentiles(S.attempted(scores(spark, sf_dir), perspectives(spark, sf_dir)))
+    """Scores of active lenses that were given, with percentiles; written once, since histograms and rows both need them."""
+    return S.percentiles(written(S.attempted(scores(spark, sf_dir), perspectives(spark, sf_dir)), "population"))
 
 
 def stack_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(key, stack_id, representative_key, stack_size)."""
     rows = images(spark, sf_dir)
     active = perspectives(spark, sf_dir).where("active = 1").select(F.col("slug").alias("perspective_slug"))
-    mean = scores(spark, sf_dir).join(F.broadcast(active), "perspective_slug", "left_semi").groupBy("image_key").agg(F.round(F.avg("score"), 6).alias("mean_score"))
+    mean = scores(spark, sf_dir).join(F.broadcast(active), "perspective_slug", "left_semi").groupBy("image_key").agg(exact_round(F.avg("score"), 6).alias("mean_score"))
     return K.stack_fields(rows, K.representatives(rows.select("stack_id", "key", "rating", "date_taken"), mean))
 
 
