@@ -10,8 +10,8 @@ side are the text.
 The model's weights for what a block looks like (words, links, punctuation) are
 fitted on the blocks of a bounded sample of pages whose markup says what they
 are; the markup itself (``article``, ``nav``, class names) enters as a fixed
-cost, which a block's looks can outweigh where it speaks for content, but not
-where it names a menu, footer, comment and the like. A nested article or main is content
+cost that a block's looks can outweigh, but for menus, footers and readers'
+comments. A nested article or main is content
 whatever lies around it; only what is hidden is left out for good. Pages are handled one by one; memory is bounded by the longest page.
 
 Rows: null or empty html, or a page without content, gives an empty text.
@@ -38,9 +38,9 @@ from shutterlake.llm.common import hash_sample, small_batches
 SAMPLE = 512
 #: Smoothness between neighbours at distance 0, and how it falls with each step in the tree.
 SMOOTH, FADE = 0.6, 0.6
-#: Fixed costs (log-odds of content) of markup: what names a block content can be outweighed by its looks, what names it other cannot.
-SAYS_CONTENT, SAYS_OTHER, OUTSIDE = 2.5, -8.0, -1.5
-HIDDEN = -2
+#: Fixed costs (log-odds of content) of markup: a block's looks can outweigh them, but for what is a menu, a footer or readers' comments.
+SAYS_CONTENT, SAYS_OTHER, SAYS_NEVER, OUTSIDE = 2.5, -2.5, -8.0, -1.5
+HIDDEN, NEVER = -2, -3
 
 # Element names and class words with a meaning.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
@@ -48,6 +48,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 DROPPED = frozenset("script style noscript template textarea select title head svg math iframe object video audio canvas button datalist option".split())
 OTHER_TAGS = frozenset("nav footer aside form header menu dialog".split())
 CONTENT_TAGS = frozenset("article main".split())
+#: Elements and class words that no looks outweigh.
+NEVER_TAGS, NEVER_WORDS = frozenset("nav footer".split()), frozenset("comment comments reply replies respond".split())
 OTHER_WORDS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs footer header masthead sidebar cookie cookies consent gdpr notice notices alert comment comments reply replies respond share sharing social related recommended subscribe newsletter signup popup modal overlay login search widget pagination pager copyright disclaimer toolbar".split())
 CONTENT_WORDS = frozenset("article content entry story post main".split())
 #: Words that make a name a state or a layout: no-sidebar, comments-open.
@@ -91,7 +93,7 @@ def _named(attributes: str) -> tuple[bool, bool]:
 
 
 def _cue(tag: str, attributes: str, outer: int) -> int:
-    """1 content, -1 other, 0 not told, HIDDEN for good; content inside other is told anew."""
+    """1 content, -1 other, NEVER other whatever it looks like, 0 not told, HIDDEN for good; content inside other is told anew."""
     if outer == HIDDEN or (attributes and _HIDDEN.search(attributes)):
         return HIDDEN
     if tag in ("html", "body"):
@@ -100,7 +102,8 @@ def _cue(tag: str, attributes: str, outer: int) -> int:
     # a form around a whole page tells nothing, nor does a header within content
     told = tag in OTHER_TAGS and not (tag == "header" and outer > 0) and not (tag == "form" and outer <= 0)
     if told or (other and not content):
-        return -1
+        never = outer == NEVER or tag in NEVER_TAGS or any(not NEVER_WORDS.isdisjoint(_WORD.findall(v.lower())) for v in _CLASS.findall(attributes))
+        return NEVER if never else -1
     if tag in CONTENT_TAGS:
         return 1
     if content and not other:
@@ -328,7 +331,7 @@ def main_text(page: str | None, weights: np.ndarray) -> str:
         return ""
     told = any(b.cue > 0 for b in blocks)
     score = np.array([features(b) for b in blocks]) @ weights
-    score = score + np.array([SAYS_CONTENT if b.cue > 0 else SAYS_OTHER if b.cue < 0 else OUTSIDE if told else 0.0 for b in blocks])
+    score = score + np.array([SAYS_CONTENT if b.cue > 0 else SAYS_NEVER if b.cue == NEVER else SAYS_OTHER if b.cue < 0 else OUTSIDE if told else 0.0 for b in blocks])
     # costs -log P: log(1 + e^s) for calling a block other, log(1 + e^-s) for calling it content
     kept = minimum_cut(np.logaddexp(0, score).tolist(), np.logaddexp(0, -score).tolist(), _edges(blocks))
     return " ".join(b.text for b, k in zip(blocks, kept, strict=True) if k)
