@@ -5,6 +5,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -271,6 +272,59 @@ def test_caps_in_few_dimensions(spark):
         assert {i: got[i] for i, _ in own} == {i: sum(j != i and v @ w >= 0.9499 for j, w in own) for i, v in own}
 
 
+def clusters(seed, sizes, spread):
+    draw = np.random.default_rng(seed)
+    centres = draw.normal(size=(len(sizes), 64))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    return np.concatenate([c + spread * draw.normal(size=(n, 64)) / 8 for c, n in zip(centres, sizes)])
+
+
+@pytest.mark.parametrize(("few", "block"), [(64, 1024), (8, 32), (2, 16)])
+def test_caps_in_crowds_against_plain(spark, monkeypatch, few, block):
+    """Clusters whose filters are fuller than ``FEW`` (in one block or many), with copies: each link counts once."""
+    monkeypatch.setattr(caps, "FEW", few)
+    monkeypatch.setattr(caps, "BLOCK", block)
+    v = clusters(4, [160, 90, 30, 5, 1, 1], 0.24)
+    v = np.concatenate([v, v[:7], v[:1], 3 * v[200:203]])
+    units = v / np.linalg.norm(v, axis=1, keepdims=True)
+    linked = units @ units.T >= 0.95
+    assert 0.2 < linked[:160, :160].mean() < 0.9
+    np.fill_diagonal(linked, False)
+    least = np.arange(len(v))
+    while True:
+        after = np.minimum(least, np.where(linked, least[None, :], len(v)).min(axis=1))
+        if (after == least).all():
+            break
+        least = after
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in caps.near_duplicates(rows).collect()}
+    assert got == {i: (int(linked[i].sum()), int(least[i]), bool(least[i] == i)) for i in range(len(v))}
+
+
+def test_caps_blocks_give_no_pairs():
+    """A block's result is a row for each linked member, however many links there are."""
+    v = clusters(5, [300], 0.1)
+    lists = [[7]] * 200 + [[3, 7]] * 100
+    rows = pa.table({"rep": np.arange(300), "i": np.arange(300) % 2, "copies": np.ones(300, dtype=np.int64), "embedding": pa.array(v.tolist()), "crowded": pa.array(lists, pa.list_(pa.int64()))})
+    key = [pa.scalar(x) for x in (7, 64, 0, 0)]
+    out = caps._block_links(0.95)(key, rows).to_pydict()
+    assert len(out["rep"]) == 300 and set(out["root"]) == {0}
+    # the last hundred share filter 3 as well, under which their links count
+    assert out["linked"] == [299] * 200 + [200] * 100
+    key[3] = pa.scalar(1)
+    assert caps._block_links(0.95)(key, rows).to_pydict()["linked"] == [150] * 200 + [100] * 100
+
+
+def test_caps_grow_with_the_table():
+    """More vectors, more directions; the codes together still miss next to no pair."""
+    wide, codes = caps.code_shape(64, total=10_000_000)
+    assert wide**4 > 50 * 10_000_000 and wide > caps.code_shape(64, total=1000)[0] == caps.CODES
+    assert caps.missed_by_code(64, wide=wide) ** codes <= caps.MISSES
+    assert caps.code_shape(16, total=10**12)[0] < 128 and caps.code_shape(4, total=10**9)[1] == 0
+    a, b = (caps.list_filters(v, total=10_000_000) for v in at_the_threshold(64, 3000))
+    assert all(set(p) & set(q) for p, q in zip(a.tolist(), b.tolist()))
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (5, 4), (6, 6)] + [(i, i + 1) for i in range(100, 140)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
