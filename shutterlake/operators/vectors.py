@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from shutterlake.functions.scalars import match_label
 from shutterlake.operators import vector_index as I
+from shutterlake.operators.catalog import newest_first
+from shutterlake.operators.model_calls import call
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, with_self: bool = True) -> DataFrame:
@@ -92,12 +94,23 @@ def pin_candidates(seed: DataFrame, vectors: DataFrame, hidden: DataFrame, most:
     return seed.select("key", F.lit(0).alias("rank")).union(found.select("key", "rank"))
 
 
-def encode(rows: DataFrame, model, column: str, size: int) -> DataFrame:
-    """``rows`` (key, ``column``) with vectors of an injected model: a function from a list of values to a matrix."""
+def embedded_newest_first(images: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(key, date_taken) of the images that have a row in ``vectors`` (key), newest first."""
+    return newest_first(images.join(vectors.select("key").distinct(), "key", "left_semi")).select("key", "date_taken")
+
+
+def encode(rows: DataFrame, model: Callable | Sequence[Callable], column: str, size: int, waits: Sequence[float] = (2, 8, 32)) -> DataFrame:
+    """``rows`` (key, ``column``) with vectors of an injected model: a function from a list of values to a matrix.
+
+    Of several models the first that answers serves a batch; passing failures are
+    met as in :func:`~shutterlake.operators.model_calls.call`.
+    """
+    models = [model] if callable(model) else list(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = np.asarray(model(batch[column].tolist()), dtype=np.float32).reshape(len(batch), size)
+            found, _ = call(models, batch[column].tolist(), waits)
+            out = np.asarray(found, dtype=np.float32).reshape(len(batch), size)
             out = out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
             yield pd.DataFrame({"key": batch["key"], "embedding": list(out)})
 

@@ -13,6 +13,7 @@ from shutterlake.operators import jobs as J
 from shutterlake.operators import scores as S
 from shutterlake.operators import stacks as K
 from shutterlake.operators import sync as Y
+from shutterlake.operators import vectors as V
 from shutterlake.plans.base import ALL, query, sql_round
 from shutterlake.plans.core import _SIGNATURE, _STRENGTH, _VOTES, _pairs
 from shutterlake.sources import driver as D
@@ -165,6 +166,12 @@ def newest_images(spark, d):
     return C.newest_first(D.images(spark, d)).limit(30).select("key", "date_taken")
 
 
+@query(ALL + "SELECT key, date_taken FROM images WHERE key IN (SELECT vec_id FROM embeddings) ORDER BY date_taken DESC, key DESC")
+def embedded_newest(spark, d):
+    """The images that have vectors, newest first."""
+    return V.embedded_newest_first(D.images(spark, d), D.vectors(spark, d))
+
+
 @query(ALL + "SELECT key FROM images ORDER BY md5('7:' || key) LIMIT 25")
 def sample_keys(spark, d):
     """A random sample of keys."""

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from shutterlake.functions.scalars import optional_marker
 from shutterlake.functions.udfs import first_body_line
@@ -47,6 +49,16 @@ def export_json(df: DataFrame, folder: str) -> None:
     df.write.mode("overwrite").json(folder)
 
 
+def export_schema(df: DataFrame, folder: str) -> None:
+    """The schema of ``df`` as one JSON text."""
+    df.sparkSession.createDataFrame([(df.schema.json(),)], "value string").coalesce(1).write.mode("overwrite").text(folder)
+
+
+def read_schema(spark: SparkSession, folder: str) -> StructType:
+    """A schema that :func:`export_schema` wrote."""
+    return StructType.fromJson(json.loads(spark.read.text(folder, wholetext=True).first()["value"]))
+
+
 def export_csv(df: DataFrame, folder: str) -> bool:
     """Rows as CSV with a header; nothing is written for no rows."""
     if df.isEmpty():
@@ -72,6 +84,21 @@ def read_prompts(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(name.alias("slug"), F.initcap(F.replace(name, F.lit("_"), F.lit(" "))).alias("display_name"), first_body_line("value").alias("description"), F.col("value").alias("prompt_markdown"), F.lit(1).cast("long").alias("active"), optional_marker(F.col("value")).cast("long").alias("optional"), F.concat(name, F.lit(".md")).alias("source_filename")).orderBy("slug")
 
 
+def seeded(perspectives: DataFrame, folder: str) -> DataFrame:
+    """The table as it is; where it has no rows, the folder's prompts in its columns (null where a prompt has none).
+
+    The folder is not read otherwise: once seeded, the table decides. Ids count
+    from 1 by file name, and both times are now.
+    """
+    if not perspectives.isEmpty():
+        return perspectives
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    # a folder of prompts is a handful of rows
+    numbered = F.row_number().over(Window.orderBy("source_filename"))
+    prompts = read_prompts(perspectives.sparkSession, folder).withColumns({"id": numbered, "created_at": now, "updated_at": now})
+    return prompts.select(*[(F.col(f.name) if f.name in prompts.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in perspectives.schema.fields])
+
+
 def read_image_files(spark: SparkSession, folder: str, pattern: str = "*.{jpg,jpeg,dng,png}") -> DataFrame:
     """(path, modificationTime, length, content) of image files."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)

@@ -242,6 +242,69 @@ def test_files(spark, tmp_path):
     assert T.export_then_drop(df, str(tmp_path / "json")) == 1
 
 
+def test_prompts_seed_an_empty_table_only(spark, tmp_path):
+    from shutterlake.schema import TABLES
+    from shutterlake.sources import tables as T
+
+    (tmp_path / "b_two.md").write_text("# Two\n\nbody")
+    (tmp_path / "a_one.md").write_text("# One\n\nbody")
+    none = spark.createDataFrame([], TABLES["perspectives"])
+    seeded = T.seeded(none, str(tmp_path))
+    assert seeded.schema.simpleString() == none.schema.simpleString()
+    assert [(r.id, r.slug, r.active) for r in seeded.orderBy("id").collect()] == [(1, "a_one", 1), (2, "b_two", 1)]
+    kept = seeded.where("id = 2")
+    assert T.seeded(kept, str(tmp_path / "nowhere")) is kept
+
+
+def test_schema_round_trip(spark, tmp_path):
+    from shutterlake.schema import TABLES
+    from shutterlake.sources import tables as T
+
+    df = spark.createDataFrame([], TABLES["perspectives"]).withColumn("more", F.array(F.struct(F.lit(1).alias("x"))))
+    T.export_schema(df, str(tmp_path / "schema"))
+    assert T.read_schema(spark, str(tmp_path / "schema")) == df.schema
+
+
+def test_models_are_tried_again_and_replaced(spark):
+    from shutterlake.operators import model_calls as M
+
+    slept, asked = [], []
+
+    def model(name, *answers):
+        turns = iter(answers)
+
+        def run(x):
+            asked.append(name)
+            answer = next(turns)
+            if isinstance(answer, Exception):
+                raise answer
+            return answer, x
+
+        return run
+
+    # the second try answers, after the wait that the failure asks for
+    assert M.call([model("a", M.Unavailable(after=5.0), "yes")], 7, (1, 2), slept.append) == (("yes", 7), 0)
+    # every wait is used before the next model is asked
+    first = model("a", *[M.Unavailable()] * 3)
+    assert M.call([first, model("b", "yes")], 7, (1, 2), slept.append) == (("yes", 7), 1)
+    assert slept == [5.0, 1, 2] and asked == ["a", "a", "a", "a", "a", "b"]
+    with pytest.raises(M.Unavailable):
+        M.call([model("a", M.Unavailable()), model("b", M.Unavailable())], 7, (), slept.append)
+    # a refused request is neither tried again nor given to another model
+    with pytest.raises(ValueError, match="refused"):
+        M.call([model("c", ValueError("refused")), model("d", "yes")], 7, (1,), slept.append)
+    assert asked[-1] == "c" and len(slept) == 3
+
+    def down(values):
+        from shutterlake.operators.model_calls import Unavailable
+
+        raise Unavailable("down")
+
+    rows = spark.createDataFrame([(1, "x"), (2, "yy")], "key long, text string")
+    got = V.encode(rows, [down, lambda values: [[len(v), 0] for v in values]], "text", 2, waits=()).collect()
+    assert sorted((r.key, list(r.embedding)) for r in got) == [(1, [1.0, 0.0]), (2, [1.0, 0.0])]
+
+
 def test_stream_of_bursts(spark, tmp_path):
     from shutterlake.streaming import bursts as B
 
