@@ -63,24 +63,34 @@ def contained(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, thresho
     spans = [r["span"] for r in items.select("span").distinct().collect()]
     small = sketches.count() <= BROADCAST_ROWS
     base = docs.where("doc_id is not null and text is not null").select("doc_id", "text", words_of(F.col("text")).alias("words"))
+    # beside broadcast sketches a text goes along with its few hits, so that the documents are read once;
+    # where every shingle is shuffled, two hashes name the text, and the texts of the hits are read again
+    named = F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
+    carried = F.col("text") if small else named
     found = None
     for span in sorted(set(spans)):
         # columns side by side, each one word later: a row for each shingle, hashed in generated code
         later = F.arrays_zip(*[F.slice("words", F.lit(k + 1), F.greatest(F.size("words"), F.lit(1))).alias(f"w{k}") for k in range(span)])
-        rows = base.select("doc_id", "text", F.inline(later)).toDF("doc_id", "text", *[f"w{k}" for k in range(span)])
+        rows = base.select("doc_id", carried, F.inline(later)).toDF("doc_id", "carried", *[f"w{k}" for k in range(span)])
         rows = rows.where(F.col(f"w{span - 1}").isNotNull()).withColumn("h", F.xxhash64(F.concat_ws(" ", *[f"w{k}" for k in range(span)])))
         probes = sketches.where(F.col("span") == span).select("h", "item_id")
-        hits = rows.join(F.broadcast(probes) if small else probes, "h").select("doc_id", "item_id", "text")
+        hits = rows.join(F.broadcast(probes) if small else probes, "h").select("doc_id", "item_id", "carried")
         found = hits if found is None else found.union(hits)
     if found is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_common long, n_item long, containment double")
-    # a text goes along with its few hits, so that the documents are read once
-    candidates = found.groupBy("doc_id", "item_id", F.xxhash64("text").alias("t")).agg(F.first("text").alias("text"))
+    hits = None
+    if small:
+        candidates = found.groupBy("doc_id", "item_id", F.xxhash64("carried").alias("t")).agg(F.first("carried").alias("text"))
+    else:
+        hits = written(found.distinct(), "hits")
+        wanted = hits.select("doc_id", "carried").distinct()
+        texts = base.select("doc_id", "text", named.alias("carried")).distinct().join(wanted, ["doc_id", "carried"], "left_semi")
+        candidates = hits.join(texts, ["doc_id", "carried"])
     both = candidates.join(items.select("item_id", "span", "shingles", "n"), "item_id")
     common = F.size(F.array_intersect(shingles_of(F.col("words"), F.col("span")), "shingles"))
     counted = both.withColumn("words", words_of(F.col("text"))).select("doc_id", "item_id", common.cast("long").alias("n_common"), F.col("n").cast("long").alias("n_item"))
     share = F.col("n_common") / F.col("n_item")
     pairs = counted.groupBy("doc_id", "item_id").agg(F.max("n_common").alias("n_common"), F.max("n_item").alias("n_item")).withColumn("containment", share).where(F.col("n_common") >= threshold * F.col("n_item") - 1e-9)
     out = written(pairs, "contained")
-    discard(items)
+    discard(items, *([hits] if hits is not None else []))
     return out
