@@ -54,14 +54,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared folder, if it is there."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete work tables made by :func:`written`."""
     for table in tables:
         path = getattr(table, "_work_path", None)
         if path:
-            jvm_path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop = table.sparkSession._jsc.hadoopConfiguration()
-            jvm_path.getFileSystem(hadoop).delete(jvm_path, True)
+            delete(table.sparkSession, path)
 
 
 #: Bytes of an Arrow batch.

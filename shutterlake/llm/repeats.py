@@ -18,8 +18,13 @@ repeat is therefore decided among the phrases of one trigger hash:
 The parse is not sorted beyond this, because no string reaches over the end of
 its phrase. Fingerprints are two 64-bit hashes.
 
-The texts are written once as a table bucketed by row, so that looking up the
-phrases that are left over, and cutting the spans out, do not shuffle them.
+The texts are written once as a table in the shared folder, bucketed by row, so
+that looking up the phrases that are left over, and cutting the spans out, do not
+shuffle them. It is dropped and deleted whether or not the job succeeds.
+
+One trigger, or one phrase of a group of copies, may have a third of all rows.
+Those with over one in ``HOT`` rows, of which there are fewer than ``HOT``, are
+broadcast by that bound and their rows dealt over ``SALTS`` keys.
 
 Rows: a null text is empty; texts shorter than ``LENGTH`` bytes lose nothing.
 Rows are told apart even where ids are null or repeated. Columns other than
@@ -36,11 +41,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.llm.common import discard, written
+from shutterlake.llm.common import delete, discard, new_path, written
 
 LENGTH, GRAM = 200, 64
 #: Bytes of text hashed together, distinct phrases compared together, and phrases of one trigger from which they are compared by a shuffle.
 CHUNK, PHRASES, CROWD = 1 << 20, 8_192, 2_048
+#: A key is hot with more than one in so many rows; the keys that its rows are dealt over.
+HOT, SALTS = 1_000, 64
 #: Text in a bucket of the table.
 BUCKET_BYTES = 24 << 20
 
@@ -193,15 +200,26 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(start.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["row", "start", "a", "b"])
 
 
+def _of_keys(rows: DataFrame, keys: DataFrame, by: list[str], total: int) -> DataFrame:
+    """The ``rows`` (row, lo, ..), ``total`` at least, whose ``by`` is among ``keys`` (by.., n); n is a key's rows."""
+    hot = F.col("n") * F.lit(HOT) > F.lit(total)
+    few = keys.where(hot).select(*by, F.lit(True).alias("hot"))
+    dealt = rows.join(F.broadcast(few), by, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("row", "lo"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hot")
+    salts = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(keys.select(*by, F.explode(salts).alias("salt")), [*by, "salt"]).drop("salt")
+
+
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """(row, start, end), overlapping, of the bytes of ``texts`` (row, bytes) that a repeated string covers."""
     phrases = texts.select("row", "bytes").mapInArrow(_parse, "row long, lo int, size int, trigger long, phrase long")
-    often = written(phrases.groupBy("trigger").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("trigger"), "triggers")
-    candidates = written(phrases.join(often, "trigger"), "phrases")
+    often = written(phrases.groupBy("trigger").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "triggers")
+    # no more rows than there are, so that at most ``HOT`` keys are hot
+    total = often.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    candidates = written(_of_keys(phrases, often, ["trigger"], total), "phrases")
     one = F.min(F.struct("row", "lo", "size")).alias("one")
     dictionary = written(candidates.groupBy("trigger", "phrase").agg(F.count(F.lit(1)).alias("times"), one), "dictionary")
-    twice = dictionary.where("times > 1").select("trigger", "phrase")
-    whole = candidates.join(twice, ["trigger", "phrase"]).select("row", F.col("lo").alias("start"), (F.col("lo") + F.col("size") + LENGTH).alias("end"))
+    twice = dictionary.where("times > 1").select("trigger", "phrase", F.col("times").alias("n"))
+    whole = _of_keys(candidates, twice, ["trigger", "phrase"], total).select("row", F.col("lo").alias("start"), (F.col("lo") + F.col("size") + LENGTH).alias("end"))
 
     several = written(dictionary.groupBy("trigger").agg(F.count(F.lit(1)).alias("distinct")).where("distinct > 1"), "several")
     left = dictionary.join(several, "trigger").select("trigger", "distinct", "one.row", "one.lo", "one.size")
@@ -248,15 +266,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     raw = docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("bytes"))
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    name = f"repeats_{uuid.uuid4().hex}"
+    name, path = f"repeats_{uuid.uuid4().hex}", new_path(spark, "texts")
     rows = raw.withColumn("row", F.monotonically_increasing_id())
-    rows.write.bucketBy(max(8, -(-int(total) // BUCKET_BYTES)), "row").format("parquet").saveAsTable(name)
-    texts = spark.table(name)
-    spans = repeated_spans(texts)
-    # neighbouring spans of a row become one list
-    listed = spans.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("s")).select("row", F.col("s.start").alias("starts"), F.col("s.end").alias("ends"))
-    joined = texts.join(listed, "row", "left").select("doc_id", "bytes", "starts", "ends")
-    out = written(joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"), "repeats")
-    discard(spans)
-    spark.sql(f"DROP TABLE {name}")
+    try:
+        rows.write.bucketBy(max(8, -(-int(total) // BUCKET_BYTES)), "row").format("parquet").option("path", path).saveAsTable(name)
+        texts = spark.table(name)
+        spans = repeated_spans(texts)
+        # neighbouring spans of a row become one list
+        listed = spans.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("s")).select("row", F.col("s.start").alias("starts"), F.col("s.end").alias("ends"))
+        joined = texts.join(listed, "row", "left").select("doc_id", "bytes", "starts", "ends")
+        out = written(joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"), "repeats")
+        discard(spans)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete(spark, path)
     return out

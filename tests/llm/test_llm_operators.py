@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 
 import numpy as np
@@ -12,7 +13,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from shutterlake.llm import bpe, caps, decontaminate, html, langid, lines, minhash, repeats, toxicity, warc
-from shutterlake.llm.common import connected_components, new_path
+from shutterlake.llm.common import connected_components, new_path, shared_dir
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECES = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -194,6 +195,35 @@ def test_repeats_against_plain(spark, crowd, monkeypatch):
     assert collections.Counter(map(tuple, got)) == plain_repeats(rows)
 
 
+def test_repeats_of_hot_keys(spark, monkeypatch):
+    """Phrases and triggers that have more than one in ``HOT`` rows are dealt over salts: the same rows are found."""
+    draw = np.random.default_rng(8)
+    word = lambda n: "".join(map(chr, draw.integers(97, 123, n)))
+    copy = word(900)
+    rows = [(i, copy) for i in range(40)] + [(100 + i, word(400) + copy[:350] + word(300)) for i in range(10)] + [(200, word(700)), (201, None)]
+    wanted = sorted(tuple(r) for r in repeats.remove_repeats(docs(spark, rows)).collect())
+    assert [(r[1], r[2]) for r in wanted[:40]] == [(900, 900)] * 40 and all(r[2] >= 350 for r in wanted[40:50]) and wanted[50][2] == 0
+    for hot, salts in ((10**9, 3), (1, 64), (5, 7)):
+        monkeypatch.setattr(repeats, "HOT", hot)
+        monkeypatch.setattr(repeats, "SALTS", salts)
+        assert sorted(tuple(r) for r in repeats.remove_repeats(docs(spark, rows)).collect()) == wanted
+
+
+def test_repeats_leave_no_table(spark, monkeypatch):
+    """The table of texts is dropped and its files are deleted when a step fails, too."""
+
+    def fails(texts):
+        raise RuntimeError("stopped")
+
+    before = set(os.listdir(shared_dir(spark).removeprefix("file:")))
+    with monkeypatch.context() as patch:
+        patch.setattr(repeats, "repeated_spans", fails)
+        with pytest.raises(RuntimeError, match="stopped"):
+            repeats.remove_repeats(docs(spark, [(1, "x")]))
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("repeats_")]
+    assert not [f for f in set(os.listdir(shared_dir(spark).removeprefix("file:"))) - before if f.startswith("texts")]
+
+
 def test_repeats_of_nothing(spark):
     assert repeats.remove_repeats(docs(spark, [])).count() == 0
 
@@ -541,7 +571,9 @@ def test_warc_round_trip(spark):
 # --- op10 ----------------------------------------------------------------------
 
 
-def test_decontamination_against_plain(spark):
+@pytest.mark.parametrize("rows_broadcast", [decontaminate.BROADCAST_ROWS, 0])
+def test_decontamination_against_plain(spark, monkeypatch, rows_broadcast):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", rows_broadcast)
     items = [(i, prose(100 + i, 10 + 3 * i)) for i in range(10)] + [(20, "two words"), (21, None), (22, ""), (None, prose(1, 20)), (3, prose(103, 19))]
     rows = [(i, prose(i, 200) + " " + items[i][1].upper() + ", " + prose(50 + i, 2000)) for i in range(10)]
     rows += [(30, " ".join(items[5][1].split()[2:])), (31, " ".join(items[5][1].split()[8:])), (32, "here are Two, words!"), (33, None), (34, ""), (None, items[4][1]), (2, rows[2][1])]
