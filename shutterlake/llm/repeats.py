@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.llm.common import delete, discard, new_path, written
+from shutterlake.llm.common import delete, discard, new_path, small_batches, written
 
 LENGTH, GRAM = 200, 64
 #: Bytes of text hashed together, distinct phrases compared together, and phrases of one trigger from which they are compared by a shuffle.
@@ -264,6 +264,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the bytes ``kept`` for each row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
+    small_batches(spark)
     raw = docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("bytes"))
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     name, path = f"repeats_{uuid.uuid4().hex}", new_path(spark, "texts")
