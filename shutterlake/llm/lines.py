@@ -108,8 +108,10 @@ def later_runs(docs: DataFrame, levels: list[DataFrame], min_chars: int = MIN_CH
     begun = _tightest(docs, min_chars).join(names, ["id", "key", "k", "at"]).select("id", "key", "k", "at", "size", far.alias("far"), F.col("a").alias("a1"), F.col("b").alias("b1"))
     both = begun.join(names.withColumnRenamed("at", "far"), ["id", "key", "k", "far"])
     named = both.select("id", "key", "at", "size", F.xxhash64("size", "a1", "a", "b1").alias("a"), F.xxhash64("size", "b1", "b", "a").alias("b"))
+    # written, as it is read twice and the runs come from a Python function
+    named = written(named, "runs")
     longer = _repeated(named, "longer")
-    levels.append(longer)
+    levels += [longer, named]
     longer = longer.where("later").select("id", "key", "at", "size")
     return levels[0].where(F.col("later") & (F.col("n") >= min_chars)).select("id", "key", "at", F.lit(1).alias("size")).union(longer)
 
@@ -163,6 +165,12 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                 rows.append(("\n".join(x for x, g in zip(lines, gone, strict=True) if not g), len(lines), int(gone.sum())))
             yield pd.DataFrame(rows, columns=["text", "n_lines", "n_removed"]).astype({"n_lines": "int64", "n_removed": "int64"})
 
-    done = joined.withColumn("__cut", cut("text", F.col("__runs.at"), F.col("__runs.size")))
+    # only texts that lose lines go to Python, and once: a filter on the result is not pushed below a function that is not deterministic
+    loses = F.col("__runs").isNotNull()
+    done = joined.withColumn("__cut", cut.asNondeterministic()(F.when(loses, F.col("text")), F.col("__runs.at"), F.col("__runs.size")))
+    text = F.when(loses, F.col("__cut.text")).otherwise(F.col("text")).alias("text")
+    whole = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    n_lines = F.when(loses, F.col("__cut.n_lines")).otherwise(whole).alias("n_lines")
+    n_removed = F.when(loses, F.col("__cut.n_removed")).otherwise(F.lit(0).cast("long")).alias("n_removed")
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return done.select(*[F.col("__cut.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in names], "__cut.n_lines", "__cut.n_removed")
+    return done.select(*[text if c == "text" else F.col(f"`{c}`") for c in names], n_lines, n_removed)
