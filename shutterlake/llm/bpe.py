@@ -1,12 +1,13 @@
 """Byte-level BPE encoding and decoding.
 
-A text is cut into words by the vocabulary's pattern. The distinct words of a
-block of documents are encoded by folding ranked merges over their bytes, with
-ranks from a fixed map. The fold exists in two forms with equal results: Spark
-higher-order functions with a literal rank map (:func:`fold_word`), and a loop
-inside the Arrow function that forms the blocks (:func:`merge_word`), which is
-the default because it takes a fraction of the time. Nothing is shuffled and no
-vocabulary of the corpus is held anywhere; memory is bounded by ``BLOCK_WORDS``
+A text is cut into words by the vocabulary's pattern. Each distinct word of the
+table is encoded once, by folding ranked merges over its bytes with Spark
+higher-order functions and a literal rank map (:func:`fold_word`). Documents are
+held in blocks as indexes into the block's distinct words; a word's ids are joined
+to the blocks that have it, and each block's documents are put together from
+them. A loop with equal results inside the Arrow function that forms the blocks
+(:func:`merge_word`) is kept beside it: it shuffles nothing and writes no work
+table, but folds a word once in every block. Memory is bounded by ``BLOCK_WORDS``
 and the longest document.
 
 In Spark columns bytes are carried as strings of the characters U+0000 to U+00FF, one for each
@@ -29,16 +30,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shutterlake.llm.common import small_batches
+from shutterlake.llm.common import small_batches, written
 
 #: Buckets of the literal rank map; a lookup compares the few keys of one bucket.
 BUCKETS = 16384
 #: Words in a block.
 BLOCK_WORDS = 500_000
+#: Words in a block that shares folded words.
+FOLDED_WORDS = 2_000_000
 #: The longest word that is folded by Spark.
 FOLD_BYTES = 60
 #: Encoded words that a task keeps between blocks (some 10 MB), and "no such pair".
@@ -215,23 +220,77 @@ def _rows(columns: list[pa.Array], ids: np.ndarray, cuts: np.ndarray, names: lis
         yield pa.RecordBatch.from_arrays([c.slice(s, e - s) for c in columns] + [lists, *raw], names=names)
 
 
-def _form_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each block: its distinct words as byte strings, and its documents as indexes into them."""
-    for batch in batches:
-        for part, bounds, coded in _blocks(batch):
-            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), coded.indices)
-            distinct = pa.array([w.encode().decode("latin-1") for w in coded.dictionary.to_pylist()], pa.string())
-            rest = pa.StructArray.from_arrays([part.column(i) for i in range(part.num_columns - 1)] + [lists], names=part.schema.names[:-1] + ["at"])
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct), pa.ListArray.from_arrays(pa.array([0, len(rest)], pa.int32()), rest)], names=["words", "rows"])
+def _pack(at: np.ndarray) -> bytes:
+    """32-bit numbers, deflated with their first bytes together, then their second ones, and so on."""
+    return zlib.compress(at.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel()
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", ids_bytes: str | None = None, higher_order: bool = False) -> DataFrame:
+def _form_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each block a row with its distinct words as byte strings, and a row for each document with indexes into them.
+
+    A block has about ``FOLDED_WORDS`` words, of which only the distinct ones are held.
+    """
+    block, places, words = TaskContext.get().partitionId() << 33, {}, 0
+    kinds = None
+
+    def told() -> pa.RecordBatch:
+        distinct = pa.array([w.encode().decode("latin-1") for w in places], pa.string())
+        columns = [pa.array([block]), pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct), *[pa.nulls(1, k) for k in kinds], pa.nulls(1, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    for part, bounds, coded in (x for batch in batches for x in _blocks(batch)):
+        if words and words + bounds[-1] > FOLDED_WORDS:
+            yield told()
+            block, places, words = block + 1, {}, 0
+        names, kept = ["block", "words", *part.schema.names[:-1], "at"], part.columns[:-1]
+        kinds, words = [c.type for c in kept], words + int(bounds[-1])
+        known = np.array([places.setdefault(w, len(places)) for w in coded.dictionary.to_pylist()], dtype=np.int32)
+        at = known[coded.indices.to_numpy(zero_copy_only=False)]
+        packed = pa.array([_pack(at[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.nulls(len(part), pa.list_(pa.string())), *kept, packed], names=names)
+    if places:
+        yield told()
+
+
+def _fold_once(cut: DataFrame, inner: list[T.StructField], out: T.StructType, path: str) -> DataFrame:
+    """The rows of ``out`` from documents cut into words: each distinct word of the table is folded by Spark once.
+
+    The ids go back to the blocks that hold the word, and a block's documents are
+    put together from them. The blocks are a work table.
+    """
+    blocks = written(cut.mapInArrow(_form_blocks, T.StructType([T.StructField("block", T.LongType()), T.StructField("words", T.ArrayType(T.StringType())), *inner, T.StructField("at", T.BinaryType())])), "blocks")
+    words = blocks.where("words is not null").select("block", F.posexplode("words").alias("pos", "word"))
+    # the distinct words are few bytes but much work, so they are dealt to as many tasks as there are
+    tasks = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = words.select("word").distinct().repartition(tasks, "word")
+    folded = distinct.select("word", with_literal(rank_table(path), lambda table: fold_word(F.col("word"), table)).alias("ids"))
+    told = words.join(folded, "word").select("block", "pos", "ids", F.when(F.col("ids").isNull(), F.col("word")).alias("long"))
+    docs = blocks.where("words is null").select(F.col("block").alias("home"), *[f.name for f in inner], "at")
+
+    def put_together(docs: pa.Table, told: pa.Table) -> pa.Table:
+        told = told.select(["ids", "long"]).take(pc.sort_indices(told["pos"]))
+        coded = told["ids"].combine_chunks()
+        if coded.null_count:
+            ranks = load_ranks(path)
+            coded = pa.array([merge_word(w.encode("latin-1"), ranks) if x is None else x for x, w in zip(coded.to_pylist(), told["long"].to_pylist(), strict=True)], pa.list_(pa.int32()))
+        at = [_unpack(x) for x in docs["at"].to_pylist()]
+        every, cuts = _gather(coded, np.concatenate(at), np.cumsum([0, *map(len, at)]))
+        return pa.Table.from_batches(list(_rows([docs[f.name].combine_chunks() for f in inner], every, cuts, out.names)))
+
+    return docs.groupBy("home").cogroup(told.groupBy("block")).applyInArrow(put_together, out)
+
+
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", ids_bytes: str | None = None, higher_order: bool = True) -> DataFrame:
     """``docs`` with the ids of ``text`` in the array column ``ids``, and the text's column dropped.
 
     ``ids_bytes`` names a further binary column with the ids as little-endian
     unsigned 32-bit integers. A column of ``docs`` with either name is replaced.
-    ``higher_order`` folds the words by :func:`fold_word` in Spark rather than by
-    :func:`merge_word` in the Arrow function.
+    ``higher_order`` folds the table's distinct words by :func:`fold_word` in Spark;
+    otherwise each task folds its own by :func:`merge_word` in the Arrow function.
     """
     small_batches(docs.sparkSession)
     keep = [f for f in docs.schema.fields if f.name not in (text, ids, ids_bytes)]
@@ -256,23 +315,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
                 every, cuts = _gather(pa.array(folded, pa.list_(pa.int32())), coded.indices.to_numpy(zero_copy_only=False), bounds)
                 yield from _rows(part.columns[:-1], every, cuts, out.names)
 
-    def take_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in range(batch.num_rows):
-                coded, rows, long = (batch.column(n)[b].values for n in ("ids", "rows", "long"))
-                if coded.null_count:
-                    spare = iter(long.to_pylist())
-                    coded = pa.array([merge_word(next(spare).encode("latin-1"), load_ranks(path)) if x is None else x for x in coded.to_pylist()], pa.list_(pa.int32()))
-                at = rows.field("at")
-                bounds = at.offsets.to_numpy().astype(np.int64)
-                every, cuts = _gather(coded, at.values.to_numpy()[bounds[0] : bounds[-1]], bounds - bounds[0])
-                yield from _rows([rows.field(f"c{i}") for i in range(len(inner))], every, cuts, out.names)
-
     if higher_order:
-        rows = T.ArrayType(T.StructType([*inner, T.StructField("at", T.ArrayType(T.IntegerType()))]))
-        blocks = cut.mapInArrow(_form_blocks, T.StructType([T.StructField("words", T.ArrayType(T.StringType())), T.StructField("rows", rows)]))
-        long = F.filter("words", lambda w: (F.length(w) > FOLD_BYTES)).alias("long")
-        done = blocks.select("rows", with_literal(rank_table(path), lambda table: F.transform("words", lambda w: fold_word(w, table))).alias("ids"), long).mapInArrow(take_apart, out)
+        done = _fold_once(cut, inner, out, path)
     else:
         done = cut.mapInArrow(fold_here, out)
     names = [F.col(f"c{i}").alias(f.name) for i, f in enumerate(keep)]

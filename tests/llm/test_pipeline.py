@@ -79,3 +79,12 @@ def test_queries_are_registered():
     names = set(entry.queries())
     assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
     assert set(queries.ORACLE_SQL) <= names
+
+
+def test_bpe_folds_each_word_of_the_table_once_in_spark(spark, tmp_path, monkeypatch):
+    """The stage and op1's operator fold by higher-order functions, over the distinct words of the table."""
+    rows = [(i, f"common words {i} " + "qzx" * 30) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for coded in (corpus_pipeline.byte_bpe(spark, df, str(tmp_path)), bpe.encode(df, queries.BPE_RANKS, public_tokenizers.PATTERN)):
+        plan = coded._jdf.queryExecution().optimizedPlan().toString()
+        assert "aggregate(sequence" in plan and "Aggregate [word" in plan, plan[:2000]
