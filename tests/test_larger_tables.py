@@ -24,3 +24,22 @@ def test_wrong_links_when_file_ids_meet_image_ids(spark, tmp_path):
     files = [(i, 1) for i in (2, 3, 4, 8, 100002, 100004, 100008, 200004, 200008)]
     spark.createDataFrame(files, "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
     assert same_as_sql(spark, tmp_path, "wrong_keyword_links")
+
+
+def test_postings_of_odd_texts_and_many(spark, monkeypatch):
+    from shutterlake.functions.udfs import fold, porter_stem, words_in
+    from shutterlake.operators import text_index as T
+
+    monkeypatch.setattr(T, "ROWS", 7)
+    monkeypatch.setattr(T, "KNOWN", 20)
+    monkeypatch.setattr(T, "WRITTEN", 5)
+    rows = [(1, None), (2, ""), (3, "..."), (4, "Things óf the thing"), (5, "snake_case two_things"), (5, "other things"), (6, "é ́")]
+    rows += [(i, " ".join(f"word{j} running{j}" for j in range(i % 13)) + " runs run") for i in range(10, 60)]
+    df = spark.createDataFrame(rows, "key long, text string")
+    wanted = {(porter_stem(w), k) for k, t in rows if t for w in words_in(fold(t))}
+    found = T.postings(df)
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == wanted
+    # the texts' words are not shuffled: without repeated keys no exchange is left but the one that deals out the rows
+    once = T.postings(df.where("key <> 5"))._jdf.queryExecution().executedPlan().toString()
+    assert once.count("Exchange hashpartitioning") == 0, once
