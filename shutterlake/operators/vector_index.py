@@ -10,8 +10,8 @@ border with the query's own cell is farther than r.
 
 * :func:`search` reads the nearest cells that hold k vectors, takes the k-th
   distance found as r, and then reads only the cells that r cannot rule out.
-* :func:`within` sends each distinct vector to the cells within the link's
-  distance; it does not compare all cells with each other.
+* :func:`within` deals the distinct vectors as seeds to blocks, and sends each
+  block the cells within the link's distance of some seed, not all cells.
 
 Cells are folders, so a search's scan lists only its cells (partition filters).
 A crowded cell is split into parts by hash, and the queries that meet it into
@@ -40,6 +40,8 @@ from shutterlake.sources import work
 CELL, MOST_CELLS, ROUNDS = 512, 4096, 3
 #: Rows of a block, and keys kept of a vector; a search returns no more.
 BLOCK, KEEP = 2048, 500
+#: Blocks of seeds in a join of all, seeds in a block at most, and cosines held at a time.
+SEED_BLOCKS, MOST_SEEDS, PRODUCT = 64, 16_384, 1 << 22
 #: What the bounds allow for rounding.
 SLACK = 1e-6
 
@@ -274,11 +276,135 @@ def cells_of(index: VectorIndex, queries: DataFrame, radius: float) -> DataFrame
     return _probes(index, q, lambda i, batch, far, least: least <= radius)
 
 
+def _homes(index: VectorIndex) -> tuple[list[tuple[int, int, int]], int]:
+    """(cell, its first block, its blocks) for blocks of seeds, and their number: neighbouring cells share a block, a crowded one has several."""
+    size = min(MOST_SEEDS, max(CELL, int(-(-index.keys.sum() // SEED_BLOCKS))))
+    middle = index.pivots - index.pivots.mean(axis=0)
+    # along the direction in which the pivots differ most
+    place = middle @ np.linalg.svd(middle, full_matrices=False)[2][0]
+    homes, block, held = [], 0, 0
+    for cell in np.argsort(place, kind="stable"):
+        n = int(index.keys[cell])
+        shares = max(1, -(-n // size))
+        if held and (shares > 1 or held + n > size):
+            block, held = block + 1, 0
+        homes.append((int(cell), block, shares))
+        block, held = (block + shares, 0) if shares > 1 else (block, held + n)
+    return homes, block + 1
+
+
+def _first(row: np.ndarray, keys: np.ndarray, sims: np.ndarray, near: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The first ``k`` of each row by cosine, then key, with their ranks."""
+    order = np.lexsort((np.unique(keys, return_inverse=True)[1], -near, row))
+    row = row[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
+    order = order[rank <= k]
+    return row[rank <= k], keys[order], sims[order], near[order], rank[rank <= k]
+
+
+class _Seeds:
+    """A block of seeds, and the best that they have met."""
+
+    def __init__(self, names: pa.Array, queries: pa.Array, floor: float, k: int):
+        self.names, self.queries, self.k = names, _matrix(queries), k
+        self.least = np.full(len(names), floor - 1e-9)
+        self.best: tuple | None = None
+        self.new: list[tuple] = []
+        self.count = 0
+
+    def meet(self, lists: pa.Array, embedding: pa.Array) -> None:
+        step = max(64, PRODUCT // len(self.queries))
+        for at in range(0, len(lists), step):
+            part = lists.slice(at, step)
+            keys, bounds = part.flatten().to_numpy(zero_copy_only=False), part.offsets.to_numpy().astype(np.int64)
+            sims = self.queries @ _matrix(embedding.slice(at, step)).T
+            row, col = np.nonzero(sims >= self.least[:, None])
+            times = np.diff(bounds)[col]
+            place = np.repeat(bounds[col] - bounds[0] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+            row, found = np.repeat(row, times), np.repeat(sims[row, col], times)
+            self.new.append((row, keys[place], found, np.round(found, 9)))
+            self.count += len(row)
+            if self.count > PRODUCT:
+                self.settle()
+
+    def settle(self) -> None:
+        parts = self.new if self.best is None else [self.best[:4], *self.new]
+        if parts:
+            self.best = _first(*(np.concatenate(c) for c in zip(*parts, strict=True)), self.k)
+            full = self.best[4] == self.k
+            # rounding may have raised what ties with the last
+            self.least[self.best[0][full]] = np.maximum(self.least[self.best[0][full]], self.best[3][full] - 2e-9)
+        self.new, self.count = [], 0
+
+    def rows(self, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        self.settle()
+        if self.best is not None:
+            row, keys, sims, _, rank = self.best
+            for a in range(0, len(row), 1 << 16):
+                s = slice(a, a + (1 << 16))
+                yield pa.RecordBatch.from_arrays([self.names.take(pa.array(row[s])), pa.array(keys[s], kind), pa.array(sims[s]), pa.array(rank[s], pa.int32())], names=["seed", "key", "similarity", "rank"])
+
+
+def _met(index: VectorIndex, seeds: DataFrame, radius: float) -> DataFrame:
+    """(block, cell): the cells that may hold a vector within ``radius`` of some seed (block, embedding) of a block."""
+    held = index.spark.sparkContext.broadcast(_light(index))
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK):
+                batch = whole.slice(at, BLOCK)
+                near = _bounds(held.value, _matrix(batch.column(1)))[1] <= radius
+                blocks, own = np.unique(batch.column(0).to_numpy(), return_inverse=True)
+                any_near = np.zeros((len(blocks), near.shape[1]), dtype=bool)
+                np.logical_or.at(any_near, own, near)
+                row, cell = np.nonzero(any_near)
+                yield pa.RecordBatch.from_arrays([pa.array(blocks[row], pa.int32()), pa.array(cell, pa.int32())], names=["block", "cell"])
+
+    return seeds.select("block", "embedding").mapInArrow(cells, "block int, cell int").distinct()
+
+
 def within(index: VectorIndex, floor: float, k: int) -> DataFrame:
-    """(seed, key, similarity, rank): of every vector its best ``k`` (1 to 500), itself included, that have a cosine of ``floor`` or more; ties by key."""
+    """(seed, key, similarity, rank): of every vector its best ``k`` (1 to 500), itself included, that have a cosine of ``floor`` or more; ties by key.
+
+    Seeds lie in blocks of neighbouring cells. A task holds one block and reads the
+    vectors that it may meet one after another, keeping each seed's best ``k``; what
+    is shuffled is the table once a block, of which there are ``SEED_BLOCKS`` up to
+    ``SEED_BLOCKS * MOST_SEEDS`` vectors. Where the bounds rule nothing out, the
+    products are still those of all pairs.
+    """
     k = max(1, min(KEEP, k))
     radius = float(np.sqrt(max(0.0, 2 - 2 * (floor - 1e-9))))
-    seeds = index.vectors().select(F.col("vid").alias("key"), "embedding")
-    best = _ranked(_best(index, cells_of(index, seeds, radius), k, floor), k).where(F.col("similarity") >= floor)
+    homes, blocks = _homes(index)
+    rows, home = index.vectors(), index.spark.createDataFrame(homes, "cell int, first int, shares int")
+    block = (F.col("first") + F.pmod(F.xxhash64(F.lit(2), F.col("vid")), F.col("shares"))).cast("int")
+    # a row for each cell, of which there are at most MOST_CELLS
+    seeds = rows.join(F.broadcast(home), "cell").select(block.alias("block"), F.lit(0).alias("side"), "vid", F.lit(None).cast(dict(rows.dtypes)["keys"]).alias("keys"), "embedding")
+    met = work.written(_met(index, seeds, radius), "met")
+    others = rows.join(met, "cell").select("block", F.lit(1).alias("side"), F.lit(None).cast("string").alias("vid"), "keys", "embedding")
+    dealt = seeds.unionByName(others).repartition(blocks, "block").sortWithinPartitions("block", "side")
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, names, queries, held = None, [], [], None
+        for batch in batches:
+            kind = batch.column(3).type.value_type
+            number, side = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero((np.diff(number) != 0) | (np.diff(side) != 0)) + 1), len(number)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if number[a] != now:
+                    if held:
+                        yield from held.rows(kind)
+                    now, names, queries, held = number[a], [], [], None
+                if side[a] == 0:
+                    names.append(batch.column(2).slice(a, b - a))
+                    queries.append(batch.column(4).slice(a, b - a))
+                    continue
+                held = held or _Seeds(pa.concat_arrays(names), pa.concat_arrays(queries), floor, k)
+                held.meet(batch.column(3).slice(a, b - a), batch.column(4).slice(a, b - a))
+        if held:
+            yield from held.rows(kind)
+
+    found = dealt.mapInArrow(best, f"seed string, key {dict(rows.dtypes)['keys'][len('array<') : -1]}, similarity double, rank int").where(F.col("similarity") >= floor)
     # copies of a vector have the same neighbours
-    return index.members().select(F.col("key").alias("member"), F.col("vid").alias("seed")).join(best, "seed").select(F.col("member").alias("seed"), "key", "similarity", "rank")
+    return index.members().select(F.col("key").alias("member"), F.col("vid").alias("seed")).join(found, "seed").select(F.col("member").alias("seed"), "key", "similarity", "rank")

@@ -43,3 +43,29 @@ def test_postings_of_odd_texts_and_many(spark, monkeypatch):
     # the texts' words are not shuffled: without repeated keys no exchange is left but the one that deals out the rows
     once = T.postings(df.where("key <> 5"))._jdf.queryExecution().executedPlan().toString()
     assert once.count("Exchange hashpartitioning") == 0, once
+
+
+def test_within_deals_the_table_once_a_block(spark, monkeypatch):
+    import numpy as np
+
+    from shutterlake.operators import vector_index as I
+
+    draw = np.random.default_rng(5)
+    rows = draw.normal(size=(300, 8)).astype(np.float32)
+    rows[100:200] = rows[100] + draw.normal(scale=0.01, size=(100, 8))
+    rows[200:240] = rows[7]
+    names = [f"k{i:03d}" for i in range(300)]
+    df = spark.createDataFrame([(n, r.tolist()) for n, r in zip(names, rows, strict=True)], "key string, embedding array<float>")
+    index = I.build(df, cell=20)
+    for name, value in (("CELL", 16), ("SEED_BLOCKS", 5), ("MOST_SEEDS", 40), ("PRODUCT", 3000)):
+        monkeypatch.setattr(I, name, value, raising=False)
+    assert I._homes(index)[1] >= 5
+    monkeypatch.setattr(I, "_probes", None)  # a row for each seed and cell would be as many as pairs of vectors over the cell's size
+    units = rows.astype(np.float64) / np.linalg.norm(rows.astype(np.float64), axis=1, keepdims=True)
+    near = np.round(units @ units.T, 9)
+    wanted = set()
+    for i in range(300):
+        order = sorted((j for j in range(300) if near[i, j] >= 0.3), key=lambda j: (-near[i, j], names[j]))[:60]
+        wanted |= {(names[i], names[j], n) for n, j in enumerate(order, 1)}
+    got = [(r.seed, r.key, r["rank"]) for r in I.within(index, 0.3, 60).collect()]
+    assert len(got) == len(set(got)) and set(got) == wanted
