@@ -1,9 +1,9 @@
 """Deep pages: rows in ranges of their order, with a count of each range.
 
 A page reads only the ranges that hold it, whatever its offset, and the total is
-the sum of the counts. Ranges are of about equal size, from Spark's own sample of
-the order's key; an order should be total, so that pages neither overlap nor leave
-rows out.
+the sum of the counts. Ranges are of about equal size, which grows with the table
+beyond ``MOST`` ranges, from Spark's own sample of the order's key; an order should
+be total, so that pages neither overlap nor leave rows out.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from shutterlake.functions.scalars import page_bounds
 from shutterlake.sources import work
 
-#: Rows of a range, about.
-ROWS = 1 << 16
+#: Rows of a range, about, and ranges at most: the driver holds their bounds and counts, and each is a folder.
+ROWS, MOST = 1 << 16, 256
 
 
 @dataclass(frozen=True)
@@ -59,7 +59,7 @@ def build(rows: DataFrame, order: Callable[[], list[Column]], size: int = ROWS)
     """The index of ``rows`` in the order that ``order()`` gives; written to the shared folder."""
     spark, folder = rows.sparkSession, work.new_path(rows.sparkSession, "rank-index")
     flat = work.written(rows, "ranked")
-    many = max(1, -(-flat.count() // size))
+    many = max(1, min(MOST, -(-flat.count() // size)))
     flat.repartitionByRange(many, *order()).withColumn("__range", F.spark_partition_id()).write.partitionBy("__range").parquet(folder)
     work.discard(flat)
     stored = spark.read.schema(rows.withColumn("__range", F.lit(0)).schema).parquet(folder)

@@ -69,3 +69,13 @@ def test_within_deals_the_table_once_a_block(spark, monkeypatch):
         wanted |= {(names[i], names[j], n) for n, j in enumerate(order, 1)}
     got = [(r.seed, r.key, r["rank"]) for r in I.within(index, 0.3, 60).collect()]
     assert len(got) == len(set(got)) and set(got) == wanted
+
+
+def test_ranges_do_not_grow_with_the_table(spark):
+    from pyspark.sql import functions as F
+
+    from shutterlake.operators import rank_index as G
+
+    index = G.build(spark.range(600).select(((F.col("id") * 7) % 600).alias("id")), lambda: [F.desc("id")], size=1)
+    assert len(index.counts) <= 256 and index.total() == 600
+    assert [r.id for r in index.page(5, 500).collect()] == [99, 98, 97, 96, 95]
