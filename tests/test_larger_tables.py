@@ -79,3 +79,12 @@ def test_ranges_do_not_grow_with_the_table(spark):
     index = G.build(spark.range(600).select(((F.col("id") * 7) % 600).alias("id")), lambda: [F.desc("id")], size=1)
     assert len(index.counts) <= 256 and index.total() == 600
     assert [r.id for r in index.page(5, 500).collect()] == [99, 98, 97, 96, 95]
+
+
+def test_delete_version_deals_out_what_is_left(spark):
+    from shutterlake.operators import scores as S
+
+    rows = spark.createDataFrame([(i, "catalog", i % 3, "v1", i) for i in range(9)], "image_key long, image_type string, perspective_slug int, prompt_version string, score int")
+    left = S.delete_version(rows, rows.where("image_key % 2 = 0").drop("score"))
+    assert sorted(r.image_key for r in left.collect()) == [1, 3, 5, 7] and left.columns == rows.columns
+    assert "RepartitionByExpression" in left._jdf.queryExecution().optimizedPlan().toString()
