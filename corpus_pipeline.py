@@ -51,9 +51,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity 0.8 or more.
 
-    Null and empty texts and null ids are near to nothing and stay.
+    Null and empty texts and null ids are near to nothing and stay. The ids that go
+    are written, so that their exact size decides whether the texts are shuffled.
     """
-    gone = minhash.near_duplicates(docs, width=5, percent=80).where(~F.col("kept")).select("doc_id").distinct()
+    found = minhash.near_duplicates(docs, width=5, percent=80)
+    gone = written(found.where(~F.col("kept")).select("doc_id").distinct(), "gone")
+    discard(found)
     return docs.join(gone, "doc_id", "left_anti").select(*_columns(docs))
 
 

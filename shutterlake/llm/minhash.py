@@ -215,10 +215,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     members = written(bands.join(crowded, "band").select("band", "rep", "n", "low"), "members")
 
     # the texts of the candidates, and no others, are read again
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+    # (their ids are written, so that their exact size decides whether the texts are shuffled)
+    wanted = written(members.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
     chosen = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
     sets = shingle_sets(chosen, width).where(F.size("shingles") > 0)
     sets = written(sets, "sets")
+    discard(wanted)
 
     first = members.where("rep <> low").groupBy("rep").agg(F.min("low").alias("low")).select(F.col("low").alias("a"), F.col("rep").alias("b"))
     links = written(_confirm(first, sets, percent), "links")

@@ -88,3 +88,18 @@ def test_bpe_folds_each_word_of_the_table_once_in_spark(spark, tmp_path, monkeyp
     for coded in (corpus_pipeline.byte_bpe(spark, df, str(tmp_path)), bpe.encode(df, queries.BPE_RANKS, public_tokenizers.PATTERN)):
         plan = coded._jdf.queryExecution().optimizedPlan().toString()
         assert "aggregate(sequence" in plan and "Aggregate [word" in plan, plan[:2000]
+
+
+def test_near_duplicates_leave_the_texts_where_they_are(spark, tmp_path):
+    """Few ids that go are broadcast, however many are looked at."""
+    rows = [(i, text(i, 2), "en", "s", 0) for i in range(1500)] + [(1500, text(3, 2), "en", "s", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4k")
+    try:
+        left = corpus_pipeline.near_duplicates(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+        plan = left._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan, plan
+        assert left.count() == 1500
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
