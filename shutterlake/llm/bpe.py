@@ -42,8 +42,8 @@ from shutterlake.llm.common import small_batches, written
 BUCKETS = 16384
 #: Words in a block.
 BLOCK_WORDS = 500_000
-#: Words in a block that shares folded words.
-FOLDED_WORDS = 2_000_000
+#: Words in a block that shares folded words: those of a whole 16 MB split, since a larger block sends fewer words.
+FOLDED_WORDS = 6_000_000
 #: The longest word that is folded by Spark.
 FOLD_BYTES = 60
 #: Encoded words that a task keeps between blocks (some 10 MB), and "no such pair".
@@ -62,12 +62,40 @@ def spark_pattern(pattern: str) -> str:
     return "(?U)" + pattern
 
 
+@lru_cache(maxsize=4)
+def splits(path: str) -> dict[bytes, int]:
+    """For each piece of 2 to ``FOLD_BYTES`` bytes that merges lead to, the length of its left half in the last of them.
+
+    Boundaries only go, so the merges within a piece are those of the piece by
+    itself, and no other pair of halves ever meets in a word. One pass over the
+    merges by rank needs the halves to have lower ranks than the piece, which is
+    checked for every piece.
+    """
+    ranks, found = load_ranks(path), {}
+    for piece, rank in ranks.items():
+        if not 1 < len(piece) <= FOLD_BYTES:
+            continue
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        while len(parts) > 2:
+            pairs = [ranks.get(a + b, NO_RANK) for a, b in zip(parts, parts[1:], strict=False)]
+            if (least := min(pairs)) == NO_RANK:
+                break
+            at = pairs.index(least)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        if len(parts) == 2:
+            if any(len(part) > 1 and ranks[part] > rank for part in parts):
+                raise ValueError(f"the piece {piece!r} has a lower rank than a half of it")
+            found[piece] = len(parts[0])
+    return found
+
+
 @lru_cache(maxsize=4)
 def _rank_json(path: str) -> str:
     buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+    cut = splits(path)
     for piece, rank in load_ranks(path).items():
         key = piece.decode("latin-1")
-        buckets[zlib.crc32(key.encode()) % BUCKETS][key] = rank
+        buckets[zlib.crc32(key.encode()) % BUCKETS][key] = rank * 64 + cut.get(piece, 0)
     return json.dumps(buckets)
 
 
@@ -86,23 +114,28 @@ def with_literal(table: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def rank_table(path: str) -> Column:
-    """The literal rank map, in buckets by CRC-32 of the piece."""
+    """The literal map of 64 * rank + split, in buckets by CRC-32 of the piece."""
     return F.from_json(F.lit(_rank_json(path)), T.ArrayType(T.MapType(T.StringType(), T.IntegerType())))
 
 
+def look_up(piece: Column, table: Column) -> Column:
+    """What the rank map has for a piece, or null."""
+    return F.try_element_at(F.get(table, F.pmod(F.crc32(piece), F.lit(BUCKETS)).cast("int")), piece)
+
+
 def rank_of(piece: Column, table: Column) -> Column:
     """The rank of a piece, or null."""
-    return F.try_element_at(F.get(table, F.pmod(F.crc32(piece), F.lit(BUCKETS)).cast("int")), piece)
+    return F.shiftright(look_up(piece, table), 6)
 
 
 def fold_word(word: Column, table: Column) -> Column:
     """The ids of one word: merge the pair of least rank, the leftmost of equals, until none has one.
 
     The pieces are kept as a bit mask of the boundaries between bytes. Every
-    part of the word that has a rank is a possible merge: it can be made while
-    both its ends are boundaries and exactly one boundary is inside. They are
-    listed once, by rank and place; each step of the fold makes the first that
-    can be made, which removes the boundary inside.
+    part of the word that has a rank is a possible merge. They are listed by rank
+    and place, and one fold makes each whose turn finds both its ends and, of the
+    places inside, just its split (see :func:`splits`) as boundaries, which removes
+    the split. One pass does, since both halves of a split have lower ranks.
     """
     size = F.length(word)
     one = F.lit(1).cast("long")
@@ -111,27 +144,25 @@ def fold_word(word: Column, table: Column) -> Column:
         return F.call_function("shiftleft", one, i)
 
     def code(start: Column, length: Column) -> Column:
-        return rank_of(F.substring(word, start + 1, length), table).cast("long") * 4096 + start * 64 + length
+        return look_up(F.substring(word, start + 1, length), table).cast("long") * 4096 + start * 64 + length
 
     def masks(c: Column) -> Column:
         start = F.shiftright(c, 6).bitwiseAND(F.lit(63)).cast("int")
         end = start + c.bitwiseAND(F.lit(63)).cast("int")
-        return F.struct((bit(start) + bit(end)).alias("ends"), (bit(end) - bit(start + 1)).alias("inside"))
+        split = bit(start + F.shiftright(c, 12).bitwiseAND(F.lit(63)).cast("int"))
+        return F.struct((bit(end + 1) - bit(start)).alias("span"), (bit(start) + split + bit(end)).alias("bounds"), split.alias("split"))
 
     def fold(merges: Column) -> Column:
-        def step(mask: Column, _: Column) -> Column:
-            def possible(c: Column) -> Column:
-                return (mask.bitwiseAND(c["ends"]) == c["ends"]) & (F.bit_count(mask.bitwiseAND(c["inside"])) == 1)
-
-            # the sign bit says that nothing is left to merge
-            merged = mask.bitwiseAND(F.bitwise_not(F.get(F.filter(merges, possible), F.lit(0))["inside"]))
-            return F.when(mask < 0, mask).otherwise(F.coalesce(merged, mask.bitwiseOR(F.lit(-(2**63)))))
+        def step(mask: Column, i: Column) -> Column:
+            merge = F.get(merges, i)
+            return F.when(mask.bitwiseAND(merge["span"]) == merge["bounds"], mask - merge["split"]).otherwise(mask)
 
         def pieces(mask: Column) -> Column:
             cuts = F.filter(F.sequence(F.lit(0), size - 1), lambda i: mask.bitwiseAND(bit(i)) != 0)
             return F.transform(cuts, lambda at, i: rank_of(F.substring(word, at + 1, F.coalesce(F.get(cuts, i + 1), size) - at), table))
 
-        return F.aggregate(F.sequence(F.lit(1), size - 1), bit(size + 1) - 1, step, pieces)
+        # the last index is past the end, so that the sequence never runs backwards; there the mask stays
+        return F.aggregate(F.sequence(F.lit(0), F.size(merges)), bit(size + 1) - 1, step, pieces)
 
     starts = F.sequence(F.lit(0), size - 2)
     codes = F.flatten(F.transform(starts, lambda s: F.transform(F.sequence(F.lit(2), size - s), lambda n: code(s, n))))
@@ -277,9 +308,16 @@ def _fold_once(cut: DataFrame, inner: list[T.StructField], out: T.StructType, pa
         if coded.null_count:
             ranks = load_ranks(path)
             coded = pa.array([merge_word(w.encode("latin-1"), ranks) if x is None else x for x, w in zip(coded.to_pylist(), told["long"].to_pylist(), strict=True)], pa.list_(pa.int32()))
-        at = [_unpack(x) for x in docs["at"].to_pylist()]
-        every, cuts = _gather(coded, np.concatenate(at), np.cumsum([0, *map(len, at)]))
-        return pa.Table.from_batches(list(_rows([docs[f.name].combine_chunks() for f in inner], every, cuts, out.names)))
+        made, at, words, start = [], [], 0, 0
+        for i, packed in enumerate(docs["at"]):
+            at.append(_unpack(packed.as_py()))
+            words += len(at[-1])
+            if words >= BLOCK_WORDS or i + 1 == docs.num_rows:
+                every, cuts = _gather(coded, np.concatenate(at), np.cumsum([0, *map(len, at)]))
+                part = docs.slice(start, i + 1 - start)
+                made += _rows([part[f.name].combine_chunks() for f in inner], every, cuts, out.names)
+                at, words, start = [], 0, i + 1
+        return pa.Table.from_batches(made)
 
     return docs.groupBy("home").cogroup(told.groupBy("block")).applyInArrow(put_together, out)
 

@@ -1,10 +1,12 @@
 """The pipeline on a small corpus with one case for each stage, and the registration of its queries."""
 
+import base64
 import hashlib
 import random
 
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 
 import corpus_pipeline
@@ -103,3 +105,24 @@ def test_near_duplicates_leave_the_texts_where_they_are(spark, tmp_path):
         assert left.count() == 1500
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_bpe_blocks_are_put_together_some_documents_at_a_time(spark):
+    """A block of several runs of documents, and words that take many merges, give tiktoken's ids."""
+    draw = random.Random(5)
+    rows = [(i, "a b " * 100_000 + "".join(draw.choices("abeinrst the", k=400)) + text(i)) for i in range(8)]
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(queries.BPE_RANKS), special_tokens={})
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    wanted = {i: hashlib.sha256(np.array(known.encode_ordinary(t), dtype="<u4").tobytes()).hexdigest() for i, t in rows}
+    assert {r.doc_id: r.ids_sha256 for r in corpus_pipeline.byte_bpe(spark, df, "").collect()} == wanted
+
+
+def test_bpe_splits(tmp_path):
+    """Each piece has one last merge, of halves that come before it; a vocabulary where that fails is refused."""
+    ranks, found = bpe.load_ranks(queries.BPE_RANKS), bpe.splits(queries.BPE_RANKS)
+    assert set(found) == {p for p in ranks if 1 < len(p) <= bpe.FOLD_BYTES}
+    assert all(max(ranks[p[:at]] if at > 1 else -1, ranks[p[at:]] if len(p) - at > 1 else -1) < ranks[p] for p, at in found.items())
+    pieces = [b"a", b"b", b"c", b"abc", b"ab"]
+    (tmp_path / "odd").write_text("".join(f"{base64.b64encode(p).decode()} {i}\n" for i, p in enumerate(pieces)))
+    with pytest.raises(ValueError):
+        bpe.splits(str(tmp_path / "odd"))
