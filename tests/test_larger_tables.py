@@ -88,3 +88,15 @@ def test_delete_version_deals_out_what_is_left(spark):
     left = S.delete_version(rows, rows.where("image_key % 2 = 0").drop("score"))
     assert sorted(r.image_key for r in left.collect()) == [1, 3, 5, 7] and left.columns == rows.columns
     assert "RepartitionByExpression" in left._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_postings_of_stored_stems_are_not_shuffled_twice(spark):
+    from shutterlake.operators import text_index as T
+
+    rows = [(1, None), (2, []), (3, ["a", "b", "a"]), (4, ["a"]), (5, ["b", "c"]), (5, ["c", "d"]), (None, ["a"])]
+    df = spark.createDataFrame(rows, "key long, tokens array<string>")
+    got = [tuple(r) for r in T.stored_postings(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(s, k) for k, t in rows for s in t or []}
+    once = T.stored_postings(df.where("key <> 5"))
+    assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, once.collect())) == [("a", 3), ("a", 4), ("b", 3)]
