@@ -89,6 +89,15 @@ def splits(path: str) -> dict[bytes, int]:
     return found
 
 
+def in_order(path: str) -> bool:
+    """Whether one pass over the merges does: all pieces come after the halves they are merged from."""
+    try:
+        splits(path)
+        return True
+    except ValueError:
+        return False
+
+
 @lru_cache(maxsize=4)
 def _rank_json(path: str) -> str:
     buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
@@ -328,7 +337,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     ``ids_bytes`` names a further binary column with the ids as little-endian
     unsigned 32-bit integers. A column of ``docs`` with either name is replaced.
     ``higher_order`` folds the table's distinct words by :func:`fold_word` in Spark;
-    otherwise each task folds its own by :func:`merge_word` in the Arrow function.
+    otherwise, and for a vocabulary that is not :func:`in_order`, each task folds
+    its own by :func:`merge_word` in the Arrow function.
     """
     small_batches(docs.sparkSession)
     keep = [f for f in docs.schema.fields if f.name not in (text, ids, ids_bytes)]
@@ -353,7 +363,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
                 every, cuts = _gather(pa.array(folded, pa.list_(pa.int32())), coded.indices.to_numpy(zero_copy_only=False), bounds)
                 yield from _rows(part.columns[:-1], every, cuts, out.names)
 
-    if higher_order:
+    if higher_order and in_order(path):
         done = _fold_once(cut, inner, out, path)
     else:
         done = cut.mapInArrow(fold_here, out)

@@ -117,8 +117,8 @@ def test_bpe_blocks_are_put_together_some_documents_at_a_time(spark):
     assert {r.doc_id: r.ids_sha256 for r in corpus_pipeline.byte_bpe(spark, df, "").collect()} == wanted
 
 
-def test_bpe_splits(tmp_path):
-    """Each piece has one last merge, of halves that come before it; a vocabulary where that fails is refused."""
+def test_bpe_splits(spark, tmp_path):
+    """Each piece has one last merge, of halves that come before it; a vocabulary where that fails is folded by the loop."""
     ranks, found = bpe.load_ranks(queries.BPE_RANKS), bpe.splits(queries.BPE_RANKS)
     assert set(found) == {p for p in ranks if 1 < len(p) <= bpe.FOLD_BYTES}
     assert all(max(ranks[p[:at]] if at > 1 else -1, ranks[p[at:]] if len(p) - at > 1 else -1) < ranks[p] for p, at in found.items())
@@ -126,3 +126,5 @@ def test_bpe_splits(tmp_path):
     (tmp_path / "odd").write_text("".join(f"{base64.b64encode(p).decode()} {i}\n" for i, p in enumerate(pieces)))
     with pytest.raises(ValueError):
         bpe.splits(str(tmp_path / "odd"))
+    df = spark.createDataFrame([(1, "abcab")], "doc_id long, text string")
+    assert bpe.encode(df, str(tmp_path / "odd"), public_tokenizers.PATTERN).first().ids == [3, 4]
