@@ -2,10 +2,11 @@
 
 A text is cut into words by the vocabulary's pattern. Each distinct word of the
 table is encoded once, by folding ranked merges over its bytes with Spark
-higher-order functions and a literal rank map (:func:`fold_word`). Documents are
-held in blocks as indexes into the block's distinct words; a word's ids are joined
-to the blocks that have it, and each block's documents are put together from
-them. A loop with equal results inside the Arrow function that forms the blocks
+higher-order functions and a constant rank map (:func:`fold_word`). Documents are
+held in blocks as indexes into the block's distinct words, in a work table that is
+bucketed by block, so they are never shuffled; only each block's words go to the
+tasks that fold them, by the part of the word's checksum, and their ids come back
+packed. A loop with equal results inside the Arrow function that forms the blocks
 (:func:`merge_word`) is kept beside it: it shuffles nothing and writes no work
 table, but folds a word once in every block. Memory is bounded by ``BLOCK_WORDS``
 and the longest document.
@@ -24,19 +25,19 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shutterlake.llm.common import small_batches, written
+from shutterlake.llm.common import new_path, small_batches
 
 #: Buckets of the literal rank map; a lookup compares the few keys of one bucket.
 BUCKETS = 16384
@@ -46,6 +47,8 @@ BLOCK_WORDS = 500_000
 FOLDED_WORDS = 6_000_000
 #: The longest word that is folded by Spark.
 FOLD_BYTES = 60
+#: Parts that the table's words are dealt by, and what stands between words in a text of them (no byte is this character).
+PARTS, BETWEEN = 1024, "\u0100"
 #: Encoded words that a task keeps between blocks (some 10 MB), and "no such pair".
 SEEN_WORDS, NO_RANK = 32_768, 1 << 31
 
@@ -99,13 +102,13 @@ def in_order(path: str) -> bool:
 
 
 @lru_cache(maxsize=4)
-def _rank_json(path: str) -> str:
+def _rank_rows(path: str) -> pa.Table:
     buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
     cut = splits(path)
     for piece, rank in load_ranks(path).items():
         key = piece.decode("latin-1")
         buckets[zlib.crc32(key.encode()) % BUCKETS][key] = rank * 64 + cut.get(piece, 0)
-    return json.dumps(buckets)
+    return pa.table({"held": pa.array([[list(b.items()) for b in buckets]], pa.list_(pa.map_(pa.string(), pa.int32())))})
 
 
 @lru_cache(maxsize=4)
@@ -118,13 +121,19 @@ def _piece_json(path: str) -> str:
 
 
 def with_literal(table: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(table)`` with the large literal bound to a name, so that the plan holds it once."""
+    """``use(table)`` with the large constant bound to a name, so that the plan holds it once."""
     return F.get(F.transform(F.array(table), use), F.lit(0))
 
 
 def rank_table(path: str) -> Column:
-    """The literal map of 64 * rank + split, in buckets by CRC-32 of the piece."""
-    return F.from_json(F.lit(_rank_json(path)), T.ArrayType(T.MapType(T.StringType(), T.IntegerType())))
+    """The constant map of 64 * rank + split, in buckets by CRC-32 of the piece.
+
+    It is the one value of a local table. Written as a literal, its two megabytes
+    would be spelled out in every description of a plan, and the driver keeps those
+    of a thousand queries. Select it in a step of its own: Spark allows no subquery
+    within a higher-order function, and puts the two steps together afterwards.
+    """
+    return SparkSession.active().createDataFrame(_rank_rows(path)).scalar()
 
 
 def look_up(piece: Column, table: Column) -> Column:
@@ -270,56 +279,113 @@ def _unpack(packed: bytes) -> np.ndarray:
 
 
 def _form_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each block a row with its distinct words as byte strings, and a row for each document with indexes into them.
+    """A row for each document with indexes into its block's distinct words, and for each block a row with the words of each part and one with the words' parts.
 
-    A block has about ``FOLDED_WORDS`` words, of which only the distinct ones are held.
+    Words are byte strings, in the order of their indexes within a part. A block has
+    about ``FOLDED_WORDS`` words, of which only the distinct ones are held.
     """
     block, places, words = TaskContext.get().partitionId() << 33, {}, 0
     kinds = None
 
     def told() -> pa.RecordBatch:
-        distinct = pa.array([w.encode().decode("latin-1") for w in places], pa.string())
-        columns = [pa.array([block]), pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct), *[pa.nulls(1, k) for k in kinds], pa.nulls(1, pa.binary())]
+        raw = [w.encode() for w in places]
+        parts = np.array([zlib.crc32(w) % PARTS for w in raw], dtype=np.int32)
+        order = np.argsort(parts, kind="stable")
+        found, starts = np.unique(parts[order], return_index=True)
+        texts = [BETWEEN.join(raw[i].decode("latin-1") for i in run) for run in np.split(order, starts)[1:]]
+        n = len(found) + 1
+        columns = [pa.array(np.full(n, block)), pa.array([*found.tolist(), None], pa.int32()), pa.array([*texts, None], pa.string()), *[pa.nulls(n, k) for k in kinds], pa.array([*[None] * (n - 1), _pack(parts)], pa.binary()), pa.array([True] * n)]
         return pa.RecordBatch.from_arrays(columns, names=names)
 
     for part, bounds, coded in (x for batch in batches for x in _blocks(batch)):
         if words and words + bounds[-1] > FOLDED_WORDS:
             yield told()
             block, places, words = block + 1, {}, 0
-        names, kept = ["block", "words", *part.schema.names[:-1], "at"], part.columns[:-1]
+        names, kept = ["home", "part", "words", *part.schema.names[:-1], "at", "own"], part.columns[:-1]
         kinds, words = [c.type for c in kept], words + int(bounds[-1])
         known = np.array([places.setdefault(w, len(places)) for w in coded.dictionary.to_pylist()], dtype=np.int32)
         at = known[coded.indices.to_numpy(zero_copy_only=False)]
         packed = pa.array([_pack(at[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.nulls(len(part), pa.list_(pa.string())), *kept, packed], names=names)
-    if places:
+        n = len(part)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), *kept, packed, pa.array([False] * n)], names=names)
+    # a block of empty documents too has its row
+    if kinds is not None:
         yield told()
 
 
+def _bucketed(rows: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """``rows`` as a work table in buckets of ``key``, so that what goes by that key reads them where they are.
+
+    The catalog's entry goes at once; the files stay as the work table.
+    """
+    spark, path, entry = rows.sparkSession, new_path(rows.sparkSession, name), f"{name}_{uuid.uuid4().hex}"
+    rows.write.format("parquet").option("path", path).bucketBy(buckets, key).saveAsTable(entry)
+    out = spark.table(entry)
+    spark.sql(f"DROP TABLE {entry}")
+    out._work_path = path
+    return out
+
+
+def _pack_ids(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of (block, part, pos, ids, long) in that order as (block, part, pos, packed): the ids of a run of words of one block and part."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            coded = batch.column("ids")
+            if coded.null_count:
+                ranks = load_ranks(path)
+                coded = pa.array([merge_word(w.encode("latin-1"), ranks) if x is None else x for x, w in zip(coded.to_pylist(), batch.column("long").to_pylist(), strict=True)], pa.list_(pa.int32()))
+            first, ids = coded.offsets.to_numpy(), coded.values.to_numpy().astype(np.int32)
+            block, part = batch.column("block").to_numpy(), batch.column("part").to_numpy()
+            starts = np.concatenate([[0], np.flatnonzero((np.diff(block) != 0) | (np.diff(part) != 0)) + 1])
+            ends = [*starts[1:], batch.num_rows]
+            packed = [_pack(np.concatenate([[b - a], np.diff(first[a : b + 1]), ids[first[a] : first[b]]]).astype(np.int32)) for a, b in zip(starts, ends, strict=True)]
+            columns = [pa.array(block[starts]), pa.array(part[starts]), batch.column("pos").take(pa.array(starts)), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "part", "pos", "packed"])
+
+    return pack
+
+
 def _fold_once(cut: DataFrame, inner: list[T.StructField], out: T.StructType, path: str) -> DataFrame:
     """The rows of ``out`` from documents cut into words: each distinct word of the table is folded by Spark once.
 
-    The ids go back to the blocks that hold the word, and a block's documents are
-    put together from them. The blocks are a work table.
+    The blocks are a work table. A part's words go to one task, with the places that
+    hold them, and their ids from there to the blocks, whose documents are put together.
     """
-    blocks = written(cut.mapInArrow(_form_blocks, T.StructType([T.StructField("block", T.LongType()), T.StructField("words", T.ArrayType(T.StringType())), *inner, T.StructField("at", T.BinaryType())])), "blocks")
-    words = blocks.where("words is not null").select("block", F.posexplode("words").alias("pos", "word"))
-    # the distinct words are few bytes but much work, so they are dealt to as many tasks as there are
     tasks = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct = words.select("word").distinct().repartition(tasks, "word")
-    folded = distinct.select("word", with_literal(rank_table(path), lambda table: fold_word(F.col("word"), table)).alias("ids"))
-    told = words.join(folded, "word").select("block", "pos", "ids", F.when(F.col("ids").isNull(), F.col("word")).alias("long"))
-    docs = blocks.where("words is null").select(F.col("block").alias("home"), *[f.name for f in inner], "at")
+    fields = [T.StructField("home", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("words", T.StringType()), *inner, T.StructField("at", T.BinaryType()), T.StructField("own", T.BooleanType())]
+    blocks = _bucketed(cut.mapInArrow(_form_blocks, T.StructType(fields)), "blocks", "home", tasks)
+    # dealt by the part; grouping by word and part, and going back to the blocks, then need no other shuffle
+    dealt = blocks.where("words is not null").select(F.col("home").alias("block"), "part", "words").repartition(tasks, "part")
+    words = dealt.select("block", "part", F.posexplode(F.split("words", BETWEEN)).alias("pos", "word"))
+    distinct = words.groupBy("word", "part").agg(F.collect_list(F.struct("block", "pos")).alias("held"))
+    ranked = distinct.select("word", "part", "held", rank_table(path).alias("ranks"))
+    folded = ranked.select("word", "part", "held", with_literal(F.col("ranks"), lambda table: fold_word(F.col("word"), table)).alias("ids"))
+    joined = folded.select("part", "ids", F.when(F.col("ids").isNull(), F.col("word")).alias("long"), F.inline("held"))
+    joined = joined.select("block", "part", "pos", "ids", "long")
+    told = joined.sortWithinPartitions("block", "part", "pos").mapInArrow(_pack_ids(path), "block long, part int, pos int, packed binary")
+    docs = blocks.where("words is null").select("home", *[f.name for f in inner], "at", "own")
 
     def put_together(docs: pa.Table, told: pa.Table) -> pa.Table:
-        told = told.select(["ids", "long"]).take(pc.sort_indices(told["pos"]))
-        coded = told["ids"].combine_chunks()
-        if coded.null_count:
-            ranks = load_ranks(path)
-            coded = pa.array([merge_word(w.encode("latin-1"), ranks) if x is None else x for x, w in zip(coded.to_pylist(), told["long"].to_pylist(), strict=True)], pa.list_(pa.int32()))
+        own = docs["own"].to_numpy()
+        parts = _unpack(docs["at"][int(np.flatnonzero(own)[0])].as_py())
+        docs = docs.filter(pa.array(~own))
+        told = told.sort_by([("part", "ascending"), ("pos", "ascending")])
+        counts, ids = [np.empty(0, np.int32)], [np.empty(0, np.int32)]
+        for packed in told["packed"]:
+            run = _unpack(packed.as_py())
+            counts.append(run[1 : 1 + run[0]])
+            ids.append(run[1 + run[0] :])
+        # the words came by part; back to the order of their indexes
+        sizes, place = np.concatenate(counts), np.empty(len(parts), np.int64)
+        place[np.argsort(parts, kind="stable")] = np.arange(len(parts))
+        first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        coded = pa.ListArray.from_arrays(pa.array(first), pa.array(np.concatenate(ids)))
         made, at, words, start = [], [], 0, 0
         for i, packed in enumerate(docs["at"]):
-            at.append(_unpack(packed.as_py()))
+            at.append(place[_unpack(packed.as_py())])
             words += len(at[-1])
             if words >= BLOCK_WORDS or i + 1 == docs.num_rows:
                 every, cuts = _gather(coded, np.concatenate(at), np.cumsum([0, *map(len, at)]))

@@ -128,3 +128,24 @@ def test_bpe_splits(spark, tmp_path):
         bpe.splits(str(tmp_path / "odd"))
     df = spark.createDataFrame([(1, "abcab")], "doc_id long, text string")
     assert bpe.encode(df, str(tmp_path / "odd"), public_tokenizers.PATTERN).first().ids == [3, 4]
+
+
+def test_bpe_documents_stay_in_place_and_words_go_by_parts(spark):
+    """Only words and ids are shuffled, several words a part, some in several blocks and some too long for the fold."""
+    rows = [(i, " ".join(f"word{j * 7919 % 10007}x{j % 5}" for j in range(i * 500, i * 500 + 1500)) + " " + "qzx" * (30 + i)) for i in range(6)]
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(queries.BPE_RANKS), special_tokens={})
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    coded = bpe.encode(df, queries.BPE_RANKS, public_tokenizers.PATTERN)
+    plan = coded._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Exchange hashpartitioning(home" not in plan, plan[:5000]
+    assert {r.doc_id: r.ids for r in coded.collect()} == {i: known.encode_ordinary(t) for i, t in rows}
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("blocks")]
+
+
+def test_bpe_rank_map_is_not_spelled_out_in_plans(spark):
+    """Each description of a plan would hold the map's megabytes, and the driver keeps them."""
+    df = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
+    coded = bpe.encode(df, queries.BPE_RANKS, public_tokenizers.PATTERN)
+    assert len(coded._jdf.queryExecution().toString()) < 200_000
+    # the map is no column of the rows either: the steps that name and use it are put together
+    assert "AS ranks" not in coded._jdf.queryExecution().optimizedPlan().toString()
