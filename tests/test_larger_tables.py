@@ -100,3 +100,13 @@ def test_postings_of_stored_stems_are_not_shuffled_twice(spark):
     once = T.stored_postings(df.where("key <> 5"))
     assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, once.collect())) == [("a", 3), ("a", 4), ("b", 3)]
+
+
+def test_supersede_deals_rows_once(spark):
+    from shutterlake.operators import scores as S
+
+    rows = spark.createDataFrame([(i, "catalog", i % 3, "v1", "2020", 1, i) for i in range(9)], "image_key long, image_type string, perspective_slug int, prompt_version string, scored_at string, is_current long, id long")
+    after = S.supersede(rows, rows.where("image_key = 4").selectExpr("image_key", "image_type", "perspective_slug", "'v2' AS prompt_version", "scored_at", "is_current", "-id AS id"))
+    assert sorted((r.image_key, r.prompt_version, r.is_current) for r in after.collect()) == sorted([(i, "v1", int(i != 4)) for i in range(9)] + [(4, "v2", 1)])
+    plan = after._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
