@@ -110,3 +110,14 @@ def test_supersede_deals_rows_once(spark):
     assert sorted((r.image_key, r.prompt_version, r.is_current) for r in after.collect()) == sorted([(i, "v1", int(i != 4)) for i in range(9)] + [(4, "v2", 1)])
     plan = after._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_scores_are_dealt_to_a_given_number_of_partitions(spark, tmp_path):
+    from shutterlake.sources import driver as D
+
+    rows = [(i // 3, i % 2, f"2020-01-0{1 + i % 3}", i, i, 1.0 * i, i, "N", "O") for i in range(30)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_shipdate string, l_partkey long, l_suppkey long, l_extendedprice double, l_quantity long, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = D.scores(spark, str(tmp_path))
+    assert found.count() == 20
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
