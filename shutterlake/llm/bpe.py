@@ -17,7 +17,7 @@ byte, because Spark's string functions then work on bytes.
 Rows: a null or empty text gives no ids and an empty decoded text. Repeated
 rows, null ids and further columns are passed through unchanged. An unbroken
 word of over ``FOLD_BYTES`` bytes takes the same merges from a heap,
-since a fold's mask of boundaries is one long integer.
+since a fold's work grows with the square of the word's length.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 
 from shutterlake.llm.common import new_path, small_batches
 
-#: Buckets of the literal rank map; a lookup compares the few keys of one bucket.
+#: Buckets of the constant map of merges; a lookup compares the few keys of one bucket.
 BUCKETS = 16384
 #: Words in a block.
 BLOCK_WORDS = 500_000
@@ -49,6 +49,8 @@ FOLDED_WORDS = 6_000_000
 FOLD_BYTES = 60
 #: Parts that the table's words are dealt by, and what stands between words in a text of them (no byte is this character).
 PARTS, BETWEEN = 1024, "\u0100"
+#: In the fold a piece is one character, that of its rank from here on; and what ends a word that is done.
+FIRST_CHARACTER, ENDED = 0x10000, "\u0100"
 #: Encoded words that a task keeps between blocks (some 10 MB), and "no such pair".
 SEEN_WORDS, NO_RANK = 32_768, 1 << 31
 
@@ -70,8 +72,8 @@ def splits(path: str) -> dict[bytes, int]:
     """For each piece of 2 to ``FOLD_BYTES`` bytes that merges lead to, the length of its left half in the last of them.
 
     Boundaries only go, so the merges within a piece are those of the piece by
-    itself, and no other pair of halves ever meets in a word. One pass over the
-    merges by rank needs the halves to have lower ranks than the piece, which is
+    itself, and no other pair of halves ever meets in a word. Merging a pair
+    everywhere at once needs the halves to have lower ranks than the piece, which is
     checked for every piece.
     """
     ranks, found = load_ranks(path), {}
@@ -93,22 +95,32 @@ def splits(path: str) -> dict[bytes, int]:
 
 
 def in_order(path: str) -> bool:
-    """Whether one pass over the merges does: all pieces come after the halves they are merged from."""
+    """Whether :func:`fold_word` does: all pieces come after the halves they are merged from, every byte is a piece, and ranks are few enough for characters."""
     try:
         splits(path)
-        return True
     except ValueError:
         return False
+    ranks = load_ranks(path)
+    return all(bytes([b]) in ranks for b in range(256)) and max(ranks.values()) < 0x110000 - FIRST_CHARACTER
+
+
+def _character(rank: int) -> str:
+    return chr(FIRST_CHARACTER + rank)
 
 
 @lru_cache(maxsize=4)
 def _rank_rows(path: str) -> pa.Table:
-    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    cut = splits(path)
-    for piece, rank in load_ranks(path).items():
-        key = piece.decode("latin-1")
-        buckets[zlib.crc32(key.encode()) % BUCKETS][key] = rank * 64 + cut.get(piece, 0)
-    return pa.table({"held": pa.array([[list(b.items()) for b in buckets]], pa.list_(pa.map_(pa.string(), pa.int32())))})
+    buckets: list[dict[str, str]] = [{} for _ in range(BUCKETS)]
+    ranks, cut = load_ranks(path), splits(path)
+    for piece, rank in ranks.items():
+        at = cut.get(piece)
+        # a piece that no merge makes is found as a whole word only
+        key, merged = piece.decode("latin-1"), _character(rank)
+        if at:
+            key = _character(ranks[piece[:at]]) + _character(ranks[piece[at:]])
+            merged += key
+        buckets[zlib.crc32(key.encode()) % BUCKETS][key] = merged
+    return pa.table({"held": pa.array([[list(b.items()) for b in buckets]], pa.list_(pa.map_(pa.string(), pa.string())))})
 
 
 @lru_cache(maxsize=4)
@@ -126,9 +138,12 @@ def with_literal(table: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def rank_table(path: str) -> Column:
-    """The constant map of 64 * rank + split, in buckets by CRC-32 of the piece.
+    """The constant map of merges, in buckets by CRC-32 of the key: from a pair of pieces to what it becomes and the pair.
+
+    Pieces are characters, so the least of several values is that of the least rank.
+    Pieces that no merge makes, among them single bytes, are there by their bytes.
 
-    It is the one value of a local table. Written as a literal, its two megabytes
+    It is the one value of a local table. Written as a literal, its megabytes
     would be spelled out in every description of a plan, and the driver keeps those
     of a thousand queries. Select it in a step of its own: Spark allows no subquery
     within a higher-order function, and puts the two steps together afterwards.
@@ -136,59 +151,35 @@ def rank_table(path: str) -> Column:
     return SparkSession.active().createDataFrame(_rank_rows(path)).scalar()
 
 
-def look_up(piece: Column, table: Column) -> Column:
-    """What the rank map has for a piece, or null."""
-    return F.try_element_at(F.get(table, F.pmod(F.crc32(piece), F.lit(BUCKETS)).cast("int")), piece)
-
-
-def rank_of(piece: Column, table: Column) -> Column:
-    """The rank of a piece, or null."""
-    return F.shiftright(look_up(piece, table), 6)
+def look_up(key: Column, table: Column) -> Column:
+    """What the map of merges has for a key, or null."""
+    return F.try_element_at(F.get(table, F.pmod(F.crc32(key), F.lit(BUCKETS)).cast("int")), key)
 
 
-def fold_word(word: Column, table: Column) -> Column:
+def fold_word(word: Column, table: Column, path: str) -> Column:
     """The ids of one word: merge the pair of least rank, the leftmost of equals, until none has one.
 
-    The pieces are kept as a bit mask of the boundaries between bytes. Every
-    part of the word that has a rank is a possible merge. They are listed by rank
-    and place, and one fold makes each whose turn finds both its ends and, of the
-    places inside, just its split (see :func:`splits`) as boundaries, which removes
-    the split. One pass does, since both halves of a split have lower ranks.
+    The pieces are a string of one character each, so a merge is a replacement of
+    two characters by one, and the order of characters is that of ranks. A round
+    looks up every pair that stands side by side and merges the least, everywhere
+    at once: a pair with the merged piece has a higher rank (see :func:`splits`),
+    so it could not have come between two of these.
     """
-    size = F.length(word)
-    one = F.lit(1).cast("long")
-
-    def bit(i: Column) -> Column:
-        return F.call_function("shiftleft", one, i)
-
-    def code(start: Column, length: Column) -> Column:
-        return look_up(F.substring(word, start + 1, length), table).cast("long") * 4096 + start * 64 + length
-
-    def masks(c: Column) -> Column:
-        start = F.shiftright(c, 6).bitwiseAND(F.lit(63)).cast("int")
-        end = start + c.bitwiseAND(F.lit(63)).cast("int")
-        split = bit(start + F.shiftright(c, 12).bitwiseAND(F.lit(63)).cast("int"))
-        return F.struct((bit(end + 1) - bit(start)).alias("span"), (bit(start) + split + bit(end)).alias("bounds"), split.alias("split"))
-
-    def fold(merges: Column) -> Column:
-        def step(mask: Column, i: Column) -> Column:
-            merge = F.get(merges, i)
-            return F.when(mask.bitwiseAND(merge["span"]) == merge["bounds"], mask - merge["split"]).otherwise(mask)
+    ranks = load_ranks(path)
+    start = F.translate(word, "".join(map(chr, range(256))), "".join(_character(ranks[bytes([b])]) for b in range(256)))
 
-        def pieces(mask: Column) -> Column:
-            cuts = F.filter(F.sequence(F.lit(0), size - 1), lambda i: mask.bitwiseAND(bit(i)) != 0)
-            return F.transform(cuts, lambda at, i: rank_of(F.substring(word, at + 1, F.coalesce(F.get(cuts, i + 1), size) - at), table))
+    def merge(pieces: Column, _: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(1), F.length(pieces) - 1), lambda i: F.substring(pieces, i, F.lit(2)))
+        least = F.array_min(F.transform(pairs, lambda pair: look_up(pair, table)))
+        merged = with_literal(least, lambda m: F.replace(pieces, F.substring(m, 2, 2), F.substring(m, 1, 1)))
+        return F.when(F.endswith(pieces, F.lit(ENDED)), pieces).otherwise(F.coalesce(merged, F.concat(pieces, F.lit(ENDED))))
 
-        # the last index is past the end, so that the sequence never runs backwards; there the mask stays
-        return F.aggregate(F.sequence(F.lit(0), F.size(merges)), bit(size + 1) - 1, step, pieces)
+    def ids(pieces: Column) -> Column:
+        return F.transform(F.split(F.rtrim(pieces, F.lit(ENDED)), ""), lambda c: F.ascii(c) - FIRST_CHARACTER)
 
-    starts = F.sequence(F.lit(0), size - 2)
-    codes = F.flatten(F.transform(starts, lambda s: F.transform(F.sequence(F.lit(2), size - s), lambda n: code(s, n))))
-    merges = F.transform(F.sort_array(F.array_compact(codes)), masks)
-    # transform over one element gives the list of merges a name
-    folded = F.get(F.transform(F.array(merges), fold), F.lit(0))
-    whole = rank_of(word, table)
-    return F.when(whole.isNotNull(), F.array(whole)).when(size > FOLD_BYTES, F.lit(None)).otherwise(folded)
+    folded = F.aggregate(F.sequence(F.lit(1), F.length(word)), start, merge, ids)
+    whole = look_up(word, table)
+    return F.when(whole.isNotNull(), ids(whole)).when(F.length(word) > FOLD_BYTES, F.lit(None)).otherwise(folded)
 
 
 def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -362,7 +353,7 @@ def _fold_once(cut: DataFrame, inner: list[T.StructField], out: T.StructType, pa
     words = dealt.select("block", "part", F.posexplode(F.split("words", BETWEEN)).alias("pos", "word"))
     distinct = words.groupBy("word", "part").agg(F.collect_list(F.struct("block", "pos")).alias("held"))
     ranked = distinct.select("word", "part", "held", rank_table(path).alias("ranks"))
-    folded = ranked.select("word", "part", "held", with_literal(F.col("ranks"), lambda table: fold_word(F.col("word"), table)).alias("ids"))
+    folded = ranked.select("word", "part", "held", with_literal(F.col("ranks"), lambda table: fold_word(F.col("word"), table, path)).alias("ids"))
     joined = folded.select("part", "ids", F.when(F.col("ids").isNull(), F.col("word")).alias("long"), F.inline("held"))
     joined = joined.select("block", "part", "pos", "ids", "long")
     told = joined.sortWithinPartitions("block", "part", "pos").mapInArrow(_pack_ids(path), "block long, part int, pos int, packed binary")
@@ -440,10 +431,6 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
 def decode(ids: Column, path: str) -> Column:
     """The bytes of an array of ids: its pieces, concatenated. An unknown id gives null; null gives null."""
     table = F.from_json(F.lit(_piece_json(path)), T.ArrayType(T.StringType()))
-
-    def look_up(pieces: Column) -> Column:
-        found = F.transform(ids, lambda i: F.get(pieces, i))
-        # an unknown id would be skipped by array_join
-        return F.when(F.exists(found, lambda p: p.isNull()), F.lit(None)).otherwise(F.array_join(found, ""))
-
-    return F.encode(with_literal(table, look_up), "ISO-8859-1")
+    # an unknown id becomes what is no byte
+    joined = with_literal(table, lambda pieces: F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "", BETWEEN))
+    return F.encode(with_literal(joined, lambda text: F.when(~F.contains(text, F.lit(BETWEEN)), text)), "ISO-8859-1")

@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from shutterlake.llm import bpe, queries
@@ -149,3 +150,17 @@ def test_bpe_rank_map_is_not_spelled_out_in_plans(spark):
     assert len(coded._jdf.queryExecution().toString()) < 200_000
     # the map is no column of the rows either: the steps that name and use it are put together
     assert "AS ranks" not in coded._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_bpe_fold_looks_up_neighbours_only(spark, tmp_path):
+    """A word's pieces are looked up in pairs, not all its parts, and ids are put in place of pieces once; a piece that no merge makes is a whole word or nothing."""
+    df = spark.createDataFrame([(1, "xabcd abcd"), (2, "abcd"), (3, "xabcdxabcdd")], "doc_id long, text string")
+    coded = bpe.encode(df, queries.BPE_RANKS, public_tokenizers.PATTERN)
+    plan = coded.select(bpe.decode(F.col("ids"), queries.BPE_RANKS))._jdf.queryExecution().optimizedPlan().toString()
+    assert "flatten(" not in plan and "exists(" not in plan
+    ranks = {bytes([b]): b for b in range(256)} | {p: 256 + i for i, p in enumerate([b"xa", b"ab", b"bc", b"bcd", b"abcd"])}
+    (tmp_path / "own").write_text("".join(f"{base64.b64encode(p).decode()} {i}\n" for p, i in ranks.items()))
+    assert bpe.in_order(str(tmp_path / "own")) and b"abcd" not in bpe.splits(str(tmp_path / "own"))
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    coded = bpe.encode(df, str(tmp_path / "own"), public_tokenizers.PATTERN)
+    assert {r.doc_id: r.ids for r in coded.collect()} == {r.doc_id: known.encode_ordinary(r.text) for r in df.collect()}
