@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import json
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,6 +16,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from shutterlake.sources import work
 
 
+#: Buckets of groups that share a call and a state, and the kinds of groups that do (the state names them in JSON).
+BUCKETS, PLAIN_KINDS = 4096, {"string", "tinyint", "smallint", "int", "bigint"}
+
+
 def burst_sessions(rows: DataFrame, ts: str, group: str, gap: str = "2 seconds", late: str = "10 minutes") -> DataFrame:
     """(group, start_ts, end_ts, members): sessions of each group, closed once the watermark has passed them; a gap of exactly ``gap`` merges."""
     session = F.session_window(ts, gap)
@@ -55,15 +60,18 @@ def merged(segments: list[list], at: int, key: object, score: float, gap: int) -
     return [*segments[:low], [*members[0], max([s[2] for s in joined] + [at]), best, members], *segments[high:]]
 
 
-def burst_stream(rows: DataFrame, ts: str, key: str, group: str, score: str, delta_ms: int, late: str = "10 minutes") -> DataFrame:
+def burst_stream(rows: DataFrame, ts: str, key: str, group: str, score: str, delta_ms: int, late: str = "10 minutes", buckets: int = BUCKETS) -> DataFrame:
     """Changes of each group's bursts, with members and representative, as rows come in, late ones included.
 
     A row of (group, start_us, start_key, end_us, members, representative, alive,
     version) says what a burst is now, or (alive false) that it became part of one
     that begins earlier; :func:`standing` keeps the last word on each. A gap of
     exactly ``delta_ms`` merges. Rows may come ``late`` behind the newest, in any
-    order; a burst that no row can reach any more leaves the state. State is one
-    group's open bursts with their members. The representative is the member of the
+    order; a burst that no row can reach any more leaves the state. State is the
+    open bursts of a bucket of groups with their members, deflated: a call costs
+    milliseconds however few its rows are, so groups share at most ``buckets`` of
+    them. A checkpoint goes on with the number that it began with. Groups of other
+    than ``PLAIN_KINDS`` have a call each. The representative is the member of the
     highest score, then time, then key; a null score is the lowest. Rows without a
     time drop out; a repeated row counts again.
     """
@@ -71,32 +79,43 @@ def burst_stream(rows: DataFrame, ts: str, key: str, group: str, score: str, del
     kinds = dict(rows.dtypes)
     taken = rows.where(F.col(ts).isNotNull()).select(F.col(group).alias("group"), F.col(ts).cast("timestamp").alias("ts"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), F.col(key).alias("key"), F.coalesce(F.col(score).cast("double"), F.lit(float("-inf"))).alias("score"))
     columns = ["group", "start_us", "start_key", "end_us", "members", "representative", "alive", "version"]
+    shared = kinds[group] in PLAIN_KINDS
+    if shared:
+        taken = taken.withColumn("bucket", F.coalesce(F.when(F.col("group").isNotNull(), F.pmod(F.xxhash64("group"), F.lit(buckets))), F.lit(-1)))
 
     def handle(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        segments, version = json.loads(state.get[0]) if state.exists else ([], 0)
-        before = {(s[0], s[1]): s for s in segments}
+        held, version = json.loads(zlib.decompress(state.get[0])) if state.exists else ([], 0)
+        # where a call has one group, the key or the bucket of null tells it
+        several, single = shared and name[0] >= 0, None if shared else name[0]
+        bursts = dict(held)
         if not state.hasTimedOut:
+            touched = {}
             for frame in frames:
-                for at, k, x in zip(frame["at"].tolist(), frame["key"].tolist(), frame["score"].tolist(), strict=True):
-                    segments = merged(segments, at, k, x, gap)
+                names = frame["group"].tolist() if several else [None] * len(frame)
+                for g, at, k, x in zip(names, frame["at"].tolist(), frame["key"].tolist(), frame["score"].tolist(), strict=True):
+                    segments = bursts.get(g, [])
+                    touched.setdefault(g, segments)
+                    bursts[g] = merged(segments, at, k, x, gap)
             version += 1
-            now = {(s[0], s[1]): s for s in segments}
-            out = [(name[0], *s[:3], [k for _, k in s[4]], s[3][2], True, version) for i, s in now.items() if before.get(i) is not s]
-            out += [(name[0], *s[:3], [], s[3][2], False, version) for i, s in before.items() if i not in now]
+            out = []
+            for g, old in touched.items():
+                shown, before, now = g if several else single, {(s[0], s[1]): s for s in old}, {(s[0], s[1]): s for s in bursts[g]}
+                out += [(shown, *s[:3], [k for _, k in s[4]], s[3][2], True, version) for i, s in now.items() if before.get(i) is not s]
+                out += [(shown, *s[:3], [], s[3][2], False, version) for i, s in before.items() if i not in now]
             if out:
                 yield pd.DataFrame(out, columns=columns)
         mark = state.getCurrentWatermarkMs()
         # a row to come is not older than the mark
-        segments = [s for s in segments if s[2] + gap >= mark * 1000]
-        if segments:
-            state.update((json.dumps([segments, version]),))
-            state.setTimeoutTimestamp(max(mark + 1, min(s[2] for s in segments) // 1000 + delta_ms + 1))
+        left = [[g, kept] for g, segments in bursts.items() if (kept := [s for s in segments if s[2] + gap >= mark * 1000])]
+        if left:
+            state.update((zlib.compress(json.dumps([left, version]).encode(), 1),))
+            state.setTimeoutTimestamp(max(mark + 1, min(s[2] for _, segments in left for s in segments) // 1000 + delta_ms + 1))
         elif state.exists:
             state.remove()
 
     kind = kinds[key]
     schema = f"group {kinds[group]}, start_us long, start_key {kind}, end_us long, members array<{kind}>, representative {kind}, alive boolean, version long"
-    return taken.withWatermark("ts", late).groupBy("group").applyInPandasWithState(handle, schema, "data string", "update", GroupStateTimeout.EventTimeTimeout)
+    return taken.withWatermark("ts", late).groupBy("bucket" if shared else "group").applyInPandasWithState(handle, schema, "data binary", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def standing(changes: DataFrame) -> DataFrame:

@@ -334,3 +334,21 @@ def test_streamed_bursts_take_in_late_rows(spark, tmp_path):
     put([("a", 5 * second, 502, 1.0)], "f6")
     late = {k: v for k, v in ((("a" if r["group"] == "a" else "b", r["start_us"], r["start_key"]), (r["end_us"], r["members"], r["representative"])) for r in B.standing(run("1 hour")).collect())}
     assert late == got | {("a", 89_999 * second, 501): (90_000 * second, [501, 500], 500)}
+
+
+def test_groups_of_streamed_bursts_share_calls_and_states(spark, tmp_path):
+    """However many groups there are, a call and a state is one of a bucket's; names that are null or not plain have their own."""
+    from shutterlake.streaming import bursts as B
+
+    rng, second = random.Random(4), 1_000_000
+    rows = [(rng.choice([None, *range(20)]), rng.randint(1, 200) * second, i, rng.choice([None, 1.0, 2.0])) for i in range(300)]
+    for i in range(2):
+        part = spark.createDataFrame(rows[i * 150 : i * 150 + 150], "job int, us long, key long, score double")
+        part.select("job", F.timestamp_micros("us").alias("ts"), "key", "score").coalesce(1).write.parquet(str(tmp_path / "in" / f"f{i}"))
+    for name, group, most in (("shared", F.col("job"), 21), ("apart", F.col("job").cast("decimal(5,0)"), 21)):
+        stream = spark.readStream.schema("job int, ts timestamp, key long, score double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*")).withColumn("job", group)
+        found = B.standing(B.run_once(B.burst_stream(stream, "ts", "key", "job", "score", 3000, "1 hour", **({"buckets": 4} if name == "shared" else {})), str(tmp_path / name)))
+        got = {(r["group"], r["start_us"], r["start_key"]): (r["end_us"], r["members"], r["representative"]) for r in found.collect()}
+        assert got == _plain_bursts(rows, 3 * second), name
+        states = spark.read.format("statestore").load(str(tmp_path / name / "checkpoint")).count()
+        assert states <= (5 if name == "shared" else most) and states > 1
