@@ -25,15 +25,19 @@ def stale(source: DataFrame, library: DataFrame, column: str = "id") -> DataFram
     return numeric_ids(library, column).join(numeric_ids(source, column), "id", "left_anti")
 
 
+def newest(new: DataFrame, key: str, order: str, *aside: str) -> DataFrame:
+    """The newest row of each key; all columns but those ``aside`` order what is equally new."""
+    last = Window.partitionBy(key).orderBy(F.desc(order), *[F.desc(c) for c in sorted(new.columns) if c not in (key, order, *aside)])
+    return new.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n")
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str, order: str, keep_old: tuple[str, ...] = (), fill_from_old: tuple[str, ...] = ()) -> DataFrame:
     """One row a key: the newest of ``new`` replaces the old.
 
     Columns in ``keep_old`` stay as they were where there was a row; those in
     ``fill_from_old`` stay where the new value is null.
     """
-    last = Window.partitionBy(key).orderBy(F.desc(order), *[F.desc(c) for c in sorted(new.columns) if c not in (key, order)])
-    fresh = new.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n")
-    o, n = old.alias("o"), fresh.alias("n")
+    o, n = old.alias("o"), newest(new, key, order).alias("n")
     joined = o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
     is_new = F.col(f"n.{key}").isNotNull()
 
@@ -95,6 +99,14 @@ def upsert_descriptions(old: DataFrame, new: DataFrame) -> DataFrame:
     repetition flag is 1, 0 or null, and the legacy columns ``perspectives`` and
     ``best_perspective`` stay as they were.
     """
+    from shutterlake.functions.udfs import porter_tokens
+
+    before = old if "tokens" in old.columns else old.withColumn("tokens", porter_tokens("description_search_document"))
+    return upsert(before, described(new), "image_key", "described_at", keep_old=("perspectives", "best_perspective"))
+
+
+def described(new: DataFrame) -> DataFrame:
+    """Descriptions in the form they are kept in (see :func:`upsert_descriptions`), row by row."""
     from shutterlake.functions import scalars as X
     from shutterlake.functions.udfs import porter_tokens
 
@@ -104,9 +116,24 @@ def upsert_descriptions(old: DataFrame, new: DataFrame) -> DataFrame:
         "has_repetition": X.repetition_flag(F.col("has_repetition")).cast("long"),
         "description_search_document": X.search_document(F.col("summary"), F.col("subjects")),
     })
-    clean = clean.withColumn("tokens", porter_tokens("description_search_document"))
-    before = old if "tokens" in old.columns else old.withColumn("tokens", porter_tokens("description_search_document"))
-    return upsert(before, clean, "image_key", "described_at", keep_old=("perspectives", "best_perspective"))
+    return clean.withColumn("tokens", porter_tokens("description_search_document"))
+
+
+def create_descriptions(new: DataFrame, folder: str, buckets: int = 64) -> BucketTable:
+    """A table in buckets of ``image_key`` of what :func:`upsert_descriptions` makes of ``new`` where there were none.
+
+    Rows are dealt out as they came in, once; searched texts and stems are added after
+    that. Only rows of keys that repeat are put in order. Keys are not null.
+    """
+    repeated = written(new.groupBy("image_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("image_key"), "repeated")
+    rows = new
+    if not repeated.isEmpty():
+        several = new.join(repeated, "image_key", "left_semi")
+        last = newest(described(several.withColumn("__row", F.struct(*new.columns))), "image_key", "described_at", "__row")
+        rows = new.join(repeated, "image_key", "left_anti").unionByName(last.select("__row.*"))
+    table = BucketTable.create(rows, folder, ["image_key"], buckets, described)
+    discard(repeated)
+    return table
 
 
 def replace_rows(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -187,10 +214,10 @@ def upsert_perspective(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def upsert_descriptions_indexed(table: BucketTable, index: TextIndex, new: DataFrame) -> list[int]:
     """:func:`upsert_descriptions` on a table in buckets of ``image_key``, with its text index; returns the table's buckets written."""
-    keys = table.keyed(new).select("image_key").distinct()
-    tokens = lambda: table.read(table.buckets_of(keys)).join(keys, "image_key", "left_semi").select(F.col("image_key").alias("key"), "tokens")
+    keys = written(table.keyed(new).select("image_key").distinct(), "keys")
+    tokens = lambda: table.lookup(keys).select(F.col("image_key").alias("key"), "tokens")
     before = written(tokens(), "before")
     touched = table.change(new, upsert_descriptions)
     index.upsert(before, tokens())
-    discard(before)
+    discard(before, keys)
     return touched

@@ -73,11 +73,14 @@ def fts_after_upsert(spark, d):
     """A search through the index of stored stems, after a few descriptions were written anew, some with the words and some without."""
     n = F.col("image_key")
     rows = D.table(spark, d, "documents").select(F.col("doc_id").alias("image_key"), F.col("text").alias("summary"), *[F.lit(None).cast("string").alias(c) for c in ("subjects", "dominant_colors", "mood_tags", "perspectives", "best_perspective")], F.lit(None).cast("long").alias("has_repetition"), F.lit("1").alias("described_at"))
-    none = rows.limit(0).withColumns({"description_search_document": F.lit(""), "tokens": F.array().cast("array<string>")})
-    table = _bucketed(Y.upsert_descriptions(none, rows), "descriptions", "image_key")
+    table = Y.create_descriptions(rows, work.new_path(spark, "descriptions"), 32)
     index = T.build_from_tokens(table.read().select(n.alias("key"), "tokens"))
     new = rows.where(n % 50 == 3).withColumn("summary", F.lit("Things óf the sea")).union(rows.where(n % 50 == 4).withColumn("summary", F.lit("nothing")))
     Y.upsert_descriptions_indexed(table, index, new.withColumn("described_at", F.lit("2")))
+    # only the index as it is now is read from here on
+    table.drop()
+    index.postings.vacuum()
+    index.counts.vacuum()
     return C.full_text(index, X.search_terms("of the things") or [])
 
 

@@ -121,3 +121,109 @@ def test_scores_are_dealt_to_a_given_number_of_partitions(spark, tmp_path):
     assert found.count() == 20
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+
+
+def _plans_written(monkeypatch):
+    """The plans of what is written to tables in buckets from now on."""
+    from shutterlake.sources import buckets as K
+
+    plans, writer = [], K._writer
+    monkeypatch.setattr(K, "_writer", lambda rows: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or writer(rows))
+    return plans
+
+
+def _described_rows(spark, rows):
+    fixed = "null AS subjects, null AS dominant_colors, '[\"calm\"]' AS mood_tags, null AS perspectives, null AS best_perspective, null AS has_repetition"
+    return spark.createDataFrame(rows, "image_key long, summary string, described_at string").selectExpr("image_key", "summary", *[f"cast({c.replace(' AS ', ' AS string) AS ')}" for c in fixed.split(", ")], "described_at")
+
+
+def test_change_shuffles_no_rows_of_other_keys(spark, monkeypatch, tmp_path):
+    from pyspark.sql import functions as F
+
+    from shutterlake.operators import sync as Y
+    from shutterlake.sources import buckets as K
+
+    rows = [(i, "x", i % 5) for i in range(300)] + [(None, "x", 1), (None, "y", 2), (7, "x", 9), (8, None, 3)]
+    df = spark.createDataFrame(rows, "key long, name string, v int")
+    new = spark.createDataFrame([(7, "x", -1), (None, "x", -2), (900, "z", -3), (8, None, -4)], "key int, name string, v int")
+    made = {name: K.BucketTable.create(df, str(tmp_path / name), ["key", "name"], 4) for name in ("all", "copied", "many")}
+    seen = {}
+
+    def how(name):
+        def replaced(old, some):
+            seen[name] = old.count()
+            keys = some.withColumnsRenamed({"key": "k", "name": "n"})
+            left = old.join(keys, F.col("key").eqNullSafe(F.col("k")) & F.col("name").eqNullSafe(F.col("n")), "left_anti")
+            return left.unionByName(some)
+
+        return replaced
+
+    plans = _plans_written(monkeypatch)
+    for name, small, few in (("all", 1 << 30, 9), ("copied", -1, 9), ("many", -1, 1)):
+        monkeypatch.setattr(K, "SMALL", small)
+        monkeypatch.setattr(K, "FEW", few)
+        del plans[:]
+        touched = made[name].change(new, how(name))
+        if name == "copied":
+            copies = [p for p in plans if "Repartition" not in p.replace("Repartition 2, false", "")]
+            assert len(copies) == len(touched) and len(plans) == len(copies) + 1
+    want = sorted([r for r in rows if r[:2] not in {(7, "x"), (None, "x"), (8, None)}] + [(7, "x", -1), (None, "x", -2), (900, "z", -3), (8, None, -4)], key=repr)
+    assert all(sorted(map(tuple, table.read().collect()), key=repr) == want for table in made.values())
+    assert seen["copied"] == 4 and seen["many"] == seen["all"] > 100
+    assert sorted(map(tuple, made["all"].lookup(new).collect()), key=repr) == sorted(map(tuple, new.collect()), key=repr)
+    # however often a bucket is copied, it has as many files
+    monkeypatch.setattr(K, "FEW", 9)
+    for _ in range(3):
+        made["copied"].change(new, lambda old, some: Y.replace_rows(old, some, "key"))
+    for b, version in made["copied"].versions().items():
+        assert len(list((tmp_path / "copied" / version / f"{K.BUCKET}={b}").glob("*.parquet"))) <= 2 * K.SHARES
+
+
+def test_descriptions_are_dealt_before_their_stems_are_added(spark, monkeypatch, tmp_path):
+    from pyspark.sql import functions as F
+
+    from shutterlake.operators import sync as Y
+
+    rows = [(i, f"Things number {i} óf  the sea", "1") for i in range(60)] + [(1, "newer", "2"), (2, "b tie", "3"), (2, "a tie", "3"), (3, None, "0"), (4, "older", "0")]
+    df = _described_rows(spark, rows)
+    none = df.limit(0).withColumns({"description_search_document": F.lit(""), "tokens": F.array().cast("array<string>")})
+    plans = _plans_written(monkeypatch)
+    table = Y.create_descriptions(df, str(tmp_path / "a"), 4)
+    want = Y.upsert_descriptions(none, df)
+    assert table.schema.simpleString() == want.schema.simpleString()
+    assert sorted(map(tuple, table.read().collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr) and table.read().count() == 60
+    del plans[:]
+    Y.create_descriptions(df.where("image_key > 4"), str(tmp_path / "b"), 4)
+    # from the top: the write, the stems, then the only shuffle, of what came in
+    (plan,) = plans
+    dealt = plan.index("RepartitionBy")
+    assert plan.count("RepartitionBy") == 1 and 0 < plan.index("porter_tokens") < dealt and "porter_tokens" not in plan[dealt:] and "Window" not in plan
+
+
+def test_postings_are_packed_for_the_shuffle_and_changed_by_key(spark, monkeypatch, tmp_path):
+    from shutterlake.operators import text_index as T
+    from shutterlake.sources import buckets as K
+
+    rows = [(1, None), (2, []), *[(i, sorted({"all", f"m{i % 3}", f"w{i}"})) for i in range(3, 60)]]
+    frame = lambda rows: spark.createDataFrame(rows, "key long, tokens array<string>")
+    pairs = spark.createDataFrame([(s, k) for k, t in rows for s in t or []], "stem string, key long").coalesce(1)
+    packed = pairs.mapInArrow(T._packed, "stem string, keys array<bigint>").collect()
+    assert len(packed) == len({s for _, t in rows for s in t or []})
+    assert sorted((r.stem, k) for r in packed for k in r["keys"]) == sorted((s, k) for k, t in rows for s in t or [])
+    monkeypatch.setattr(T, "PACKED", 10)
+    monkeypatch.setattr(K, "SMALL", -1)
+    before = [(k, t) for k, t in rows if k % 7 == 3] + [(2, [])]
+    after = [(k, None if k % 2 else ["all", "new"]) for k, _ in before] + [(99, ["m1", "all"])]
+    now = dict(rows) | dict(after)
+    want = T.build_from_tokens(frame(sorted(now.items())), str(tmp_path / "w"), 8)
+    for few in (100, 0):
+        monkeypatch.setattr(K, "FEW", few)
+        index = T.build_from_tokens(frame(rows), str(tmp_path / f"i{few}"), 8)
+        plans = _plans_written(monkeypatch)
+        touched = index.upsert(frame(before), frame(after))
+        assert touched and sorted(index.postings.read().collect()) == sorted(want.postings.read().collect())
+        assert sorted(index.counts.read().collect()) == sorted(want.counts.read().collect())
+        if few:
+            # a bucket of postings that is copied is not shuffled
+            copies = [p for p in plans if "left_anti" in p.lower() or "LeftAnti" in p]
+            assert len(copies) >= len(touched) and not any("RepartitionBy" in p or "Sort" in p for p in copies)
