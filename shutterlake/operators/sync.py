@@ -212,12 +212,20 @@ def upsert_perspective(old: DataFrame, new: DataFrame) -> DataFrame:
     return upsert(old, marked, "slug", "updated_at", keep_old=("id", "created_at"))
 
 
-def upsert_descriptions_indexed(table: BucketTable, index: TextIndex, new: DataFrame) -> list[int]:
-    """:func:`upsert_descriptions` on a table in buckets of ``image_key``, with its text index; returns the table's buckets written."""
+def upsert_descriptions_indexed(table: BucketTable, index: TextIndex, new: DataFrame, vacuum: bool = False) -> list[int]:
+    """:func:`upsert_descriptions` on a table in buckets of ``image_key``, with its text index; returns the table's buckets written.
+
+    With ``vacuum``, for tables that nobody else reads, what was replaced is deleted at once.
+    """
     keys = written(table.keyed(new).select("image_key").distinct(), "keys")
     tokens = lambda: table.lookup(keys).select(F.col("image_key").alias("key"), "tokens")
     before = written(tokens(), "before")
     touched = table.change(new, upsert_descriptions)
+    if vacuum:
+        table.vacuum()
     index.upsert(before, tokens())
+    if vacuum:
+        index.postings.vacuum()
+        index.counts.vacuum()
     discard(before, keys)
     return touched

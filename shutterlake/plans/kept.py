@@ -76,11 +76,8 @@ def fts_after_upsert(spark, d):
     table = Y.create_descriptions(rows, work.new_path(spark, "descriptions"), 32)
     index = T.build_from_tokens(table.read().select(n.alias("key"), "tokens"))
     new = rows.where(n % 50 == 3).withColumn("summary", F.lit("Things óf the sea")).union(rows.where(n % 50 == 4).withColumn("summary", F.lit("nothing")))
-    Y.upsert_descriptions_indexed(table, index, new.withColumn("described_at", F.lit("2")))
-    # only the index as it is now is read from here on
-    table.drop()
-    index.postings.vacuum()
-    index.counts.vacuum()
+    Y.upsert_descriptions_indexed(table, index, new.withColumn("described_at", F.lit("2")), vacuum=True)
+    table.drop()  # only the index is read from here on
     return C.full_text(index, X.search_terms("of the things") or [])
 
 

@@ -227,3 +227,23 @@ def test_postings_are_packed_for_the_shuffle_and_changed_by_key(spark, monkeypat
             # a bucket of postings that is copied is not shuffled
             copies = [p for p in plans if "left_anti" in p.lower() or "LeftAnti" in p]
             assert len(copies) >= len(touched) and not any("RepartitionBy" in p or "Sort" in p for p in copies)
+
+
+def test_upsert_with_index_leaves_no_old_files(spark, monkeypatch, tmp_path):
+    from pyspark.sql import functions as F
+
+    from shutterlake.operators import sync as Y
+    from shutterlake.operators import text_index as T
+    from shutterlake.sources import buckets as K
+
+    monkeypatch.setattr(K, "SMALL", -1)
+    old, new = _described_rows(spark, [(i, f"Things number {i}", "1") for i in range(40)]), _described_rows(spark, [(3, "others", "2"), (99, "things", "2")])
+    table = Y.create_descriptions(old, str(tmp_path / "t"), 4)
+    index = T.build_from_tokens(table.read().select(F.col("image_key").alias("key"), "tokens"), str(tmp_path / "i"), 4)
+    Y.upsert_descriptions_indexed(table, index, new, vacuum=True)
+    want = Y.upsert_descriptions(Y.described(old), new)
+    assert sorted(map(tuple, table.read().collect())) == sorted(map(tuple, want.collect()))
+    pairs = want.select(F.explode("tokens"), "image_key").collect()
+    assert sorted(map(tuple, index.postings.read().collect())) == sorted(map(tuple, pairs))
+    for t in (table, index.postings, index.counts):
+        assert {n for n in t._names("") if n.startswith("v-")} == set(t.versions().values()) and len(t._names("commits")) == 1
